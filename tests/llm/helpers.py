@@ -1,0 +1,27 @@
+"""Small tables with the cases that every operator has to meet."""
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, label int, `__id` long"
+LONG = "Word one two three four. " * 3000
+
+
+def odd_rows():
+    """Nulls in every column, empty and very long texts, ties, repeated rows, extra columns with clashing names."""
+    texts = [
+        (1, "alpha beta gamma delta epsilon zeta", "en", "a"), (1, "alpha beta gamma delta epsilon zeta", "en", "a"), (2, "alpha beta gamma delta epsilon zeta", "fr", None),
+        (3, "", "en", "b"), (4, None, "en", "b"), (5, None, None, None), (None, "alpha beta gamma delta epsilon zeta", "en", "a"), (None, None, None, None),
+        (6, LONG, "en", "a"), (7, LONG, "en", "b"), (8, "123 456", None, "c"), (9, "déjà vu \U0001f600 ünï", "fr", "c"), (10, "x", "en", "c"), (10, "y", "en", "c"),
+        (11, "mail bob.1@example.com or +1 (555) 010-9999", "en", "a"), (12, " \n\t ", "en", "a"),
+    ]
+    return [(i, t, lang, s, len(t) if t else None, "n", 7, 99) for i, t, lang, s in texts]
+
+
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
