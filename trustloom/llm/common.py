@@ -41,3 +41,8 @@ def text_of(name: str = "text") -> Column:
 
 def bucket_of(*keys: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets))
+
+
+def as_row(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column __row beside more, so that no name of its columns can clash; back by select("__row.*")."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[v.alias(k) for k, v in more.items()])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut, text_of
+from .common import as_row, bucket_of, cut, text_of
 
 BLOCK_CHARS = 4096
 BUCKETS = 65536
@@ -94,6 +94,6 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, all columns."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    own = docs.withColumn("__own", F.unhex(F.sha2(text_of(), 256)))
-    joined = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"]))
-    return joined.dropDuplicates(["__id", "__sha"]).select(*[F.col(c) for c in docs.columns])
+    own = as_row(docs, __key=F.col("doc_id"), __own=F.unhex(F.sha2(text_of(), 256)))
+    joined = own.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
+    return joined.dropDuplicates(["__id", "__sha"]).select("__row.*")

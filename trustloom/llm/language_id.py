@@ -90,7 +90,8 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, rows = np.unique(part["lang"].to_numpy(dtype=str), return_inverse=True)
             for name, total in zip(names, bundle([trigrams(t) for t in part["text"]], rows, len(names)), strict=True):
                 sums[name] = sums.get(name, 0) + np.rint(total).astype(np.int64)
-    yield pd.DataFrame({"lang": [*sums], "total": [*sums.values()]})
+    if sums:
+        yield pd.DataFrame({"lang": [*sums], "total": [*sums.values()]})
 
 
 def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -146,10 +147,13 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     """docs without the rows that are `und`, all columns: those have no letter, or nothing was learned."""
     langs, prototypes = learn_prototypes(docs.filter(~held_out()).select("text", "lang"))
     predict = _predict(langs, prototypes)
+    own = "__text"
+    while own in docs.columns:
+        own += "_"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [p["lang_pred"].to_numpy() for p in predict(iter([pd.DataFrame({"text": batch["__text"]})]))] if len(batch) else []
-            yield batch.drop(columns="__text")[np.concatenate(found) != "und"] if found else batch.drop(columns="__text")
+            found = [p["lang_pred"].to_numpy() for p in predict(iter([pd.DataFrame({"text": batch[own]})]))] if len(batch) else []
+            yield batch.drop(columns=own)[np.concatenate(found) != "und"] if found else batch.drop(columns=own)
 
-    return docs.withColumn("__text", F.coalesce("text", F.lit(""))).mapInPandas(run, docs.schema)
+    return docs.withColumn(own, F.coalesce("text", F.lit(""))).mapInPandas(run, docs.schema)

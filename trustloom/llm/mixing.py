@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, as_row, cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -140,9 +140,9 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     report = mix_report(docs, **how)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     counts = report.groupBy(F.col("doc_id").alias("__id"), F.col("uid.h").alias("__h")).agg(F.sum(times).alias("__times"), F.count("*").alias("__rows"))
-    own = docs.withColumns({"__own": F.xxhash64("text"), "__key": F.col("doc_id")})
+    own = as_row(docs, __own=F.xxhash64("text"), __key=F.col("doc_id"))
     joined = own.join(counts, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))).filter("__times > 0")
     nth = F.row_number().over(W.partitionBy("__id", "__h").orderBy(F.lit(0)))  # repeated rows share their passes
     share = F.floor(F.col("__times") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__times") % F.col("__rows"), 1).otherwise(0)
     joined = joined.withColumn("__nth", nth).withColumn("__share", share).filter("__share > 0")
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__share")))).select(*[F.col(c) for c in docs.columns])
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__share")))).select("__row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import as_row, cut
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -144,7 +144,8 @@ def _sign(bands: int, rows: int, weighting: str):
                     key = mix(key * U(0x9DDFEA08EB382D69) + part)
                 nodes.append(found[0])
                 keys.append(key.view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "bands": keys})
+            if nodes:
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "bands": keys})
 
     return run
 
@@ -165,7 +166,8 @@ def _shingle_sets(weighting: str):
                         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                         elements = mix(np.repeat(elements, counts) + nth.astype(U) * U(0xD6E8FEB86659FD93))
                     sets.append(elements.view(np.int64))
-            yield pd.DataFrame({"node": nodes, "elements": sets})
+            if nodes:
+                yield pd.DataFrame({"node": nodes, "elements": sets})
 
     return run
 
@@ -237,7 +239,7 @@ def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: flo
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay, all columns: of each class one row of its largest doc_id."""
     kept = near_dedup(docs, **how).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.withColumn("__key", F.col("doc_id"))
-    joined = own.join(kept, own["__key"].eqNullSafe(kept["__id"]))
-    first = F.row_number().over(W.partitionBy("__id").orderBy(F.col("text").desc_nulls_last()))
-    return joined.withColumn("__n", first).filter("__n = 1").select(*[F.col(c) for c in docs.columns])
+    own = as_row(docs, __key=F.col("doc_id"), __text=F.col("text"))
+    joined = own.join(kept, F.col("__key").eqNullSafe(F.col("__id")))
+    first = F.row_number().over(W.partitionBy("__id").orderBy(F.col("__text").desc_nulls_last()))
+    return joined.withColumn("__n", first).filter("__n = 1").select("__row.*")
