@@ -174,16 +174,20 @@ def _shingle_sets(weighting: str):
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of the component) for all nodes of edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
+    turn = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = cut(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
+        sent = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        new = sent.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        if turn >= 2:  # stars are done by now; long chains halve from here on
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            new = new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label"))
+        new = cut(new)
         if new.filter("label != old").isEmpty():
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels, turn = new.select("node", "label"), turn + 1
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -221,8 +225,9 @@ def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: flo
     now = members.withColumn("label", F.col("node"))
     edges, labels, pivots = None, wanted.select("node", F.col("node").alias("label")), 1
     while True:
-        spread = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-        now = cut(now.join(spread, "key"))
+        if pivots > 1:  # before, every member has a label of its own
+            spread = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+            now = cut(now.join(spread, "key"))
         if now.isEmpty():
             return labels
         top = now.groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.max(F.struct("c", "node", "label")).alias("top"))
