@@ -64,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}  # words after a space, without it
         letters = _byte_letters()
         ranks = {bytes(letters[ch] for ch in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
         self.merge = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -74,25 +75,21 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._encode(text)
-        parts = _INNER_SPACE.split(text) if _SPACE_PAIR.search(text) else [*self._apart(text)]
-        words, merge, out = self.words, self.merge, []
+        spaced = _SPACE_PAIR.search(text) is None  # each space follows a word: all are cuts
+        parts = text.split(" ") if spaced else _INNER_SPACE.split(text)
+        inner, merge = self.inner if spaced else self.words, self.merge
+        lead, out = " " if spaced else "", []
         for p in parts:
-            ids = words.get(p)
+            ids = inner.get(p)
             if ids is None:
-                ids = array("I", merge(p)).tobytes()
-                if len(words) < CACHE_WORDS and len(p) <= 64:
-                    words[p] = ids
+                ids = array("I", merge(lead + p)).tobytes()
+                if len(inner) < CACHE_WORDS and len(p) <= 64:
+                    inner[p] = ids
             out.append(ids)
+        if spaced:
+            out[0] = array("I", merge(parts[0])).tobytes()
         return b"".join(out)
 
-    @staticmethod
-    def _apart(text: str) -> Iterator[str]:
-        first, *rest = text.split(" ")
-        if first:
-            yield first
-        for p in rest:
-            yield f" {p}"
-
 
 def encoder(path: str) -> Encoder:
     if path not in _workers:
