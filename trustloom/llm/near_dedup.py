@@ -7,11 +7,12 @@ of (element, weight cell, strip). Each dart has a coordinate; the earliest dart
 inside the element's weight is the signature there, and two documents agree in a coordinate with
 probability equal to their weighted Jaccard similarity.
 
-Bands of the signature give candidate classes. Inside a class no pairs are made: pivots (first the members
-that share most bands with others) are compared with the members of another component, verified exactly on
-the whole shingle sets, and removed; rounds with 1, 4, 16, ... pivots a class run until every class holds
-one component, so no link between candidates is left out. Documents with equal shingle sets are one node
-from the start. Components come from minimum labels with pointer jumping.
+Bands of the signature give candidate classes. Inside a class pivots (first the members that share most
+bands with others) are compared with the members of another component, verified exactly on the whole
+shingle sets, and removed; rounds with 1, 16, 256, ... pivots a class (all members of a class that has no
+more) run until every class holds one component, so no link between candidates is left out. A round's links
+join components, not documents. Documents with equal shingle sets are one node from the start. Components
+come from minimum labels with pointer jumping.
 
 Defined cases: null or wordless text has no shingles and is a class of its own; repeated rows and equal
 texts share a class; a null doc_id is a member like any other. class_id is the largest doc_id of the class,
@@ -191,24 +192,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose exact similarity is at least threshold."""
+    """The rows of pairs whose nodes a and b have an exact similarity of at least threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     joined = pairs.join(left, "a").join(right, "b").filter(small >= threshold * large)
-    return joined.filter(both >= threshold * (F.size("ea") + F.size("eb") - both) - 1e-9).select("a", "b")
+    return joined.filter(both >= threshold * (F.size("ea") + F.size("eb") - both) - 1e-9).drop("ea", "eb")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, weighting: str = "set") -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = cut(rows.mapInPandas(_sign(bands, band_rows, weighting), "doc_id long, node binary, bands array<long>"))
-    members = signed.filter("node is not null").select("node", F.explode("bands").alias("key")).distinct()
+    members = signed.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(members.join(sizes, "key"))
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    members = cut(members.drop("n").join(central, "node"))
+    members = cut(members.join(central, "node"))
     labels = _link(rows, signed, members, threshold, weighting)
     named = signed.select("doc_id", "node").filter("node is not null").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -223,22 +224,27 @@ def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: flo
     texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__id"])).select("text")
     sets = cut(texts.mapInPandas(_shingle_sets(weighting), "node binary, elements array<long>").dropDuplicates(["node"]))
     now = members.withColumn("label", F.col("node"))
-    edges, labels, pivots = None, wanted.select("node", F.col("node").alias("label")), 1
+    labels, pivots = wanted.select("node", F.col("node").alias("label")), 1
     while True:
         if pivots > 1:  # before, every member has a label of its own
-            spread = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-            now = cut(now.join(spread, "key"))
+            spread = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("key", "n")
+            now = cut(now.drop("n").join(spread, "key"))
         if now.isEmpty():
             return labels
-        top = now.groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.max(F.struct("c", "node", "label")).alias("top"))
-        top = cut(top.select("key", F.col("top.node").alias("b"), F.col("top.label").alias("lb")))
-        pairs = now.join(top, "key").filter("label != lb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        place = F.xxhash64("node", F.lit(pivots))
+        place = F.when((F.col("n") > pivots) | F.lit(pivots == 1), F.pmod(place, F.lit(pivots))).otherwise(place)
+        top = now.groupBy("key", place.alias("part")).agg(F.max(F.struct("c", "node", "label")).alias("top"))
+        top = cut(top.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("own")))
+        mine, other = F.struct("node", "label"), F.struct(F.col("pivot").alias("node"), F.col("own").alias("label"))
+        pairs = now.join(top, "key").filter("label != own").select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"))
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
         found = cut(_verify(pairs, sets, threshold))
-        edges = found if edges is None else edges.unionByName(found)
-        rest = now.join(top.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").drop("label")
-        labels = connected_components(edges)
-        now = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pivots *= 4
+        now = now.join(top.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        if not found.isEmpty():
+            merged = connected_components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+            merged = merged.select(F.col("node").alias("label"), F.col("label").alias("merged"))
+            now, labels = (df.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).drop("merged") for df in (now, labels))
+        pivots *= 16
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
