@@ -8,8 +8,9 @@ inside the element's weight is the signature there, and two documents agree in a
 probability equal to their weighted Jaccard similarity.
 
 Bands of the signature give candidate classes. Inside a class pivots (first the members that share most
-bands with others) are compared with the members of another component, verified exactly on the whole
-shingle sets, and removed; rounds with 1, 16, 256, ... pivots a class (all members of a class that has no
+bands with others) are compared with the members of another component and removed. Every node has a
+bitmap of its elements; bits of one that the other lacks bound the overlap from above, so pairs that cannot
+reach the threshold end in the join that finds them. The others are verified exactly on the whole sets; rounds with 1, 16, 256, ... pivots a class (all members of a class that has no
 more) run until every class holds one component, so no link between candidates is left out. A round's links
 join components, not documents. Documents with equal shingle sets are one node from the start. Components
 come from minimum labels with pointer jumping.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 24, 4
 SEED = 0x9E3779B97F4A7C15
+BITMAP_WORDS = 8
 #: Strip edges of the rank axis up to 1; unit strips follow.
 EDGES = (0.0, 1 / 64, 1 / 16, 1 / 4, 1.0)
 
@@ -118,8 +120,23 @@ def darts(elements: np.ndarray, weights: np.ndarray, k: int, seed: int = SEED) -
     return ids
 
 
+def set_elements(elements: np.ndarray, counts: np.ndarray, weighting: str) -> np.ndarray:
+    """Distinct shingles; with counts, the n-th occurrence is an element of its own, so that set overlap is weighted overlap."""
+    if weighting != "count":
+        return elements
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(elements, counts) + nth.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS words with a bit set for every element, chosen by its hash."""
+    bits = np.zeros(64 * BITMAP_WORDS, dtype=bool)
+    bits[(elements % U(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def signature(text: str, k: int, weighting: str = "set") -> tuple[bytes, np.ndarray, np.ndarray] | None:
-    """Node (a 128-bit hash of the weighted set), distinct shingles and signature; None without words."""
+    """Node (a 128-bit hash of the weighted set), elements of the set and signature; None without words."""
     from xxhash import xxh3_128_digest
 
     elements, counts = np.unique(shingles(text), return_counts=True)
@@ -127,32 +144,36 @@ def signature(text: str, k: int, weighting: str = "set") -> tuple[bytes, np.ndar
         return None
     weights = counts if weighting == "count" else np.ones(len(elements))
     node = xxh3_128_digest(elements.tobytes() + (counts.tobytes() if weighting == "count" else b""))
-    return node, elements, darts(elements, weights.astype(np.float64), k)
+    return node, set_elements(elements, counts, weighting), darts(elements, weights.astype(np.float64), k)
 
 
 def _sign(bands: int, rows: int, weighting: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, sizes, bits = [], [], [], []
             for text in batch["text"]:
                 found = signature(text, bands * rows, weighting)
                 if found is None:
                     nodes.append(None)
                     keys.append(np.empty(0, dtype=np.int64))
+                    sizes.append(0)
+                    bits.append(np.empty(0, dtype=np.int64))
                     continue
                 key = np.arange(1, bands + 1).astype(U)
                 for part in found[2].reshape(bands, rows).T:
                     key = mix(key * U(0x9DDFEA08EB382D69) + part)
                 nodes.append(found[0])
                 keys.append(key.view(np.int64))
+                sizes.append(len(found[1]))
+                bits.append(bitmap(found[1]))
             if nodes:
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "bands": keys})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "bands": keys, "size": sizes, "bits": bits})
 
     return run
 
 
 def _shingle_sets(weighting: str):
-    """Distinct shingles; with counts, the n-th occurrence is an element of its own, so that set overlap is weighted overlap."""
+    """Nodes with the elements of their sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -163,10 +184,7 @@ def _shingle_sets(weighting: str):
                 elements, counts = np.unique(shingles(text), return_counts=True)
                 if len(elements):
                     nodes.append(xxh3_128_digest(elements.tobytes() + (counts.tobytes() if weighting == "count" else b"")))
-                    if weighting == "count":
-                        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                        elements = mix(np.repeat(elements, counts) + nth.astype(U) * U(0xD6E8FEB86659FD93))
-                    sets.append(elements.view(np.int64))
+                    sets.append(set_elements(elements, counts, weighting).view(np.int64))
             if nodes:
                 yield pd.DataFrame({"node": nodes, "elements": sets})
 
@@ -191,6 +209,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels, turn = new.select("node", "label"), turn + 1
 
 
+def _may_reach(threshold: float) -> Column:
+    """Whether size and bits allow the threshold: each bit that only one side has is an element outside the overlap."""
+    bits, own = F.col("bits"), F.col("own_bits")
+    lacks = [sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(BITMAP_WORDS)), F.lit(0)) for x, y in ((bits, own), (own, bits))]
+    most = F.least(F.col("size") - lacks[0], F.col("own_size") - lacks[1])
+    return most >= threshold * (F.col("size") + F.col("own_size") - most) - 1e-9
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The rows of pairs whose nodes a and b have an exact similarity of at least threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
@@ -204,12 +230,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, weighting: str = "set") -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = cut(rows.mapInPandas(_sign(bands, band_rows, weighting), "doc_id long, node binary, bands array<long>"))
+    signed = cut(rows.mapInPandas(_sign(bands, band_rows, weighting), "doc_id long, node binary, bands array<long>, size int, bits array<long>"))
     members = signed.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(members.join(sizes, "key"))
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    members = cut(members.join(central, "node"))
+    traits = signed.filter("node is not null").select("node", "size", "bits").dropDuplicates(["node"])
+    members = cut(members.join(central, "node").join(traits, "node"))
     labels = _link(rows, signed, members, threshold, weighting)
     named = signed.select("doc_id", "node").filter("node is not null").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -233,10 +260,10 @@ def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: flo
             return labels
         place = F.xxhash64("node", F.lit(pivots))
         place = F.when((F.col("n") > pivots) | F.lit(pivots == 1), F.pmod(place, F.lit(pivots))).otherwise(place)
-        top = now.groupBy("key", place.alias("part")).agg(F.max(F.struct("c", "node", "label")).alias("top"))
-        top = cut(top.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("own")))
+        top = now.groupBy("key", place.alias("part")).agg(F.max(F.struct("c", "node", "label", "size", "bits")).alias("top"))
+        top = cut(top.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("own"), F.col("top.size").alias("own_size"), F.col("top.bits").alias("own_bits")))
         mine, other = F.struct("node", "label"), F.struct(F.col("pivot").alias("node"), F.col("own").alias("label"))
-        pairs = now.join(top, "key").filter("label != own").select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"))
+        pairs = now.join(top, "key").filter("label != own").filter(_may_reach(threshold)).select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"))
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
         found = cut(_verify(pairs, sets, threshold))
         now = now.join(top.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
