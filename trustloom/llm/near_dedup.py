@@ -210,11 +210,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _may_reach(threshold: float) -> Column:
-    """Whether size and bits allow the threshold: each bit that only one side has is an element outside the overlap."""
-    bits, own = F.col("bits"), F.col("own_bits")
-    lacks = [sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(BITMAP_WORDS)), F.lit(0)) for x, y in ((bits, own), (own, bits))]
-    most = F.least(F.col("size") - lacks[0], F.col("own_size") - lacks[1])
-    return most >= threshold * (F.col("size") + F.col("own_size") - most) - 1e-9
+    """Whether size and bits allow the threshold: each bit that only one side has is an element outside the overlap.
+
+    Every bit word is used once, so that the compiled join stays small enough for the JVM to compile it in turn.
+    """
+    size, own, shared = F.col("size"), F.col("own_size"), F.lit(0)
+    for i in range(BITMAP_WORDS):
+        shared = shared + F.bit_count(F.col(f"bits.b{i}").bitwiseAND(F.col(f"own_bits.b{i}")))
+    needed = (size + own) * F.lit(threshold / (1 + threshold)) - 1e-9
+    fits = F.least(size, own) >= needed
+    return fits & (shared - needed >= F.greatest(F.col("bits.set") - size, F.col("own_bits.set") - own))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -235,7 +240,9 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(members.join(sizes, "key"))
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    traits = signed.filter("node is not null").select("node", "size", "bits").dropDuplicates(["node"])
+    words = [F.col("bits")[i] for i in range(BITMAP_WORDS)]
+    packed = F.struct(*[w.alias(f"b{i}") for i, w in enumerate(words)], sum((F.bit_count(w) for w in words), F.lit(0)).alias("set"))
+    traits = signed.filter("node is not null").select("node", "size", packed.alias("bits")).dropDuplicates(["node"])
     members = cut(members.join(central, "node").join(traits, "node"))
     labels = _link(rows, signed, members, threshold, weighting)
     named = signed.select("doc_id", "node").filter("node is not null").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
