@@ -67,6 +67,24 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.keep_one_of_each(empty(spark)).count() == 0
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(10, "x"), (10, "y"), (12, "y"), (None, "one text"), (None, "another text"), (None, long), (None, long + " end"), (3, ""), (3, ""), (None, None), (None, " "), (7, "z z"), (7, "z  z"), (8, "q"), (8, "q")]
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one_of_each(docs(spark, rows)).collect()), key=str)
+    one_of = [[(None, long), (None, long + " end")], [(7, "z z"), (7, "z  z")]]
+    assert [sum(k in group for k in kept) for group in one_of] == [1, 1]
+    want = [(10, "x"), (12, "y"), (None, "one text"), (None, "another text"), (3, ""), (3, ""), (None, None), (None, " "), (8, "q")]
+    assert sorted((k for k in kept if not any(k in group for group in one_of)), key=str) == sorted(want, key=str)
+    found = near_dedup.near_dedup(docs(spark, rows)).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(kept)
+    nulls = defaultdict(list)
+    for r in found:
+        if r.doc_id is None and r.class_key is not None:
+            nulls[r.class_key].append((r.kept, r.class_size))
+    assert sorted(sorted(v) for v in nulls.values()) == [[(False, 2), (True, 2)], [(True, 1)], [(True, 1)]]
+    assert sum(r.doc_id == 8 and r.kept for r in found) == 1
+
+
 def test_darts_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -15,9 +15,12 @@ more) run until every class holds one component, so no link between candidates i
 join components, not documents. Documents with equal shingle sets are one node from the start. Components
 come from minimum labels with pointer jumping.
 
-Defined cases: null or wordless text has no shingles and is a class of its own; repeated rows and equal
-texts share a class; a null doc_id is a member like any other. class_id is the largest doc_id of the class,
-which is the one that stays (one row of it). An empty table gives an empty result.
+Defined cases: null or wordless text has no shingles, and each such row is a class of its own; repeated rows
+and equal texts share a class; a null doc_id is a member like any other. A document is a (doc_id, text): rows
+that share a doc_id but not the text are told apart, also where the doc_id is null. class_id is the largest
+doc_id of the class, null if it has none; as classes can share it, class_key (a hash of the class's least
+node, null for a wordless row) tells them apart. Of each class exactly one row is kept: of its largest doc_id
+the text with the greatest hash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_row, cut
+from .common import WORD, as_row, cut, text_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -167,7 +169,7 @@ def _sign(bands: int, rows: int, weighting: str):
                 sizes.append(len(found[1]))
                 bits.append(bitmap(found[1]))
             if nodes:
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "bands": keys, "size": sizes, "bits": bits})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "sha": batch["sha"], "node": nodes, "bands": keys, "size": sizes, "bits": bits})
 
     return run
 
@@ -232,10 +234,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.filter(both >= threshold * (F.size("ea") + F.size("eb") - both) - 1e-9).drop("ea", "eb")
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, weighting: str = "set") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = cut(rows.mapInPandas(_sign(bands, band_rows, weighting), "doc_id long, node binary, bands array<long>, size int, bits array<long>"))
+def _sha() -> Column:
+    """A digest of the text, which with the doc_id identifies a document."""
+    return F.unhex(F.sha2(text_of(), 256))
+
+
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
+    """Documents with words: doc_id, sha, copies, label, class_size, stays (the largest doc_id and sha of the class); and the doc_ids of wordless rows."""
+    rows = docs.select("doc_id", text_of().alias("text"), _sha().alias("sha"))
+    signed = cut(rows.mapInPandas(_sign(bands, band_rows, weighting), "doc_id long, sha binary, node binary, bands array<long>, size int, bits array<long>"))
     members = signed.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(members.join(sizes, "key"))
@@ -245,11 +252,19 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     traits = signed.filter("node is not null").select("node", "size", packed.alias("bits")).dropDuplicates(["node"])
     members = cut(members.join(central, "node").join(traits, "node"))
     labels = _link(rows, signed, members, threshold, weighting)
-    named = signed.select("doc_id", "node").filter("node is not null").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    classes = named.groupBy("label").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = named.join(classes, "label").select("doc_id", "class_id", "class_size")
-    alone = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    distinct = signed.filter("node is not null").groupBy("doc_id", "sha", "node").agg(F.count("*").alias("copies"))
+    named = distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+    classes = named.groupBy("label").agg(F.max(F.struct("doc_id", "sha")).alias("stays"), F.sum("copies").alias("class_size"))
+    return named.join(classes, "label"), signed.filter("node is null").select("doc_id")
+
+
+def near_dedup(docs: DataFrame, **how) -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, kept, class_key. how: threshold, bands, band_rows, weighting."""
+    named, wordless = _classes(docs, **how)
+    rows = named.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("sha") == F.col("stays.sha")) & (F.col("copy") == 1)
+    out = rows.select("doc_id", F.col("stays.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.lower(F.hex("label")).alias("class_key"))
+    return out.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("class_key")))
 
 
 def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: float, weighting: str) -> DataFrame:
@@ -282,9 +297,8 @@ def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: flo
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay, all columns: of each class one row of its largest doc_id."""
-    kept = near_dedup(docs, **how).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    own = as_row(docs, __key=F.col("doc_id"), __text=F.col("text"))
-    joined = own.join(kept, F.col("__key").eqNullSafe(F.col("__id")))
-    first = F.row_number().over(W.partitionBy("__id").orderBy(F.col("__text").desc_nulls_last()))
-    return joined.withColumn("__n", first).filter("__n = 1").select("__row.*")
+    """The rows of docs that near_dedup keeps, all columns; every wordless row is among them."""
+    stays = _classes(docs, **how)[0].select("stays.*").distinct().select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
+    own = as_row(docs, __key=F.col("doc_id"), __own=_sha(), __words=text_of().rlike(WORD))
+    joined = own.join(stays, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
+    return joined.dropDuplicates(["__id", "__sha"]).select("__row.*").unionByName(own.filter("not __words").select("__row.*"))
