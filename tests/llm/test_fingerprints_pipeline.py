@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -58,6 +59,27 @@ def test_fingerprints_are_homomorphic(spark):
     assert r["sum"] == got[1] and r["less"] == got[3]
 
 
+def multiset_likeness(a, b):
+    a, b = (Counter(u for u in re.split(r"\n+|(?<=[.!?])\s+", t) if u) for t in (a, b))
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_likeness_does_not_fall_with_length(spark):
+    rows = []
+    for k, n in enumerate((12, 40, 300, 2000, 20000)):
+        for side in (1, 0):
+            rows.append((2 * k + side, " ".join(f"Sentence {i} of side {side} and text {k}." for i in range(n))))
+    rows.append((10, "Again.\n" * 90 + "Once.\n" * 10))
+    texts = dict(rows)
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs(spark, rows)).collect()}
+    for i, text in texts.items():
+        after = texts[(i - 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert abs(found[i].near_edited - multiset_likeness(text, edited)) < 0.12, i
+        assert abs(found[i].near_next - multiset_likeness(text, after)) < 0.05, i
+
+
 def test_pipeline_stages(spark, sf):
     docs_ = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
