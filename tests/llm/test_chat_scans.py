@@ -173,6 +173,26 @@ def test_patience_alignment():
     assert not scan("Permission to use the software is granted to you by the person who wrote this.")
 
 
+def test_license_names_equal_the_wanted_set():
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    names = lambda text: {x[0] for x in scan(text)}
+    for name, parts in licenses.TEMPLATES.items():
+        for text in parts:
+            assert names(text) == {name}, text
+            assert names(f"Some words before it. {text} And some words after it.") == {name}, text
+    assert names(" ".join(licenses.TEMPLATES["BSD-2-Clause"][1:2] + licenses.TEMPLATES["BSD-3-Clause"][1:2])) == {"BSD-3-Clause"}
+    for other in ("Apache", "BSD", "ISC", "Zlib", "MIT No Attribution"):
+        assert names(f"Released under the {other} License.") == set()
+    for kind, version, want in (("", "1", None), ("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0"), ("Affero ", "1", None)):
+        assert names(f"This work is licensed under the GNU {kind}General Public License, version {version}.") == ({want} if want else set())
+    for kind in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        assert names(f"Licensed under CC {kind} 4.0.") == {f"CC-{kind}-4.0"}
+        assert names(f"Licensed under CC {kind} 2.0.") == set()
+    assert names("Licensed under the Apache License, Version 1.1.") == set()
+    both = "MIT License: it is released under the MIT License. Also licensed under the Apache License, Version 2.0."
+    assert names(both) == {"MIT", "Apache-2.0"}
+
+
 def test_scans_of_odd_rows(spark):
     n = len(odd_rows())
     for scan in (pii.find_personal_data, secrets.scan_secrets, licenses.scan_licenses):
