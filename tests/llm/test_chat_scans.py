@@ -94,6 +94,37 @@ def test_pii_network_finds_what_patterns_miss(spark):
     assert (tags == ys).mean() > 0.97
 
 
+class TellsAddresses:
+    """Stands for the network: tags an address with spaces around its `@`, as far as a window shows it."""
+
+    def posteriors(self, x):
+        space, sign = (int(pii.classes_of(c)[0]) for c in " @")
+        out = np.zeros((*x.shape, pii.TAGS))
+        out[:, :, 0] = 1
+        for row, tags in zip(x, out, strict=True):
+            text = "".join("@" if c == sign else " " if c in (0, space) else "x" for c in row)
+            for m in re.finditer(r"x+ @ x+", text):
+                tags[m.start() : m.end()] = 0
+                tags[m.start(), 1], tags[m.start() + 1 : m.end(), 2] = 1, 1
+        return out
+
+
+def test_pii_spaced_emails_at_every_offset(spark):
+    tagger = pii.train_tagger(empty(spark))
+    for email in ("anna @ mailserver-example.com", "a-rather-long-local-part-of-a-name @ mailserver-of-an-example.com", f"{'b' * 90} @ {'c' * 90}.com"):
+        for offset in range(48):
+            text = "words go on " * 30
+            start = 96 + offset
+            text = text[: start - 1] + " " + email + " " + text
+            found = pii.added_spans(text, TellsAddresses(), [])
+            assert found == [("email", start, start + len(email))], offset
+    seen = set()
+    for offset in range(48):
+        text = "w" * (95 + offset) + " please write to us: anna @ mailserver.com and words go on and on and on"
+        seen.add(tuple(text[s:e] for k, s, e in pii.added_spans(text, tagger, pii.base_spans(text)) if k == "email"))
+    assert len(seen) == 1
+
+
 def test_pii_gradient():
     xs, ys = pii._made_up(6, 1)
     x, y = xs.astype(np.int64), ys.astype(np.int64)

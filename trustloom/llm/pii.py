@@ -6,8 +6,9 @@ patterns miss, such as phone numbers without a plus sign; it learns from labelle
 table around base spans and around other digits (at most MAX_WINDOWS of each, first by a hash of the row:
 the bound of the training sample), and made-up contexts of a fixed seed.
 
-Every kind's span holds a digit or `@`, so only windows with one of these are tagged; nothing is lost by
-that. Windows of WINDOW characters every STRIDE characters cover the whole text. Each gives posterior tag
+Every kind's span holds a digit or `@`, so only windows with one of these are tagged, and for each `@` outside
+the base spans all that an address around it could span, in one window (longer where it must be) with the `@`'s
+text in its middle; what this window says holds there. So it doesn't matter where windows begin. Windows of WINDOW characters every STRIDE characters cover the whole text. Each gives posterior tag
 probabilities by forward-backward; where windows overlap these are averaged, weighted towards a window's
 middle, and the tags are read off once for the whole text. A span is added if its least probability is at
 least CONFIDENCE, it meets its kind's rule, and it overlaps no base span.
@@ -36,6 +37,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WINDOW, STRIDE, HIDDEN = 64, 48, 12
+CONTEXT = 16
 MAX_WINDOWS, MADE_UP, EPOCHS, SEED = 1000, 2000, 14, 5
 CONFIDENCE = 0.7
 TAGS = 1 + 2 * len(KINDS)
@@ -223,9 +225,42 @@ def windows_of(classes: np.ndarray) -> np.ndarray:
     return starts[hit[ends] > hit[starts]]
 
 
-def _cut(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([values, np.zeros(WINDOW, dtype=values.dtype)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+def _cut(values: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    padded = np.concatenate([values, np.zeros(width, dtype=values.dtype)])
+    return padded[starts[:, None] + np.arange(width)]
+
+
+def around_at(text: str, taken: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of what an email around each `@` outside the base spans could be."""
+    out, p = [], text.find("@")
+    while p >= 0:
+        if not taken[p]:
+            s, e = p, p + 1
+            s -= s > 0 and text[s - 1].isspace()
+            e += e < len(text) and text[e].isspace()
+            while s > 0 and text[s - 1] != "@" and not text[s - 1].isspace():
+                s -= 1
+            while e < len(text) and text[e] != "@" and not text[e].isspace():
+                e += 1
+            out.append((s, e))
+        p = text.find("@", p + 1)
+    return out
+
+
+def _at_posteriors(classes: np.ndarray, spans: list[tuple[int, int]], tagger: Tagger, chunk: int) -> list[np.ndarray]:
+    """Tag probabilities of each span, from a window that has it in its middle."""
+    out: list[np.ndarray] = [np.empty(0)] * len(spans)
+    width = [max(WINDOW, -(-(e - s + CONTEXT) // CONTEXT) * CONTEXT) for s, e in spans]
+    for w in sorted(set(width)):
+        same = [i for i, x in enumerate(width) if x == w]
+        step = max(1, chunk * WINDOW // w)
+        for at in range(0, len(same), step):
+            part = same[at : at + step]
+            starts = np.array([max(0, (sum(spans[i]) - w) // 2) for i in part])
+            post = tagger.posteriors(_cut(classes, starts, w).astype(np.int64))
+            for i, lo, prob in zip(part, starts, post, strict=True):
+                out[i] = prob[spans[i][0] - lo : spans[i][1] - lo]
+    return out
 
 
 def added_spans(text: str, tagger: Tagger, base: list[Span], chunk: int = 1024) -> list[Span]:
@@ -239,10 +274,19 @@ def added_spans(text: str, tagger: Tagger, base: list[Span], chunk: int = 1024)
     taken = np.zeros(len(text) + 1, dtype=bool)
     for _, s, e in base:
         taken[s:e] = True
-    # runs of windows that touch are reconciled together; a run's windows are tagged chunk by chunk
-    runs = np.split(starts, np.flatnonzero(np.diff(starts) > STRIDE) + 1)
-    for run in runs:
-        lo, hi = int(run[0]), int(min(run[-1] + WINDOW, len(text)))
+    ats = around_at(text, taken)
+    at_posts = _at_posteriors(classes, ats, tagger, chunk)
+    # what touches is reconciled together: windows, and the texts around `@`; a run's windows are tagged chunk by chunk
+    pieces = sorted([(int(s), min(int(s) + WINDOW, len(text))) for s in starts] + ats)
+    runs: list[list[int]] = []
+    for s, e in pieces:
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(e, runs[-1][1])
+        else:
+            runs.append([s, e])
+    done = 0
+    for lo, hi in runs:
+        run = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)]
         total, mass = np.zeros((hi - lo + WINDOW, TAGS)), np.zeros(hi - lo + WINDOW)
         for at in range(0, len(run), chunk):
             part = run[at : at + chunk]
@@ -250,7 +294,16 @@ def added_spans(text: str, tagger: Tagger, base: list[Span], chunk: int = 1024)
             where = (part - lo)[:, None] + np.arange(WINDOW)
             np.add.at(total, where.ravel(), (post * weight[None, :, None]).reshape(-1, TAGS))
             np.add.at(mass, where.ravel(), np.tile(weight, len(part)))
-        prob = total[: hi - lo] / mass[: hi - lo, None]
+        prob = total[: hi - lo] / np.maximum(mass[: hi - lo, None], 1e-9)
+        first = done
+        while done < len(ats) and ats[done][0] < hi:
+            done += 1
+        if done > first:  # where such texts overlap, their mean holds
+            total, mass = np.zeros((hi - lo, TAGS)), np.zeros(hi - lo)
+            for (s, e), post in zip(ats[first:done], at_posts[first:done], strict=True):
+                total[s - lo : e - lo] += post
+                mass[s - lo : e - lo] += 1
+            prob[mass > 0] = total[mass > 0] / mass[mass > 0, None]
         tag, sure = prob.argmax(axis=1), prob.max(axis=1)
         for b in np.flatnonzero(tag % 2 == 1):
             e = b + 1
