@@ -1,4 +1,4 @@
-"""What the operators share: cut points in shared storage and null-safe column picks."""
+"""What the operators share: cut points in shared storage, null-safe column picks and passes over texts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh local one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder of this application under spark.checkpoint.dir; a fresh local one where that is unset on one machine (tests)."""
+    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/cuts-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
@@ -27,13 +30,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    """Write df to a new table in the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    Results read these tables lazily, so they are kept until drop_cuts, or until the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete this application's cut tables, once nothing that reads them will run again."""
+    jvm, path = spark.sparkContext._jvm, shared_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def beside(rows: DataFrame, keep: list[str], work: Callable[[list[str]], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """The columns keep, then those that work makes of each Arrow batch's texts, one entry a row.
+
+    The kept columns stay in Arrow, so that a 64-bit id beside a null is never made a float. schema is of the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = work(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made.values()], names=[*keep, *made])
+
+    return rows.select(*keep, "text").mapInArrow(run, schema)
+
+
 def text_of(name: str = "text") -> Column:
     """Text with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

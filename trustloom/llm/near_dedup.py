@@ -1,19 +1,22 @@
 """MinHash near-dedup with DartMinHash signatures and banded joining.
 
 Each document is its set of five-word shingles (lower case, words between ASCII white space; fewer than
-five words make one shingle), or with weighting="count" the multiset. Hashed darts are thrown into every
+four words make one shingle), or with weighting="count" the multiset. Hashed darts are thrown into every
 element's region: a Poisson process of unit intensity over weight x rank, drawn strip by strip from hashes
 of (element, weight cell, strip). Each dart has a coordinate; the earliest dart of a coordinate that lies
 inside the element's weight is the signature there, and two documents agree in a coordinate with
 probability equal to their weighted Jaccard similarity.
 
-Bands of the signature give candidate classes. Inside a class pivots (first the members that share most
-bands with others) are compared with the members of another component and removed. Every node has a
-bitmap of its elements; bits of one that the other lacks bound the overlap from above, so pairs that cannot
-reach the threshold end in the join that finds them. The others are verified exactly on the whole sets; rounds with 1, 16, 256, ... pivots a class (all members of a class that has no
-more) run until every class holds one component, so no link between candidates is left out. A round's links
-join components, not documents. Documents with equal shingle sets are one node from the start. Components
-come from minimum labels with pointer jumping.
+Bands of the signature give candidate classes, joined in two steps whose rows grow with the documents and not
+with the square of a class. First each member meets the one pivot of its class, the member that shares most
+bands with others; links are verified exactly on the whole sets and their components labelled. Then the members
+of classes that still hold several components meet each other if they share an element of their prefixes: all
+elements are ordered from rare to common, and two sets of the wanted overlap must share one in the places where
+that overlap is still to come, so no link is lost. Elements of one document alone meet nothing, and elements
+whose holders are of one component are dropped; of the others, those outside the element's largest component
+meet all holders. A pair's places bound its overlap, and what passes is verified exactly too.
+Documents with equal shingle sets are one node from the start. Components come from minimum labels with
+pointer jumping.
 
 Defined cases: null or wordless text has no shingles, and each such row is a class of its own; repeated rows
 and equal texts share a class; a null doc_id is a member like any other. A document is a (doc_id, text): rows
@@ -26,20 +29,20 @@ the text with the greatest hash. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, as_row, cut, text_of
+from .common import WORD, as_row, beside, cut, text_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 24, 4
 SEED = 0x9E3779B97F4A7C15
-BITMAP_WORDS = 8
+#: Holders of one element that a task compares with those outside its largest component.
+SALT_ROWS = 4096
 #: Strip edges of the rank axis up to 1; unit strips follow.
 EDGES = (0.0, 1 / 64, 1 / 16, 1 / 4, 1.0)
 
@@ -130,13 +133,6 @@ def set_elements(elements: np.ndarray, counts: np.ndarray, weighting: str) -> np
     return mix(np.repeat(elements, counts) + nth.astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    """BITMAP_WORDS words with a bit set for every element, chosen by its hash."""
-    bits = np.zeros(64 * BITMAP_WORDS, dtype=bool)
-    bits[(elements % U(len(bits))).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
-
-
 def signature(text: str, k: int, weighting: str = "set") -> tuple[bytes, np.ndarray, np.ndarray] | None:
     """Node (a 128-bit hash of the weighted set), elements of the set and signature; None without words."""
     from xxhash import xxh3_128_digest
@@ -150,47 +146,40 @@ def signature(text: str, k: int, weighting: str = "set") -> tuple[bytes, np.ndar
 
 
 def _sign(bands: int, rows: int, weighting: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            nodes, keys, sizes, bits = [], [], [], []
-            for text in batch["text"]:
-                found = signature(text, bands * rows, weighting)
-                if found is None:
-                    nodes.append(None)
-                    keys.append(np.empty(0, dtype=np.int64))
-                    sizes.append(0)
-                    bits.append(np.empty(0, dtype=np.int64))
-                    continue
-                key = np.arange(1, bands + 1).astype(U)
-                for part in found[2].reshape(bands, rows).T:
-                    key = mix(key * U(0x9DDFEA08EB382D69) + part)
-                nodes.append(found[0])
-                keys.append(key.view(np.int64))
-                sizes.append(len(found[1]))
-                bits.append(bitmap(found[1]))
-            if nodes:
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "sha": batch["sha"], "node": nodes, "bands": keys, "size": sizes, "bits": bits})
-
-    return run
+    def work(texts: list[str]) -> dict[str, pa.Array]:
+        nodes, keys, sizes = [], [], []
+        for text in texts:
+            found = signature(text, bands * rows, weighting)
+            if found is None:
+                nodes.append(None)
+                keys.append(np.empty(0, dtype=np.int64))
+                sizes.append(0)
+                continue
+            key = np.arange(1, bands + 1).astype(U)
+            for part in found[2].reshape(bands, rows).T:
+                key = mix(key * U(0x9DDFEA08EB382D69) + part)
+            nodes.append(found[0])
+            keys.append(key.view(np.int64))
+            sizes.append(len(found[1]))
+        return {"node": pa.array(nodes, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "size": pa.array(sizes, pa.int32())}
+
+    return work
 
 
 def _shingle_sets(weighting: str):
     """Nodes with the elements of their sets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str]) -> dict[str, pa.Array]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
-            nodes, sets = [], []
-            for text in batch["text"]:
-                elements, counts = np.unique(shingles(text), return_counts=True)
-                if len(elements):
-                    nodes.append(xxh3_128_digest(elements.tobytes() + (counts.tobytes() if weighting == "count" else b"")))
-                    sets.append(set_elements(elements, counts, weighting).view(np.int64))
-            if nodes:
-                yield pd.DataFrame({"node": nodes, "elements": sets})
+        nodes, sets = [], []
+        for text in texts:
+            elements, counts = np.unique(shingles(text), return_counts=True)
+            nodes.append(xxh3_128_digest(elements.tobytes() + (counts.tobytes() if weighting == "count" else b"")) if len(elements) else None)
+            sets.append(set_elements(elements, counts, weighting).view(np.int64))
+        return {"node": pa.array(nodes, pa.binary()), "elements": pa.array(sets, pa.list_(pa.int64()))}
 
-    return run
+    return work
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -211,19 +200,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels, turn = new.select("node", "label"), turn + 1
 
 
-def _may_reach(threshold: float) -> Column:
-    """Whether size and bits allow the threshold: each bit that only one side has is an element outside the overlap.
-
-    Every bit word is used once, so that the compiled join stays small enough for the JVM to compile it in turn.
-    """
-    size, own, shared = F.col("size"), F.col("own_size"), F.lit(0)
-    for i in range(BITMAP_WORDS):
-        shared = shared + F.bit_count(F.col(f"bits.b{i}").bitwiseAND(F.col(f"own_bits.b{i}")))
-    needed = (size + own) * F.lit(threshold / (1 + threshold)) - 1e-9
-    fits = F.least(size, own) >= needed
-    return fits & (shared - needed >= F.greatest(F.col("bits.set") - size, F.col("own_bits.set") - own))
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The rows of pairs whose nodes a and b have an exact similarity of at least threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
@@ -234,24 +210,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.filter(both >= threshold * (F.size("ea") + F.size("eb") - both) - 1e-9).drop("ea", "eb")
 
 
-def _sha() -> Column:
-    """A digest of the text, which with the doc_id identifies a document."""
-    return F.unhex(F.sha2(text_of(), 256))
+def _identity() -> Column:
+    """A digest of doc_id and text, which identifies a document."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()), 256))
 
 
 def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
     """Documents with words: doc_id, sha, copies, label, class_size, stays (the largest doc_id and sha of the class); and the doc_ids of wordless rows."""
-    rows = docs.select("doc_id", text_of().alias("text"), _sha().alias("sha"))
-    signed = cut(rows.mapInPandas(_sign(bands, band_rows, weighting), "doc_id long, sha binary, node binary, bands array<long>, size int, bits array<long>"))
-    members = signed.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(members.join(sizes, "key"))
-    central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    words = [F.col("bits")[i] for i in range(BITMAP_WORDS)]
-    packed = F.struct(*[w.alias(f"b{i}") for i, w in enumerate(words)], sum((F.bit_count(w) for w in words), F.lit(0)).alias("set"))
-    traits = signed.filter("node is not null").select("node", "size", packed.alias("bits")).dropDuplicates(["node"])
-    members = cut(members.join(central, "node").join(traits, "node"))
-    labels = _link(rows, signed, members, threshold, weighting)
+    rows = docs.select("doc_id", _identity().alias("sha"), text_of().alias("text"))
+    signed = cut(beside(rows, ["doc_id", "sha"], _sign(bands, band_rows, weighting), "doc_id long, sha binary, node binary, bands array<long>, size int"))
+    labels = _link(rows, signed, threshold, weighting)
     distinct = signed.filter("node is not null").groupBy("doc_id", "sha", "node").agg(F.count("*").alias("copies"))
     named = distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
     classes = named.groupBy("label").agg(F.max(F.struct("doc_id", "sha")).alias("stays"), F.sum("copies").alias("class_size"))
@@ -262,43 +230,79 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept, class_key. how: threshold, bands, band_rows, weighting."""
     named, wordless = _classes(docs, **how)
     rows = named.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("sha") == F.col("stays.sha")) & (F.col("copy") == 1)
+    kept = (F.col("sha") == F.col("stays.sha")) & (F.col("copy") == 1)
     out = rows.select("doc_id", F.col("stays.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.lower(F.hex("label")).alias("class_key"))
     return out.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("class_key")))
 
 
-def _link(rows: DataFrame, signed: DataFrame, members: DataFrame, threshold: float, weighting: str) -> DataFrame:
+def _members(signed: DataFrame) -> DataFrame:
+    """key, node, c of the classes with more than one node; c counts, with repeats, the nodes that share bands with a node."""
+    each = signed.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    sizes = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(each.join(sizes, "key"))
+    return cut(shared.join(shared.groupBy("node").agg(F.sum("n").alias("c")), "node").select("key", "node", "c"))
+
+
+def _link(rows: DataFrame, signed: DataFrame, threshold: float, weighting: str) -> DataFrame:
+    """node and label of the nodes that share a band with another."""
+    members = _members(signed)
     wanted = members.select("node").distinct()
-    chosen = signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.max("doc_id").alias("__id")).select("__id").distinct()
-    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__id"])).select("text")
-    sets = cut(texts.mapInPandas(_shingle_sets(weighting), "node binary, elements array<long>").dropDuplicates(["node"]))
-    now = members.withColumn("label", F.col("node"))
-    labels, pivots = wanted.select("node", F.col("node").alias("label")), 1
-    while True:
-        if pivots > 1:  # before, every member has a label of its own
-            spread = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("key", "n")
-            now = cut(now.drop("n").join(spread, "key"))
-        if now.isEmpty():
-            return labels
-        place = F.xxhash64("node", F.lit(pivots))
-        place = F.when((F.col("n") > pivots) | F.lit(pivots == 1), F.pmod(place, F.lit(pivots))).otherwise(place)
-        top = now.groupBy("key", place.alias("part")).agg(F.max(F.struct("c", "node", "label", "size", "bits")).alias("top"))
-        top = cut(top.select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("own"), F.col("top.size").alias("own_size"), F.col("top.bits").alias("own_bits")))
-        mine, other = F.struct("node", "label"), F.struct(F.col("pivot").alias("node"), F.col("own").alias("label"))
-        pairs = now.join(top, "key").filter("label != own").filter(_may_reach(threshold)).select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"))
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-        found = cut(_verify(pairs, sets, threshold))
-        now = now.join(top.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        if not found.isEmpty():
-            merged = connected_components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-            merged = merged.select(F.col("node").alias("label"), F.col("label").alias("merged"))
-            now, labels = (df.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).drop("merged") for df in (now, labels))
-        pivots *= 16
+    chosen = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.max("sha").alias("sha")).select("sha")
+    texts = rows.join(chosen, "sha", "left_semi").select("text")
+    sets = cut(beside(texts, [], _shingle_sets(weighting), "node binary, elements array<long>").dropDuplicates(["node"]))
+
+    pivots = members.groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("pivot"))
+    stars = members.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    labels = _merge(wanted.select("node", F.col("node").alias("label")), cut(_verify(stars, sets, threshold)))
+
+    named = members.select("key", "node").join(labels, "node")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    unresolved = cut(named.join(mixed, "key", "left_semi").select("node", "label").distinct())
+    found = cut(_verify(_prefix_pairs(_prefixes(unresolved, sets, threshold), threshold), sets, threshold))
+    return _merge(labels, found.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links (a, b) between labels."""
+    if links.isEmpty():
+        return labels
+    merged = connected_components(links.distinct()).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    return cut(labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")))
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """element, node, label, size, place of the elements that are no node's alone, up to the last place where a pair may first meet."""
+    held = nodes.join(sets, "node").select("node", "label", F.size("elements").alias("size"), "elements")
+    each = held.select("node", "label", "size", F.explode("elements").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = each.join(shared, "element").groupBy("node", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("common"))
+    alone = F.col("size") - F.size("common")
+    last = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    near = ordered.withColumn("alone", alone).withColumn("common", F.slice("common", F.lit(1), F.greatest(last - alone, F.lit(0)).cast("int")))
+    return near.select("node", "label", "size", "alone", F.posexplode("common").alias("i", "e")).select(F.col("e.element").alias("element"), "node", "label", "size", (F.col("alone") + F.col("i") + 1).alias("place"))
+
+
+def _prefix_pairs(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """a, b, la, lb: nodes of different labels that share an element where their overlap can still reach the threshold."""
+    prefixes = cut(prefixes)
+    by_label = prefixes.groupBy("element", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("element").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("holders"), F.count("*").alias("labels")).filter("labels > 1")
+    parts = F.floor(F.col("holders") / SALT_ROWS) + 1
+    right = cut(prefixes.join(mixed.select("element", "main", parts.alias("parts")), "element"))
+    left = right.filter("label != main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = left.select("element", "part", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "size", "place")])
+    right = right.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("main", "parts")
+    needed = (F.col("size") + F.col("_size")) * (threshold / (1 + threshold)) - 1e-9
+    reach = 1 + F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
+    pairs = left.join(right, ["element", "part"]).filter("label != _label").filter((reach >= needed) & (F.least("size", "_size") >= needed))
+    mine, other = F.struct("node", "label"), F.struct(F.col("_node").alias("node"), F.col("_label").alias("label"))
+    pairs = pairs.select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y")).distinct()
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that near_dedup keeps, all columns; every wordless row is among them."""
-    stays = _classes(docs, **how)[0].select("stays.*").distinct().select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
-    own = as_row(docs, __key=F.col("doc_id"), __own=_sha(), __words=text_of().rlike(WORD))
-    joined = own.join(stays, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    return joined.dropDuplicates(["__id", "__sha"]).select("__row.*").unionByName(own.filter("not __words").select("__row.*"))
+    stays = _classes(docs, **how)[0].select(F.col("stays.sha").alias("__own")).distinct()
+    own = as_row(docs, __own=_identity(), __words=text_of().rlike(WORD))
+    kept = own.join(stays, "__own", "left_semi").dropDuplicates(["__own"])
+    return kept.select("__row.*").unionByName(own.filter("not __words").select("__row.*"))
