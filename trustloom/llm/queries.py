@@ -55,7 +55,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(_documents(spark, sf_dir)).drop("uid")
+    return mixing.mix_report(_documents(spark, sf_dir))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
