@@ -8,29 +8,33 @@ are dealt by a hash of their key into groups of about GROUP_PIECES, which are pa
 wastes at most a little of its last bins, and no task sees more than its groups.
 
 Defined cases: null text counts as empty, and every document ends with the end id, so each has a piece.
-Only documents longer than the capacity are cut; their first piece takes what the full ones leave.
+Only documents longer than the capacity are cut; their first piece takes what the full ones leave. A piece that
+alone exceeds another capacity has a sequence of its own.
 Rows that repeat a doc_id are packed separately (same doc_id and text: told apart by copy number).
 An empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut
 
 CAPACITY = 1024
 END_ID = 2
-GROUP_PIECES = 8192
+GROUP_PIECES = 2048
 CACHE_WORDS = 200_000
 #: Between these the pre-tokenizer always cuts: no token holds a space after another character.
 _INNER_SPACE = re.compile(r"(?<=\S)(?= )")
@@ -48,13 +52,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plain_byte_bpe(spec: str) -> bool:
+    """Whether a tokenizers file is byte-level BPE whose ids are its merge ranks, cut by PRE_TOKENS and nothing else."""
+    found = json.loads(spec)
+    model, pre = found["model"], found.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or found.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return False
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    return None not in made and all(a < b for a, b in zip(made, made[1:], strict=False))
+
+
 class Encoder:
     """Ids of a byte-level BPE as little-endian uint32 bytes, remembering the first CACHE_WORDS words.
 
     Byte-level BPE never merges across pre-tokens, so a text may be cut before any space that follows
     a character other than white space, and the parts' ids be joined. Words that aren't remembered are
     merged by tiktoken with the ranks of the tokenizers file, which is several times faster than
-    tokenizers word by word; texts with a special token go to tokenizers whole.
+    tokenizers word by word; texts with a special token go to tokenizers whole. Where the file is not such a
+    BPE, all words go to tokenizers.
     """
 
     def __init__(self, path: str):
@@ -65,6 +83,9 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}  # words after a space, without it
+        if not _plain_byte_bpe(self.tokenizer.to_str()):
+            self.merge = lambda part: self.tokenizer.encode(part, add_special_tokens=False).ids
+            return
         letters = _byte_letters()
         ranks = {bytes(letters[ch] for ch in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
         self.merge = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -98,23 +119,27 @@ def encoder(path: str) -> Encoder:
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, copy, text in zip(batch["doc_id"], batch["copy"], batch["text"], strict=True):
-                ids = enc(text or "") + end
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                ids = enc(text) + end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 at = 0
                 for piece, to in enumerate(range(first, n + 1, capacity)):
                     part = ids[4 * at : 4 * to]
-                    rows.append((doc_id, copy, piece, at, to - at, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i4")] if with_ids else [])))
+                    rows.append((row, piece, at, to - at, zlib.crc32(part), np.frombuffer(part, "<u4").astype("i4") if with_ids else None))
                     at = to
-            out = pd.DataFrame(rows, columns=["doc_id", "copy", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            if rows:
+                row, piece, start, length, crc, ids_ = zip(*rows, strict=True)
+                doc_id = batch.column("doc_id").take(pa.array(row, pa.int64()))  # stays in Arrow: exact beside nulls
+                made = {"doc_id": doc_id, "copy": pa.array(np.zeros(len(row), dtype=np.int64)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                if with_ids:
+                    made["ids"] = pa.array(ids_, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*made.values()], names=[*made])
 
     return run
 
@@ -151,26 +176,28 @@ def best_fit(need: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, max_documents: int = CAPACITY, max_attention: int = CAPACITY**2, weights: tuple[float, float, float] = (1.0, 0.0, 0.25), rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, max_documents: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.25), rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """pieces (doc_id, copy, piece, length, ...) with sequence_id and offset.
 
     The default document and attention capacities are those that a full sequence of one-token documents
     and a single full document reach, so they never cost a sequence; smaller ones bind.
     """
+    max_documents, max_attention = max_documents or capacity, max_attention or capacity**2
     groups = max(1, -(-pieces.filter(F.col("length") < capacity).count() // group_pieces))
     key = [F.col(c) for c in ("doc_id", "copy", "piece")]
     full = pieces.filter(F.col("length") >= capacity).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(4096)))
     part = pieces.filter(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
 
-    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
-        tokens = rows["length"].to_numpy(dtype=np.float64)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("piece", "ascending")]))
+        tokens = rows["length"].to_numpy().astype(np.float64)
         need = np.stack([tokens, np.ones_like(tokens), tokens**2], axis=1)
         bins, offsets = best_fit(need, np.array([capacity, max_documents, max_attention], dtype=np.float64), np.array(weights), rule)
-        return rows.assign(sequence_id=bins * groups + rows["group"].to_numpy(), offset=offsets)
+        sequence = bins * groups + rows["group"].to_numpy()
+        return rows.drop_columns(["group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    schema = part.schema.simpleString()[len("struct<") : -1]
-    packed = part.groupBy("group").applyInPandas(run, f"{schema},sequence_id:long,offset:long").drop("group")
+    schema = StructType([f for f in part.schema if f.name != "group"]).add("sequence_id", "long").add("offset", "long")
+    packed = part.groupBy("group").applyInArrow(run, schema)
     # those that fill a sequence alone have negative numbers: a place in a hash bucket each
     place = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "copy", "piece")).cast("long")
     full = full.withColumns({"sequence_id": -(place * 4096 + F.col("bucket")), "offset": F.lit(0).cast("long")}).drop("bucket")
@@ -182,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = rows.select("doc_id", F.lit(0).cast("long").alias("copy"), "text").mapInPandas(_pieces(tokenizer_path, capacity, with_ids), schema)
+    pieces = rows.mapInArrow(_pieces(tokenizer_path, capacity, with_ids), schema)
     pieces = cut(pieces)
     repeated = pieces.filter("piece = 0").groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():
