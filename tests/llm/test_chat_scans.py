@@ -1,8 +1,9 @@
 import base64
 import hashlib
 import json
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import pytest
 from trustloom.llm import chat_format, licenses, pii, secrets
 from trustloom.llm.queries import op4_chat_format, op6_personal_data, op8_secrets, op10_license_scan
 
-from .helpers import LONG, empty, odd, odd_rows
+from .helpers import BIG, LONG, docs, empty, odd, odd_rows
 
 
 def sha(s):
@@ -82,16 +83,44 @@ def test_pii_base_spans(spark):
     assert all(r.spans == "" for r in clean)
 
 
-def test_pii_network_finds_what_patterns_miss(spark):
-    tagger = pii.train_tagger(empty(spark))
-    text = "please call (415) 555-0133 tomorrow. " + "words go on " * 30 + "or 212-555-0147 at night, on 2024-01-02 at 12:30 for $12.50"
-    found = pii.added_spans(text, tagger, pii.base_spans(text))
-    assert ("phone", 12, 26) in found and text[12:26] == "(415) 555-0133"
-    if "212-555-0147" not in {text[s:e] for k, s, e in found if k == "phone"}:
-        pytest.xfail("open: a phone number without plus sign or brackets is tagged as a card")
-    xs, ys = pii._made_up(400, 99)
-    tags = tagger.posteriors(xs.astype(np.int64)).argmax(axis=2)
-    assert (tags == ys).mean() > 0.97
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train_tagger(empty(spark))
+
+
+def test_pii_network_finds_what_patterns_miss(tagger):
+    """Recall of at least 0.9 of each kind on held-out made-up spans that the base patterns miss, and few false ones."""
+    wanted, found, wrong = Counter(), Counter(), 0
+    for text, spans in pii.made_up(1600, 991):
+        base = pii.base_spans(text)
+        more = pii.added_spans(text, tagger, base)
+        for kind, s, e in spans:
+            if not any(b[1] < e and s < b[2] for b in base) and pii.plausible(kind, text[s:e]):
+                wanted[kind] += 1
+                found[kind] += (kind, s, e) in more
+        wrong += sum(m not in spans for m in more)
+    assert all(wanted[k] >= 50 and found[k] >= 0.9 * wanted[k] for k in pii.KINDS), (wanted, found)
+    assert wrong <= 0.02 * sum(wanted.values())
+    text = "please call (415) 555-0133 tomorrow. " + "words go on " * 30 + "or 212-555-0147 at night or 020 7946 0958, on 2024-01-02 at 12:30 for $12.50 by 4111.1111.1111.1111 today"
+    assert [(k, text[s:e]) for k, s, e in pii.added_spans(text, tagger, pii.base_spans(text))] == [("phone", "(415) 555-0133"), ("phone", "212-555-0147"), ("phone", "020 7946 0958"), ("card", "4111.1111.1111.1111")]
+
+
+def test_pii_added_spans_of_documents(spark, tagger):
+    """Spans planted in documents, in between their own text, are added by the query's operator; base spans stay."""
+    table = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    planted = ["415-555-0133", "(212) 555-0147", "4111.1111.1111.1111", "020 7946 0958"]
+    texts = []
+    for i, t in enumerate(table):
+        at = t.find(" ", len(t) // 2)
+        texts.append((i, t if at < 0 else f"{t[:at]} {planted[i % 4]}{t[at:]}"))
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs(spark, texts), tagger).collect()}
+    hit = 0
+    for i, t in texts:
+        base = pii.base_spans(t)
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in rows[i].spans.split(",") if x)]
+        assert set(base) <= set(spans)
+        hit += any(t[s:e] == planted[i % 4] for _, s, e in spans)
+    assert hit >= 0.9 * sum(planted[i % 4] in t for i, t in texts)
 
 
 class TellsAddresses:
@@ -109,8 +138,7 @@ class TellsAddresses:
         return out
 
 
-def test_pii_spaced_emails_at_every_offset(spark):
-    tagger = pii.train_tagger(empty(spark))
+def test_pii_spaced_emails_at_every_offset(tagger):
     for email in ("anna @ mailserver-example.com", "a-rather-long-local-part-of-a-name @ mailserver-of-an-example.com", f"{'b' * 90} @ {'c' * 90}.com"):
         for offset in range(48):
             text = "words go on " * 30
@@ -129,6 +157,7 @@ def test_pii_gradient():
     xs, ys = pii._made_up(6, 1)
     x, y = xs.astype(np.int64), ys.astype(np.int64)
     t = pii.Tagger()
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
 
     def loss():
         hidden = np.concatenate([t._run(x, "f")[0], t._run(x, "b")[0]], axis=2)
@@ -224,10 +253,65 @@ def test_license_names_equal_the_wanted_set():
     assert names(both) == {"MIT", "Apache-2.0"}
 
 
-def test_scans_of_odd_rows(spark):
-    n = len(odd_rows())
-    for scan in (pii.find_personal_data, secrets.scan_secrets, licenses.scan_licenses):
-        assert scan(odd(spark)).count() == n
+def plain_alignment(a, b):
+    """Patience alignment by its definition, recursively: edges, then unique common words in their longest rising order."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + plain_alignment(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + plain_alignment(a[:-1], b[:-1])
+    once = [(a.index(w), b.index(w)) for w in dict.fromkeys(a) if a.count(w) == 1 == b.count(w)]
+    best: list[list[tuple[int, int]]] = []
+    for k, (_, j) in enumerate(once):
+        best.append(max((best[i] for i in range(k) if once[i][1] < j), key=len, default=[]) + [once[k]])
+    chain = max(best, key=len, default=[])
+    if not chain:
+        return 0
+    edges = [(-1, -1), *chain, (len(a), len(b))]
+    return len(chain) + sum(plain_alignment(a[i + 1 : k], b[j + 1 : n]) for (i, j), (k, n) in zip(edges, edges[1:], strict=False))
+
+
+def test_license_coverage_matches_brute_force(spark):
+    """Whole templates with words changed, dropped and added, between other words, against every window without shortcuts."""
+    rng = random.Random(6)
+    parts = {n: licenses.TEMPLATES[n] for n in ("Apache-2.0", "BSD-2-Clause", "GPL-3.0", "ISC", "MIT", "Unlicense")}
+    rows = []
+    for i in range(36):
+        name = [*parts][i % 6]
+        words = parts[name][min(1, len(parts[name]) - 1)].split()
+        for _ in range(rng.randrange(0, len(words) // 4)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["changed"], [words[at], "added"]])
+        rows.append((i, " ".join(["other words stand before"] * rng.randrange(9) + words + ["and words after it"] * rng.randrange(9))))
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows), parts).collect()}
+    seen = Counter()
+    for i, text in rows:
+        places, best = licenses.words_of(text), {}
+        for name, templates in parts.items():
+            for t in map(licenses.words_of, templates):
+                step, size = (1 if len(t) <= licenses.SHORT else len(t) // 4), len(t) + max(2, len(t) // 4)
+                share = max(plain_alignment(places[lo : lo + size], t) for lo in range(0, max(1, len(places)), step)) / len(t)
+                if share >= 0.8 - 1e-9:
+                    best[name] = max(best.get(name, 0), share)
+        got = found[i]
+        assert set(filter(None, got.licenses.split(","))) <= set(best)
+        if got.license:
+            seen[got.license] += 1
+            assert abs(got.coverage - best[got.license]) < 1e-9
+        else:
+            assert not set(best) - {"BSD-2-Clause"} or all(licenses.NAMES.get(n) for n in best)
+    assert len(seen) >= 5 and sum(seen.values()) >= 15
+
+
+def test_scans_of_odd_rows(spark, tagger):
+    ids = Counter(r[0] for r in odd_rows())
+    for scan, spans in ((lambda d: pii.find_personal_data(d, tagger), {BIG: "phone:5:17,email:30:43", 11: "email:5:22,phone:26:43", 8: ""}), (secrets.scan_secrets, {BIG: "access:49:69", 8: ""}), (licenses.scan_licenses, {})):
+        rows = scan(odd(spark)).collect()
+        assert Counter(r.doc_id for r in rows) == ids
         assert scan(empty(spark)).count() == 0
-    found = [r for r in pii.find_personal_data(odd(spark)).collect() if r.doc_id == 11]
-    assert found[0].n_email == 1 and found[0].n_phone == 1
+        for r in rows:
+            if r.doc_id in spans:
+                assert r.spans == spans[r.doc_id]
+        if not spans:
+            assert all((r.license, r.coverage, r.licenses) == (None, 0.0, "") for r in rows)

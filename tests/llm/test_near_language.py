@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -140,9 +141,42 @@ def test_bundle_equals_plain_sum():
         assert (found[k] == want).all()
 
 
+def test_language_matches_brute_force(spark, sf):
+    """Every prediction from plain sums of bound vectors, one trigram at a time."""
+    table = [(r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = {r.doc_id: r for r in op5_language_id(spark, sf).collect()}
+    v = {}
+
+    def letter(c):
+        return v.setdefault(c, language_id._vector(ord(c)).astype(np.int64))
+
+    def vector(text):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        total = np.zeros(language_id.DIMENSIONS, dtype=np.int64)
+        for gram, n in Counter(s[i : i + 3] for i in range(len(s) - 2)).items():
+            total += n * np.roll(letter(gram[0]), 2) * np.roll(letter(gram[1]), 1) * letter(gram[2])
+        return total if s.strip() else None
+
+    vectors = {i: vector(t) for i, t, _ in table}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in table}
+    profiles = {}
+    for i, _, lang in table:
+        if lang and not held[i] and vectors[i] is not None:
+            profiles[lang] = profiles.get(lang, 0) + vectors[i]
+    for i, _, _ in table:
+        r = found[i]
+        assert r.held_out == held[i]
+        if vectors[i] is None or not vectors[i].any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {k: vectors[i] @ p / np.linalg.norm(vectors[i]) / np.linalg.norm(p) for k, p in profiles.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert abs(cosine[r.lang_pred] - cosine[best]) < 1e-6 and abs(r.score - max(0.0, cosine[best])) < 1e-6
+
+
 def test_language_odd_rows(spark):
     rows = language_id.language_id(odd(spark)).collect()
-    assert len(rows) == len(odd_rows())
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in odd_rows())
     texts = {}
     for i, t, *_ in odd_rows():
         texts.setdefault(i, []).append(t)
@@ -152,7 +186,7 @@ def test_language_odd_rows(spark):
     assert language_id.language_id(empty(spark)).count() == 0
     kept = language_id.keep_known_languages(odd(spark))
     assert kept.columns == odd(spark).columns
-    assert all(any(ch.isalpha() for ch in r.text) for r in kept.collect())
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in odd(spark).collect() if any(ch.isalpha() for ch in r.text or ""))
     assert language_id.keep_known_languages(empty(spark)).count() == 0
     unlabelled = odd(spark).selectExpr("doc_id", "text", "cast(null as string) AS lang")
     assert {r.lang_pred for r in language_id.language_id(unlabelled).collect()} == {"und"}

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dirs: dict[str, str] = {}
@@ -47,7 +48,7 @@ def drop_cuts(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def beside(rows: DataFrame, keep: list[str], work: Callable[[list[str]], dict[str, pa.Array]], schema: str) -> DataFrame:
+def beside(rows: DataFrame, keep: list[str], work: Callable[[list[str]], dict[str, pa.Array]], schema: str | StructType) -> DataFrame:
     """The columns keep, then those that work makes of each Arrow batch's texts, one entry a row.
 
     The kept columns stay in Arrow, so that a 64-bit id beside a null is never made a float. schema is of the result.

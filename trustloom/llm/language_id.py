@@ -20,8 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import as_row, beside, text_of
 
 DIMENSIONS = 1024
 SEED = 11
@@ -110,22 +114,21 @@ def learn_prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 def _predict(langs: list[str], prototypes: np.ndarray):
     unit = (prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)).T if langs else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _chunks(batch):
-                grams = [trigrams(t) for t in part["text"]]
-                vectors = bundle(grams, np.arange(len(part)), len(part))
-                norm = np.linalg.norm(vectors, axis=1)
-                known = (norm > 0) & np.array([len(g) > 0 for g, _ in grams], dtype=bool) & bool(langs)
-                lang, score = np.full(len(part), "und", dtype=object), np.zeros(len(part))
-                if known.any():
-                    cosine = vectors[known] @ unit / norm[known, None]
-                    best = cosine.argmax(axis=1)
-                    lang[known] = np.array(langs, dtype=object)[best]
-                    score[known] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-                yield part.drop(columns="text").assign(lang_pred=lang, score=score)
+    def work(texts: list[str]) -> dict[str, pa.Array]:
+        names, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+        for lo in range(0, len(texts), BATCH):
+            grams = [trigrams(t) for t in texts[lo : lo + BATCH]]
+            vectors = bundle(grams, np.arange(len(grams)), len(grams))
+            norm = np.linalg.norm(vectors, axis=1)
+            known = np.flatnonzero((norm > 0) & np.array([len(g) > 0 for g, _ in grams], dtype=bool) & bool(langs))
+            if len(known):
+                cosine = vectors[known] @ unit / norm[known, None]
+                best = cosine.argmax(axis=1)
+                names[lo + known] = np.array(langs, dtype=object)[best]
+                scores[lo + known] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    return run
+    return work
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -134,8 +137,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(_predict(langs, prototypes), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
+    return beside(rows, ["doc_id", "held_out"], _predict(langs, prototypes), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -146,14 +149,5 @@ def language_id(docs: DataFrame) -> DataFrame:
 def keep_known_languages(docs: DataFrame) -> DataFrame:
     """docs without the rows that are `und`, all columns: those have no letter, or nothing was learned."""
     langs, prototypes = learn_prototypes(docs.filter(~held_out()).select("text", "lang"))
-    predict = _predict(langs, prototypes)
-    own = "__text"
-    while own in docs.columns:
-        own += "_"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [p["lang_pred"].to_numpy() for p in predict(iter([pd.DataFrame({"text": batch[own]})]))] if len(batch) else []
-            yield batch.drop(columns=own)[np.concatenate(found) != "und"] if found else batch.drop(columns=own)
-
-    return docs.withColumn(own, F.coalesce("text", F.lit(""))).mapInPandas(run, docs.schema)
+    schema = StructType().add("__row", docs.schema).add("lang_pred", "string").add("score", "double")
+    return beside(as_row(docs, text=text_of()), ["__row"], _predict(langs, prototypes), schema).filter("lang_pred != 'und'").select("__row.*")

@@ -21,13 +21,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 THRESHOLD = 0.8
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -229,21 +232,23 @@ class Scanner:
 
 
 def _scan(templates: dict[str, tuple[str, ...]], threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, threshold)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = sorted(scanner(text), key=lambda x: (-x[1], -x[4], x[0]))
-                names = ",".join(sorted({x[0] for x in found}))
-                rows.append((doc_id, *(found[0][:4] if found else (None, 0.0, None, None)), names))
-            out = pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "end", "licenses"])
-            yield out.astype({"doc_id": "Int64", "start": "Int64", "end": "Int64"})
+    def work(texts: list[str]) -> dict[str, pa.Array]:
+        scanner = _scanner(tuple(sorted(templates.items())), threshold)
+        found = [sorted(scanner(text), key=lambda x: (-x[1], -x[4], x[0])) for text in texts]
+        best = [f[0] if f else (None, 0.0, None, None) for f in found]
+        kinds = {"license": pa.string(), "coverage": pa.float64(), "start": pa.int64(), "end": pa.int64()}
+        out = {name: pa.array([b[i] for b in best], kind) for i, (name, kind) in enumerate(kinds.items())}
+        return out | {"licenses": pa.array([",".join(sorted({x[0] for x in f})) for f in found], pa.string())}
+
+    return work
+
 
-    return run
+@lru_cache(maxsize=2)
+def _scanner(templates: tuple[tuple[str, tuple[str, ...]], ...], threshold: float) -> Scanner:
+    return Scanner(dict(templates), threshold)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, license, coverage, start, end (code points, end exclusive), licenses (all, joined)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(_scan(templates, threshold), "doc_id long, license string, coverage double, start long, end long, licenses string")
+    return beside(rows, ["doc_id"], _scan(templates, threshold), "doc_id long, license string, coverage double, start long, end long, licenses string")

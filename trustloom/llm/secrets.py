@@ -19,12 +19,13 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 KINDS = ("assign", "access", "hex", "jwt", "der", "sshkey")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -153,18 +154,16 @@ def joined(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], kinds.index(x[0]), x[2])))
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            base = base_spans(text)
-            counts = [sum(s[0] == k for s in base) for k in KINDS[:3]]
-            rows.append((doc_id, *counts, hashlib.sha256(joined(base, KINDS).encode()).hexdigest(), joined(base + confirmed_spans(text), KINDS)))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-        yield out.astype({"doc_id": "Int64"})
+def _scan(texts: list[str]) -> dict[str, pa.Array]:
+    rows = []
+    for text in texts:
+        base = base_spans(text)
+        rows.append(([sum(s[0] == k for s in base) for k in KINDS[:3]], hashlib.sha256(joined(base, KINDS).encode()).hexdigest(), joined(base + confirmed_spans(text), KINDS)))
+    counts = {f"n_{k}": pa.array([r[0][i] for r in rows], pa.int64()) for i, k in enumerate(KINDS[:3])}
+    return counts | {"base_sha256": pa.array([r[1] for r in rows], pa.string()), "spans": pa.array([r[2] for r in rows], pa.string())}
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return beside(rows, ["doc_id"], _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
