@@ -2,16 +2,17 @@ r"""Personal data: base patterns, and spans added by a character BiLSTM with a C
 
 Base kinds are email, ip, card and phone by their patterns and rules; matches that fail their rule are
 dropped and not tried again. The network tags characters (B and I for each kind, O) and adds spans that the
-patterns miss, such as phone numbers without a plus sign; it learns from labelled spans: windows of the
-table around base spans and around other digits (at most MAX_WINDOWS of each, first by a hash of the row:
-the bound of the training sample), and made-up contexts of a fixed seed.
+patterns miss: phone numbers without a plus sign, addresses with spaces around the `@` or with bracketed dots,
+cards divided by dots or slashes. It learns from labelled spans: windows of the table around base spans and
+around other digits (at most MAX_WINDOWS of each, first by a hash of the row: the bound of the training sample),
+and made-up contexts of a fixed seed.
 
 Every kind's span holds a digit or `@`, so only windows with one of these are tagged, and for each `@` outside
 the base spans all that an address around it could span, in one window (longer where it must be) with the `@`'s
 text in its middle; what this window says holds there. So it doesn't matter where windows begin. Windows of WINDOW characters every STRIDE characters cover the whole text. Each gives posterior tag
 probabilities by forward-backward; where windows overlap these are averaged, weighted towards a window's
-middle, and the tags are read off once for the whole text. A span is added if its least probability is at
-least CONFIDENCE, it meets its kind's rule, and it overlaps no base span.
+middle, and the tags are read off once for the whole text. A span is added if all its characters are in a span
+with a probability of at least CONFIDENCE, it meets the rule of its likeliest kind, and it overlaps no base span.
 
 Defined cases: null text counts as empty: zero counts, empty spans. Offsets are code points, the end
 exclusive. Repeated rows each get their row. An empty table gives an empty result (the network then learns
@@ -27,19 +28,22 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WINDOW, STRIDE, HIDDEN = 64, 48, 12
+WINDOW, STRIDE, HIDDEN = 64, 48, 20
 CONTEXT = 16
-MAX_WINDOWS, MADE_UP, EPOCHS, SEED = 1000, 2000, 14, 5
-CONFIDENCE = 0.7
+MAX_WINDOWS, MADE_UP, EPOCHS, SEED = 1000, 7000, 18, 5
+CONFIDENCE, LEAST_SHARE = 0.6, 0.05
 TAGS = 1 + 2 * len(KINDS)
 # Characters that are a class of their own.
 OWN_CLASS = "@.+-()_%:/,;'\"=#&*|<>[]$\n "
@@ -120,17 +124,17 @@ class Tagger:
         h = HIDDEN
 
         def init(*shape: int) -> np.ndarray:
-            return rng.normal(0, 0.2, shape)
+            return rng.normal(0, 0.2, shape).astype(np.float32)
 
-        self.p = params or {"xf": init(CLASSES, 4 * h), "xb": init(CLASSES, 4 * h), "hf": init(h, 4 * h), "hb": init(h, 4 * h), "out": init(2 * h, TAGS), "bias": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
+        self.p = params or {"xf": init(CLASSES, 4 * h), "xb": init(CLASSES, 4 * h), "hf": init(h, 4 * h), "hb": init(h, 4 * h), "out": init(2 * h, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32)}
 
     def _run(self, x: np.ndarray, way: str) -> tuple[np.ndarray, list]:
         """Hidden states in the order of the text; what the backward pass needs, in the order of the steps."""
         h, (n, length) = HIDDEN, x.shape
         steps = range(length) if way == "f" else range(length - 1, -1, -1)
         into, wh = self.p["x" + way], self.p["h" + way]
-        state, cell = np.zeros((n, h)), np.zeros((n, h))
-        out, kept = np.empty((n, length, h)), []
+        state, cell = np.zeros((n, h), wh.dtype), np.zeros((n, h), wh.dtype)
+        out, kept = np.empty((n, length, h), wh.dtype), []
         for t in steps:
             z = into[x[:, t]] + state @ wh
             s = _sigmoid(z[:, : 3 * h])
@@ -146,9 +150,9 @@ class Tagger:
     def _back(self, x: np.ndarray, way: str, kept: list, grad: np.ndarray, into: dict[str, np.ndarray]) -> None:
         n = len(x)
         wh = self.p["h" + way]
-        dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        dh, dc = np.zeros((n, HIDDEN), wh.dtype), np.zeros((n, HIDDEN), wh.dtype)
         gx, gh = np.zeros_like(self.p["x" + way]), np.zeros_like(wh)
-        one_hot = np.eye(CLASSES)[x]
+        one_hot = np.eye(CLASSES, dtype=wh.dtype)[x]
         for t, state, cell, i, f, o, g, tc in reversed(kept):
             dh = dh + grad[:, t]
             dc = dc + dh * o * (1 - tc**2)
@@ -170,7 +174,7 @@ class Tagger:
             a = (a @ m) * e[:, t]
             a /= a.sum(axis=1, keepdims=True)
             alpha[:, t] = a
-        pairs = np.zeros((k, k))
+        pairs = np.zeros((k, k), e.dtype)
         for t in range(length - 2, -1, -1):
             eb = e[:, t + 1] * beta[:, t + 1]
             b = eb @ m.T
@@ -184,7 +188,7 @@ class Tagger:
         hidden = np.concatenate([self._run(x, "f")[0], self._run(x, "b")[0]], axis=2)
         return self._posteriors(hidden @ self.p["out"] + self.p["bias"])[0]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.04, seed: int = SEED) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.04, seed: int = SEED) -> Tagger:
         """Minimize the CRF's negative log-likelihood with Adam, the rate falling to zero."""
         rng = np.random.default_rng(seed)
         total = epochs * -(-len(x) // batch)
@@ -202,8 +206,8 @@ class Tagger:
         (hf, kf), (hb, kb) = self._run(x, "f"), self._run(x, "b")
         hidden = np.concatenate([hf, hb], axis=2)
         gamma, pairs = self._posteriors(hidden @ self.p["out"] + self.p["bias"])
-        d = gamma - np.eye(TAGS)[y]
-        seen = np.zeros((TAGS, TAGS))
+        d = gamma - np.eye(TAGS, dtype=gamma.dtype)[y]
+        seen = np.zeros((TAGS, TAGS), gamma.dtype)
         np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
         flat = d.reshape(-1, TAGS)
         grads |= {"out": hidden.reshape(-1, 2 * HIDDEN).T @ flat, "bias": flat.sum(axis=0), "trans": pairs - seen}
@@ -304,52 +308,103 @@ def added_spans(text: str, tagger: Tagger, base: list[Span], chunk: int = 1024)
                 total[s - lo : e - lo] += post
                 mass[s - lo : e - lo] += 1
             prob[mass > 0] = total[mass > 0] / mass[mass > 0, None]
-        tag, sure = prob.argmax(axis=1), prob.max(axis=1)
-        for b in np.flatnonzero(tag % 2 == 1):
-            e = b + 1
-            while e < len(tag) and tag[e] == tag[b] + 1:
-                e += 1
-            kind, s, t = KINDS[tag[b] // 2], lo + int(b), lo + int(e)
-            if sure[b:e].min() >= CONFIDENCE and not taken[s:t].any() and plausible(kind, text[s:t]):
+            for e in (e for _, e in ats[first:done] if e < hi and mass[e - lo] == 0):  # no address goes on behind it
+                prob[e - lo] = np.eye(TAGS)[0]
+        out += [x for x in _read(prob, lo, text) if not taken[x[1] : x[2]].any()]
+    return out
+
+
+def _read(prob: np.ndarray, lo: int, text: str) -> list[Span]:
+    """Spans of the tags of text[lo:]: runs that begin at a B tag; a run's kind is the likeliest whose rule it meets."""
+    out: list[Span] = []
+    tag, inside = prob.argmax(axis=1), 1 - prob[:, 0]
+    for b in np.flatnonzero(tag % 2 == 1):
+        e = b + 1
+        while e < len(tag) and tag[e] and tag[e] % 2 == 0:
+            e += 1
+        if inside[b:e].min() >= CONFIDENCE:
+            s, t = lo + int(b), lo + int(e)
+            share = prob[b:e, 1:].reshape(e - b, len(KINDS), 2).sum(axis=2).mean(axis=0)
+            kind = next((KINDS[k] for k in np.argsort(-share, kind="stable") if share[k] >= LEAST_SHARE and plausible(KINDS[k], text[s:t])), None)
+            if kind:
                 out.append((kind, s, t))
     return out
 
 
 def plausible(kind: str, s: str) -> bool:
+    """The rule of an added span: dots of an address may be spaced or in brackets, cards be divided by other signs."""
     if kind == "email":
         return bool(re.fullmatch(r"[^\s@]+\s?@\s?[^\s@]+\.[^\s@]+", s))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)) and holds(kind, s)
+        plain = re.sub(r"\x20?[\[(]?\.[\])]?\x20?", ".", s)
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", plain)) and holds(kind, plain)
     if kind == "phone":
         return bool(re.fullmatch(r"[(+]?[0-9][\x20().0-9/-]+[0-9]", s)) and bool(re.search(r"[\x20()./-]", s)) and holds(kind, s)
-    return bool(re.fullmatch(r"[0-9][\x20.0-9-]+[0-9]", s)) and holds(kind, s)
+    return bool(re.fullmatch(r"[0-9][\x20.0-9/-]+[0-9]", s)) and holds(kind, s)
 
 
-def _made_up(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of made-up words around one labelled span or one digit string that is none."""
-    rng = np.random.default_rng(seed)
+def _luhn_valid(digits: str) -> str:
+    """digits with its last one set so that the Luhn sum holds."""
+    return next(d for k in "0123456789" if luhn(d := digits[:-1] + k))
+
+
+def shapes(rng: np.random.Generator) -> dict[str, list]:
+    """Makers of one value each: of every kind, of shapes that the base patterns see and that they miss; under "" what is none."""
     d = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     w = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
-    kinds = {
-        "email": [lambda: f"{w()}.{d(2)}@{w()}.com", lambda: f"{w()}_{w()}@{w()}-{w()}.org", lambda: f"{w()}@{w()}{d(1)}.{w()}.net", lambda: f"{w()} @ {w()}.com"],
-        "ip": [lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))],
-        "card": [lambda: d(16), lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"{d(4)}.{d(4)}.{d(4)}.{d(4)}"],
-        "phone": [lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"+{d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"+{d(11)}", lambda: f"{d(3)}/{d(3)}-{d(4)}"],
-        "": [lambda: d(rng.integers(1, 9)), lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(3)}.{d(2)}", lambda: f"{d(3)}{w()}{d(2)}", lambda: f"{w()}{d(3)}{w()}{d(4)}", lambda: f"@{w()}", lambda: f"{d(3)},{d(3)},{d(3)}", lambda: f"{d(2)} x {d(2)}", lambda: d(rng.integers(20, 41))],
+    n = lambda: str(rng.integers(2, 10)) + d(2)
+    end = lambda: str(rng.choice(["com", "org", "net", "de", "co.uk", "io"]))
+
+    def card(sep: str, sizes: tuple[int, ...] = (4, 4, 4, 4)) -> str:
+        digits = _luhn_valid(str(rng.integers(3, 7)) + d(sum(sizes) - 1))
+        return sep.join(digits[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+
+    quad = lambda: [str(x) for x in rng.integers(0, 256, 4)]
+    return {
+        "email": [lambda: f"{w()}.{d(2)}@{w()}.{end()}", lambda: f"{w()}_{w()}@{w()}-{w()}.{end()}", lambda: f"{w()}@{w()}{d(1)}.{w()}.{end()}", lambda: f"{w()} @ {w()}.{end()}", lambda: f"{w()}.{w()} @ {w()}.{end()}", lambda: f"{w()}@ {w()}.{end()}", lambda: f"{w()}{d(2)} @{w()}.{end()}"],
+        "ip": [lambda: ".".join(quad()), lambda: ".".join(quad()), lambda: "[.]".join(quad()), lambda: " . ".join(quad()), lambda: "(.)".join(quad())],
+        "card": [lambda: card(""), lambda: card(" "), lambda: card("-"), lambda: card("."), lambda: card("."), lambda: card("/"), lambda: card(".", (4, 6, 5)), lambda: card("  ")],
+        "phone": [
+            lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"+{d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"({n()}) {d(3)}-{d(4)}", lambda: f"{n()}-{d(3)}-{d(4)}", lambda: f"{n()}-{d(3)}-{d(4)}", lambda: f"+{d(11)}", lambda: f"{n()}/{d(3)}-{d(4)}",
+            lambda: f"{n()} {d(3)} {d(4)}", lambda: f"{n()}.{d(3)}.{d(4)}", lambda: f"1-{n()}-{d(3)}-{d(4)}", lambda: f"0{d(2)} {d(4)} {d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"0{d(4)} {d(6)}", lambda: f"({d(3)}) {d(4)} {d(4)}", lambda: f"0{d(2)}-{d(4)}-{d(4)}", lambda: f"8 ({d(3)}) {d(3)}-{d(2)}-{d(2)}", lambda: f"00{d(2)} {d(3)} {d(3)} {d(3)}",
+        ],
+        "": [
+            lambda: d(rng.integers(1, 9)), lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(3)}.{d(2)}", lambda: f"{d(3)}{w()}{d(2)}", lambda: f"{w()}{d(3)}{w()}{d(4)}", lambda: f"@{w()}", lambda: f"{d(3)},{d(3)},{d(3)}", lambda: f"{d(2)} x {d(2)}",
+            lambda: d(rng.integers(20, 41)), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{d(1)}.{d(4)}, -{d(2)}.{d(4)}", lambda: f"{w()} @ {w()}", lambda: f"{d(1)},{d(3)},{d(3)}.{d(2)}", lambda: f"20{d(2)}-20{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(1)}", lambda: d(10), lambda: f"{d(5)}-{d(4)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}",
+        ],
     }
-    xs, ys = [], []
+
+
+def made_up(n: int, seed: int) -> list[tuple[str, list[Span]]]:
+    """Texts of made-up words around one to three values: labelled spans, or digit strings that are none."""
+    rng = np.random.default_rng(seed)
+    kinds = shapes(rng)
+    plain = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+
+    def word() -> str:
+        w, style = plain(), rng.integers(0, 12)
+        return w.upper() + "!!" * int(rng.integers(0, 2)) if style == 0 else w.capitalize() if style < 3 else w + str(rng.choice([*".,!;"])) if style < 5 else w
+
+    out = []
     for i in range(n):
-        kind = [*KINDS, "", ""][i % 6]
-        value = kinds[kind][rng.integers(0, len(kinds[kind]))]()
-        before = "".join(f"{w()} " for _ in range(6))[-int(rng.integers(1, 40)) :]
-        if rng.integers(0, 3) == 0:
-            before = before[:-1] + str(rng.choice([*" :,=(\n\"'|"]))
-        after = str(rng.choice([" ", ".", ",", "\n", ")", " ", '"', ";"])) + "".join(f"{w()} " for _ in range(8))
-        text = before + value + after
-        spans = [(kind, len(before), len(before) + len(value))] if kind else []
-        xs.append(_cut(classes_of(text), np.array([0]))[0])
-        ys.append(_cut(tags_of(len(text), spans), np.array([0]))[0])
-    return np.array(xs), np.array(ys)
+        room = int(rng.integers(0, 40))  # of the words before; none now and then
+        text, spans = "".join(f"{word()} " for _ in range(6))[-room:] if room else "", []
+        for j in range(1 + (i % 3 == 0) * int(rng.integers(1, 3))):
+            kind = [*KINDS, "phone", "email", "", ""][(i + j * int(rng.integers(1, 8))) % 8]
+            value = kinds[kind][rng.integers(0, len(kinds[kind]))]()
+            if text and rng.integers(0, 3) == 0:
+                text = text[:-1] + str(rng.choice([*" :,=(\n\"'|"]))
+            if kind:
+                spans.append((kind, len(text), len(text) + len(value)))
+            text += value + str(rng.choice([" ", ". ", ", ", "\n", ") ", " ", '" ', "; "])) + "".join(f"{word()} " for _ in range(rng.integers(1, 4)))
+        out.append((text + "".join(f"{word()} " for _ in range(6)), spans))
+    return out
+
+
+def _made_up(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    texts = made_up(n, seed)
+    zero = np.array([0])
+    return np.array([_cut(classes_of(t), zero)[0] for t, _ in texts]), np.array([_cut(tags_of(len(t), s), zero)[0] for t, s in texts])
 
 
 def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,10 +419,10 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["order", "at", "positive", "x", "y"])
 
 
-def train_tagger(docs: DataFrame, most: int = MAX_WINDOWS, made_up: int = MADE_UP, epochs: int = EPOCHS) -> Tagger:
+def train_tagger(docs: DataFrame, most: int = MAX_WINDOWS, made: int = MADE_UP, epochs: int = EPOCHS) -> Tagger:
     rows = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("order"), "text")
     found = rows.mapInPandas(_sample, "order long, at long, positive boolean, x binary, y binary").distinct()
-    xs, ys = _made_up(made_up, SEED)
+    xs, ys = _made_up(made, SEED)
     for sign in (True, False):
         part = found.filter(F.col("positive") == sign).orderBy("order", "at", "x", "y").limit(most).collect()
         if part:
@@ -377,23 +432,20 @@ def train_tagger(docs: DataFrame, most: int = MAX_WINDOWS, made_up: int = MADE_U
 
 
 def _find(params: dict[str, np.ndarray]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(params)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                base = base_spans(text)
-                more = added_spans(text, tagger, base) if "@" in text or DIGIT.search(text) else []
-                counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            out = pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            yield out.astype({"doc_id": "Int64"})
+    def work(texts: list[str]) -> dict[str, pa.Array]:
+        tagger, rows = Tagger(params), []
+        for text in texts:
+            base = base_spans(text)
+            more = added_spans(text, tagger, base) if "@" in text or DIGIT.search(text) else []
+            rows.append(([sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
+        counts = {f"n_{k}": pa.array([r[0][i] for r in rows], pa.int64()) for i, k in enumerate(KINDS)}
+        return counts | {"base_sha256": pa.array([r[1] for r in rows], pa.string()), "spans": pa.array([r[2] for r in rows], pa.string())}
 
-    return run
+    return work
 
 
 def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tagger = tagger or train_tagger(rows)
-    return rows.mapInPandas(_find(tagger.p), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return beside(rows, ["doc_id"], _find(tagger.p), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
