@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Promotional phrases of ratings and of review pages, looked for as substrings.
-RATING_PHRASES = ["must buy", "best ever", "highly recommend", "100% recommend", "amazing product", "perfect product", "worth every penny", "five stars", "buy it now", "лучший товар", "всем советую", "рекомендую всем", "идеальный товар"]
-PAGE_PHRASES = ["highly recommend", "best product", "must have", "five stars", "great seller", "рекомендую", "лучший", "всем советую"]
+from trustloom.functions import lexicons as L
+
 # Markers of an unknown address.
 MISSING_IP = ["", "unknown", "none", "null", "nan", "n/a", "-", "0.0.0.0"]
 # Marketplaces by host suffix.
@@ -107,7 +106,30 @@ def split_group(c: Column) -> Column:
 
 
 def source_group(c: Column) -> Column:
-    return group_token(F.split(c, ":")[0], "unknown")
+    return group_token(F.split(c, ":")[0], "unspecified")
+
+
+def product_family(text: Column, source: Column) -> Column:
+    """The first family one of whose phrases the source's name holds, else the text, else general."""
+    t, s, out = F.lower(norm_text(text)), F.lower(norm_text(source)), None
+    for c, families in ((s, L.FAMILY_SOURCES), (t, L.FAMILY_TEXTS)):
+        for name, words in families.items():
+            hit = reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("general")
+
+
+def holdout_group(source: Column, family: Column, origin: Column | None = None) -> Column:
+    own = [F.concat(F.lit("source::"), group_token(source, "unspecified")), F.concat(F.lit("product::"), group_token(family, "general"))]
+    if origin is not None:
+        own.append(F.concat(F.lit("origin::"), F.nullif(group_token(origin, ""), F.lit(""))))
+    return F.concat_ws("::", *own)
+
+
+def truncate_text(c: Column, most: int) -> Column:
+    """At most that many characters, cut behind a whole word."""
+    t = norm_text(c)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.trim(F.regexp_replace(F.substring(t, 1, most), r"\s+\S*$", "")), F.lit("...")))
 
 
 def parse_rating(c: Column) -> Column:

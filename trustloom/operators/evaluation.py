@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 
 
@@ -25,14 +28,26 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, by: list[str]
     return _rates(df.groupBy(*(by or [])).agg(*_confusion(F.col("p") >= threshold)))
 
 
+def _below(by: DataFrame, sums: list[str], ranges: int = 1024) -> DataFrame:
+    """by with __below_x, the sum of x over the rows of smaller p: prefix sums by ranges of p, then inside each range."""
+    at = F.floor(F.col("p") * ranges)
+    rows = by.withColumn("__r", at)
+    parts = rows.groupBy("__r").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
+    w = W.partitionBy(F.lit(0)).orderBy("__r")  # at most as many rows as ranges
+    before = parts.select("__r", *[(F.sum(f"__s_{c}").over(w) - F.col(f"__s_{c}")).alias(f"__b_{c}") for c in sums])
+    inner = W.partitionBy("__r").orderBy("p")
+    rows = rows.withColumns({f"__i_{c}": F.sum(c).over(inner) - F.col(c) for c in sums}).join(before, "__r")
+    return rows.select(*by.columns, *[(F.col(f"__b_{c}") + F.col(f"__i_{c}")).alias(f"__below_{c}") for c in sums])
+
+
 def ranking_metrics(df: DataFrame) -> DataFrame:
-    """ROC-AUC by mean ranks of tied scores, average precision by distinct score. One row per distinct score is sorted, not one per row."""
+    """ROC-AUC by mean ranks of tied scores, average precision by distinct score. Distinct scores are counted first, and summed by ranges of p in [0, 1]."""
     by = df.groupBy("p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    up = W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    down = W.partitionBy(F.lit(0)).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    rows = by.withColumns({"below": F.coalesce(F.sum("neg").over(up), F.lit(0)), "tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    auc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
-    ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")
+    totals = by.agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
+    rows = _below(by, ["pos", "neg"]).join(F.broadcast(totals), F.lit(True))  # one row
+    tp, fp = F.col("__pos") - F.col("__below_pos"), F.col("__neg") - F.col("__below_neg")
+    auc = F.sum(F.col("pos") * (F.col("__below_neg") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
+    ap = F.sum(F.col("pos") * tp / (tp + fp)) / F.sum("pos")
     return rows.agg(auc.alias("roc_auc"), ap.alias("average_precision"))
 
 
@@ -116,9 +131,17 @@ def leaks(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
 
 
-def stratified_split(df: DataFrame, test_share: float = 0.2, salt: str = "0") -> DataFrame:
-    rank = F.percent_rank().over(W.partitionBy("label").orderBy(F.md5(F.concat(F.lit(salt), F.col("record_id").cast("string")))))
-    return df.withColumn("part", F.when(rank < test_share, "test").otherwise("train"))
+def stratified_split(df: DataFrame, test_share: float = 0.2, salt: str = "0", ranges: int = 4096) -> DataFrame:
+    """The first test_share of each label in the order of the salted md5. Ranks are prefix sums of counts by digest range, so no label is one task."""
+    digest = F.md5(F.concat(F.lit(salt), F.col("record_id").cast("string")))
+    rows = df.withColumn("__d", digest).withColumn("__r", F.floor(F.conv(F.substring("__d", 1, 8), 16, 10).cast("long") * ranges / 2**32))
+    sums = rows.groupBy("label", "__r").agg(F.count("*").alias("__n"))
+    w = W.partitionBy("label")
+    before = sums.select(F.col("label").alias("__l"), F.col("__r").alias("__q"), (F.sum("__n").over(w.orderBy("__r")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__all"))
+    inner = F.row_number().over(W.partitionBy("label", "__r").orderBy("__d")) - 1
+    ranked = rows.withColumn("__in", inner).join(before, F.col("label").eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__q")))
+    share = (F.col("__before") + F.col("__in")) / F.greatest(F.col("__all") - 1, F.lit(1))
+    return ranked.withColumn("part", F.when(share < test_share, "test").otherwise("train")).drop("__d", "__r", "__l", "__q", "__before", "__all", "__in")
 
 
 def combine_simple(pt: Column, rating: Column) -> Column:
@@ -132,24 +155,108 @@ def photo_boost(p: Column, signals: dict[str, Column]) -> Column:
 
 
 def uncertainty(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Needs p, pt, rating_score, local_score, coverage, n_tokens."""
+    """Out-of-domain score, uncertainty and confidence from p, pt, rating_manipulation, local_score, coverage, n_words and the slang profile."""
     c = F.col
     margin, gap = F.abs(c("p") - threshold), F.abs(c("pt") - c("p"))
-    ood = T.clip(0.48 * T.clip((0.62 - c("coverage")) / 0.62) + 0.22 * T.clip((8 - c("n_tokens")) / 8))
-    evidence = F.greatest(2 * F.abs(c("pt") - 0.5), 2 * F.abs(c("p") - 0.5), c("local_score"))
-    weak = T.clip((0.72 - evidence) / 0.72)
-    unc = T.clip(0.44 * T.clip((0.20 - margin) / 0.20) + 0.18 * T.clip(gap / 0.45) + 0.16 * T.clip(F.abs(c("pt") - c("rating_score")) / 0.65) + 0.12 * weak + 0.10 * ood)
-    return df.withColumns({"ood": ood, "uncertainty": unc, "confidence": T.clip(1 - F.greatest(unc, ood))})
+    flag = lambda cond: cond.cast("int")
+    novelty = T.clip(
+        0.45 * flag((c("n_hits") > 0) & (c("learned_suspicious") + c("learned_authentic") == 0)) + 0.30 * flag((c("market_pack") == "generic") & (c("mix") == 1))
+        + 0.25 * flag((c("domain") == "general") & (c("n_hits") > 0) & (c("grounding") < 0.22))
+    )
+    rows = df.withColumn("novelty", novelty)
+    ood = T.clip(0.48 * T.clip((0.62 - c("coverage")) / 0.62) + 0.22 * T.clip((8 - c("n_words")) / 8) + 0.30 * c("novelty"))
+    evidence = F.greatest(2 * F.abs(c("pt") - 0.5), 2 * F.abs(c("p") - 0.5), c("local_score"), c("slang_authenticity"), c("slang_manipulation"))
+    rows = rows.withColumns({"ood": ood, "weak_evidence": T.clip((0.72 - evidence) / 0.72)})
+    unc = T.clip(0.44 * T.clip((0.20 - margin) / 0.20) + 0.18 * T.clip(gap / 0.45) + 0.16 * T.clip(F.abs(c("pt") - c("rating_manipulation")) / 0.65) + 0.12 * c("weak_evidence") + 0.10 * c("ood"))
+    rows = rows.withColumn("uncertainty", unc)
+    return rows.withColumn("confidence", T.clip(1 - F.greatest("uncertainty", "ood")))
+
+
+def low_risk_text(text: Column, words: Column) -> tuple[Column, Column]:
+    """Whether a marketplace review has the usual structure, and whether it carries little risk."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    markers, details = T.phrase_hits(t, L.STRUCTURE_MARKERS), T.phrase_hits(t, L.LOW_RISK_TERMS)
+    structured = (markers >= 1) & (details >= 1)
+    return structured, structured | ((words <= 8) & (details >= 1)) | ((words >= 4) & (details >= 2))
+
+
+def clean_override(df: DataFrame, policy: dict[str, float]) -> Column:
+    """Whether a review of low risk stays clean although its vocabulary is new; an authenticity of exactly 0 reads as 0.5."""
+    c = F.col
+    authentic = F.when(c("slang_authenticity") == 0, 0.5).otherwise(c("slang_authenticity"))
+    barred = (c("p") > min(policy["clean"], 0.12)) | (c("uncertainty") > policy["uncertainty"]) | (c("ood") > max(policy["ood"] + 0.24, 0.74)) | (c("n_words") < 1) | ((c("ai") >= 0.76) & ~c("structured"))
+    plain = c("low_risk") & (c("p") <= 0.025) & (c("rating_manipulation") <= 0.38) & (c("template_dup") < 2) & (c("ai") < 0.66)
+    risky = (c("slang_manipulation") > 0.18) | (c("rating_manipulation") > 0.30) | (c("template_dup") >= 2)
+    return F.when(barred, False).when(plain, True).when(risky, False).otherwise((authentic >= 0.66) | c("low_risk"))
 
 
 def apply_triage(df: DataFrame, policy: dict[str, float]) -> DataFrame:
+    """Label and reasons: decided automatically only outside the band and without any reason. Needs low_risk and structured for the override."""
     c = F.col
     low, high = policy["clean"], policy["suspicious"]
     cover = F.when(c("coverage") == 0, 1.0).otherwise(c("coverage"))  # a coverage of exactly 0 reads as unknown
-    reasons = T.array_of((c("p").between(low, high), "inside the uncertain band"), (c("uncertainty") > policy["uncertainty"], "uncertain"), (c("ood") > policy["ood"], "out of domain"), (cover < 0.32, "unknown vocabulary"), (F.abs(c("pt") - c("p")) > 0.24, "models disagree"))
-    label = F.when(F.size("triage_reasons") > 0, "manual_review").when(c("p") >= high, "suspicious").otherwise("clean")
-    return df.withColumn("triage_reasons", reasons).withColumn("triage", label)
-
-
-def triage_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("triage").agg(F.count("*").alias("n"), F.avg("uncertainty").alias("mean_uncertainty"), F.avg("ood").alias("mean_ood"))
+    rows = df.withColumn("override", clean_override(df, policy) if {"low_risk", "structured", "ai"} <= set(df.columns) else F.lit(False))
+    # The sentences.
+    reasons = T.array_of(
+        ((c("p") > low) & (c("p") < high), "The hybrid score falls inside the manual-review band."),
+        (c("uncertainty") > policy["uncertainty"], "The model signals disagree too much for an automated decision."),
+        ((c("ood") > policy["ood"]) & ~c("override"), "The review looks out-of-domain relative to the training corpus."),
+        ((cover < 0.32) & ~c("override"), "Too little of the wording matches patterns seen during training."),
+        (F.abs(c("pt") - c("p")) > 0.24, "The raw text model and the hybrid fraud model disagree materially."),
+    )
+    rows = rows.withColumn("triage_reasons", reasons)
+    label = F.when(F.size("triage_reasons") > 0, "needs_manual_review").when(c("p") >= high, "confident_suspicious").when(c("p") <= low, "confident_clean").otherwise("needs_manual_review")
+    rows = rows.withColumn("triage", label)
+    open_ = (c("triage") == "needs_manual_review") & (F.size("triage_reasons") == 0)
+    return rows.withColumn("triage_reasons", F.when(open_, F.array(F.lit("The review needs a human decision because the evidence is not decisive enough."))).otherwise(c("triage_reasons")))
+
+
+def triage_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    t = F.col("triage")
+    out = df.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"), F.count_if(t == "confident_suspicious").alias("suspicious"), F.count_if(t == "confident_clean").alias("clean"), F.count_if(t == "needs_manual_review").alias("manual"),
+        F.avg("uncertainty").alias("mean_uncertainty"), F.avg((F.col("ood") >= 0.45).cast("double")).alias("ood_ratio"),
+    )
+    return out.withColumns({"manual_ratio": F.col("manual") / F.col("n"), "automated_ratio": (F.col("suspicious") + F.col("clean")) / F.col("n")})
+
+
+def triage_candidates(df: DataFrame, threshold: float) -> DataFrame:
+    """The grid of policies: 8 x 8 band edges and the quantiles of uncertainty and out-of-domain scores; at most 1,600 rows."""
+    def steps(lo: float, hi: float) -> list[float]:
+        return sorted({round(lo + (hi - lo) * i / 7, 3) for i in range(8)})
+
+    high = steps(max(threshold + 0.08, 0.60), min(0.92, threshold + 0.30))
+    low = steps(max(0.08, threshold - 0.30), min(0.40, threshold - 0.08))
+    shares = [0.35, 0.50, 0.65, 0.80, 0.90]
+    ends = df.agg(*[F.percentile_approx(x, shares, 10000).alias(x) for x in ("uncertainty", "ood")]).first()
+    grids = [sorted({round(min(max(v, 0.05), 0.95), 3) for v in ends[x]}) if ends[x] else other for x, other in (("uncertainty", [0.34, 0.42, 0.50, 0.58]), ("ood", [0.30, 0.40, 0.50, 0.62]))]
+    rows = [(i, h, lo, u, o) for i, (h, lo, u, o) in enumerate(product(high, low, *grids)) if lo < threshold < h]
+    return df.sparkSession.createDataFrame(rows, "policy int, high double, low double, max_uncertainty double, max_ood double")
+
+
+def fit_triage(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The policy of the grid with the best selection score, the first on a tie. Rows meet the grid (bounded, broadcast) and are counted map-side."""
+    c = F.col
+    grid = triage_candidates(df, threshold)
+    cover = F.when(c("coverage") == 0, 1.0).otherwise(c("coverage"))
+    narrow = df.select("label", "p", "pt", "uncertainty", "ood", cover.alias("cover"), *[x for x in ("low_risk", "structured", "ai", "n_words", "slang_authenticity", "slang_manipulation", "rating_manipulation", "template_dup") if x in df.columns])
+    rows = narrow.join(F.broadcast(grid), F.lit(True))
+    barred = (c("p") > F.least("low", F.lit(0.12))) | (c("uncertainty") > c("max_uncertainty")) | (c("ood") > F.greatest(c("max_ood") + 0.24, F.lit(0.74)))
+    override = F.lit(False)
+    if "low_risk" in narrow.columns:  # the part of the override that no limit of the grid decides
+        override = ~barred & clean_override(rows, {"clean": 1.0, "uncertainty": 9.0, "ood": 9.0})
+    doubt = ((c("p") > c("low")) & (c("p") < c("high"))) | (c("uncertainty") > c("max_uncertainty")) | (((c("ood") > c("max_ood")) | (c("cover") < 0.32)) & ~override) | (F.abs(c("pt") - c("p")) > 0.24)
+    auto, y, bad = ~doubt, c("label") == 1, (c("p") >= threshold) != (c("label") == 1)
+    by = rows.withColumns({"__auto": auto, "__bad": bad}).groupBy("policy").agg(
+        F.count("*").alias("n"), F.count_if("__auto").alias("auto"), F.count_if(c("__auto") & (c("p") >= c("high"))).alias("s"), F.count_if(c("__auto") & (c("p") >= c("high")) & y).alias("s_right"),
+        F.count_if(c("__auto") & (c("p") <= c("low"))).alias("k"), F.count_if(c("__auto") & (c("p") <= c("low")) & ~y).alias("k_right"), F.count_if("__bad").alias("bad"), F.count_if(c("__bad") & ~c("__auto")).alias("caught"),
+    )
+    ratio = lambda a, b, none: F.when(c(b) > 0, c(a) / c(b)).otherwise(none)
+    by = by.withColumns({"coverage": c("auto") / c("n"), "accuracy": F.when(c("auto") > 0, (c("s_right") + c("k_right")) / c("auto")).otherwise(0.0), "suspicious_precision": ratio("s_right", "s", 1.0), "clean_precision": ratio("k_right", "k", 1.0), "capture": ratio("caught", "bad", 0.0)})
+    score = 1.85 * c("accuracy") + 0.35 * F.least("coverage", F.lit(0.86)) + 0.32 * c("capture") + 0.16 * c("suspicious_precision") + 0.12 * c("clean_precision") - 0.90 * F.greatest(F.lit(0.0), 0.84 - c("accuracy")) - 0.25 * F.greatest(F.lit(0.0), 0.18 - c("coverage"))
+    best = by.withColumn("selection_score", F.round(score, 9)).orderBy(F.desc("selection_score"), "policy").limit(1)
+    return best.join(F.broadcast(grid), "policy").select("high", "low", "max_uncertainty", "max_ood", "coverage", "accuracy", "capture", "selection_score")
+
+
+def combined_threshold(text_threshold: Column) -> Column:
+    return F.greatest(F.lit(0.45), F.least(F.lit(0.5), text_threshold))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 
 
@@ -41,8 +42,9 @@ def photo_summary(reuse: DataFrame) -> DataFrame:
 def temporal_clusters(photos: DataFrame, hours: int = 48) -> DataFrame:
     """Of each fingerprint the best start-to-end interval within the window with two reviews and two authors.
 
-    The range join runs as an equi join on time slots of the window's length: a start in slot b meets the
-    events of slots b and b + 1. photos has page_id, record_id, author, sec, url; rows without sec are skipped.
+    Reviews and authors are first reduced to what a second can change: each at its first time since a start. The
+    range join runs as an equi join on time slots of the window's length: a start in slot b meets the events of
+    slots b and b + 1. photos has page_id, record_id, author, sec, url; rows without sec are skipped.
     """
     span = max(1, hours) * 3600
     author = F.nullif(F.lower(T.norm_text(F.col("author"))), F.lit(""))
@@ -52,10 +54,14 @@ def temporal_clusters(photos: DataFrame, hours: int = 48) -> DataFrame:
     starts = ev.select("page_id", "fp", "slot", F.col("sec").alias("start")).distinct()
     ends = ev.select("page_id", "fp", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"), "record_id", "author", "sec")
     pairs = starts.join(ends, ["page_id", "fp", "slot"]).filter((F.col("sec") >= F.col("start")) & (F.col("sec") <= F.col("start") + span))
-    w = W.partitionBy("page_id", "fp", "start").orderBy("sec").rangeBetween(W.unboundedPreceding, 0)
-    run = pairs.withColumns({"n": F.size(F.collect_set("record_id").over(w)), "authors": F.size(F.collect_set("author").over(w))})
+    first = lambda key: pairs.filter(F.col(key).isNotNull()).groupBy("page_id", "fp", "start", key).agg(F.min("sec").alias("sec"))
+    new = first("record_id").groupBy("page_id", "fp", "start", "sec").agg(F.count("*").alias("reviews"), F.lit(0).cast("long").alias("people"))
+    new = new.unionByName(first("author").groupBy("page_id", "fp", "start", "sec").agg(F.lit(0).cast("long").alias("reviews"), F.count("*").alias("people")))
+    new = new.groupBy("page_id", "fp", "start", "sec").agg(F.sum("reviews").alias("reviews"), F.sum("people").alias("people"))
+    w = W.partitionBy("page_id", "fp", "start").orderBy("sec").rowsBetween(W.unboundedPreceding, 0)
+    run = new.withColumns({"n": F.sum("reviews").over(w), "authors": F.sum("people").over(w)})
     score = 0.34 * F.least(F.col("n") / 4, F.lit(1.0)) + 0.38 * F.least(F.col("authors") / 3, F.lit(1.0)) + 0.28 * (1 - (F.col("sec") - F.col("start")) / span)
-    found = run.filter("n >= 2 and authors >= 2").select("page_id", "fp", "start", F.col("sec").alias("end"), "n", "authors", F.round(score, 6).alias("score")).distinct()
+    found = run.filter("n >= 2 and authors >= 2").select("page_id", "fp", "start", F.col("sec").alias("end"), "n", "authors", F.round(score, 6).alias("score"))
     best = found.groupBy("page_id", "fp").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"), "n", "authors")).alias("b"))
     return best.select("page_id", "fp", (-F.col("b.s")).alias("start_sec"), (-F.col("b.e")).alias("end_sec"), F.col("b.n").alias("n_reviews"), F.col("b.authors").alias("n_authors"), F.col("b.score").alias("score"), (F.col("b.score") >= 0.55).cast("int").alias("flag"))
 
@@ -64,18 +70,33 @@ def temporal_summary(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("page_id").agg(F.count("*").alias("clusters"), F.sum("flag").alias("flagged"), F.max("score").alias("best"), F.max("n_reviews").alias("largest"))
 
 
-def _hint(urls: Column, strong: list[str], weak: list[str], customer: list[str], scores: tuple[float, float, float]) -> Column:
+def _hints(urls: Column, hints: list[str], strong: list[str], high: float, low: float, off_strong: float, off_weak: float) -> Column:
+    """The largest score of the URLs: strong or weak hints, less where the URL also looks like a customer's."""
+
     def score(u: Column) -> Column:
-        low = F.lower(u)
-        has = lambda words: F.coalesce(low.rlike("|".join(words)), F.lit(False))
-        return T.clip(F.when(has(strong), scores[0]).when(has(weak), scores[1]).otherwise(0.0) + F.when(has(customer), scores[2]).otherwise(0.0))
+        text = F.replace(F.lower(u), F.lit("_"), F.lit("-"))
+        has = lambda words: F.coalesce(T.has_phrase(text, words), F.lit(False))
+        value = F.when(has(strong), high - F.when(has(L.CUSTOMER_HINTS), off_strong).otherwise(0.0)).when(has(hints), low - F.when(has(L.CUSTOMER_HINTS), off_weak).otherwise(0.0)).otherwise(0.0)
+        return T.clip(value)
 
     return F.coalesce(F.array_max(F.transform(urls, score)), F.lit(0.0))
 
 
 def stock_url_signal(urls: Column) -> Column:
-    return _hint(urls, ["shutterstock", "istockphoto", "gettyimages", "depositphotos"], ["stock", "banner", "promo", "catalog"], ["review", "customer", "feedback", "user"], (0.62, 0.46, -0.22))
+    return _hints(urls, L.STOCK_HINTS, L.STRONG_STOCK_HINTS, 0.62, 0.46, 0.22, 0.22)
 
 
 def synthetic_url_signal(urls: Column) -> Column:
-    return _hint(urls, ["midjourney", "dall-?e", "stable-?diffusion", "ai-generated"], ["synthetic", "generated", "render"], ["review", "customer", "feedback"], (0.74, 0.48, -0.24))
+    return _hints(urls, L.SYNTHETIC_HINTS, L.STRONG_SYNTHETIC_HINTS, 0.74, 0.48, 0.08, 0.24)
+
+
+def best_cluster_per_review(photos: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Of the clusters whose interval holds a review's photo, the one of best score, the earliest on a tie."""
+    links = photos.filter("sec is not null").select("page_id", "record_id", "sec", fingerprint(F.col("url")).alias("fp")).distinct()
+    inside = links.join(clusters, ["page_id", "fp"]).filter(F.col("sec").between(F.col("start_sec"), F.col("end_sec")))
+    best = F.max(F.struct("score", (-F.col("start_sec")).alias("s"), "fp", "flag", "n_reviews", "n_authors")).alias("b")
+    return inside.groupBy("page_id", "record_id").agg(best).select("page_id", "record_id", F.col("b.fp").alias("fp"), F.col("b.score").alias("temporal_score"), F.col("b.flag").alias("temporal_flag"), F.col("b.n_reviews").alias("n_reviews"), F.col("b.n_authors").alias("n_authors"))
+
+
+def temporal_risk(ratio: Column, size: Column) -> Column:
+    return F.when((ratio >= 0.30) | (size >= 5), "high").when((ratio >= 0.16) | (size >= 3), "medium").otherwise("low")

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
+from trustloom.operators import slang
+
+#: A median is read off directly once this many rows are left; before, their range is divided so often.
+MEDIAN_ROWS, MEDIAN_RANGES = 100_000, 256
 
 
 def user_stats(df: DataFrame) -> DataFrame:
@@ -34,32 +39,85 @@ def value_counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
+def _middle(df: DataFrame, column: str) -> DataFrame:
+    """The exact median of a column, one row: values are counted by key ranges, and only the ranges around the middle are sorted.
+
+    Halves of a range are counted again and again until the middle one is small, so no task sorts all rows.
+    """
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n, lo, hi = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([(None,)], f"{column} double")
+    want, below = ((n - 1) // 2, n // 2), 0
+    while n > MEDIAN_ROWS and lo < hi:
+        width = (hi - lo) / MEDIAN_RANGES
+        part = F.least(F.floor((F.col("x") - lo) / width), F.lit(MEDIAN_RANGES - 1))
+        counts = sorted(rows.filter(F.col("x").between(lo, hi)).groupBy(part.alias("part")).agg(F.count("*").alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: r["part"])
+        at, kept = below, []
+        for r in counts:
+            if at <= want[1] and at + r["k"] > want[0]:
+                kept.append((at, r))
+            at += r["k"]
+        new = kept[0][1]["lo"], kept[-1][1]["hi"]
+        if new == (lo, hi):
+            break
+        (lo, hi), below, n = new, kept[0][0], sum(r["k"] for _, r in kept)
+    tail = rows.filter(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("*").alias("k")).orderBy("x")
+    run = F.sum("k").over(W.partitionBy(F.lit(0)).orderBy("x")) + below  # few distinct values by now
+    return tail.withColumn("upto", run).agg(((F.min(F.when(F.col("upto") > want[0], F.col("x"))) + F.min(F.when(F.col("upto") > want[1], F.col("x")))) / 2).alias(column))
+
+
 def fit_defaults(df: DataFrame) -> DataFrame:
     """One row of medians over the lookup tables, for keys that were not seen."""
-    users, items, ips = user_stats(df), item_stats(df), ip_stats(df)
-    gaps = user_mean_gap(df).agg(F.coalesce(F.median("mean_gap"), F.lit(3600.0)).alias("gap"))
-    parts = [users.agg(F.median("user_count").alias("user_count"), F.avg("user_mean").alias("user_mean"), F.median("user_std").alias("user_std")), items.agg(F.median("item_count").alias("item_count"), F.avg("item_mean").alias("item_mean"), F.median("item_std").alias("item_std")), ips.agg(F.median("ip_count").alias("ip_count"), F.median("ip_users").alias("ip_users")), gaps]
-    out = parts[0]
-    for p in parts[1:]:  # one row each
-        out = out.join(p, F.lit(True))
-    return out
+    users, items, ips, gaps = (x.persist() for x in (user_stats(df), item_stats(df), ip_stats(df), user_mean_gap(df)))
+    parts = [
+        *[_middle(users, c) for c in ("user_count", "user_std")], users.agg(F.avg("user_mean").alias("user_mean")), *[_middle(items, c) for c in ("item_count", "item_std")], items.agg(F.avg("item_mean").alias("item_mean")),
+        *[_middle(ips, c) for c in ("ip_count", "ip_users")], _middle(gaps, "mean_gap").select(F.coalesce("mean_gap", F.lit(3600.0)).alias("gap")),
+    ]
+    rows = [p.first() for p in parts]  # one row each
+    for table in (users, items, ips, gaps):
+        table.unpersist()
+    return df.sparkSession.createDataFrame([tuple(v for r in rows for v in r)], ", ".join(f"{c} double" for r in rows for c in r.asDict()))
+
+
+def text_profiles(df: DataFrame) -> DataFrame:
+    """text_key, text_count and the slang profile of each distinct text; the page is the whole table.
+
+    A profile depends on the text alone but for domain and template counts, which weigh a text by its copies; so
+    texts are profiled once, and ratings meet them by digest.
+    """
+    texts = df.filter("text_key is not null").groupBy("text_key").agg(F.count("*").alias("copies"))
+    whole = df.filter("text_key is not null").select("text_key", "review_text").dropDuplicates(["text_key"]).join(texts, "text_key")
+    out = slang.with_slang(whole, keys=()).withColumnRenamed("copies", "text_count")
+    return out.select("text_key", "text_count", "slang_manipulation", "slang_authenticity", "template_dup", "template_component", "mix", "profile", "bi_hype", "low_detail", "density", "detail", "grounding", "hype")
 
 
 def with_text_key(df: DataFrame) -> DataFrame:
-    """A digest of the text in place of the text, null where it is empty: joins and windows stay narrow."""
+    """A digest of the text beside it, null where it is empty: joins and windows can leave the text behind."""
     if "text_key" in df.columns:
         return df
     text = F.lower(F.trim("review_text"))
-    return df.withColumn("text_key", F.when(text != "", F.md5(text))).drop("review_text")
+    return df.withColumn("text_key", F.when(text != "", F.md5(text)))
 
 
 def join_stats(df: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
-    """Fitted statistics beside each rating; a missing address has zeros, an empty text the count 1."""
-    out, base = with_text_key(df), with_text_key(fitted if fitted is not None else df)
+    """Fitted statistics beside each rating; a missing address has zeros, an empty text the count 1.
+
+    With another fitted table, users and items that it does not hold take its defaults.
+    """
+    base = with_text_key(fitted if fitted is not None else df)
     texts = base.filter("text_key is not null").groupBy("text_key").agg(F.count("*").alias("text_count"))
+    out = with_text_key(df).drop("review_text")
+    if "text_count" in df.columns:
+        texts = None
+    base = base.drop("review_text")
     pairs = value_counts(base, ["user_id", "item_id"], "pair_count")
-    for table, keys in ((user_stats(base), ["user_id"]), (item_stats(base), ["item_id"]), (ip_stats(base), ["ip_address"]), (texts, ["text_key"]), (pairs, ["user_id", "item_id"])):
+    tables = [(user_stats(base), ["user_id"]), (item_stats(base), ["item_id"]), (ip_stats(base), ["ip_address"]), (pairs, ["user_id", "item_id"])]
+    for table, keys in tables + ([(texts, ["text_key"])] if texts is not None else []):
         out = out.join(table, keys, "left")
+    if fitted is not None:
+        d = fit_defaults(base).first()
+        out = out.fillna({c: d[c] for c in ("user_mean", "user_std", "item_mean", "item_std")} | {c: int(d[c]) for c in ("user_count", "item_count")})
     return out.fillna({"ip_count": 0, "ip_users": 0, "text_count": 1, "pair_count": 0}).drop("text_key")
 
 
@@ -93,14 +151,18 @@ def burst_count(df: DataFrame, key: str, seconds: int, name: str) -> DataFrame:
     return counted.unionByName(missing).drop("__sec", "__home")
 
 
+TEXT_SIGNALS = {"slang_manipulation": 0.0, "slang_authenticity": 0.5, "template_dup": 0, "template_component": 0.0, "mix": 0, "profile": "neutral", "bi_hype": 0, "low_detail": 0, "density": 0.0, "detail": 0.0, "grounding": 0.0, "hype": 0.0}
+
+
 def with_signals(df: DataFrame) -> DataFrame:
-    """Statistics, deviations, bursts and text flags: what reasons and features are made of."""
+    """Statistics, deviations, bursts, text flags and slang: what reasons and features are made of. The text is left behind."""
     words = T.word_count(F.col("review_text"))
-    df = df.withColumns({
-        "short_extreme": (F.col("rating").isin(1.0, 5.0) & (words < 3)).cast("int"),
-        "promotional": T.has_phrase(F.col("review_text"), T.RATING_PHRASES).cast("int"), "words": words,
-    })
-    out = rating_deviation(join_stats(df))
+    df = with_text_key(df.withColumns({
+        "short": (words < 3).cast("int"), "short_extreme": (F.col("rating").isin(1.0, 5.0) & (words < 3)).cast("int"),
+        "promotional": T.has_phrase(F.col("review_text"), L.RATING_PHRASES).cast("int"), "words": words,
+    }))
+    narrow = df.drop("review_text").join(text_profiles(df), "text_key", "left").fillna(TEXT_SIGNALS | {"text_count": 1})
+    out = rating_deviation(join_stats(narrow))
     for key, seconds, name in (("user_id", 86400, "user_24h"), ("ip_address", 3600, "ip_1h"), ("item_id", 86400, "item_24h")):
         out = burst_count(out, key, seconds, name)
     return out
@@ -115,17 +177,24 @@ def rating_features(df: DataFrame) -> DataFrame:
     })
     rows = seconds_since_prev(with_signals(measured))
     names = [c for c, k in rows.dtypes if k in ("double", "int", "bigint") and c not in ("record_id", "is_fake")]
-    return rows.select("record_id", *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in names])
+    return rows.select("record_id", *[c for c in ("is_fake",) if c in rows.columns], *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in names])
 
 
 def _rules() -> list[tuple[Column, str, str]]:
     c = F.col
+    # The sentences and labels.
     return [
-        (c("ip_users") >= 4, "many users on one address", "shared address"), (c("ip_1h") >= 3, "burst from one address", "address burst"),
-        (c("user_24h") >= 3, "many ratings by the user in a day", "user burst"), (c("text_count") >= 3, "text repeated", "copied text"),
-        (c("item_deviation") >= 1.8, "far from the item's mean", "rating shift"), (c("item_z") >= 2.0, "outlier for the item", "outlier"),
-        (c("short_extreme") == 1, "short and extreme", "drive-by rating"), (c("promotional") == 1, "promotional phrases", "promotion"),
-    ]
+        (c("ip_users") >= 4, "The same IP address is associated with many accounts.", "shared_ip_account_cluster"),
+        (c("ip_1h") >= 3, "The rating happened in an unusual short-term burst.", "short_term_ip_burst"),
+        (c("user_24h") >= 3, "The user posted several ratings in a short period.", "reviewer_burst_activity"),
+        (c("text_count") >= 3, "The review text is duplicated across several ratings.", "duplicated_review_text"),
+        (c("item_deviation") >= 1.8, "The rating strongly deviates from the normal score for this item.", "rating_distribution_shift"),
+        (c("item_z") >= 2.0, "The score is statistically unusual compared with other ratings for this item.", "statistical_rating_outlier"),
+        (c("short_extreme") == 1, "The rating is extreme and paired with a very short review.", "extreme_rating_low_evidence"),
+        (c("promotional") == 1, "The wording uses promotional stock phrases that often appear in coordinated ratings.", "promotional_template_language"),
+        (c("slang_manipulation") >= 0.55, "The language pattern looks hype-heavy and weakly grounded in real usage detail.", "hype_heavy_slang"),
+        (c("template_component") >= 0.5, "A similar slang-heavy template repeats across multiple ratings.", "repeated_slang_template"),
+    ]
 
 
 def rating_reasons(df: DataFrame) -> DataFrame:
@@ -134,7 +203,7 @@ def rating_reasons(df: DataFrame) -> DataFrame:
 
 def rating_attack_types(df: DataFrame) -> DataFrame:
     found = T.array_of(*[(cond, kind) for cond, _, kind in _rules()])
-    return df.withColumn("attack_types", F.when(F.size(found) == 0, F.array(F.lit("behavioural anomaly"))).otherwise(found))
+    return df.withColumn("attack_types", F.when(F.size(found) == 0, F.array(F.lit("low_risk_or_insufficient_signal"))).otherwise(found))
 
 
 def rule_score(df: DataFrame) -> DataFrame:
@@ -152,6 +221,8 @@ def rating_summary(scored: DataFrame, threshold: float = 0.25) -> DataFrame:
         F.count("*").alias("n_ratings"), F.count_if(bad).alias("n_suspicious"), F.avg(bad.cast("double")).alias("share"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"),
         F.count_distinct("user_id").alias("users"), F.count_distinct(F.when(bad, F.col("user_id"))).alias("bad_users"), F.count_distinct("item_id").alias("items"), F.count_distinct("ip_address").alias("ips"),
         F.count_if(F.col("ip_address").isNull()).alias("no_ip"), F.avg("rating").alias("mean_rating"), F.count_if(F.col("promotional") == 1).alias("promotional"),
+        F.count_if(F.col("slang_manipulation") >= 0.45).alias("slang_flagged"), F.avg("slang_authenticity").alias("slang_authenticity"), F.avg("slang_manipulation").alias("slang_manipulation"), F.avg(F.col("mix").cast("double")).alias("bilingual_ratio"),
+        F.avg((F.col("profile") == "organic").cast("double")).alias("organic_ratio"), F.avg((F.col("template_dup") >= 2).cast("double")).alias("template_ratio"),
     )
 
 

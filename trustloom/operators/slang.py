@@ -1,4 +1,8 @@
-"""Slang and language profiles, machine-written text, and recognised photo text."""
+"""Slang and language profiles of reviews: hits, domain, detail, scores, labels, templates, learned lexicons.
+
+Expects page_id, record_id, review_text; title and source_site are used where they are there. The page is a
+key, so domain and template counts are aggregates per page that are joined back.
+"""
 
 from __future__ import annotations
 
@@ -8,68 +12,200 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 
-# The word and phrase lists of this library.
-SLANG = ["lol", "omg", "lit", "dope", "legit", "fire", "goat", "vibes", "slay", "bruh", "топчик", "имба", "огонь", "кайф", "жиза", "краш", "topchik", "imba", "kaif"]
-PROMO = ["must buy", "best ever", "buy now", "100%", "всем брать", "бомба", "лучшее что", "берите не думая"]
-DETAIL = ["battery", "size", "fabric", "zipper", "delivery", "screen", "sole", "seam", "smell", "weeks", "months", "размер", "ткань", "доставка", "батарея", "шов", "запах", "недели"]
-STOPWORDS = ["the", "and", "for", "with", "that", "this", "was", "are", "not", "but", "und", "die", "der", "les", "des", "que", "del", "для", "это", "что", "как"]
-GENERIC = ["great product", "highly recommend", "good quality", "excellent quality", "exceeded my expectations", "worth the price"]
-CONNECTORS = ["moreover", "furthermore", "in addition", "overall", "additionally", "in conclusion"]
-CLICHES = ["game changer", "look no further", "second to none", "a testament to", "elevate your", "seamless experience"]
-PERSONAL = ["my husband", "my wife", "i bought", "my son", "my daughter", "for me", "мой муж", "моя жена", "купила", "купил"]
-PHOTO_LABELS = {"promo": r"(discount|sale|promo ?code|\boff\b|скидк|промокод|акци)", "hype": r"(best choice|№ ?1|number one|top seller|хит продаж|лучший выбор)", "watermark": r"(watermark|stock photo|sample|образец|©)", "contact": r"(whatsapp|telegram|t\.me|@[a-z0-9_]{4,}|\+?[0-9][0-9 ()-]{8,}[0-9])"}
-PHOTO_WEIGHTS = {"promo": 0.34, "hype": 0.22, "watermark": 0.20, "contact": 0.30}
-MARKET_NAMES = {"amazon": ["amazon"], "wildberries": ["wildberries", "вайлдберриз"], "ozon": ["ozon", "озон"], "aliexpress": ["aliexpress", "алиэкспресс"], "ebay": ["ebay"], "yandex_market": ["яндекс маркет", "yandex market"]}
+WORD = r"[A-Za-z\x{0400}-\x{04FF}]+(?:['-][A-Za-z\x{0400}-\x{04FF}]+)?"
+UNIT = r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)?\s?(?:cm|mm|kg|g|mg|ml|mah|gb|tb|inch|in|см|мм|кг|г|мг|мл|мач|дюйм)(?![\p{L}\p{N}_])"
+DOMAINS = [*L.DOMAIN_KEYWORDS]
+#: Words with a part of their own, which a learned lexicon leaves out.
+RESERVED = sorted({t for part in (L.RU_SLANG, L.TRANSLIT_SLANG, L.EN_SLANG, L.DETAIL, *L.DOMAIN_KEYWORDS.values(), *L.DOMAIN_DETAIL.values(), *L.PACK_DETAIL.values(), *L.PACK_SLANG.values(), *L.PACK_AUTHENTIC.values()) for t in part})
+#: The lists of a learned lexicon, none by default.
+NO_LEXICON = {"suspicious_terms": [], "suspicious_phrases": [], "authentic_terms": [], "authentic_phrases": [], "promo_phrases": []}
 
 
-def _any(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def word_tokens(c: Column) -> Column:
+    """Lower-case words of Latin or Cyrillic letters with at most one joint."""
+    return F.regexp_extract_all(F.lower(T.norm_text(c)), F.lit(WORD), F.lit(0))
 
 
 def token_hits(tok: Column, terms: list[str]) -> Column:
-    return F.filter(tok, lambda x: F.array_contains(_any(terms), x))
-
-
-def slang_profile(df: DataFrame) -> DataFrame:
-    """Hits, density, detail, scripts, scores and label of each review (no learned lexicon)."""
-    t = F.coalesce(F.col("review_text"), F.lit(""))
-    rows = df.withColumn("tok", T.tokens(t))
-    rows = rows.withColumns({"hits": token_hits(F.col("tok"), SLANG), "promo_hits": T.phrase_hits(t, PROMO), "detail_hits": F.size(token_hits(F.col("tok"), DETAIL)), "unit_hits": F.regexp_count(F.lower(t), F.lit(r"[0-9]+ ?(cm|mm|kg|ml|см|мм|кг|мл)")), "cyr": F.size(F.filter("tok", lambda x: x.rlike("[а-яё]"))), "lat": F.size(F.filter("tok", lambda x: x.rlike("[a-z]")))})
-    c, n, h = F.col, F.size("tok"), F.size("hits")
-    some = h > 0
-    rows = rows.withColumns({
-        "n_tokens": n, "n_hits": h, "density": F.coalesce(F.try_divide(h, n), F.lit(0.0)), "diversity": F.coalesce(F.try_divide(F.size(F.array_distinct("hits")), h), F.lit(0.0)),
-        "detail": F.least((c("detail_hits") + c("unit_hits")) / 3, F.lit(1.0)), "mix": ((c("cyr") > 0) & (c("lat") > 0)).cast("int"),
-        "balance": F.when((c("cyr") > 0) & (c("lat") > 0), 1 - F.abs(c("cyr") - c("lat")) / (c("cyr") + c("lat"))).otherwise(0.0), "hype": F.coalesce(F.try_divide(c("promo_hits"), h + c("promo_hits")), F.lit(0.0)),
+    return F.filter(tok, lambda x: x.isin(*terms)) if terms else F.slice(tok, 1, 0)
+
+
+def _distinct_hits(tok: Column, terms: list[str]) -> Column:
+    return F.size(F.array_distinct(token_hits(tok, terms)))
+
+
+def _phrases(t: Column, phrases: list[str]) -> Column:
+    """The phrases that a lower-case text holds."""
+    return T.array_of(*[(t.contains(p), p) for p in phrases]) if phrases else F.array().cast("array<string>")
+
+
+def marketplace_pack(site: Column) -> Column:
+    """The first pack one of whose aliases is in the site's token; generic for none."""
+    token = T.group_token(site, "")
+    out = None
+    for label, aliases in L.PACK_ALIASES.items():
+        hit = reduce(lambda a, b: a | b, [token.contains(a) for a in aliases])
+        out = F.when(hit, label) if out is None else out.when(hit, label)
+    return out.otherwise("generic")
+
+
+def _of_pack(market: Column, lists: dict[str, list[str]], make) -> Column:
+    """What make gives for the lists of the row's pack; only that branch is computed."""
+    out = None
+    for label, terms in lists.items():
+        out = F.when(market == label, make(terms)) if out is None else out.when(market == label, make(terms))
+    return out.otherwise(make([]))
+
+
+def _top_domain(hits: list[Column]) -> tuple[Column, Column]:
+    """Domain and confidence from keyword hits, which need 2 in one domain; the first of equal ones wins."""
+    most, total = F.greatest(*hits), reduce(lambda a, b: a + b, hits)
+    label = F.coalesce(*[F.when(h == most, d) for d, h in zip(DOMAINS, hits, strict=True)])
+    return F.when(most < 2, "general").otherwise(label), F.when(most < 2, 0.0).otherwise(most / F.greatest(total, F.lit(1)))
+
+
+def infer_domain(df: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """domain of each review, page_domain and page_confidence of its page (of all rows without keys); the review's own if it is sure enough.
+
+    A row stands for `copies` reviews if it has that column.
+    """
+    words = F.concat("tok", word_tokens(F.col("title"))) if "title" in df.columns else F.col("tok")
+    names = [f"__d_{d}" for d in DOMAINS]
+    rows = df.withColumns({n: F.size(token_hits(words, L.DOMAIN_KEYWORDS[d])) for n, d in zip(names, DOMAINS, strict=True)})
+    copies = F.col("copies") if "copies" in df.columns else F.lit(1)
+    sums = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(F.col(n) * copies), F.lit(0)).alias(n) for n in names])
+    label, sure = _top_domain([F.col(n) for n in names])
+    pages = sums.select(*keys, label.alias("page_domain"), sure.alias("page_confidence"))
+    own = rows.withColumns({"__own": label, "__sure": sure})
+    own = own.join(pages, [*keys]) if keys else own.join(F.broadcast(pages), F.lit(True))  # one row without keys
+    mine = F.col("__sure") >= F.greatest(F.lit(0.45), F.col("page_confidence"))
+    return own.withColumn("domain", F.when(mine, F.col("__own")).otherwise(F.col("page_domain"))).drop(*names, "__own", "__sure")
+
+
+def slang_density(df: DataFrame) -> DataFrame:
+    """From tok and hits: hit count, density, diversity, repetition, sorted terms."""
+    n, h = F.size("tok"), F.size("hits")
+    terms = F.array_sort(F.array_distinct("hits"))
+    diversity = F.when(h > 0, F.size(terms) / h).otherwise(0.0)
+    return df.withColumns({"n_tokens": n, "n_hits": h, "density": h / F.greatest(n, F.lit(1)), "diversity": diversity, "repetition": F.when(h > 0, 1 - diversity).otherwise(0.0), "terms": terms})
+
+
+def _measures(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    t, tok, market = F.col("__t"), F.col("tok"), F.col("market_pack")
+    general = token_hits(tok, [*L.RU_SLANG, *L.TRANSLIT_SLANG, *L.EN_SLANG])
+    own = _of_pack(market, L.PACK_SLANG, lambda terms: token_hits(tok, terms))
+    rows = df.withColumns({
+        "__own": own, "hits": F.concat(general, own, _phrases(t, L.SLANG_PHRASES)),
+        "promo": F.concat(_phrases(t, [*L.PROMO_PHRASES, *lexicon["promo_phrases"]]), _of_pack(market, L.PACK_PROMO, lambda p: _phrases(t, p))),
+        "general_detail": F.size(token_hits(tok, L.DETAIL)), "units": F.regexp_count(t, F.lit(UNIT)),
+        "__terms": F.array_union(_of_pack(F.col("domain"), L.DOMAIN_DETAIL | {"general": L.DETAIL}, lambda x: F.array(*map(F.lit, x)).cast("array<string>")), _of_pack(market, L.PACK_DETAIL, lambda x: F.array(*map(F.lit, x)).cast("array<string>"))),
+        "cyr": F.size(F.filter(tok, lambda x: x.rlike(r"[\x{0400}-\x{04FF}]"))), "lat": F.size(F.filter(tok, lambda x: x.rlike("[a-z]"))),
+        "learned_suspicious": _distinct_hits(tok, lexicon["suspicious_terms"]) + F.size(_phrases(t, lexicon["suspicious_phrases"])),
+        "learned_authentic": _distinct_hits(tok, lexicon["authentic_terms"]) + F.size(_phrases(t, lexicon["authentic_phrases"])),
+        "__authentic": _of_pack(market, L.PACK_AUTHENTIC, lambda terms: _distinct_hits(tok, terms)),
+    })
+    rows = slang_density(rows).withColumns({"n_promo": F.size("promo"), "domain_detail": F.size(F.filter(tok, lambda x: F.array_contains("__terms", x)))})
+    return rows.withColumn("market_hits", F.size("__own") + F.col("n_promo") + F.least(F.col("domain_detail"), F.lit(2)) + F.col("__authentic")).drop("__own", "__terms", "__authentic")
+
+
+def detail_support(df: DataFrame) -> DataFrame:
+    """detail and grounding: words of detail and measured units, in general and of the domain."""
+    c = F.col
+    detail = F.least((c("general_detail") + c("domain_detail") + c("units")) / 3, F.lit(1.0))
+    rows = df.withColumn("detail", detail)
+    return rows.withColumn("grounding", F.when(c("domain") == "general", c("detail")).otherwise(F.least((c("domain_detail") + c("units")) / 2, F.lit(1.0))))
+
+
+def bilingual(df: DataFrame) -> DataFrame:
+    c, both = F.col, (F.col("cyr") > 0) & (F.col("lat") > 0)
+    return df.withColumns({"mix": both.cast("int"), "balance": F.when(both, 1 - F.abs(c("cyr") - c("lat")) / (c("cyr") + c("lat"))).otherwise(0.0)})
+
+
+def hype_flags(df: DataFrame) -> DataFrame:
+    c, some = F.col, F.col("n_hits") > 0
+    return df.withColumns({
+        "hype": F.when(c("n_hits") + c("n_promo") > 0, c("n_promo") / (c("n_hits") + c("n_promo"))).otherwise(0.0),
+        "low_detail": (some & (c("detail") < 0.34) & (c("n_tokens") <= 20)).cast("int"),
+        "bi_hype": ((c("mix") == 1) & ((c("n_promo") > 0) | (c("density") >= 0.16)) & (c("detail") < 0.5)).cast("int"),
     })
-    moderate = F.when(some, 1 - F.least(F.abs(c("density") - 0.10) / 0.10, F.lit(1.0))).otherwise(0.0)
-    repetition = F.when(some, 1 - c("diversity")).otherwise(0.0)
-    low = (some & (c("detail") < 0.34) & (c("n_tokens") <= 20)).cast("double")
-    bi_hype = ((c("mix") == 1) & ((c("promo_hits") > 0) | (c("density") >= 0.16)) & (c("detail") < 0.5)).cast("double")
+
+
+def slang_scores(df: DataFrame) -> DataFrame:
+    """Authenticity and manipulation; 0.5 and 0 where nothing was hit."""
+    c = F.col
+    moderate = F.when(c("n_hits") > 0, 1 - F.least(F.abs(c("density") - 0.10) / 0.10, F.lit(1.0))).otherwise(0.0)
     bonus = c("mix") * c("balance") * F.least(c("detail"), F.lit(0.9))
-    length = F.least(c("n_tokens") / 18, F.lit(1.0))
-    auth = T.clip(0.26 * moderate + 0.22 * c("detail") + 0.16 * c("detail") + 0.08 * c("diversity") + 0.08 * length + 0.10 * bonus - 0.22 * c("hype") - 0.14 * repetition - 0.18 * bi_hype - 0.10 * low)
-    man = T.clip(0.18 * T.ramp(c("density"), 0.12, 0.18) + 0.18 * c("hype") + 0.12 * repetition + 0.16 * bi_hype + 0.08 * low + 0.06 * F.greatest(F.lit(0.0), 0.55 - c("detail")) - 0.14 * c("detail") - 0.10 * moderate - 0.06 * bonus)
-    none = (h == 0) & (c("promo_hits") == 0)
-    rows = rows.withColumns({"slang_authenticity": F.when(none, 0.5).otherwise(auth), "slang_manipulation": F.when(none, 0.0).otherwise(man)})
-    terms = F.array_join(F.slice(F.array_sort(F.array_distinct("hits")), 1, 3), ",")
-    sig = F.concat_ws("|", terms, F.when(c("promo_hits") > 0, "promo"), F.when(c("mix") == 1, "mix"), F.when(low > 0, "low"))
-    return rows.withColumns({"profile": profile_label(c("slang_authenticity"), c("slang_manipulation")), "signature": F.when(none, F.lit(None)).otherwise(sig)})
+    market, suspicious, authentic = T.clip(c("market_hits") / 4), T.clip(c("learned_suspicious") / 3), T.clip(c("learned_authentic") / 3)
+    a = (
+        0.26 * moderate + 0.22 * c("detail") + 0.16 * c("grounding") + 0.08 * c("diversity") + 0.08 * F.least(c("n_tokens") / 18, F.lit(1.0)) + 0.10 * bonus + 0.12 * authentic + 0.05 * market * c("detail")
+        - 0.22 * c("hype") - 0.14 * c("repetition") - 0.18 * c("bi_hype") - 0.10 * c("low_detail") - 0.12 * suspicious
+    )
+    m = (
+        0.18 * T.ramp(c("density"), 0.12, 0.18) + 0.18 * c("hype") + 0.12 * c("repetition") + 0.16 * c("bi_hype") + 0.08 * c("low_detail") + 0.06 * F.greatest(F.lit(0.0), 0.55 - c("grounding")) + 0.14 * suspicious + 0.04 * market * (1 - c("detail"))
+        - 0.14 * c("detail") - 0.10 * moderate - 0.06 * bonus - 0.12 * authentic
+    )
+    none = c("n_hits") + c("n_promo") + c("learned_suspicious") + c("learned_authentic") + c("market_hits") == 0
+    quiet = none | (c("n_tokens") == 0)
+    return df.withColumns({"slang_authenticity": F.when(quiet, 0.5).otherwise(T.clip(a)), "slang_manipulation": F.when(quiet, 0.0).otherwise(T.clip(m))})
 
 
 def profile_label(a: Column, m: Column) -> Column:
     return F.when(m >= 0.58, "suspicious").when((a >= 0.62) & (m < 0.30), "organic").when((m <= 0.05) & (a <= 0.55), "neutral").otherwise("mixed")
 
 
-def template_dups(df: DataFrame) -> DataFrame:
+def slang_signature(df: DataFrame) -> DataFrame:
+    """The first three terms, then flags, domain and marketplace; null where that says too little."""
+    c = F.col
+    flags = F.filter(F.array(F.when(c("mix") == 1, "mix"), F.when(c("hype") >= 0.2, "promo"), F.when(c("low_detail") == 1, "thin"), F.when(c("domain") != "general", c("domain")), F.when(c("market_pack") != "generic", c("market_pack"))), lambda x: x.isNotNull())
+    few = (F.size("terms") == 0) | ((F.size("terms") < 2) & (F.size(flags) == 0))
+    return df.withColumn("signature", F.when(~few, F.array_join(F.concat(F.slice("terms", 1, 3), flags), "|")))
+
+
+def slang_profile(df: DataFrame, lexicon: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """All of the profile before templates are counted. lexicon: the learned terms and phrases that apply (apply_lexicon)."""
+    site = F.col("source_site") if "source_site" in df.columns else F.lit("")
+    t = F.lower(T.norm_text(F.col("review_text")))
+    rows = df.withColumns({"__t": t, "tok": word_tokens(F.col("review_text")), "market_pack": marketplace_pack(site)})
+    rows = hype_flags(bilingual(detail_support(_measures(infer_domain(rows, keys), NO_LEXICON | (lexicon or {})))))
+    rows = slang_signature(slang_scores(rows)).drop("__t")
+    return rows.withColumn("profile", profile_label(F.col("slang_authenticity"), F.col("slang_manipulation")))
+
+
+def template_dups(df: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Scores adjusted by how many reviews of the page share the signature; counted, then joined."""
-    counts = df.filter("signature is not null").groupBy("page_id", "signature").agg(F.count("*").alias("template_dup"))
-    rows = df.join(counts, ["page_id", "signature"], "left").fillna({"template_dup": 0})
-    comp = T.ramp(F.col("template_dup"), 1, 2)
-    a, m = T.clip(F.col("slang_authenticity") - 0.08 * comp), T.clip(F.col("slang_manipulation") + 0.18 * comp)
-    return rows.withColumns({"slang_authenticity": a, "slang_manipulation": m}).withColumn("profile", profile_label(F.col("slang_authenticity"), F.col("slang_manipulation")))
+    copies = F.col("copies") if "copies" in df.columns else F.lit(1)
+    counts = df.filter("signature is not null").groupBy(*keys, "signature").agg(F.sum(copies).alias("template_dup"))
+    rows = df.join(counts, [*keys, "signature"], "left").fillna({"template_dup": 0})
+    rows = rows.withColumns({"template_component": T.ramp(F.col("template_dup"), 1, 2), "template_flag": (F.col("template_dup") >= 2).cast("int")})
+    a, m = T.clip(F.col("slang_authenticity") - 0.08 * F.col("template_component")), T.clip(F.col("slang_manipulation") + 0.18 * F.col("template_component"))
+    rows = rows.withColumns({"slang_authenticity": a, "slang_manipulation": m})
+    return rows.withColumn("profile", profile_label(F.col("slang_authenticity"), F.col("slang_manipulation")))
+
+
+def with_slang(df: DataFrame, lexicon: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The columns of df and the profile, without the word arrays, which would travel through every later shuffle."""
+    return template_dups(slang_profile(df, lexicon, keys).drop("tok", "hits", "promo"), keys)
+
+
+def slang_reason(df: DataFrame) -> DataFrame:
+    """One sentence for scores of 0.45 and more: the first rule that holds."""
+    c, market = F.col, F.col("market_pack") != "generic"
+    thin = (c("low_detail") == 1) & (c("hype") >= 0.2)
+    # The sentences.
+    text = (
+        F.when(c("slang_manipulation") < 0.45, F.lit(None).cast("string"))
+        .when(c("template_dup") >= 2, "A similar slang signature appears across multiple reviews, which looks coordinated.")
+        .when((c("learned_suspicious") >= 2) & market, F.concat(F.lit("The wording matches suspicious slang patterns learned from "), c("market_pack"), F.lit("-style reviews.")))
+        .when(c("bi_hype") == 1, "The review mixes Russian and English hype slang in a way that looks orchestrated rather than natural.")
+        .when(thin & market, F.concat(F.lit("The comment uses hype-heavy "), c("market_pack"), F.lit("-style slang but gives little grounded delivery or product detail.")))
+        .when(thin & (c("domain") != "general"), F.concat(F.lit("The slang-heavy tone contains little "), c("domain"), F.lit("-specific detail, which can indicate scripted hype.")))
+        .when(thin, "The slang-heavy tone contains little concrete product detail, which can indicate scripted hype.")
+        .otherwise("The slang pattern looks unusually hype-driven for a natural customer comment.")
+    )
+    return df.withColumn("slang_reason", text)
 
 
 def dominant_marketplace(df: DataFrame) -> DataFrame:
@@ -78,72 +214,47 @@ def dominant_marketplace(df: DataFrame) -> DataFrame:
     return by.groupBy("page_id").agg(F.max_by("market", F.struct("n", -F.col("first"))).alias("market"), F.max("n").alias("n"))
 
 
+# --- learned lexicons --------------------------------------------------------------------------------------
+
+
 def candidate_terms(c: Column) -> Column:
-    """Distinct tokens of 3 to 18 characters that aren't stopwords, and their 2- and 3-grams."""
-    tok = F.filter(T.tokens(c), lambda x: F.length(x).between(3, 18) & ~F.array_contains(_any(STOPWORDS), x))
-    gram = lambda n: F.when(F.size("__tok") >= n, F.transform(F.sequence(F.lit(1), F.size("__tok") - n + 1), lambda i: F.array_join(F.slice("__tok", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return tok, lambda: F.array_distinct(F.concat("__tok", gram(2), gram(3)))
-
-
-def learn_lexicon(df: DataFrame, k: int = 20, min_docs: int = 2) -> DataFrame:
-    """Top terms for and against the label by smoothed rate difference, weighted by support."""
-    tok, grams = candidate_terms(F.col("review_text"))
-    rows = df.filter("label is not null").select("label", tok.alias("__tok")).select("label", F.explode(grams()).alias("term"))
-    totals = df.filter("label is not null").agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
-    by = rows.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).filter(F.col("pos") + F.col("neg") >= min_docs)
+    """Tokens of 3 to 18 characters that aren't stopwords, reserved, or one repeated letter."""
+    return F.filter(T.tokens(c), lambda x: F.length(x).between(3, 18) & ~x.isin(*L.STOPWORDS, *RESERVED) & (F.replace(x, F.substring(x, 1, 1), F.lit("")) != ""))
+
+
+def _grams(tok: Column) -> Column:
+    gram = lambda n: F.when(F.size(tok) >= n, F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1), lambda i: F.array_join(F.slice(tok, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(tok, gram(2), gram(3)))
+
+
+def learn_lexicon(df: DataFrame, k: int = 20, min_docs: int = 2, by: list[str] | None = None, min_rows: int = 0) -> DataFrame:
+    """Top terms for and against the label by smoothed rate difference, weighted by support; by: a lexicon per key with both labels and min_rows."""
+    keys = by or []
+    rows = df.filter("label is not null").select(*keys, "label", candidate_terms(F.col("review_text")).alias("__tok"))
+    totals = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
+    if keys:
+        totals = totals.filter((F.col("P") > 0) & (F.col("N") > 0) & (F.col("P") + F.col("N") >= min_rows))
+    terms = rows.select(*keys, "label", F.explode(_grams(F.col("__tok"))).alias("term")).groupBy(*keys, "term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    terms = terms.filter(F.col("pos") + F.col("neg") >= min_docs)
+    terms = terms.join(totals, keys) if keys else terms.join(F.broadcast(totals), F.lit(True))  # one row without keys
     score = (F.col("pos") + 0.5) / (F.col("P") + 1) - (F.col("neg") + 0.5) / (F.col("N") + 1)
-    by = by.join(F.broadcast(totals), F.lit(True)).withColumn("score", F.round(score, 9)).filter(F.abs("score") >= 0.03)  # one row
-    by = by.withColumns({"polarity": F.when(F.col("score") > 0, "suspicious").otherwise("authentic"), "weight": F.round(F.abs("score") * F.log1p(F.col("pos") + F.col("neg")), 6)})
-    rank = F.row_number().over(W.partitionBy("polarity").orderBy(F.desc("weight"), F.desc("term")))
-    return by.withColumn("rank", rank).filter(F.col("rank") <= k).select("polarity", "rank", "term", "pos", "neg", F.round("score", 6).alias("score"))
-
-
-def ai_features(df: DataFrame) -> DataFrame:
-    t = F.coalesce(F.col("review_text"), F.lit(""))
-    sents = F.filter(F.transform(F.split(t, r"[.!?]+"), lambda s: T.word_count(s)), lambda n: n > 0)
-    rows = df.withColumns({"words": T.word_count(t), "sents": sents, "uniq": T.unique_word_ratio(t, 0.0)})
-    mean = F.coalesce(F.try_divide(F.aggregate("sents", F.lit(0), lambda a, x: a + x), F.size("sents")), F.lit(0.0))
-    rows = rows.withColumn("sent_mean", mean)
-    var = F.coalesce(F.try_divide(F.aggregate("sents", F.lit(0.0), lambda a, x: a + (x - F.col("sent_mean")) * (x - F.col("sent_mean"))), F.size("sents")), F.lit(0.0))
-    per = F.greatest(F.col("words") / 9, F.lit(1.0))
-    dens = lambda phrases: T.clip(T.phrase_hits(t, phrases) / per)
-    return rows.withColumns({
-        "cv": T.clip(F.coalesce(F.try_divide(F.sqrt(var), F.col("sent_mean")), F.lit(0.0))), "generic": dens(GENERIC), "connector": dens(CONNECTORS), "cliche": dens(CLICHES), "personal": dens(PERSONAL),
-        "dash": T.clip(F.regexp_count(t, F.lit("[—–]")) / per), "digit": T.clip(F.regexp_count(t, F.lit("[0-9]+")) / per), "concrete": T.clip(F.size(token_hits(T.tokens(t), DETAIL)) / per),
-    })
+    terms = terms.withColumn("score", F.round(score, 9)).filter(F.abs("score") >= 0.03)
+    terms = terms.withColumns({"polarity": F.when(F.col("score") > 0, "suspicious").otherwise("authentic"), "weight": F.round(F.abs("score") * F.log1p(F.col("pos") + F.col("neg")), 6)})
+    rank = F.row_number().over(W.partitionBy(*keys, "polarity").orderBy(F.desc("weight"), F.desc("term")))
+    return terms.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "polarity", "rank", "term", "pos", "neg", "score")
 
 
-def ai_score(df: DataFrame) -> DataFrame:
-    """Heuristic and its adjustments for short, personal and cliché texts."""
-    c = F.col
-    base = 0.08 + 0.20 * c("generic") + 0.12 * c("connector") + 0.09 * c("dash") + 0.16 * c("cliche") - 0.22 * c("personal") - 0.18 * c("concrete") - 0.04 * c("digit")
-    base = T.clip(base + F.when(c("words") >= 24, 0.07 * (1 - c("cv"))).otherwise(0.0) + F.when(c("words") >= 18, 0.06 * c("uniq")).otherwise(0.0))
-    rows = ai_features(df).withColumn("ai", base)
-    rows = rows.withColumn("ai", F.when(c("words") < 12, c("ai") * F.greatest(F.when(c("cliche") >= 0.65, 0.68).otherwise(0.25), c("words") / 12)).otherwise(c("ai")))
-    rows = rows.withColumn("ai", F.when((c("personal") >= 0.32) & (c("concrete") >= 0.24), c("ai") * 0.76).otherwise(c("ai")))
-    rows = rows.withColumn("ai", F.when(c("cliche") >= 0.65, F.greatest(c("ai"), 0.74 + 0.06 * c("dash"))).when(c("cliche") >= 0.35, F.least(c("ai") + 0.08, F.lit(1.0))).otherwise(c("ai")))
-    return rows.withColumn("ai_label", F.when(c("ai") >= 0.76, "strong").when(c("ai") >= 0.66, "flag").when(c("ai") >= 0.52, "hint").otherwise("none")).drop("sents")
-
-
-def opening_boost(df: DataFrame) -> DataFrame:
-    """Shared first eight words on a page raise scores of 0.40 and more."""
-    rows = df.withColumn("opening", F.array_join(F.slice(T.tokens(F.col("review_text")), 1, 8), " "))
-    counts = rows.filter("opening != ''").groupBy("page_id", "opening").agg(F.count("*").alias("n_opening"))
-    rows = rows.join(counts, ["page_id", "opening"], "left").fillna({"n_opening": 0})
-    boost = F.when((F.col("n_opening") >= 2) & (F.col("ai") >= 0.40) & (F.col("words") >= 12), F.least(F.lit(0.12), 0.04 * (F.col("n_opening") - 1))).otherwise(0.0)
-    return rows.withColumn("ai", T.clip(F.col("ai") + boost))
-
-
-def ai_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("page_id").agg(F.count("*").alias("n"), F.avg("ai").alias("mean_ai"), F.max("ai").alias("max_ai"), F.count_if(F.col("ai") >= 0.66).alias("flagged"))
-
-
-def photo_text(df: DataFrame, column: str = "ocr_text") -> DataFrame:
-    """Labels, marketplaces named, those foreign to the site, score and flag of recognised photo text."""
-    t = F.lower(F.coalesce(F.col(column), F.lit("")))
-    labels = T.array_of(*[(t.rlike(f"(?iu){p}"), name) for name, p in PHOTO_LABELS.items()])
-    markets = T.array_of(*[(reduce(lambda a, b: a | b, [t.contains(w) for w in words]), name) for name, words in MARKET_NAMES.items()])
-    rows = df.withColumns({"photo_labels": labels, "photo_markets": markets})
-    foreign = F.array_except("photo_markets", F.array(T.marketplace_of(F.col("source_site"))))
-    score = reduce(lambda a, b: a + b, [F.when(F.array_contains("photo_labels", k), w).otherwise(0.0) for k, w in PHOTO_WEIGHTS.items()]) + F.when(F.size("foreign_markets") > 0, 0.4).otherwise(0.0)
-    return rows.withColumn("foreign_markets", foreign).withColumn("photo_text_score", T.clip(score)).withColumn("photo_text_flag", (F.col("photo_text_score") >= 0.46).cast("int"))
+def apply_lexicon(df: DataFrame, learned: DataFrame) -> DataFrame:
+    """Distinct hits of learned terms (1 to 3 words) per review and polarity: words and word pairs meet the k terms."""
+    own = df.select("record_id", candidate_terms(F.col("review_text")).alias("__tok")).select("record_id", F.explode(_grams(F.col("__tok"))).alias("term"))
+    by = own.join(F.broadcast(learned.select("term", "polarity")), "term").groupBy("record_id").agg(F.count_if(F.col("polarity") == "suspicious").alias("learned_suspicious"), F.count_if(F.col("polarity") == "authentic").alias("learned_authentic"))
+    return df.join(by, "record_id", "left").fillna({"learned_suspicious": 0, "learned_authentic": 0})
+
+
+def slang_errors(df: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """Counts and shares of right and wrong slang flags per domain, from label and slang_manipulation."""
+    flag, y = F.col("slang_manipulation") >= threshold, F.col("label") == 1
+    bucket = F.when(flag & ~y, "false_positive").when(~flag & y, "false_negative").otherwise("right")
+    by = df.filter("label is not null").withColumn("bucket", bucket).groupBy("bucket", "domain").agg(F.count("*").alias("n"), F.avg("slang_manipulation").alias("mean_manipulation"), F.avg("slang_authenticity").alias("mean_authenticity"))
+    total = df.filter("label is not null").agg(F.count("*").alias("__n"))
+    return by.join(F.broadcast(total), F.lit(True)).withColumn("share", F.col("n") / F.col("__n")).drop("__n")  # one row

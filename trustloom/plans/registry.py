@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
-from trustloom.operators import corpus, evaluation, models, pages, photos, ratings, slang
+from trustloom.operators import corpus, evaluation, machine_text, models, pages, photo_text, photos, ratings, reports, slang
 from trustloom.sources import readers
+from trustloom.sources.tables import cut
 
+from . import sql as Q
+from .sql import AUTHOR, COUNTS, PAGE_REASONS, RT, RTOK, SCORES, SLANG_REASON, UNIQ, WORDS, any_of
+from .sql import array as SQL_LIST
+from .sql import clip as clip_sql
 from .views import view, with_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,23 +43,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if k == "double" else F.col(c).cast("long").alias(c) if k in ("int", "bigint") else F.col(c) for c, k in df.dtypes])
 
 
-NORM = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
-TOK = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_''-]+')"
-RT, RTOK = NORM.format(c="review_text"), TOK.format(c="review_text")
-WORDS = f"CASE WHEN {RT} = '' THEN 0 ELSE len(string_split({RT}, ' ')) END"
-UNIQ = f"CASE WHEN len({RTOK}) = 0 THEN 1.0 ELSE len(list_distinct({RTOK})) / len({RTOK})::DOUBLE END"
-
-
-def any_of(column: str, phrases: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower({column}), '{p}')" for p in phrases) + ")"
-
-
-def clip_sql(x: str) -> str:
-    return f"least(greatest({x}, 0.0), 1.0)"
-
-
-def ramp_sql(x: str, a: float, w: float) -> str:
-    return clip_sql(f"(({x}) - {a}) / {w}")
+LOW_TEXT = "lower(review_text)"
 
 
 # --- sources -----------------------------------------------------------------------------------------------
@@ -100,7 +90,7 @@ def s25(e):
     return readers.collection_summary(e.select(e.event_type.alias("strategy"), F.when(e.value > 5, "ok").otherwise("empty").alias("status"), (e.user_id % 5).alias("found")))
 
 
-@query("s26_blocked_pages", "pages", "SELECT page_id, regexp_matches(substr(lower(html), 1, 12000), 'captcha|access denied|verify you are human|unusual traffic|robot check') AS blocked FROM pages")
+@query("s26_blocked_pages", "pages", "SELECT page_id, regexp_matches(substr(lower(html), 1, 12000), '" + "|".join(L.BLOCKED) + "') AS blocked FROM pages")
 def s26(p):
     return p.select("page_id", readers.is_blocked_page(F.col("html")).alias("blocked"))
 
@@ -119,10 +109,10 @@ def s15(r):
  round(len(regexp_extract_all(review_text, '\p{{Lu}}')) / greatest(len(regexp_extract_all(review_text, '\p{{L}}')), 1)::DOUBLE, 4) AS upper_ratio,
  round(len(regexp_extract_all(review_text, '\p{{Nd}}')) / greatest(length(review_text), 1)::DOUBLE, 4) AS digit_ratio,
  round(len(regexp_extract_all(review_text, '[!]')) / greatest(length(review_text), 1)::DOUBLE, 4) AS exclaim,
- {any_of('review_text', T.RATING_PHRASES)} AS promotional FROM reviews_v""")
+ {any_of(LOW_TEXT, L.RATING_PHRASES)} AS promotional FROM reviews_v""")
 def p_text(r):
     t = F.col("review_text")
-    return rounded(r.select("record_id", T.word_count(t).alias("words"), T.unique_word_ratio(t).alias("unique_ratio"), T.uppercase_ratio(t).alias("upper_ratio"), T.digit_ratio(t).alias("digit_ratio"), T.punct_density(t, "!").alias("exclaim"), T.has_phrase(t, T.RATING_PHRASES).alias("promotional")))
+    return rounded(r.select("record_id", T.word_count(t).alias("words"), T.unique_word_ratio(t).alias("unique_ratio"), T.uppercase_ratio(t).alias("upper_ratio"), T.digit_ratio(t).alias("digit_ratio"), T.punct_density(t, "!").alias("exclaim"), T.has_phrase(t, L.RATING_PHRASES).alias("promotional")))
 
 
 @query("p07_cyclic_time", "ratings_v", """SELECT record_id, round(sin(hour(ts) * 2 * pi() / 24), 4) AS hour_sin, round(cos(hour(ts) * 2 * pi() / 24), 4) AS hour_cos, round(sin((isodow(ts) - 1) * 2 * pi() / 7), 4) AS day_sin,
@@ -137,7 +127,7 @@ def p11(r):
     return r.groupBy(T.language_profile(F.col("review_text")).alias("language"), T.length_bucket(T.word_count(F.col("review_text"))).alias("length"), T.rating_bucket(F.col("rating")).alias("stars")).agg(F.count("*").alias("n"))
 
 
-@query("p13_p14_groups", "reviews_v", f"SELECT record_id, 'review::' || md5(lower({RT})) AS lineage, coalesce(nullif(trim(regexp_replace(lower(string_split(source_site, ':')[1]), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS source_group FROM reviews_v")
+@query("p13_p14_groups", "reviews_v", f"SELECT record_id, 'review::' || md5(lower({RT})) AS lineage, coalesce(nullif(trim(regexp_replace(lower(string_split(source_site, ':')[1]), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unspecified') AS source_group FROM reviews_v")
 def p13(r):
     return r.select("record_id", T.split_group(F.col("review_text")).alias("lineage"), T.source_group(F.col("source_site")).alias("source_group"))
 
@@ -154,16 +144,22 @@ def burst_sql(key: str, seconds: int) -> str:
     return f"CASE WHEN {key} IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY {key} ORDER BY sec RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY {key}, sec) + row_number() OVER (PARTITION BY {key}, sec ORDER BY record_id) - 1 END"
 
 
-SIGNALS = f""", u AS ({USERS}), i AS ({ITEMS}), a AS ({IPS}), x AS (SELECT lower(trim(review_text)) AS k, count(*) AS text_count FROM ratings_v WHERE trim(review_text) != '' GROUP BY 1),
+RATING_RULES = [
+    ("ip_users >= 4", "The same IP address is associated with many accounts.", "shared_ip_account_cluster"), ("ip_1h >= 3", "The rating happened in an unusual short-term burst.", "short_term_ip_burst"), ("user_24h >= 3", "The user posted several ratings in a short period.", "reviewer_burst_activity"),
+    ("text_count >= 3", "The review text is duplicated across several ratings.", "duplicated_review_text"), ("item_deviation >= 1.8", "The rating strongly deviates from the normal score for this item.", "rating_distribution_shift"), ("item_z >= 2.0", "The score is statistically unusual compared with other ratings for this item.", "statistical_rating_outlier"),
+    ("short_extreme = 1", "The rating is extreme and paired with a very short review.", "extreme_rating_low_evidence"), ("promotional = 1", "The wording uses promotional stock phrases that often appear in coordinated ratings.", "promotional_template_language"),
+    ("slang_m >= 0.55", "The language pattern looks hype-heavy and weakly grounded in real usage detail.", "hype_heavy_slang"), ("tpl >= 0.5", "A similar slang-heavy template repeats across multiple ratings.", "repeated_slang_template"),
+]
+REASON_SQL = Q.sentences(*[(cond, why) for cond, why, _ in RATING_RULES])
+KIND_SQL = Q.sentences(*[(cond, kind) for cond, _, kind in RATING_RULES])
+SIGNALS = f""", u AS ({USERS}), i AS ({ITEMS}), a_ AS ({IPS}), tx AS (SELECT lower(trim(review_text)) AS k, min(review_text) AS review_text, count(*) AS text_count, 0 AS page_id, '' AS title, '' AS source_site FROM ratings_v WHERE trim(review_text) != '' GROUP BY 1){Q.slang("tx", "sl", "text_count")},
  b AS (SELECT *, floor(epoch_us(ts) / 1000000)::BIGINT AS sec FROM ratings_v),
- g AS (SELECT b.*, u.user_mean, i.item_mean, i.item_std, coalesce(a.ip_users, 0) AS ip_users, coalesce(x.text_count, 1) AS text_count, abs(rating - item_mean) AS item_deviation, abs(rating - item_mean) / (item_std + 1e-3) AS item_z,
+ g AS (SELECT b.*, u.user_mean, i.item_mean, i.item_std, coalesce(a_.ip_users, 0) AS ip_users, coalesce(sl.text_count, 1) AS text_count, coalesce(sl.m, 0) AS slang_m, coalesce(sl.a, .5) AS slang_a, coalesce(sl.tpl, 0) AS tpl, coalesce(sl.dup, 0) AS dup, coalesce(sl.mix, 0) AS mix, coalesce(sl.profile, 'neutral') AS profile, abs(rating - item_mean) AS item_deviation, abs(rating - item_mean) / (item_std + 1e-3) AS item_z,
  {burst_sql('user_id', 86400)} AS user_24h, {burst_sql('ip_address', 3600)} AS ip_1h, {burst_sql('item_id', 86400)} AS item_24h,
- CASE WHEN rating IN (1, 5) AND {WORDS} < 3 THEN 1 ELSE 0 END AS short_extreme, CASE WHEN {any_of('review_text', T.RATING_PHRASES)} THEN 1 ELSE 0 END AS promotional
- FROM b LEFT JOIN u USING (user_id) LEFT JOIN i USING (item_id) LEFT JOIN a USING (ip_address) LEFT JOIN x ON x.k = lower(trim(review_text))),
- s AS (SELECT *, (CASE WHEN ip_users >= 4 THEN 1 ELSE 0 END + CASE WHEN ip_1h >= 3 THEN 1 ELSE 0 END + CASE WHEN user_24h >= 3 THEN 1 ELSE 0 END + CASE WHEN text_count >= 3 THEN 1 ELSE 0 END + CASE WHEN item_deviation >= 1.8 THEN 1 ELSE 0 END + CASE WHEN item_z >= 2.0 THEN 1 ELSE 0 END + short_extreme + promotional) / 8.0 AS score FROM g)
+ CASE WHEN rating IN (1, 5) AND {WORDS.replace("review_text", "b.review_text")} < 3 THEN 1 ELSE 0 END AS short_extreme, CASE WHEN {any_of('lower(b.review_text)', L.RATING_PHRASES)} THEN 1 ELSE 0 END AS promotional
+ FROM b LEFT JOIN u USING (user_id) LEFT JOIN i USING (item_id) LEFT JOIN a_ USING (ip_address) LEFT JOIN sl ON sl.k = lower(trim(b.review_text))),
+ s AS (SELECT *, ({" + ".join(f"({cond})::INT" for cond, _, _ in RATING_RULES)}) / 10.0 AS score FROM g)
 """
-REASON_SQL = """list_filter([CASE WHEN ip_users >= 4 THEN 'many users on one address' END, CASE WHEN ip_1h >= 3 THEN 'burst from one address' END, CASE WHEN user_24h >= 3 THEN 'many ratings by the user in a day' END, CASE WHEN text_count >= 3 THEN 'text repeated' END,
- CASE WHEN item_deviation >= 1.8 THEN 'far from the item''s mean' END, CASE WHEN item_z >= 2.0 THEN 'outlier for the item' END, CASE WHEN short_extreme = 1 THEN 'short and extreme' END, CASE WHEN promotional = 1 THEN 'promotional phrases' END], lambda x: x IS NOT NULL)"""
 
 
 def _round_sql(inner: str, doubles: str, others: str, tail: str = "") -> str:
@@ -219,9 +215,9 @@ def r10(r):
     return r.select("record_id", "user_24h", "ip_1h", "item_24h")
 
 
-@query("r11_features", "ratings_v", SIGNALS + f" SELECT record_id, round(user_mean, 4) AS user_mean, round(item_z, 4) AS item_z, user_24h::DOUBLE AS user_24h, promotional::DOUBLE AS promotional, ({WORDS})::DOUBLE AS words, round({UNIQ}, 4) AS unique_ratio FROM g")
+@query("r11_features", "ratings_v", SIGNALS + f" SELECT record_id, round(user_mean, 4) AS user_mean, round(item_z, 4) AS item_z, user_24h::DOUBLE AS user_24h, promotional::DOUBLE AS promotional, ({WORDS})::DOUBLE AS words, round({UNIQ}, 4) AS unique_ratio, round(slang_m, 4) AS slang_manipulation, round(slang_a, 4) AS slang_authenticity, tpl AS template_component FROM g")
 def r11(r):
-    return rounded(ratings.rating_features(r).select("record_id", "user_mean", "item_z", "user_24h", "promotional", "words", "unique_ratio"))
+    return rounded(ratings.rating_features(r).select("record_id", "user_mean", "item_z", "user_24h", "promotional", "words", "unique_ratio", "slang_manipulation", "slang_authenticity", "template_component"))
 
 
 @query("r12_reasons", "ratings_v", SIGNALS + f" SELECT record_id, array_to_string({REASON_SQL}, '; ') AS reasons, round(score, 4) AS score FROM s")
@@ -229,10 +225,9 @@ def r12(r):
     return rounded(ratings.rule_score(ratings.with_signals(r)).select("record_id", F.array_join("reasons", "; ").alias("reasons"), "score"))
 
 
-@query("r13_attack_types", "ratings_v", SIGNALS + " SELECT record_id, (CASE WHEN score = 0 THEN 1 ELSE score * 8 END)::BIGINT AS n_types, score = 0 AS fallback FROM s")
+@query("r13_attack_types", "ratings_v", SIGNALS + f" SELECT record_id, CASE WHEN score = 0 THEN 'low_risk_or_insufficient_signal' ELSE array_to_string({KIND_SQL}, ',') END AS attack_types FROM s")
 def r13(r):
-    out = ratings.rating_attack_types(ratings.with_signals(r))
-    return rounded(out.select("record_id", F.size("attack_types").alias("n_types"), F.array_contains("attack_types", "behavioural anomaly").alias("fallback")))
+    return ratings.rating_attack_types(ratings.with_signals(r)).select("record_id", F.array_join("attack_types", ",").alias("attack_types"))
 
 
 SUSPECTS = SIGNALS + " SELECT user_id, count(*) AS n_ratings, round(avg(score), 4) AS mean_score, round(max(score), 4) AS max_score, count(DISTINCT item_id) AS targets, count(DISTINCT ip_address) AS ips FROM s WHERE score >= 0.25 GROUP BY 1"
@@ -244,7 +239,8 @@ def suspicious_users(r):
 
 
 @query("r15_summary", "ratings_v", SIGNALS + """ SELECT count(*) AS n_ratings, count(*) FILTER (WHERE score >= 0.25) AS n_suspicious, round(avg(CASE WHEN score >= 0.25 THEN 1.0 ELSE 0 END), 4) AS share, round(avg(score), 4) AS mean_score, round(max(score), 4) AS max_score,
- count(DISTINCT user_id) AS users, count(DISTINCT CASE WHEN score >= 0.25 THEN user_id END) AS bad_users, count(DISTINCT item_id) AS items, count(DISTINCT ip_address) AS ips, count(*) FILTER (WHERE ip_address IS NULL) AS no_ip, round(avg(rating), 4) AS mean_rating, sum(promotional)::BIGINT AS promotional FROM s""")
+ count(DISTINCT user_id) AS users, count(DISTINCT CASE WHEN score >= 0.25 THEN user_id END) AS bad_users, count(DISTINCT item_id) AS items, count(DISTINCT ip_address) AS ips, count(*) FILTER (WHERE ip_address IS NULL) AS no_ip, round(avg(rating), 4) AS mean_rating, sum(promotional)::BIGINT AS promotional,
+ count(*) FILTER (WHERE slang_m >= .45) AS slang_flagged, round(avg(slang_a), 4) AS slang_authenticity, round(avg(slang_m), 4) AS slang_manipulation, round(avg(mix), 4) AS bilingual_ratio, round(avg(CASE WHEN profile = 'organic' THEN 1.0 ELSE 0 END), 4) AS organic_ratio, round(avg(CASE WHEN dup >= 2 THEN 1.0 ELSE 0 END), 4) AS template_ratio FROM s""")
 def r15(r):
     return rounded(ratings.rating_summary(ratings.rule_score(ratings.with_signals(r))))
 
@@ -256,22 +252,8 @@ def r16(r):
 
 # --- pages -------------------------------------------------------------------------------------------------
 
-AUTHOR = "coalesce(nullif(trim(author), ''), 'anonymous_' || record_id)"
-COUNTS = f""", c AS (SELECT *, CASE WHEN {RT} = '' THEN 1 ELSE count(*) OVER (PARTITION BY page_id, lower({RT})) END AS dup_text, CASE WHEN trim(title) = '' THEN 1 ELSE count(*) OVER (PARTITION BY page_id, lower(title)) END AS dup_title,
- count(*) OVER (PARTITION BY page_id, {AUTHOR}) AS author_reviews, count(*) OVER (PARTITION BY page_id, review_date) AS same_day, count(*) FILTER (WHERE rating IN (1, 5)) OVER (PARTITION BY page_id, review_date) AS same_day_extreme FROM reviews_v)
-"""
-EXTREME = "CASE WHEN rating IN (1, 5) THEN 1.0 ELSE 0.0 END"
-SCORES = COUNTS + f""", q AS (SELECT *, CASE WHEN {any_of('review_text', T.PAGE_PHRASES)} THEN 1.0 ELSE 0.0 END AS phrase, {UNIQ} AS uniq, {EXTREME} AS extreme, {EXTREME} * CASE WHEN {WORDS} <= 8 THEN 1.0 ELSE 0.0 END AS c_short, {ramp_sql('dup_text', 1, 2)} AS c_text, {ramp_sql('dup_title', 1, 2)} AS c_title, {ramp_sql('author_reviews', 1, 3)} AS c_author, {ramp_sql('same_day', 2, 4)} AS c_burst, {ramp_sql('same_day_extreme', 2, 4)} AS c_xburst FROM c),
- w AS (SELECT *, {clip_sql('.45 * phrase + .25 * (1 - uniq)')} AS c_generic, 0.5 AS c_credit, {clip_sql('.24 * phrase + .18 * c_short + .12 * extreme + .18 * (1 - uniq) - .16 * 0.5')} AS local_score FROM q),
- r AS (SELECT page_id, count(*) AS n, avg(extreme) AS rx, avg(CASE WHEN rating >= 4.5 THEN 1.0 ELSE 0 END) AS r5, avg(CASE WHEN rating <= 1.5 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN dup_text > 1 THEN 1.0 ELSE 0 END) AS rd, max(author_reviews) / count(*)::DOUBLE AS ra, max(same_day) / count(*)::DOUBLE AS rs FROM c JOIN (SELECT 1) ON true, LATERAL (SELECT {EXTREME} AS extreme) GROUP BY 1),
- p AS (SELECT *, {ramp_sql('n', 3, 5)} AS gate, {ramp_sql('rx', .65, .35)} AS px, least(greatest(greatest(r5, r1) - .6, 0), .4) / .4 AS pk, {clip_sql('rd / .35')} AS pd, {ramp_sql('ra', .15, .35)} * {ramp_sql('n', 3, 5)} AS pa, {ramp_sql('rs', .2, .5)} * {ramp_sql('n', 3, 5)} AS ps FROM r),
- z AS (SELECT w.*, p.n, p.px, p.pk, p.pd, p.pa, p.ps, {clip_sql('.38 * c_author + .20 * c_burst + .16 * c_text + .10 * c_generic - .08 * c_credit')} AS author_risk,
- {clip_sql('.18 * c_text + .10 * c_title + .15 * c_author + .11 * c_burst + .08 * c_xburst + .12 * c_short + .08 * c_generic + .04 * px + .06 * pd + .05 * pa + .05 * ps + .07 * pk - .08 * c_credit')} AS manipulation FROM w JOIN p USING (page_id))
-"""
-
-
-def _plain(r: DataFrame) -> DataFrame:
-    return r.withColumns({"slang_manipulation": F.lit(0.0), "slang_authenticity": F.lit(0.5)})
+def _slang(r: DataFrame) -> DataFrame:
+    return slang.with_slang(r)
 
 
 @query("m01_m03_counts", "reviews_v", COUNTS + " SELECT record_id, dup_text, dup_title, author_reviews, same_day, same_day_extreme FROM c")
@@ -279,48 +261,59 @@ def m01(r):
     return pages.page_counts(r).select("record_id", "dup_text", "dup_title", "author_reviews", "same_day", "same_day_extreme")
 
 
-@query("m05_m06_page_components", "reviews_v", SCORES + " SELECT page_id, n AS n_reviews, round(rx, 4) AS r_extreme, round(rd, 4) AS r_duplicate, round(px, 4) AS p_extreme, round(pk, 4) AS p_skew, round(pd, 4) AS p_duplicate, round(pa, 4) AS p_author, round(ps, 4) AS p_day FROM p")
+@query("m05_m06_page_components", "reviews_v", SCORES + " SELECT page_id, n_reviews, round(rx, 4) AS r_extreme, round(rd, 4) AS r_duplicate, round(ra, 4) AS r_author, round(rs, 4) AS r_day, round(rsl, 4) AS r_slang, round(rb, 4) AS r_bilingual, round(ro, 4) AS r_organic, round(rt, 4) AS r_template, round(px, 4) AS p_extreme, round(pk, 4) AS p_skew, round(pd, 4) AS p_duplicate, round(pa, 4) AS p_author, round(ps, 4) AS p_day, round(psl, 4) AS p_slang, round(pb, 4) AS p_bilingual, round(pt_, 4) AS p_template FROM p")
 def m05(r):
-    return rounded(pages.page_components(pages.page_ratios(pages.page_counts(r))).select("page_id", "n_reviews", "r_extreme", "r_duplicate", "p_extreme", "p_skew", "p_duplicate", "p_author", "p_day"))
+    return rounded(pages.page_components(pages.page_ratios(pages.page_counts(_slang(r)))).drop("r_five", "r_one"))
+
+
+@query("m04_without_page_context", "reviews_v", Q.slang("reviews_v") + f", c AS (SELECT *, CASE WHEN {any_of('t', L.PAGE_PHRASES)} THEN 1 ELSE 0 END AS phrase, {UNIQ} AS uniq, {Q.EXTREME} AS extreme, {Q.EXTREME} * CASE WHEN {WORDS} <= 8 THEN 1 ELSE 0 END AS short_extreme, a0 * (1 - m0) AS credit FROM sl) SELECT record_id, round({clip_sql(f'.10 * {clip_sql(".45 * phrase + .25 * (1 - uniq) + .30 * m0")} + .08 * m0 - .08 * credit')}, 4) AS author_risk FROM c")
+def m04(r):
+    alone = pages.row_components(pages.without_page_context(pages.measured(slang.slang_profile(r))))
+    return rounded(alone.select("record_id", pages.author_risk_score().alias("author_risk")))
 
 
-@query("m07_m10_scores", "reviews_v", SCORES + " SELECT record_id, round(local_score, 4) AS local_score, round(author_risk, 4) AS author_risk, round(manipulation, 4) AS rating_manipulation FROM z")
+@query("m07_m10_scores", "reviews_v", SCORES + " SELECT record_id, round(c_generic, 4) AS c_generic, round(credit, 4) AS c_credit, round(local_score, 4) AS local_score, round(author_risk, 4) AS author_risk, round(manipulation, 4) AS rating_manipulation FROM z")
 def m07(r):
-    return rounded(pages.page_scores(_plain(r)).select("record_id", "local_score", "author_risk", "rating_manipulation"))
+    return rounded(pages.page_scores(_slang(r)).select("record_id", "c_generic", "c_credit", "local_score", "author_risk", "rating_manipulation"))
 
 
-@query("m11_reasons", "reviews_v", SCORES + """ SELECT record_id, (CASE WHEN dup_text > 1 THEN 1 ELSE 0 END + CASE WHEN dup_title > 1 THEN 1 ELSE 0 END + CASE WHEN author_reviews >= 2 THEN 1 ELSE 0 END + CASE WHEN same_day >= 4 THEN 1 ELSE 0 END + CASE WHEN c_short > 0 THEN 1 ELSE 0 END
- + CASE WHEN n >= 4 AND px >= .5 THEN 1 ELSE 0 END + CASE WHEN n >= 4 AND pk >= .5 THEN 1 ELSE 0 END + CASE WHEN pd >= .5 THEN 1 ELSE 0 END + CASE WHEN n >= 4 AND pa >= .5 THEN 1 ELSE 0 END + CASE WHEN n >= 4 AND ps >= .5 THEN 1 ELSE 0 END)::BIGINT AS n_reasons FROM z""")
+@query("m11_reasons", "reviews_v", SCORES + f" SELECT record_id, array_to_string({PAGE_REASONS}, ' ') AS reasons FROM z")
 def m11(r):
-    return rounded(pages.manipulation_reasons(pages.page_scores(_plain(r))).select("record_id", F.size("manipulation_reasons").alias("n_reasons")))
+    return pages.manipulation_reasons(pages.page_scores(slang.slang_reason(_slang(r)))).select("record_id", F.array_join("manipulation_reasons", " ").alias("reasons"))
 
 
-@query("m12_suspicious_authors", "reviews_v", SCORES + f" SELECT * FROM (SELECT page_id, {AUTHOR} AS author_key, count(*) AS n_reviews, round(avg(author_risk), 4) AS mean_risk, count(*) FILTER (WHERE author_risk >= .55) AS n_high, row_number() OVER (PARTITION BY page_id ORDER BY round(avg(author_risk), 6) DESC, count(*) DESC, {AUTHOR}) AS rank FROM z GROUP BY page_id, {AUTHOR}) WHERE rank <= 10")
+AUTHORS = SCORES + f", au AS (SELECT page_id, {AUTHOR} AS author_key, count(*) AS n_reviews, round(avg(manipulation), 4) AS mean_manipulation, count(*) FILTER (WHERE manipulation >= .55) AS n_high, row_number() OVER (PARTITION BY page_id ORDER BY count(*) FILTER (WHERE manipulation >= .55) DESC, round(avg(manipulation), 6) DESC, count(*) DESC, {AUTHOR}) AS rank FROM z WHERE trim(author) != '' GROUP BY page_id, {AUTHOR})"
+
+
+@query("m12_suspicious_authors", "reviews_v", AUTHORS + " SELECT * FROM au WHERE rank <= 10")
 def m12(r):
-    return rounded(pages.suspicious_authors(pages.page_scores(_plain(r))))
+    return rounded(pages.suspicious_authors(pages.page_scores(_slang(r))))
 
 
-@query("m13_page_summary", "reviews_v", SCORES + """ SELECT page_id, count(*) AS n_reviews, round(avg(rating), 4) AS mean_rating, round(avg(manipulation), 4) AS mean_manipulation, round(max(manipulation), 4) AS max_manipulation, round(avg(author_risk), 4) AS mean_author_risk, count(*) FILTER (WHERE manipulation >= .55) AS n_manipulated,
- max(dup_text) AS max_dup_text, max(author_reviews) AS max_author, max(same_day) AS max_day, CASE WHEN avg(manipulation) >= .8 THEN 'high' WHEN avg(manipulation) >= .55 THEN 'medium' ELSE 'low' END AS risk FROM z GROUP BY 1""")
+@query("m13_page_summary", "reviews_v", AUTHORS + """, su AS (SELECT page_id, count(*) AS k FROM au WHERE n_high > 0 GROUP BY 1), mk AS (SELECT page_id, pack FROM (SELECT page_id, pack, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(record_id)) AS i FROM z WHERE pack != 'generic' GROUP BY 1, 2) WHERE i = 1)
+ SELECT z.page_id, count(*) AS n_reviews, count(*) FILTER (WHERE author_reviews > 1) AS repeated_authors, round(max(rx), 4) AS r_extreme, round(max(rd), 4) AS r_duplicate, round(max(rs), 4) AS r_day, round(max(ra), 4) AS r_author, round(avg(a), 4) AS slang_authenticity_mean, round(avg(m), 4) AS slang_manipulation_mean, round(max(rsl), 4) AS r_slang, round(max(rb), 4) AS r_bilingual, round(max(ro), 4) AS r_organic,
+ max(page_domain) AS page_domain, round(max(page_confidence), 4) AS page_confidence, round(max(rt), 4) AS r_template, round(avg(manipulation), 4) AS manipulation_mean, CASE WHEN avg(manipulation) >= .8 THEN 'high' WHEN avg(manipulation) >= .55 THEN 'medium' ELSE 'low' END AS risk, coalesce(max(mk.pack), 'generic') AS page_market, coalesce(max(su.k), 0) AS suspicious_authors
+ FROM z LEFT JOIN su USING (page_id) LEFT JOIN mk ON mk.page_id = z.page_id GROUP BY 1""")
 def m13(r):
-    return rounded(pages.page_summary(pages.page_scores(_plain(r))))
+    return rounded(pages.page_summary(cut(pages.page_scores(_slang(r)))))
 
 
 # --- slang, machine text, photo text -----------------------------------------------------------------------
 
-SQL_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
-
-@query("l02_l06_slang_features", "reviews_v", rf"""SELECT record_id, len({RTOK})::BIGINT AS n_tokens, len(list_filter({RTOK}, lambda x: list_contains({SQL_LIST(slang.SLANG)}, x)))::BIGINT AS n_hits,
- round(least((len(list_filter({RTOK}, lambda x: list_contains({SQL_LIST(slang.DETAIL)}, x))) + len(regexp_extract_all(lower(review_text), '[0-9]+ ?(cm|mm|kg|ml|см|мм|кг|мл)'))) / 3.0, 1.0), 4) AS detail,
- len(list_filter({RTOK}, lambda x: regexp_matches(x, '[а-яё]')))::BIGINT AS cyr, len(list_filter({RTOK}, lambda x: regexp_matches(x, '[a-z]')))::BIGINT AS lat FROM reviews_v""")
+@query("l02_l07_slang_features", "reviews_v", Q.slang("reviews_v") + " SELECT record_id, n AS n_tokens, h AS n_hits, promo AS n_promo, array_to_string(terms, ',') AS terms, round(density, 4) AS density, round(diversity, 4) AS diversity, gen AS general_detail, dom AS domain_detail, units, round(detail, 4) AS detail, round(grounding, 4) AS grounding, cyr, lat, mix::BIGINT AS mix, round(balance, 4) AS balance, round(hype, 4) AS hype, low::BIGINT AS low_detail, bi::BIGINT AS bi_hype, mkt AS market_hits FROM sl")
 def l02(r):
-    return rounded(slang.slang_profile(r).select("record_id", "n_tokens", "n_hits", "detail", "cyr", "lat"))
+    return rounded(slang.slang_profile(r).select("record_id", "n_tokens", "n_hits", "n_promo", F.array_join("terms", ",").alias("terms"), "density", "diversity", "general_detail", "domain_detail", "units", "detail", "grounding", "cyr", "lat", "mix", "balance", "hype", "low_detail", "bi_hype", "market_hits"))
+
 
+@query("l03_domains", "reviews_v", Q.slang("reviews_v") + " SELECT record_id, domain, page_domain, round(page_confidence, 4) AS page_confidence, pack AS market_pack FROM sl")
+def l03(r):
+    return rounded(slang.slang_profile(r).select("record_id", "domain", "page_domain", "page_confidence", "market_pack"))
 
-@query("l08_l11_slang_profiles", "reviews_v")
+
+@query("l08_l11_slang_profiles", "reviews_v", Q.slang("reviews_v") + " SELECT record_id, round(a, 4) AS slang_authenticity, round(m, 4) AS slang_manipulation, profile, sig AS signature, dup AS template_dup, round(tpl, 4) AS template_component FROM sl")
 def l08(r):
-    return rounded(slang.template_dups(slang.slang_profile(r)).select("record_id", "slang_authenticity", "slang_manipulation", "profile", "signature", "template_dup"))
+    return rounded(_slang(r).select("record_id", "slang_authenticity", "slang_manipulation", "profile", "signature", "template_dup", "template_component"))
 
 
 @query("l12_dominant_marketplace", "reviews_v", f" SELECT page_id, market, n FROM (SELECT page_id, {MARKET_CASE} AS market, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(record_id)) AS k FROM reviews_v WHERE {MARKET_CASE} != 'other' GROUP BY 1, 2) WHERE k = 1")
@@ -328,38 +321,81 @@ def l12(r):
     return slang.dominant_marketplace(r)
 
 
-LEX = rf""", t AS (SELECT label, list_filter({RTOK}, lambda x: length(x) BETWEEN 3 AND 18 AND NOT list_contains({SQL_LIST(slang.STOPWORDS)}, x)) AS k FROM reviews_v WHERE label IS NOT NULL),
- g AS (SELECT label, unnest(list_distinct(list_concat(list_concat(k, list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i+1], ' '))), list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i+2], ' '))))) AS term FROM t),
- n AS (SELECT count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label = 0) AS N FROM t),
- b AS (SELECT term, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM g GROUP BY 1 HAVING count(*) >= 2),
- s AS (SELECT *, round((pos + .5) / (P + 1) - (neg + .5) / (N + 1), 9) AS sc FROM b, n),
- k AS (SELECT *, CASE WHEN sc > 0 THEN 'suspicious' ELSE 'authentic' END AS polarity, round(abs(sc) * ln(1 + pos + neg), 6) AS weight FROM s WHERE abs(sc) >= .03)
- SELECT * FROM (SELECT polarity, row_number() OVER (PARTITION BY polarity ORDER BY weight DESC, term DESC) AS rank, term, pos, neg, round(sc, 4) AS score FROM k) WHERE rank <= 20"""
+@query("l13_slang_reasons", "reviews_v", Q.slang("reviews_v") + f" SELECT record_id, {SLANG_REASON} AS slang_reason FROM sl WHERE m >= .2")
+def l13(r):
+    return slang.slang_reason(_slang(r)).filter("slang_manipulation >= 0.2").select("record_id", "slang_reason")
+
 
+def lexicon_sql(key: str) -> str:
+    """Learned terms, per key (a column) or over all rows."""
+    k, on = (f"{key}, ", f"USING ({key})") if key else ("", "ON true")
+    both = f" HAVING count(*) FILTER (WHERE label = 1) > 0 AND count(*) FILTER (WHERE label = 0) > 0 AND count(*) >= 18" if key else ""
+    group = f" GROUP BY {key}" if key else ""
+    return rf""", t AS (SELECT {k}label, list_filter({RTOK}, lambda x: length(x) BETWEEN 3 AND 18 AND NOT list_contains({SQL_LIST(L.STOPWORDS + slang.RESERVED)}, x) AND replace(x, substr(x, 1, 1), '') != '') AS k FROM reviews_v WHERE label IS NOT NULL),
+ g AS (SELECT {k}label, unnest(list_distinct(list_concat(list_concat(k, list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i+1], ' '))), list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i+2], ' '))))) AS term FROM t),
+ n AS (SELECT {k}count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label = 0) AS N FROM t{group}{both}),
+ b AS (SELECT {k}term, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM g GROUP BY {k}term HAVING count(*) >= 2),
+ s AS (SELECT *, round((pos + .5) / (P + 1) - (neg + .5) / (N + 1), 9) AS sc FROM b JOIN n {on}),
+ e AS (SELECT *, CASE WHEN sc > 0 THEN 'suspicious' ELSE 'authentic' END AS polarity, round(abs(sc) * ln(1 + pos + neg), 6) AS weight FROM s WHERE abs(sc) >= .03),
+ lex AS (SELECT * FROM (SELECT {k}polarity, row_number() OVER (PARTITION BY {k}polarity ORDER BY weight DESC, term DESC) AS rank, term, pos, neg, round(sc, 4) AS score FROM e) WHERE rank <= 20)"""
 
-@query("l14_learn_lexicon", "reviews_v", LEX)
+
+@query("l14_learn_lexicon", "reviews_v", lexicon_sql("") + " SELECT * FROM lex")
 def l14(r):
     return rounded(slang.learn_lexicon(r))
 
 
-@query("a01_a04_machine_text", "reviews_v")
+@query("l15_source_lexicons", "reviews_v", lexicon_sql("source") + " SELECT * FROM lex")
+def l15(r):
+    return rounded(slang.learn_lexicon(r, by=["source"], min_rows=18))
+
+
+@query("l16_apply_lexicon", "reviews_v", lexicon_sql("") + rf""", w AS (SELECT record_id, list_filter({RTOK}, lambda x: length(x) BETWEEN 3 AND 18 AND NOT list_contains({SQL_LIST(L.STOPWORDS + slang.RESERVED)}, x) AND replace(x, substr(x, 1, 1), '') != '') AS k FROM reviews_v),
+ o AS (SELECT record_id, unnest(list_distinct(list_concat(list_concat(k, list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i+1], ' '))), list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i+2], ' '))))) AS term FROM w)
+ SELECT record_id, count(*) FILTER (WHERE polarity = 'suspicious') AS learned_suspicious, count(*) FILTER (WHERE polarity = 'authentic') AS learned_authentic FROM reviews_v LEFT JOIN o USING (record_id) LEFT JOIN lex USING (term) GROUP BY 1""")
+def l16(r):
+    return slang.apply_lexicon(r, slang.learn_lexicon(r)).select("record_id", "learned_suspicious", "learned_authentic")
+
+
+@query("l18_slang_errors", "reviews_v", Q.slang("reviews_v") + " SELECT bucket, domain, count(*) AS n, round(avg(m), 4) AS mean_manipulation, round(avg(a), 4) AS mean_authenticity, round(count(*) / (SELECT count(*) FROM sl WHERE label IS NOT NULL)::DOUBLE, 4) AS share FROM (SELECT *, CASE WHEN m >= .45 AND label != 1 THEN 'false_positive' WHEN m < .45 AND label = 1 THEN 'false_negative' ELSE 'right' END AS bucket FROM sl WHERE label IS NOT NULL) GROUP BY 1, 2")
+def l18(r):
+    return rounded(slang.slang_errors(_slang(r)))
+
+
+@query("a01_a03_machine_text", "reviews_v", Q.AI + " SELECT record_id, words, round(cv, 4) AS cv, round(generic, 4) AS generic, round(personal, 4) AS personal, round(concrete, 4) AS concrete, round(polish, 4) AS polish, round(repetition, 4) AS repetition, round(dash, 4) AS dash, round(cliche, 4) AS cliche, round(structure_, 4) AS structure, round(s0, 4) AS heuristic, round(s5, 4) AS ai FROM ai")
 def a01(r):
-    return rounded(slang.opening_boost(slang.ai_score(r)).select("record_id", "words", "sent_mean", "cv", "ai", "ai_label", "n_opening"))
+    rows = machine_text.ai_score(r)
+    return rounded(rows.select("record_id", "words", "cv", "generic", "personal", "concrete", "polish", "repetition", "dash", "cliche", "structure", machine_text.ai_heuristic(rows).alias("heuristic"), "ai"))
 
 
-@query("a04_openings", "reviews_v", rf", o AS (SELECT record_id, page_id, array_to_string(({RTOK})[1:8], ' ') AS opening FROM reviews_v) SELECT record_id, CASE WHEN opening = '' THEN 0 ELSE count(*) OVER (PARTITION BY page_id, opening) END AS n_opening FROM o")
+@query("a04_a05_labels", "reviews_v", Q.AI + " SELECT record_id, n_opening, round(ai, 4) AS ai, ai_label, ai_flag::BIGINT AS ai_flag, array_to_string(ai_reasons, ' ') AS reasons FROM ai")
 def a04(r):
-    return rounded(slang.opening_boost(slang.ai_score(r)).select("record_id", "n_opening"))
+    return rounded(machine_text.opening_boost(machine_text.ai_score(r)).select("record_id", "n_opening", "ai", "ai_label", "ai_flag", F.array_join("ai_reasons", " ").alias("reasons")))
 
 
-@query("a09_ai_summary", "reviews_v")
+@query("a09_ai_summary", "reviews_v", Q.AI + """, lb AS (SELECT page_id, string_agg(ai_label || ':' || n, ',' ORDER BY n DESC, ai_label) AS top_labels FROM (SELECT page_id, ai_label, count(*) AS n FROM ai GROUP BY 1, 2) GROUP BY 1)
+ SELECT page_id, count(*) FILTER (WHERE seen) AS evaluated, sum(ai_flag)::BIGINT AS flagged, round(coalesce(avg(ai) FILTER (WHERE seen), 0), 4) AS mean_ai, round(coalesce(sum(ai_flag) / nullif(count(*) FILTER (WHERE seen), 0)::DOUBLE, 0), 4) AS flagged_ratio, max(top_labels) AS top_labels FROM (SELECT *, words >= 12 OR ai_flag = 1 AS seen FROM ai) JOIN lb USING (page_id) GROUP BY 1""")
 def a09(r):
-    return rounded(slang.ai_summary(slang.opening_boost(slang.ai_score(r))))
+    return rounded(machine_text.ai_summary(machine_text.opening_boost(machine_text.ai_score(r))))
+
+
+OCR = ", ocr AS (SELECT *, CASE record_id % 4 WHEN 0 THEN 'SALE 20% off at ozon, write to telegram' WHEN 1 THEN 'Best seller! Official store' WHEN 2 THEN '' ELSE review_text END AS ocr_text FROM reviews_v)"
+
 
+def _ocr(r: DataFrame) -> DataFrame:
+    k = r.record_id % 4
+    return r.withColumn("ocr_text", F.when(k == 0, "SALE 20% off at ozon, write to telegram").when(k == 1, "Best seller! Official store").when(k == 2, "").otherwise(r.review_text))
 
-@query("o01_o03_photo_text", "reviews_v")
+
+@query("o01_o03_photo_text", "reviews_v", OCR + Q.PHOTO + " SELECT record_id, array_to_string(list_sort(labels), ',') AS labels, array_to_string(foreign_, ',') AS foreign_markets, round(score, 4) AS photo_text_score, (score >= .46)::BIGINT AS photo_text_flag FROM o4")
 def o01(r):
-    return rounded(slang.photo_text(r.withColumn("ocr_text", F.concat_ws(" ", F.lit("SALE t.me/x ozon"), "review_text"))).select("record_id", F.array_join("photo_labels", ",").alias("labels"), F.array_join("foreign_markets", ",").alias("foreign"), "photo_text_score", "photo_text_flag"))
+    return rounded(photo_text.photo_text(_ocr(r)).select("record_id", F.array_join("photo_labels", ",").alias("labels"), F.array_join("foreign_markets", ",").alias("foreign_markets"), "photo_text_score", "photo_text_flag"))
+
+
+@query("o04_photo_text_summary", "reviews_v", OCR + Q.PHOTO + """, lb AS (SELECT page_id, string_agg(label || ':' || n, ',' ORDER BY n DESC, label) FILTER (WHERE i <= 5) AS top_labels FROM (SELECT page_id, label, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, label) AS i FROM (SELECT page_id, unnest(labels) AS label FROM o4 WHERE o != '') GROUP BY 1, 2) GROUP BY 1)
+ SELECT page_id, count(*) AS evaluated, count(*) FILTER (WHERE score >= .46) AS flagged, round(avg(score), 4) AS mean_score, round(count(*) FILTER (WHERE score >= .46) / count(*)::DOUBLE, 4) AS flagged_ratio, coalesce(max(top_labels), '') AS top_labels FROM o4 LEFT JOIN lb USING (page_id) WHERE o != '' GROUP BY 1""")
+def o04(r):
+    return rounded(photo_text.photo_text_summary(photo_text.photo_text(_ocr(r))))
 
 
 # --- photos ------------------------------------------------------------------------------------------------
@@ -406,12 +442,27 @@ def f10(p):
     return rounded(photos.temporal_summary(photos.temporal_clusters(p)))
 
 
-@query("f11_f12_url_hints", "photos_v")
+def hint_sql(hints: list[str], strong: list[str], high: str, low: str) -> str:
+    return f"CASE WHEN {any_of('u', strong)} THEN {high} WHEN {any_of('u', hints)} THEN {low} ELSE 0 END"
+
+
+CUSTOMER = any_of("u", L.CUSTOMER_HINTS)
+
+
+@query("f11_f12_url_hints", "photos_v", f""", h AS (SELECT record_id, replace(lower(url || CASE record_id % 5 WHEN 0 THEN '/banner.jpg' WHEN 1 THEN '/ai-generated/user_1.png' WHEN 2 THEN '/diffusion.png' ELSE '' END), '_', '-') AS u FROM photos_v)
+ SELECT record_id, round(max({hint_sql(L.STOCK_HINTS, L.STRONG_STOCK_HINTS, f".62 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END", f".46 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END")}), 4) AS stock, round(max({hint_sql(L.SYNTHETIC_HINTS, L.STRONG_SYNTHETIC_HINTS, f".74 - CASE WHEN {CUSTOMER} THEN .08 ELSE 0 END", f".48 - CASE WHEN {CUSTOMER} THEN .24 ELSE 0 END")}), 4) AS synthetic FROM h GROUP BY 1""")
 def f11(p):
-    by = p.groupBy("page_id", "record_id").agg(F.collect_set("url").alias("urls"))
+    k = p.record_id % 5
+    url = F.concat("url", F.when(k == 0, "/banner.jpg").when(k == 1, "/ai-generated/user_1.png").when(k == 2, "/diffusion.png").otherwise(""))
+    by = p.groupBy("page_id", "record_id").agg(F.collect_set(url).alias("urls"))
     return rounded(by.select("record_id", photos.stock_url_signal(F.col("urls")).alias("stock"), photos.synthetic_url_signal(F.col("urls")).alias("synthetic")))
 
 
+@query("f09_best_cluster", "photos_v", TEMPORAL + f", ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), jn AS (SELECT ln.page_id, record_id, fp, score, flag, n_reviews, n_authors, row_number() OVER (PARTITION BY ln.page_id, record_id ORDER BY score DESC, start_sec, fp DESC) AS k FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) SELECT page_id, record_id, fp, score AS temporal_score, flag AS temporal_flag, n_reviews, n_authors FROM jn WHERE k = 1")
+def f09(p):
+    return rounded(photos.best_cluster_per_review(p, photos.temporal_clusters(p)))
+
+
 # --- evaluation, triage ------------------------------------------------------------------------------------
 
 
@@ -491,7 +542,7 @@ def k10(s):
     return rounded(evaluation.select_threshold(s))
 
 
-@query("a07_capped_threshold", "scored_v")
+@query("a07_capped_threshold", "scored_v", f" SELECT t AS threshold, s AS selection_score FROM (SELECT t, round({PRF[2]} + .08 * {PRF[1]} - .20 * t, 4) AS s, round({PRF[2]} + .08 * {PRF[1]} - .20 * t, 9) AS s9 FROM (SELECT t, {confusion_sql('p >= t')} FROM scored_v, (SELECT round(.02 + .025 * range, 3)::DOUBLE AS t FROM range(39)) GROUP BY 1) WHERE coalesce(fp / nullif(fp + tn, 0)::DOUBLE, 0) <= .2) ORDER BY s9 DESC, t LIMIT 1")
 def a07(s):
     return rounded(evaluation.select_threshold_capped(s, cap=0.2))
 
@@ -506,20 +557,50 @@ def k12(s):
     return rounded(s.select("record_id", evaluation.combine_simple(F.col("pt"), F.col("rating_score")).alias("combined"), evaluation.photo_boost(F.col("p"), {"reuse": F.col("pt"), "temporal": F.col("rating_score")}).alias("boosted")))
 
 
-OOD = clip_sql(f".48 * {clip_sql('(.62 - coverage) / .62')} + .22 * {clip_sql('(8 - n_tokens) / 8.0')}")
-TRIAGE = f""", u AS (SELECT *, {OOD} AS ood, {clip_sql(f".44 * {clip_sql('(.20 - abs(p - .5)) / .20')} + .18 * {clip_sql('abs(pt - p) / .45')} + .16 * {clip_sql('abs(pt - rating_score) / .65')} + .12 * {clip_sql('(.72 - greatest(2 * abs(pt - .5), 2 * abs(p - .5), local_score)) / .72')} + .10 * {OOD}")} AS uncertainty FROM scored_v),
- t AS (SELECT *, CASE WHEN p BETWEEN .4 AND .6 OR uncertainty > .5 OR ood > .5 OR (CASE WHEN coverage = 0 THEN 1 ELSE coverage END) < .32 OR abs(pt - p) > .24 THEN 'manual_review' WHEN p >= .6 THEN 'suspicious' ELSE 'clean' END AS triage FROM u)"""
 POLICY = {"clean": 0.4, "suspicious": 0.6, "uncertainty": 0.5, "ood": 0.5}
+#: Reviews with page scores, machine-text score, and made-up probabilities of a text model and the hybrid.
+MADE_UP = "((record_id * 37) % 101) / 100.0 AS p, ((record_id * 53) % 101) / 100.0 AS pt, ((record_id * 7) % 11) / 10.0 AS coverage"
+
+
+def triage_sql(low: float, high: float, unc: float, ood: float) -> str:
+    """From v (p, pt, coverage, ai and the columns of z) to u (ood, uncertainty) and t (triage)."""
+    novelty = clip_sql(".45 * (h > 0)::INT + .30 * (pack = 'generic' AND mix = 1)::INT + .25 * (domain = 'general' AND h > 0 AND grounding < .22)::INT")
+    doubt = ".44 * {} + .18 * {} + .16 * {} + .12 * {} + .10 * ood".format(*map(clip_sql, ("(.20 - abs(p - .5)) / .20", "abs(pt - p) / .45", "abs(pt - manipulation) / .65", "(.72 - greatest(2 * abs(pt - .5), 2 * abs(p - .5), local_score, a, m)) / .72")))
+    return rf""", u0 AS (SELECT *, len({RTOK}) AS nw, {clip_sql(f".48 * {clip_sql('(.62 - coverage) / .62')} + .22 * {clip_sql(f'(8 - len({RTOK})) / 8.0')} + .30 * {novelty}")} AS ood, {Q.count_of(LOW_TEXT, L.STRUCTURE_MARKERS)} AS mk_, {Q.count_of(LOW_TEXT, L.LOW_RISK_TERMS)} AS dt_ FROM v),
+ u AS (SELECT *, {clip_sql(doubt)} AS uncertainty, mk_ >= 1 AND dt_ >= 1 AS str_, mk_ >= 1 AND dt_ >= 1 OR nw <= 8 AND dt_ >= 1 OR nw >= 4 AND dt_ >= 2 AS lrk FROM u0),
+ t0 AS (SELECT *, CASE WHEN p > {min(low, .12)} OR uncertainty > {unc} OR ood > {max(ood + .24, .74)} OR nw < 1 OR ai >= .76 AND NOT str_ THEN FALSE WHEN lrk AND p <= .025 AND manipulation <= .38 AND dup < 2 AND ai < .66 THEN TRUE WHEN m > .18 OR manipulation > .30 OR dup >= 2 THEN FALSE ELSE CASE WHEN a = 0 THEN .5 ELSE a END >= .66 OR lrk END AS clean_ood FROM u),
+ t1 AS (SELECT *, {Q.sentences((f"p > {low} AND p < {high}", "The hybrid score falls inside the manual-review band."), (f"uncertainty > {unc}", "The model signals disagree too much for an automated decision."), (f"ood > {ood} AND NOT clean_ood", "The review looks out-of-domain relative to the training corpus."), ("CASE WHEN coverage = 0 THEN 1 ELSE coverage END < .32 AND NOT clean_ood", "Too little of the wording matches patterns seen during training."), ("abs(pt - p) > .24", "The raw text model and the hybrid fraud model disagree materially."))} AS why FROM t0),
+ t AS (SELECT *, CASE WHEN len(why) > 0 THEN 'needs_manual_review' WHEN p >= {high} THEN 'confident_suspicious' WHEN p <= {low} THEN 'confident_clean' ELSE 'needs_manual_review' END AS triage FROM t1)"""
+
 
+TRIAGE = SCORES + Q.AI + f", v AS (SELECT z.*, {MADE_UP.replace('record_id', 'z.record_id')}, ai.ai FROM z JOIN ai USING (record_id))" + triage_sql(.4, .6, .5, .5)
 
-@query("t01_t02_triage", "scored_v", TRIAGE + f" SELECT record_id, round(ood, 4) AS ood, round(uncertainty, 4) AS uncertainty, triage FROM t")
-def t01(s):
-    return rounded(evaluation.apply_triage(evaluation.uncertainty(s), POLICY).select("record_id", "ood", "uncertainty", "triage"))
 
+def _triage_input(r: DataFrame) -> DataFrame:
+    k = F.col("record_id")
+    own = machine_text.opening_boost(machine_text.ai_score(r.select("page_id", "record_id", "title", "review_text"))).select("record_id", "ai")
+    rows = pages.page_scores(_slang(r)).join(reports.text_signals(r), "record_id").join(own, "record_id")
+    rows = rows.withColumns({"p": (k * 37) % 101 / 100.0, "pt": (k * 53) % 101 / 100.0, "coverage": (k * 7) % 11 / 10.0})
+    return cut(evaluation.uncertainty(rows))
 
-@query("t05_triage_summary", "scored_v", TRIAGE + " SELECT triage, count(*) AS n, round(avg(uncertainty), 4) AS mean_uncertainty, round(avg(ood), 4) AS mean_ood FROM t GROUP BY 1")
-def t05(s):
-    return rounded(evaluation.triage_summary(evaluation.apply_triage(evaluation.uncertainty(s), POLICY)))
+
+def _triaged(r: DataFrame) -> DataFrame:
+    return evaluation.apply_triage(_triage_input(r), POLICY)
+
+
+@query("t01_t03_triage", "reviews_v", TRIAGE + " SELECT record_id, round(ood, 4) AS ood, round(uncertainty, 4) AS uncertainty, clean_ood AS override, triage, array_to_string(why, ' ') AS reasons FROM t")
+def t01(r):
+    return rounded(_triaged(r).select("record_id", "ood", "uncertainty", "override", "triage", F.array_join("triage_reasons", " ").alias("reasons")))
+
+
+@query("t04_fit_triage", "reviews_v")
+def t04(r):
+    return rounded(evaluation.fit_triage(_triage_input(r).filter("label is not null")))
+
+
+@query("t05_triage_summary", "reviews_v", TRIAGE + " SELECT page_id, count(*) AS n, count(*) FILTER (WHERE triage = 'confident_suspicious') AS suspicious, count(*) FILTER (WHERE triage = 'confident_clean') AS clean, count(*) FILTER (WHERE triage = 'needs_manual_review') AS manual, round(avg(uncertainty), 4) AS mean_uncertainty, round(avg(CASE WHEN ood >= .45 THEN 1.0 ELSE 0 END), 4) AS ood_ratio, round(avg(CASE WHEN triage = 'needs_manual_review' THEN 1.0 ELSE 0 END), 4) AS manual_ratio, round(avg(CASE WHEN triage != 'needs_manual_review' THEN 1.0 ELSE 0 END), 4) AS automated_ratio FROM t GROUP BY 1")
+def t05(r):
+    return rounded(evaluation.triage_summary(_triaged(r), ["page_id"]))
 
 
 # --- corpus, reports ---------------------------------------------------------------------------------------
@@ -527,7 +608,7 @@ def t05(s):
 LOWER = f"lower({RT})"
 
 
-@query("c04_finalize", "reviews_v", f", f AS (SELECT record_id, 'review::' || md5({LOWER}) AS split_group, coalesce(nullif(trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS source_group FROM reviews_v WHERE length({RT}) >= 15) SELECT *, min(source_group) OVER (PARTITION BY split_group) AS holdout_group FROM f")
+@query("c04_finalize", "reviews_v", f", f AS (SELECT record_id, 'review::' || md5({LOWER}) AS split_group, coalesce(nullif(trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unspecified') AS source_group FROM reviews_v WHERE length({RT}) >= 15) SELECT *, min(source_group) OVER (PARTITION BY split_group) AS holdout_group FROM f")
 def c04(r):
     return corpus.finalize_rows(r).select("record_id", "split_group", "source_group", "holdout_group")
 
@@ -583,14 +664,14 @@ def d02(r):
     return rounded(corpus.reason_counts(ratings.rule_score(ratings.with_signals(r))))
 
 
-@query("d05_trust", "scored_v", TRIAGE + " SELECT triage, count(*) AS n FROM t GROUP BY 1")
-def d05(s):
-    return corpus.trust_breakdown(evaluation.apply_triage(evaluation.uncertainty(s), POLICY))
+@query("d05_trust", "reviews_v", TRIAGE + " SELECT triage, count(*) AS n FROM t GROUP BY 1")
+def d05(r):
+    return corpus.trust_breakdown(_triaged(r))
 
 
 @query("d06_top_reviews", "reviews_v", SCORES + " SELECT * FROM (SELECT page_id, record_id, round(manipulation, 4) AS rating_manipulation, CASE WHEN manipulation >= .72 THEN 'high' WHEN manipulation >= .48 THEN 'medium' ELSE 'low' END AS severity, row_number() OVER (PARTITION BY page_id ORDER BY round(manipulation, 6) DESC, record_id) AS rank FROM z) WHERE rank <= 12")
 def d06(r):
-    return rounded(corpus.top_reviews(pages.page_scores(_plain(r)), "rating_manipulation").select("page_id", "record_id", "rating_manipulation", "severity", "rank"))
+    return rounded(corpus.top_reviews(pages.page_scores(_slang(r)), "rating_manipulation").select("page_id", "record_id", "rating_manipulation", "severity", "rank"))
 
 
 @query("v06_merge", "reviews_v", f", b AS (SELECT record_id, review_text, CASE WHEN length({LOWER}) >= 30 THEN {LOWER} ELSE lower(author) || chr(1) || review_date || chr(1) || rating || chr(1) || {LOWER} END AS k FROM reviews_v) SELECT md5(k) AS merge_key, 2 * count(*) AS n_merged, min(record_id) AS record_id, max(length(review_text)) AS longest FROM b GROUP BY k")
@@ -598,17 +679,99 @@ def v06(r):
     return rounded(corpus.merge_reviews(r, r).select("merge_key", "n_merged", "record_id", F.length("review_text").alias("longest")))
 
 
+# --- the review report -------------------------------------------------------------------------------------
+
+_HINT = f"(SELECT record_id, replace(lower(url), '_', '-') AS u FROM photos_v)"
+REPORT = (
+    SCORES + Q.AI + TEMPORAL
+    + f""", ll AS (SELECT DISTINCT page_id, record_id, sha1({CANON}) AS fp FROM photos_v), lz AS (SELECT page_id, fp, count(*) AS size FROM ll GROUP BY 1, 2), lk AS (SELECT record_id, count(*) AS images, count(*) FILTER (WHERE size >= 2) AS reused, max(size) AS cluster FROM ll JOIN lz USING (page_id, fp) GROUP BY 1),
+ ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), bt AS (SELECT record_id, score, flag FROM (SELECT record_id, score, flag, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, start_sec, fp DESC) AS i FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) WHERE i = 1),
+ hn AS (SELECT record_id, max({hint_sql(L.STOCK_HINTS, L.STRONG_STOCK_HINTS, f".62 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END", f".46 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END")}) AS stock, max({hint_sql(L.SYNTHETIC_HINTS, L.STRONG_SYNTHETIC_HINTS, f".74 - CASE WHEN {CUSTOMER} THEN .08 ELSE 0 END", f".48 - CASE WHEN {CUSTOMER} THEN .24 ELSE 0 END")}) AS synthetic FROM {_HINT} GROUP BY 1),
+ v0 AS (SELECT z.*, ai.ai, ai.ai_flag, ai.ai_reasons, ((z.record_id * 53) % 101) / 100.0 AS pt, ((z.record_id * 7) % 11) / 10.0 AS coverage, coalesce(lk.images, 0) AS images, coalesce(lk.reused, 0) AS reused, coalesce(lk.cluster, 0) AS cluster, CASE WHEN coalesce(lk.reused, 0) = 0 THEN 0 ELSE .68 * lk.reused / lk.images + .32 * least((lk.cluster - 1) / 3.0, 1) END AS reuse_score,
+  coalesce(bt.score, 0) AS temporal_score, coalesce(bt.flag, 0) AS temporal_flag, coalesce(hn.stock, 0) AS stock, coalesce(hn.synthetic, 0) AS synthetic FROM z JOIN ai USING (record_id) LEFT JOIN lk USING (record_id) LEFT JOIN bt USING (record_id) LEFT JOIN hn USING (record_id)),
+ v1 AS (SELECT *, {clip_sql('.62 * pt + .38 * manipulation')} AS q1, .30 * reuse_score + .24 * temporal_score + .13 * stock + .05 * synthetic AS ps_, max(ai) OVER (PARTITION BY page_id) AS page_ai FROM v0), v2 AS (SELECT *, {clip_sql('q1 + .22 * ps_ * (1 - q1)')} AS q2 FROM v1),
+ v AS (SELECT *, CASE WHEN page_ai >= .52 THEN {clip_sql(f"q2 + .16 * {clip_sql('(ai - .5) / .5')} * (1 - q2)")} ELSE q2 END AS p FROM v2)"""
+    + triage_sql(.32, .68, .46, .46)
+    + f""", x0 AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x != '') AS ws, {any_of("t", reports.REASON_PHRASES)} AS prm, length(t) - length(replace(t, '!', '')) >= 3 AS bangs FROM t), x AS (SELECT *, len(ws) AS tw, len(list_distinct(ws)) < greatest(3, floor(len(ws) / 2)) AS rpt, (p >= .5)::INT AS sus, (triage = 'needs_manual_review')::INT AS man FROM x0),
+ y AS (SELECT *, CASE WHEN p >= .85 THEN 'high' WHEN p >= .55 THEN 'medium' ELSE 'low' END AS risk, {PAGE_REASONS} AS page_reasons FROM x)
+"""
+)
+OWN_REASONS = Q.kept(*[(cond, text if text.startswith("'The slang profile") else "'" + text + "'") for cond, text in (
+    ("p >= .8", "The neural model considers this review highly suspicious."), ("p >= .6 AND p < .8", "The review has several linguistic patterns often seen in manipulated feedback."), ("tw < 8", "The review is unusually short and provides very little concrete detail."), ("bangs", "The text relies on heavy emotional punctuation."), ("prm", "The wording looks promotional or strongly templated."),
+    ("rpt", "There is visible repetition, which can indicate scripted review text."), ("extreme = 1 AND tw < 15", "An extreme rating is paired with a generic explanation."), ("dup >= 2", "The same slang-heavy language pattern appears in multiple reviews on this page."),
+    ("m >= .55", "'The slang profile looks hype-heavy and weakly grounded in ' || CASE WHEN domain = 'general' THEN 'product' ELSE domain END || ' detail' || CASE WHEN len(terms) > 0 THEN ' (' || array_to_string(terms[1:3], ', ') || ').' ELSE '.' END"),
+    ("manipulation >= .55", "Behavioral and statistical page signals also suggest possible rating manipulation."), ("reuse_score >= .45 AND cluster >= 2", "The customer photo evidence is reused across multiple reviews."), ("temporal_flag = 1 AND temporal_score >= .55", "The same customer photo appears in a short time window across different authors."),
+    ("stock >= .58", "The customer image looks like a stock, catalog, studio, render, banner, or listing asset."), ("synthetic >= .66", "The image has weak AI-generated or synthetic-image indicators; treat this as supporting evidence, not proof."), ("ai_flag = 1 OR ai >= .66", "AI-text detector flagged polished/template-like review language; treat this as a moderation signal, not proof."),
+)])
+#: The sentences of three lists, each once, in the order of first appearance.
+ALL_REASONS = f"list_filter(list_transform(range(1, len(rs_) + 1), lambda i: CASE WHEN list_position(rs_, rs_[i]) = i THEN rs_[i] END), lambda s: s IS NOT NULL)"
+CATEGORIES = Q.sentences(
+    ("p >= .60", "neural_text_suspicion"), ("tw < 8 OR rpt", "low_detail_or_repetitive_text"), ("bangs OR prm", "promotional_template_language"), ("extreme = 1 AND tw < 15", "extreme_rating_low_evidence"), ("manipulation >= .55", "page_behavior_manipulation"), ("author_risk >= .45", "reviewer_cluster_anomaly"), ("m >= .55", "hype_heavy_slang"), ("reuse_score >= .45", "photo_reuse"),
+    ("temporal_flag = 1", "coordinated_photo_timing"), ("stock >= .58", "stock_or_catalog_photo"), ("synthetic >= .66", "synthetic_image_hint"), ("ai_flag = 1 OR ai >= .66", "ai_generated_text_signal"), ("man = 1 OR uncertainty >= .45", "manual_review_uncertainty"), ("ood >= .45", "out_of_domain_language"),
+)
+REASONED = REPORT + f", ys AS (SELECT * REPLACE ({ALL_REASONS} AS rs_) FROM (SELECT *, list_concat(list_concat({OWN_REASONS}, page_reasons), ai_reasons) AS rs_ FROM (SELECT * EXCLUDE (rs) FROM y)))"
+
+
+def _scored(r: DataFrame, links: DataFrame) -> DataFrame:
+    k = F.col("record_id")
+    return cut(reports.score_reviews(r.withColumns({"pt": (k * 53) % 101 / 100.0, "coverage": (k * 7) % 11 / 10.0}), links))
+
+
+@query("v01_v03_scored_reviews", "reviews_v photos_v", REASONED + f" SELECT record_id, round(p, 4) AS p, round(q1, 4) AS p_text, round(q2, 4) AS p_photo, round(ai, 4) AS ai, round(reuse_score, 4) AS reuse_score, round(temporal_score, 4) AS temporal_score, triage, risk, sus::BIGINT AS suspicious, array_to_string(rs_, ' ') AS reasons, CASE WHEN len({CATEGORIES}) = 0 THEN 'low_risk_or_insufficient_signal' ELSE array_to_string({CATEGORIES}, ',') END AS categories FROM ys")
+def v01(r, links):
+    return rounded(_scored(r, links).select("record_id", "p", "p_text", "p_photo", "ai", "reuse_score", "temporal_score", "triage", "risk", "suspicious", F.array_join("reasons", " ").alias("reasons"), F.array_join("categories", ",").alias("categories")))
+
+
+PAGES = """, pg AS (SELECT page_id, count(*) AS total_reviews, sum(sus)::BIGINT AS suspicious_reviews, avg(sus) AS suspicious_ratio, avg(p) AS average_probability, max(p) AS highest_probability, count(*) FILTER (WHERE triage = 'confident_suspicious') AS confident_suspicious, count(*) FILTER (WHERE triage = 'confident_clean') AS confident_clean, sum(man)::BIGINT AS manual_reviews, avg(man) AS manual_ratio, avg(uncertainty) AS uncertainty_mean, avg(CASE WHEN ood >= .45 THEN 1.0 ELSE 0 END) AS ood_ratio,
+ count(*) FILTER (WHERE images > 0) AS photo_reviews, count(*) FILTER (WHERE reused > 0) AS duplicate_photo_reviews, max(cluster) AS largest_photo_cluster, sum(temporal_flag)::BIGINT AS temporal_reviews, count(*) FILTER (WHERE stock >= .58) AS stock_reviews, count(*) FILTER (WHERE synthetic >= .66) AS synthetic_reviews, sum(ai_flag)::BIGINT AS ai_flagged, avg(ai) AS ai_mean,
+ max(rsl) AS r_slang, max(ro) AS r_organic, max(rb) AS r_bilingual, max(rt) AS r_template, avg(a) AS sa, max(page_domain) AS page_domain, max(page_confidence) AS page_confidence, avg(manipulation) AS manipulation_mean FROM x GROUP BY 1)"""
+
+
+@query("v04_page_report", "reviews_v photos_v", REPORT + PAGES + """ SELECT page_id, total_reviews, suspicious_reviews, total_reviews - suspicious_reviews AS clean_reviews, round(suspicious_ratio, 4) AS suspicious_ratio, round(average_probability, 4) AS average_probability, round(highest_probability, 4) AS highest_probability, confident_suspicious, confident_clean, manual_reviews, round(manual_ratio, 4) AS manual_ratio, round((confident_suspicious + confident_clean) / total_reviews::DOUBLE, 4) AS automated_ratio,
+ round(uncertainty_mean, 4) AS uncertainty_mean, round(ood_ratio, 4) AS ood_ratio, photo_reviews, duplicate_photo_reviews, round(CASE WHEN photo_reviews > 0 THEN duplicate_photo_reviews / photo_reviews::DOUBLE ELSE 0 END, 4) AS duplicate_photo_ratio, largest_photo_cluster, temporal_reviews, stock_reviews, synthetic_reviews, ai_flagged, round(ai_mean, 4) AS ai_mean, round(manipulation_mean, 4) AS manipulation_mean,
+ CASE WHEN CASE WHEN suspicious_reviews > 0 THEN highest_probability ELSE average_probability END >= .85 THEN 'high' WHEN CASE WHEN suspicious_reviews > 0 THEN highest_probability ELSE average_probability END >= .55 THEN 'medium' ELSE 'low' END AS risk_level, CASE WHEN photo_reviews = 0 THEN 'none' WHEN duplicate_photo_reviews / photo_reviews::DOUBLE >= .35 OR largest_photo_cluster >= 4 THEN 'high' WHEN duplicate_photo_reviews / photo_reviews::DOUBLE >= .18 OR largest_photo_cluster >= 3 THEN 'medium' ELSE 'low' END AS photo_risk FROM pg""")
+def v04(r, links):
+    return rounded(reports.page_report(_scored(r, links)).select("page_id", "total_reviews", "suspicious_reviews", "clean_reviews", "suspicious_ratio", "average_probability", "highest_probability", "confident_suspicious", "confident_clean", "manual_reviews", "manual_ratio", "automated_ratio", "uncertainty_mean", "ood_ratio", "photo_reviews", "duplicate_photo_reviews", "duplicate_photo_ratio", "largest_photo_cluster", "temporal_reviews", "stock_reviews", "synthetic_reviews", "ai_flagged", "ai_mean", "manipulation_mean", "risk_level", "photo_risk"))
+
+
+NOTES = Q.kept(*[(cond, text if "||" in text else "'" + text + "'") for cond, text in (
+    ("suspicious_reviews = 0", "The model did not flag any extracted reviews as suspicious."), ("suspicious_reviews > 0", "Suspicious reviews are ranked by a calibrated hybrid score that combines the neural text model and manipulation signals."),
+    ("manual_reviews > 0", "manual_reviews || ' review(s) were routed to manual review because the model saw uncertainty or out-of-domain patterns.'"), ("duplicate_photo_reviews > 0", "'Customer photo reuse was detected in ' || duplicate_photo_reviews || ' review(s); the largest shared-photo cluster spans ' || largest_photo_cluster || ' reviews.'"),
+    ("temporal_reviews > 0", "'Coordinated photo timing was detected in ' || temporal_reviews || ' review(s): the same customer image appeared across different authors inside a 48.0-hour window.'"), ("stock_reviews > 0", "'Stock/marketing photo detection flagged ' || stock_reviews || ' image(s) that look closer to catalog, studio, render, banner, or listing assets than user-taken snapshots.'"),
+    ("synthetic_reviews > 0", "'AI/synthetic image detection produced weak auxiliary hints on ' || synthetic_reviews || ' image(s); this signal should support, not replace, human review or stronger fraud evidence.'"), ("ai_flagged > 0", "'AI-text detector flagged ' || ai_flagged || ' review(s) with polished, template-like, weakly grounded language; this is a moderation signal, not proof.'"),
+    ("ak IS NOT NULL", "'Top suspicious author cluster: ' || ak || ' with ' || nh || ' flagged review(s).'"), ("total_reviews >= 4 AND r_slang >= .25", "The bilingual slang detector found a visible share of hype-heavy comments that look more coordinated than conversational."),
+    ("total_reviews >= 4 AND r_slang < .25 AND r_organic >= .25 AND sa >= .58", "Several comments use grounded colloquial language with concrete detail, which slightly weakens the fake-review hypothesis."), ("total_reviews >= 4 AND r_bilingual >= .18", "Russian and English slang are mixed unusually often across the current review sample."),
+    ("total_reviews >= 4 AND r_template >= .18", "A repeated slang template appears across multiple reviews, which strengthens the coordination hypothesis."), ("page_domain != 'general' AND page_confidence >= .35", "'Language grounding was calibrated against the inferred ' || page_domain || ' product domain.'"),
+)])
+
+
+@query("v05_highlights", "reviews_v photos_v", REASONED + PAGES + f""", au AS (SELECT page_id, {AUTHOR} AS ak, count(*) FILTER (WHERE manipulation >= .55) AS nh, row_number() OVER (PARTITION BY page_id ORDER BY count(*) FILTER (WHERE manipulation >= .55) DESC, round(avg(manipulation), 6) DESC, count(*) DESC, {AUTHOR}) AS i FROM z WHERE trim(author) != '' GROUP BY page_id, {AUTHOR}),
+ an AS (SELECT page_id, string_agg(ak || ':' || nh, '; ' ORDER BY i) AS top_authors FROM au WHERE i <= 5 GROUP BY 1), rc AS (SELECT page_id, reason, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, reason) AS i FROM (SELECT page_id, unnest(rs_) AS reason FROM ys) GROUP BY 1, 2), rn AS (SELECT page_id, string_agg(reason || ':' || n, '; ' ORDER BY i) AS top_reasons FROM rc WHERE i <= 4 GROUP BY 1),
+ ms AS (SELECT page_id, record_id AS most_suspicious FROM (SELECT page_id, record_id, row_number() OVER (PARTITION BY page_id ORDER BY round(p, 9) DESC, record_id) AS i FROM x) WHERE i = 1)
+ SELECT pg.page_id, array_to_string({NOTES}, '; ') AS notes, coalesce(top_reasons, '') AS top_reasons, most_suspicious, coalesce(top_authors, '') AS top_authors FROM pg LEFT JOIN (SELECT page_id, ak, nh FROM au WHERE i = 1) USING (page_id) LEFT JOIN rn USING (page_id) LEFT JOIN an USING (page_id) JOIN ms USING (page_id)""")
+def v05(r, links):
+    scored = _scored(r, links)
+    return reports.page_highlights(scored, reports.page_report(scored))
+
+
 # --- models ------------------------------------------------------------------------------------------------
 
 
 @query("k05_anomaly", "ratings_v")
 def k05(r):
-    features = ratings.rating_features(r).persist()
-    columns = [c for c in features.columns if c != "record_id"]
-    return rounded(models.anomaly_score(models.fit_anomaly(features, columns), features).select("record_id", "anomaly"))
+    features = cut(ratings.rating_features(r))  # each pass of the fit reads it
+    columns = [c for c in features.columns if c not in ("record_id", "is_fake")]
+    return rounded(models.anomaly_score(models.fit_anomaly(features, columns, normal="is_fake = 0"), features).select("record_id", "anomaly"))
 
 
 @query("k06_review_model", "reviews_v")
 def k06(r):
     labelled = r.filter("label is not null").withColumn("label", F.col("label").cast("int"))
     return rounded(models.review_probability(models.fit_review_model(labelled), r).select("record_id", "pt"))
+
+
+@query("k11_combiner", "reviews_v")
+def k11(r):
+    rows = _triage_input(r).filter("label is not null").withColumn("label", F.col("label").cast("int"))
+    columns = ["pt", "rating_manipulation", "author_risk", "local_score", "slang_manipulation", "slang_authenticity", "template_component", "uniq", "extreme"]
+    return rounded(models.combiner_metrics(models.combine(models.fit_combiner(rows, columns), rows.drop("p"))))

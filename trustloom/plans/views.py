@@ -14,7 +14,7 @@ VIEWS = {
  CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE '10.0.' || CAST(e.user_id % 8 AS STRING) || '.' || CAST(e.event_id % 5 AS STRING) END AS ip_address,
  e.event_type AS geo_country, 'c' || CAST(e.user_id % 7 AS STRING) AS geo_city, coalesce(d.text, '') AS review_text,
  CASE WHEN e.event_type = 'error' THEN 1 ELSE 0 END AS is_fake
-FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 200""",
+FROM (SELECT v.*, k.n FROM events v CROSS JOIN (SELECT max(doc_id) + 1 AS n FROM documents) k) e LEFT JOIN documents d ON d.doc_id = e.event_id % e.n""",
     "reviews_v": """SELECT d.source AS page_id, d.doc_id AS record_id, CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE 'a' || CAST(d.doc_id % 97 AS STRING) END AS author,
  't' || CAST(d.doc_id % 29 AS STRING) AS title, CAST(1 + d.doc_id % 5 AS DOUBLE) AS rating,
  DATE '2024-01-01' + CAST(d.doc_id % 20 AS INT) AS review_date, 1704067200 + (d.doc_id % 500) * 3600 AS sec,
@@ -22,10 +22,11 @@ FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 200""",
  CASE d.doc_id % 6 WHEN 0 THEN 'amazon.com' WHEN 1 THEN 'wildberries.ru' WHEN 2 THEN 'ozon.ru' WHEN 3 THEN 'market.yandex.ru' WHEN 4 THEN 'aliexpress.com' ELSE 'example.com' END AS source_site,
  1 - l.quality AS label
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
-    "photos_v": """SELECT d.source AS page_id, d.doc_id AS record_id, CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE 'a' || CAST(d.doc_id % 97 AS STRING) END AS author, 1704067200 + (d.doc_id % 500) * 3600 AS sec, p.url AS url FROM documents d JOIN pages p ON p.page_id = (d.doc_id * 3) % 40 WHERE d.doc_id % 2 = 0
-UNION ALL SELECT d.source, d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE 'a' || CAST(d.doc_id % 97 AS STRING) END, 1704067200 + (d.doc_id % 500) * 3600, p.url FROM documents d JOIN pages p ON p.page_id = (d.doc_id * 5) % 40 WHERE d.doc_id % 4 = 0""",
-    "scored_v": """SELECT l.doc_id AS record_id, l.toxic AS label, CAST((l.doc_id * 37) % 101 AS DOUBLE) / 100 AS p, CAST((l.doc_id * 53) % 101 AS DOUBLE) / 100 AS pt, CAST((l.doc_id * 17) % 101 AS DOUBLE) / 100 AS rating_score,
- CAST((l.doc_id * 29) % 101 AS DOUBLE) / 100 AS local_score, CAST((l.doc_id * 7) % 11 AS DOUBLE) / 10 AS coverage, CAST(l.doc_id % 15 AS BIGINT) AS n_tokens, d.lang AS lang, d.source AS source, d.n_chars AS n_chars
+    "photos_v": """SELECT d.source AS page_id, d.doc_id AS record_id, CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE 'a' || CAST(d.doc_id % 97 AS STRING) END AS author, 1704067200 + (d.doc_id % 500) * 3600 AS sec, p.url AS url
+FROM (SELECT v.*, k.n FROM documents v CROSS JOIN (SELECT max(page_id) + 1 AS n FROM pages) k) d JOIN pages p ON p.page_id = (d.doc_id * 3) % d.n
+UNION ALL SELECT d.source, d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE 'a' || CAST(d.doc_id % 97 AS STRING) END, 1704067200 + (d.doc_id % 500) * 3600, p.url
+FROM (SELECT v.*, k.n FROM documents v CROSS JOIN (SELECT max(page_id) + 1 AS n FROM pages) k) d JOIN pages p ON p.page_id = (d.doc_id * 5 + 1) % d.n""",
+    "scored_v": """SELECT l.doc_id AS record_id, l.toxic AS label, CAST((l.doc_id * 37) % 101 AS DOUBLE) / 100 AS p, CAST((l.doc_id * 53) % 101 AS DOUBLE) / 100 AS pt, CAST((l.doc_id * 17) % 101 AS DOUBLE) / 100 AS rating_score, d.lang AS lang, d.source AS source, d.n_chars AS n_chars
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
 }
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 
 # Other names of the canonical rating columns, in order of preference.
 RATING_ALIASES = {"user_id": ["userid", "user", "reviewer_id"], "item_id": ["itemid", "product_id", "asin"], "rating": ["score", "stars", "overall"], "ts": ["timestamp", "time", "date"], "ip_address": ["ip", "ip_addr"], "geo_country": ["country"], "geo_city": ["city"], "review_text": ["text", "review", "comment"]}
 REQUIRED = ["user_id", "item_id", "rating", "ts"]
-# Texts of pages that hold a challenge instead of reviews.
-BLOCK_MARKERS = "captcha|access denied|verify you are human|unusual traffic|robot check"
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
@@ -111,7 +110,7 @@ def collection_summary(attempts: DataFrame) -> DataFrame:
 
 
 def is_blocked_page(html):
-    return F.substring(F.lower(html), 1, 12000).rlike(BLOCK_MARKERS)
+    return T.has_phrase(F.substring(html, 1, 12000), L.BLOCKED)
 
 
 def filter_noise(df: DataFrame, text: str = "review_text") -> DataFrame:
