@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-WORD = r"[^\x20\x09-\x0D]+"
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir; a fresh local one where that is unset on one machine (tests)."""
-    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if named:
-        return f"{named.rstrip('/')}/cuts-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return f"file://{_own_dirs[app]}"
-
+from trustloom.sources.tables import cut, drop_cuts, shared_dir
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: lineage ends, lost executors cost nothing.
+__all__ = ["WORD", "as_row", "beside", "bucket_of", "cut", "drop_cuts", "shared_dir", "text_of"]
 
-    Results read these tables lazily, so they are kept until drop_cuts, or until the folder is cleared.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete this application's cut tables, once nothing that reads them will run again."""
-    jvm, path = spark.sparkContext._jvm, shared_dir(spark)
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def beside(rows: DataFrame, keep: list[str], work: Callable[[list[str]], dict[str, pa.Array]], schema: str | StructType) -> DataFrame:
