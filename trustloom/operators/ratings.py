@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 from trustloom.operators import slang
+from trustloom.sources.tables import cut
 
 #: A median is read off directly once this many rows are left; before, their range is divided so often.
 MEDIAN_ROWS, MEDIAN_RANGES = 100_000, 256
@@ -161,8 +162,8 @@ def with_signals(df: DataFrame) -> DataFrame:
         "short": (words < 3).cast("int"), "short_extreme": (F.col("rating").isin(1.0, 5.0) & (words < 3)).cast("int"),
         "promotional": T.has_phrase(F.col("review_text"), L.RATING_PHRASES).cast("int"), "words": words,
     }))
-    narrow = df.drop("review_text").join(text_profiles(df), "text_key", "left").fillna(TEXT_SIGNALS | {"text_count": 1})
-    out = rating_deviation(join_stats(narrow))
+    narrow = df.drop("review_text").join(cut(text_profiles(df)), "text_key", "left").fillna(TEXT_SIGNALS | {"text_count": 1})
+    out = cut(rating_deviation(join_stats(cut(narrow))))  # five tables are made of the narrow rows, three windows of the joined ones
     for key, seconds, name in (("user_id", 86400, "user_24h"), ("ip_address", 3600, "ip_1h"), ("item_id", 86400, "item_24h")):
         out = burst_count(out, key, seconds, name)
     return out
