@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.functions import lexicons as L
@@ -34,6 +34,17 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))
 
 
+def ngrams(tok: Column, n: int) -> Column:
+    """n-grams of a column of tokens, joined by spaces; each word is read by its place, as slices of long arrays would be copied."""
+    one = lambda i: F.concat_ws(" ", *[F.get(tok, i + k) for k in range(n)])
+    return F.when(F.size(tok) >= n, F.transform(F.sequence(F.lit(0), F.size(tok) - n), one)).otherwise(F.array().cast("array<string>"))
+
+
+def exploded(df: DataFrame, array: Column, name: str, keep: list[str]) -> DataFrame:
+    """keep and one row per element. An outer explode, as the other's inferred size filter is pushed down and computes the array again inside its own lambdas."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def word_count(c: Column) -> Column:
     t = norm_text(c)
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
@@ -196,3 +207,63 @@ def item_id_from_url(url: Column) -> Column:
 def array_of(*rules: tuple[Column, str]) -> Column:
     """The texts of the rules that hold, in order."""
     return F.filter(F.array(*[F.when(cond, F.lit(text)) for cond, text in rules]), lambda x: x.isNotNull())
+
+
+# Texts that pages put around reviews.
+BOILERPLATE = ["Brief content visible, double tap to read full content.", "Full content visible, double tap to read brief content.", "Brief content visible, double tap to read full content", "Full content visible, double tap to read brief content"]
+
+
+def clean_boilerplate(c: Column) -> Column:
+    out = norm_text(c)
+    for phrase in BOILERPLATE:
+        out = F.replace(out, F.lit(phrase), F.lit(" "))
+    return norm_text(out)
+
+
+def clean_title(title: Column, rating_text: Column) -> Column:
+    """The title without a rating text that it begins with."""
+    t, r = norm_text(title), norm_text(rating_text)
+    rest = F.regexp_replace(F.substring(t, F.length(r) + 1, F.length(t)), r"^[ \-:|]+|[ \-:|]+$", "")
+    return norm_text(F.when((r != "") & F.lower(t).startswith(F.lower(r)), rest).otherwise(t))
+
+
+# Month names by their first letters, and units of relative dates in days.
+MONTHS = {"jan": 1, "янв": 1, "feb": 2, "фев": 2, "mar": 3, "мар": 3, "apr": 4, "апр": 4, "may": 5, "мая": 5, "май": 5, "jun": 6, "июн": 6, "jul": 7, "июл": 7, "aug": 8, "авг": 8, "sep": 9, "сен": 9, "oct": 10, "окт": 10, "nov": 11, "ноя": 11, "dec": 12, "дек": 12}
+DAYS_AGO = {"today": 0, "сегодня": 0, "yesterday": 1, "вчера": 1, "позавчера": 2}
+UNIT_DAYS = {"day": 1, "дн": 1, "ден": 1, "week": 7, "недел": 7, "month": 30, "месяц": 30, "year": 365, "год": 365, "лет": 365}
+
+
+def parse_human_date(c: Column, now: Column) -> Column:
+    """Dates as people write them: ISO, day.month.year, day and month name in Russian or English (the year before now if it is missing), and relative days."""
+    t = F.lower(norm_text(F.replace(c, F.lit("\u00a0"), F.lit(" "))))
+    pick = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
+    date = lambda y, m, d: F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
+    iso = pick(r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).try_cast("date")
+    dotted = date(pick(r"([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})", 3), pick(r"([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})", 2), pick(r"([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})", 1))
+    names = "|".join(MONTHS)
+    numbers = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    first, second = rf"([0-9]{{1,2}}) ({names})\p{{L}}*\.?,?(?: ([0-9]{{4}}))?", rf"({names})\p{{L}}*\.? ([0-9]{{1,2}})(?:,? ([0-9]{{4}}))?(?:[^0-9]|$)"
+    day, month, year = (F.coalesce(pick(first, a), pick(second, b)) for a, b in ((1, 2), (2, 1), (3, 3)))
+    this = date(F.year(now).cast("string"), numbers[month], day)
+    named = F.when(year.isNotNull(), date(year, numbers[month], day)).when(this > now.cast("date"), date((F.year(now) - 1).cast("string"), numbers[month], day)).otherwise(this)
+    said = F.coalesce(*[F.when(t.contains(w), F.lit(k)) for w, k in sorted(DAYS_AGO.items(), key=lambda x: -len(x[0]))])
+    amount, unit = pick(r"([0-9]+) (\p{L}+)(?: \p{L}+)? ?(?:ago|назад)", 1).try_cast("int"), pick(r"([0-9]+) (\p{L}+)(?: \p{L}+)? ?(?:ago|назад)", 2)
+    back = F.coalesce(*[F.when(unit.startswith(w), amount * k) for w, k in UNIT_DAYS.items()])
+    return F.coalesce(iso, dotted, F.date_sub(now.cast("date"), F.coalesce(said, back)), named)
+
+
+def lexical_coverage(tok: Column, known: Column) -> Column:
+    """Share of the tokens that are in an array of known words; 0 without tokens."""
+    return F.when(F.size(tok) == 0, 0.0).otherwise(F.size(F.filter(tok, lambda x: F.array_contains(known, x))) / F.size(tok))
+
+
+def text_numeric_features(text: Column, rating: Column) -> dict[str, Column]:
+    """Ten scaled measures of a text and its rating."""
+    t, tok = F.coalesce(text, F.lit("")), tokens(text)
+    n, chars = F.size(tok), F.length(t)
+    mean = F.when(n > 0, F.aggregate(tok, F.lit(0), lambda a, x: a + F.length(x)) / n).otherwise(0.0)
+    unique = F.size(F.array_distinct(tok)) / F.greatest(n, F.lit(1))
+    return {
+        "rating_scaled": clip(F.coalesce(rating, F.lit(0.0)) / 5), "word_count_scaled": clip(n / 120), "character_count_scaled": clip(chars / 600), "unique_word_ratio": clip(unique), "repetition_ratio": clip(1 - unique), "average_word_length_scaled": clip(mean / 12),
+        "exclamation_density_scaled": clip(25 * punct_density(t, "!")), "question_density_scaled": clip(25 * punct_density(t, "?")), "uppercase_ratio_scaled": clip(4 * uppercase_ratio(t)), "digit_ratio_scaled": clip(10 * digit_ratio(t)),
+    }

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as T
+from trustloom.operators import evaluation
 
 
 def to_training_rows(df: DataFrame, title: str | None, body: str, rating: str, label: Column, source: str) -> DataFrame:
@@ -84,19 +85,52 @@ def corpus_report(df: DataFrame) -> DataFrame:
     return by.select(name.alias("dimension"), value.alias("value"), "n", "lineages")
 
 
-def tfidf(df: DataFrame, min_docs: int = 2, max_share: float = 0.9, top: int = 2000) -> DataFrame:
-    """Sublinear tf, smoothed idf, L2 norm per record, over the most frequent terms within document-frequency limits."""
-    tok = T.tokens(F.col("review_text"))
-    tf = df.select("record_id", F.explode(tok).alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("tf"))
+def grams(tok: Column, most: int = 1) -> Column:
+    """Word n-grams of 1 to most words, from a column of tokens (a computed one would be computed for each gram)."""
+    return F.concat(tok, *[T.ngrams(tok, n) for n in range(2, most + 1)])
+
+
+def char_grams(c: Column, least: int = 3, most: int = 5) -> Column:
+    """Character n-grams inside words, each word between two spaces; of a shorter word the whole."""
+    word = F.transform(T.tokens(c), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    cut_ = lambda w, n: F.when(F.length(w) <= n, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n)))
+    some = lambda n: F.flatten(F.transform(F.filter(word, lambda w: F.lit(n == least) | (F.length(w) >= n)), lambda w: cut_(w, n)))
+    return F.concat(*[some(n) for n in range(least, most + 1)])
+
+
+def tfidf(df: DataFrame, min_docs: int = 2, max_share: float = 0.9, top: int = 2000, terms: Column | None = None) -> DataFrame:
+    """Sublinear tf, smoothed idf, L2 norm per record, over the most frequent terms within document-frequency limits; terms: words and word pairs by default."""
+    rows = df.select("record_id", (T.tokens(F.col("review_text")) if terms is None else terms).alias("__g"))
+    rows = rows.select("record_id", grams(F.col("__g"), 2).alias("__g")) if terms is None else rows
+    tf = T.exploded(rows, F.col("__g"), "term", ["record_id"]).groupBy("record_id", "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*").alias("n_docs"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n), F.lit(True))  # one row
-    terms = terms.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.col("n_docs"))).orderBy(F.desc("total"), "term").limit(top)
+    kept = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n), F.lit(True))  # one row
+    kept = kept.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.col("n_docs"))).orderBy(F.desc("total"), "term").limit(top)
     w = (1 + F.log(F.col("tf"))) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    rows = tf.join(terms, "term").select("record_id", "term", w.alias("w"))
+    rows = tf.join(F.broadcast(kept), "term").select("record_id", "term", w.alias("w"))  # at most top rows
     norm = rows.groupBy("record_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     return rows.join(norm, "record_id").select("record_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def wide_profile_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A sentence on the three highest and two lowest columns of a wide score table, and the mean of what isn't zero; the first column wins a tie."""
+    scores = F.array(*[F.struct(F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias("v"), F.lit(-i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(columns)])
+    rows = df.withColumn("__s", F.reverse(F.array_sort(scores)))
+    top = F.transform(F.filter(F.slice("__s", 1, 3), lambda x: x["v"] > 0), lambda x: x["name"])
+    low = F.transform(F.filter(F.slice("__s", len(columns) - 1, 2), lambda x: x["v"] >= 0), lambda x: x["name"])
+    some = F.filter("__s", lambda x: x["v"] != 0)
+    mean = F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(some)).otherwise(0.0)
+    join = lambda names, none: F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(none)
+    text = F.concat(F.lit("This traveler usually gives higher ratings to "), join(top, "several travel categories"), F.lit(", while "), join(low, "a few other categories"), F.lit(" receive lower scores. The preference pattern looks detailed and organic."))
+    return rows.withColumns({"review_text": text, "rating": mean}).drop("__s")
+
+
+def balance_classes(df: DataFrame, target: int, seed: str = "0") -> DataFrame:
+    """At most target rows of each label, the first by a salted digest; ranks come from digest ranges, not from one task a label."""
+    ranked = evaluation.stratified_rank(df, seed)
+    return ranked.filter(F.col("__rank") < target).drop("__rank", "__all")
+
+
 def activity_series(df: DataFrame) -> DataFrame:
     """Reviews per day of each page from its first to its last day, zero-filled."""
     day = df.groupBy("page_id", F.col("review_date").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("rating") <= 2).alias("low"))
@@ -132,3 +166,25 @@ def merge_reviews(a: DataFrame, b: DataFrame) -> DataFrame:
     key = F.when(F.length(t) >= 30, t).otherwise(F.concat_ws("\u0001", F.lower("author"), "review_date", F.round("rating", 1).cast("string"), t))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct("__src", "record_id"))).alias(c)
     return rows.groupBy(F.md5(key).alias("merge_key")).agg(F.count("*").alias("n_merged"), F.min("record_id").alias("record_id"), F.max_by("review_text", F.struct(F.length("review_text"), -F.col("record_id"))).alias("review_text"), first("author"), first("rating"))
+
+
+def filter_reviews(df: DataFrame, severity: str = "all", language: str = "all", triage: str = "all", query: str = "", sort: str = "score") -> DataFrame:
+    """The moderation list: rows of a severity, language and triage whose text, title, author or reasons hold the query, in order."""
+    wanted = [F.col(c) == v for c, v in (("severity", severity), ("language", language), ("triage", triage)) if v != "all"]
+    text = F.lower(F.concat_ws(" ", *[c for c in ("title", "review_text", "reason", "author", "triage") if c in df.columns]))
+    for cond in [*wanted, text.contains(query.strip().lower())]:
+        df = df.filter(cond)
+    order = {"score": F.desc("score"), "date": F.desc("review_date"), "rating": F.desc("rating")}[sort]
+    return df.orderBy(order, "record_id")
+
+
+def anomaly_profile(counts: DataFrame) -> DataFrame:
+    """Of groups with counts n: the dominant share, signals per group, groups near the largest, mean intensity; whole percents."""
+    most = counts.agg(F.greatest(F.max("n"), F.lit(1)).alias("__most"))
+    rows = counts.join(F.broadcast(most), F.lit(True))  # one row
+    half_up = lambda c: F.floor(c + 0.5).cast("long")
+    total, groups = F.coalesce(F.sum("n"), F.lit(0)), F.greatest(F.count("*"), F.lit(1))
+    return rows.agg(
+        half_up(F.coalesce(F.max("n"), F.lit(0)) / F.greatest(total, F.lit(1)) * 100).alias("dominant_share"), half_up(total / groups).alias("signal_density"), F.count_if(F.col("n") >= F.col("__most") * 0.55).alias("hot_groups"),
+        half_up(F.coalesce(F.sum(F.col("n") / F.col("__most")), F.lit(0.0)) / groups * 100).alias("average_intensity"),
+    )

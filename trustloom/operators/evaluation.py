@@ -131,8 +131,8 @@ def leaks(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
 
 
-def stratified_split(df: DataFrame, test_share: float = 0.2, salt: str = "0", ranges: int = 4096) -> DataFrame:
-    """The first test_share of each label in the order of the salted md5. Ranks are prefix sums of counts by digest range, so no label is one task."""
+def stratified_rank(df: DataFrame, salt: str = "0", ranges: int = 4096) -> DataFrame:
+    """df with __rank from 0 in the order of the salted md5 inside each label, and __all, the label's rows: prefix sums of counts by digest range, so no label is one task."""
     digest = F.md5(F.concat(F.lit(salt), F.col("record_id").cast("string")))
     rows = df.withColumn("__d", digest).withColumn("__r", F.floor(F.conv(F.substring("__d", 1, 8), 16, 10).cast("long") * ranges / 2**32))
     sums = rows.groupBy("label", "__r").agg(F.count("*").alias("__n"))
@@ -140,8 +140,29 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, salt: str = "0", ra
     before = sums.select(F.col("label").alias("__l"), F.col("__r").alias("__q"), (F.sum("__n").over(w.orderBy("__r")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__all"))
     inner = F.row_number().over(W.partitionBy("label", "__r").orderBy("__d")) - 1
     ranked = rows.withColumn("__in", inner).join(before, F.col("label").eqNullSafe(F.col("__l")) & (F.col("__r") == F.col("__q")))
-    share = (F.col("__before") + F.col("__in")) / F.greatest(F.col("__all") - 1, F.lit(1))
-    return ranked.withColumn("part", F.when(share < test_share, "test").otherwise("train")).drop("__d", "__r", "__l", "__q", "__before", "__all", "__in")
+    return ranked.withColumn("__rank", F.col("__before") + F.col("__in")).drop("__d", "__r", "__l", "__q", "__before", "__in")
+
+
+def stratified_split(df: DataFrame, test_share: float = 0.2, salt: str = "0") -> DataFrame:
+    """The first test_share of each label in the order of the salted md5."""
+    ranked = stratified_rank(df, salt)
+    share = F.col("__rank") / F.greatest(F.col("__all") - 1, F.lit(1))
+    return ranked.withColumn("part", F.when(share < test_share, "test").otherwise("train")).drop("__rank", "__all")
+
+
+def recommendations(df: DataFrame, manual_ratio: float = 0.0) -> DataFrame:
+    """Advice by rule from precision, recall, calibration error and the share of manual reviews."""
+    c = F.col
+    rows = classification_metrics(df).join(calibration_error(df), F.lit(True))  # one row each
+    # The sentences.
+    found = T.array_of(
+        (c("precision") < 0.75, "Increase clean-review diversity or raise the production threshold to reduce false positives."),
+        (c("recall") < 0.75, "Add more confirmed manipulation examples and lower the review threshold for investigative mode."),
+        (c("ece") > 0.10, "Recalibrate probabilities with a larger validation split or isotonic/Platt calibration."),
+        (F.lit(manual_ratio > 0.35), "The abstention band is broad; tighten manual-review thresholds after reviewing false positives."),
+    )
+    none = F.array(F.lit("Current metrics are stable; next improvement should focus on more real marketplace data."))
+    return rows.select(F.when(F.size(found) == 0, none).otherwise(found).alias("recommendations"))
 
 
 def combine_simple(pt: Column, rating: Column) -> Column:

@@ -45,7 +45,7 @@ def ai_features(df: DataFrame) -> DataFrame:
     mean = F.when(F.size("__sents") > 0, F.aggregate("__sents", F.lit(0), lambda a, x: a + x) / F.size("__sents")).otherwise(0.0)
     rows = rows.withColumn("__mean", mean)
     deviation = F.sqrt(F.aggregate("__sents", F.lit(0.0), lambda a, x: a + (x - c("__mean")) * (x - c("__mean"))) / F.greatest(F.size("__sents"), F.lit(1)))
-    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(words - 1, F.lit(1))), lambda i: F.array_join(F.slice("__words", i, 2), " "))
+    bigrams = T.ngrams(F.col("__words"), 2)
     polish = c("__generic") + c("__connector") + c("__catalog")
     out = {
         "words": words, "words_log": F.log1p(words), "sentences_log": F.log1p(F.size("__sents")), "sent_mean": T.clip(c("__mean") / 28),

@@ -100,3 +100,36 @@ def best_cluster_per_review(photos: DataFrame, clusters: DataFrame) -> DataFrame
 
 def temporal_risk(ratio: Column, size: Column) -> Column:
     return F.when((ratio >= 0.30) | (size >= 5), "high").when((ratio >= 0.16) | (size >= 3), "medium").otherwise("low")
+
+
+# Traces of image generators in metadata, and words that tell a photo's category.
+METADATA_HINTS = ["automatic1111", "comfyui", "dall-e", "dalle", "diffusion", "midjourney", "negative prompt", "positive prompt", "sampler", "sdxl", "stable diffusion", "stablediffusion"]
+
+
+def metadata_signal(metadata: Column) -> Column:
+    """0.86 if the metadata text of an image names a generator or a prompt."""
+    return F.when(T.has_phrase(metadata, METADATA_HINTS), 0.86).otherwise(0.0)
+
+
+def product_category(columns: list[Column], text: Column) -> Column:
+    """The first of the given categories that says something, else the first domain one of whose keywords is in the text."""
+    given = [F.when((T.norm_text(c) != "") & (T.norm_text(c) != "general"), F.lower(T.norm_text(c))) for c in columns]
+    t = F.lower(T.norm_text(text))
+    hinted = [F.when(T.has_phrase(t, words), name) for name, words in L.DOMAIN_KEYWORDS.items()]
+    return F.coalesce(*given, *hinted, F.lit("general product"))
+
+
+def best_image(images: DataFrame) -> DataFrame:
+    """Of each review's images the one of largest risk, the first URL on a tie. images: record_id, url, mismatch, stock, synthetic."""
+    risk = F.greatest("mismatch", "stock", "synthetic")
+    best = F.min_by(F.struct("url", "mismatch", "stock", "synthetic"), F.struct((-risk).alias("r"), "url"))
+    return images.groupBy("record_id").agg(best.alias("b"), F.count("*").alias("images")).select("record_id", "images", "b.*")
+
+
+def alignment_summary(best: DataFrame) -> DataFrame:
+    """Per page: evaluated reviews, flagged ones by kind, ratios and means. best: page_id beside what best_image gives."""
+    c, n = F.col, F.count("*")
+    flags = {"mismatch": 0.58, "stock": 0.58, "synthetic": 0.66}
+    return best.groupBy("page_id").agg(
+        n.alias("evaluated"), *[F.count_if(c(k) >= t).alias(f"{k}_reviews") for k, t in flags.items()], *[(F.count_if(c(k) >= t) / n).alias(f"{k}_ratio") for k, t in flags.items()], *[F.avg(k).alias(f"{k}_mean") for k in flags]
+    )

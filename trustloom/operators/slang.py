@@ -223,8 +223,7 @@ def candidate_terms(c: Column) -> Column:
 
 
 def _grams(tok: Column) -> Column:
-    gram = lambda n: F.when(F.size(tok) >= n, F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1), lambda i: F.array_join(F.slice(tok, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(tok, gram(2), gram(3)))
+    return F.array_distinct(F.concat(tok, T.ngrams(tok, 2), T.ngrams(tok, 3)))
 
 
 def learn_lexicon(df: DataFrame, k: int = 20, min_docs: int = 2, by: list[str] | None = None, min_rows: int = 0) -> DataFrame:
@@ -234,7 +233,7 @@ def learn_lexicon(df: DataFrame, k: int = 20, min_docs: int = 2, by: list[str] |
     totals = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
     if keys:
         totals = totals.filter((F.col("P") > 0) & (F.col("N") > 0) & (F.col("P") + F.col("N") >= min_rows))
-    terms = rows.select(*keys, "label", F.explode(_grams(F.col("__tok"))).alias("term")).groupBy(*keys, "term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    terms = T.exploded(rows, _grams(F.col("__tok")), "term", [*keys, "label"]).groupBy(*keys, "term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     terms = terms.filter(F.col("pos") + F.col("neg") >= min_docs)
     terms = terms.join(totals, keys) if keys else terms.join(F.broadcast(totals), F.lit(True))  # one row without keys
     score = (F.col("pos") + 0.5) / (F.col("P") + 1) - (F.col("neg") + 0.5) / (F.col("N") + 1)
@@ -246,7 +245,7 @@ def learn_lexicon(df: DataFrame, k: int = 20, min_docs: int = 2, by: list[str] |
 
 def apply_lexicon(df: DataFrame, learned: DataFrame) -> DataFrame:
     """Distinct hits of learned terms (1 to 3 words) per review and polarity: words and word pairs meet the k terms."""
-    own = df.select("record_id", candidate_terms(F.col("review_text")).alias("__tok")).select("record_id", F.explode(_grams(F.col("__tok"))).alias("term"))
+    own = T.exploded(df.select("record_id", candidate_terms(F.col("review_text")).alias("__tok")), _grams(F.col("__tok")), "term", ["record_id"])
     by = own.join(F.broadcast(learned.select("term", "polarity")), "term").groupBy("record_id").agg(F.count_if(F.col("polarity") == "suspicious").alias("learned_suspicious"), F.count_if(F.col("polarity") == "authentic").alias("learned_authentic"))
     return df.join(by, "record_id", "left").fillna({"learned_suspicious": 0, "learned_authentic": 0})
 

@@ -639,13 +639,103 @@ def c09(r):
     return corpus.corpus_report(r.select("label", F.col("source").alias("source_group"), F.col("lang").alias("language"), T.split_group(F.col("review_text")).alias("split_group")))
 
 
-@query("k01_tfidf", "reviews_v", rf""", t AS (SELECT record_id, unnest({RTOK}) AS term FROM reviews_v), f AS (SELECT record_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM reviews_v),
+@query("k01_tfidf", "reviews_v", rf""", t AS (SELECT record_id, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM (SELECT record_id, {RTOK} AS k FROM reviews_v)), f AS (SELECT record_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM reviews_v),
  d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1), k AS (SELECT d.* FROM d, n WHERE df >= 2 AND df <= 0.9 * n ORDER BY total DESC, term LIMIT 2000),
  w AS (SELECT record_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM f JOIN k USING (term), n) SELECT record_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY record_id)), 4) AS weight FROM w""")
 def k01(r):
     return rounded(corpus.tfidf(r))
 
 
+CHARS = rf"(SELECT record_id, unnest(list_transform({RTOK}, lambda w: ' ' || w || ' ')) AS w FROM reviews_v)"
+
+
+@query("k01_char_tfidf", "reviews_v", rf""", t AS (SELECT record_id, unnest(CASE WHEN length(w) <= n THEN [w] ELSE list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) END) AS term FROM {CHARS}, (SELECT unnest([3, 4, 5]) AS n) WHERE n = 3 OR length(w) >= n), f AS (SELECT record_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM reviews_v),
+ d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1), k AS (SELECT d.* FROM d, n WHERE df >= 2 AND df <= 0.9 * n ORDER BY total DESC, term LIMIT 1000),
+ w AS (SELECT record_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM f JOIN k USING (term), n) SELECT record_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY record_id)), 4) AS weight FROM w""")
+def k01b(r):
+    return rounded(corpus.tfidf(r, top=1000, terms=corpus.char_grams(F.col("review_text"))))
+
+
+@query("k02_text_numerics", "reviews_v", rf""" SELECT record_id, round({clip_sql('rating / 5')}, 4) AS rating_scaled, round({clip_sql(f'len({RTOK}) / 120.0')}, 4) AS word_count_scaled, round({clip_sql('length(review_text) / 600.0')}, 4) AS character_count_scaled, round(len(list_distinct({RTOK})) / greatest(len({RTOK}), 1)::DOUBLE, 4) AS unique_word_ratio,
+ round(1 - len(list_distinct({RTOK})) / greatest(len({RTOK}), 1)::DOUBLE, 4) AS repetition_ratio, round({clip_sql(f"coalesce(list_avg(list_transform({RTOK}, lambda x: length(x))), 0) / 12")}, 4) AS average_word_length_scaled, round({clip_sql("25 * len(regexp_extract_all(review_text, '[!]')) / greatest(length(review_text), 1)::DOUBLE")}, 4) AS exclamation_density_scaled,
+ round({clip_sql("25 * len(regexp_extract_all(review_text, '[?]')) / greatest(length(review_text), 1)::DOUBLE")}, 4) AS question_density_scaled, round({clip_sql(r"4 * len(regexp_extract_all(review_text, '\p{Lu}')) / greatest(len(regexp_extract_all(review_text, '\p{L}')), 1)::DOUBLE")}, 4) AS uppercase_ratio_scaled, round({clip_sql(r"10 * len(regexp_extract_all(review_text, '\p{Nd}')) / greatest(length(review_text), 1)::DOUBLE")}, 4) AS digit_ratio_scaled FROM reviews_v""")
+def k02(r):
+    return rounded(r.select("record_id", *[c.alias(n) for n, c in T.text_numeric_features(F.col("review_text"), F.col("rating")).items()]))
+
+
+@query("s14_human_dates", "reviews_v", " SELECT record_id, (CASE record_id % 5 WHEN 3 THEN DATE '2024-03-01' - CAST(record_id % 9 AS INT) WHEN 4 THEN CASE WHEN review_date > DATE '2024-01-10' THEN review_date - INTERVAL 1 YEAR ELSE review_date END ELSE review_date END)::DATE::VARCHAR AS day FROM reviews_v")
+def s14(r):
+    k, d = r.record_id % 5, r.review_date
+    ru = F.concat_ws(" ", F.day(d).cast("string"), F.lit("января"), F.year(d).cast("string"))
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd.MM.yyyy")).when(k == 2, ru).when(k == 3, F.concat((r.record_id % 9).cast("string"), F.lit(" days ago"))).otherwise(F.date_format(d, "MMMM d"))
+    now = F.when(k == 4, F.lit("2024-01-10")).otherwise(F.lit("2024-03-01")).cast("date")
+    return r.select("record_id", T.parse_human_date(text, now).cast("string").alias("day"))
+
+
+@query("s22_boilerplate", "reviews_v", f" SELECT record_id, md5({RT}) AS text_md5, title FROM reviews_v")
+def s22(r):
+    around = F.concat(F.lit("Brief content visible, double tap to read full content. "), "review_text", F.lit(" Full content visible, double tap to read brief content"))
+    return r.select("record_id", F.md5(T.clean_boilerplate(around)).alias("text_md5"), T.clean_title(F.concat(F.lit("5.0 out of 5 stars - "), "title"), F.lit("5.0 out of 5 Stars")).alias("title"))
+
+
+@query("p15_families", "reviews_v", f" SELECT record_id, CASE {' '.join('WHEN ' + any_of('lower(source)', v) + f" THEN '{k}'" for k, v in L.FAMILY_SOURCES.items())} {' '.join('WHEN ' + any_of(f'lower({RT})', v) + f" THEN '{k}'" for k, v in L.FAMILY_TEXTS.items())} ELSE 'general' END AS family FROM reviews_v")
+def p15(r):
+    return r.select("record_id", T.product_family(F.col("review_text"), F.col("source")).alias("family"))
+
+
+@query("p19_moderation_list", "reviews_v", " SELECT record_id FROM reviews_v WHERE lang = 'en' AND contains(lower(title || ' ' || review_text || ' ' || author), 'the')")
+def p19(r):
+    rows = r.withColumns({"language": F.col("lang"), "severity": F.lit("low"), "triage": F.lit(""), "score": F.col("rating")})
+    return corpus.filter_reviews(rows.drop("triage"), language="en", query="the ").select("record_id")
+
+
+@query("p20_lexical_coverage", "reviews_v", rf", w AS (SELECT record_id, {RTOK} AS k FROM reviews_v), kn AS (SELECT list(term) AS known FROM (SELECT term, count(*) AS n FROM (SELECT record_id, unnest(k) AS term FROM w) GROUP BY 1 ORDER BY n DESC, term LIMIT 500)) SELECT record_id, round(CASE WHEN len(k) = 0 THEN 0 ELSE len(list_filter(k, lambda x: list_contains(known, x))) / len(k)::DOUBLE END, 4) AS coverage FROM w, kn")
+def p20(r):
+    words = r.select("record_id", T.tokens(F.col("review_text")).alias("tok"))
+    known = words.select(F.explode("tok").alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(500).agg(F.collect_list("term").alias("known"))
+    return rounded(words.join(F.broadcast(known), F.lit(True)).select("record_id", T.lexical_coverage(F.col("tok"), F.col("known")).alias("coverage")))
+
+
+@query("c07_balance", "scored_v", " SELECT record_id FROM (SELECT record_id, row_number() OVER (PARTITION BY label ORDER BY md5('3' || record_id)) AS i FROM scored_v) WHERE i <= 10")
+def c07(s):
+    return corpus.balance_classes(s, 10, "3").select("record_id")
+
+
+WIDE = ["click", "error", "login", "purchase", "signup", "view"]
+
+
+@query("c03_wide_profiles", "events", f"""WITH w AS (SELECT user_id, {', '.join(f"round(coalesce(avg(value) FILTER (WHERE event_type = '{k}'), 0), 6) AS {k}" for k in WIDE)} FROM events GROUP BY 1), l AS (SELECT user_id, unnest([{', '.join(f"{{'v': {k}, 'i': -{i}, 'name': '{k}'}}" for i, k in enumerate(WIDE))}], recursive := true) FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, i DESC) AS k FROM l)
+ SELECT user_id, 'This traveler usually gives higher ratings to ' || coalesce(string_agg(name, ', ' ORDER BY k) FILTER (WHERE k <= 3 AND v > 0), 'several travel categories') || ', while ' || coalesce(string_agg(name, ', ' ORDER BY k) FILTER (WHERE k >= 5 AND v >= 0), 'a few other categories') || ' receive lower scores. The preference pattern looks detailed and organic.' AS review_text, round(coalesce(avg(v) FILTER (WHERE v != 0), 0), 4) AS rating FROM r GROUP BY 1""")
+def c03(e):
+    wide = e.groupBy("user_id").agg(*[F.round(F.coalesce(F.avg(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)), 6).alias(k) for k in WIDE])
+    return rounded(corpus.wide_profile_text(wide, WIDE).select("user_id", "review_text", "rating"))
+
+
+@query("d07_anomaly_profile", "reviews_v", " , g AS (SELECT source, count(*) AS n FROM reviews_v GROUP BY 1), x AS (SELECT greatest(max(n), 1) AS most FROM g) SELECT floor(max(n) / sum(n)::DOUBLE * 100 + .5)::BIGINT AS dominant_share, floor(sum(n) / count(*)::DOUBLE + .5)::BIGINT AS signal_density, count(*) FILTER (WHERE n >= most * .55) AS hot_groups, floor(sum(n / most::DOUBLE) / count(*) * 100 + .5)::BIGINT AS average_intensity FROM g, x")
+def d07(r):
+    return rounded(corpus.anomaly_profile(r.groupBy("source").agg(F.count("*").alias("n"))))
+
+
+@query("e08_recommendations", "scored_v")
+def e08(s):
+    return evaluation.recommendations(s, 0.4).select(F.array_join("recommendations", " ").alias("recommendations"))
+
+
+@query("f13_f17_image_scores", "photos_v", f""", im AS (SELECT page_id, record_id, url, ((record_id * 31) % 101) / 100.0 AS mismatch, {hint_sql(L.STOCK_HINTS, L.STRONG_STOCK_HINTS, ".62", ".46").replace("(u,", "(lower(url),")} AS stock, CASE WHEN {any_of("lower(md)", photos.METADATA_HINTS)} THEN .86 ELSE 0 END AS synthetic FROM (SELECT DISTINCT page_id, record_id, url, 'Software=' || CASE record_id % 7 WHEN 0 THEN 'ComfyUI' ELSE 'camera' END AS md FROM photos_v)),
+ bi AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY greatest(mismatch, stock, synthetic) DESC, url) AS i FROM im) SELECT page_id, count(*) AS evaluated, count(*) FILTER (WHERE mismatch >= .58) AS mismatch_reviews, count(*) FILTER (WHERE stock >= .58) AS stock_reviews, count(*) FILTER (WHERE synthetic >= .66) AS synthetic_reviews, round(avg(CASE WHEN mismatch >= .58 THEN 1.0 ELSE 0 END), 4) AS mismatch_ratio, round(avg(CASE WHEN stock >= .58 THEN 1.0 ELSE 0 END), 4) AS stock_ratio, round(avg(CASE WHEN synthetic >= .66 THEN 1.0 ELSE 0 END), 4) AS synthetic_ratio, round(avg(mismatch), 4) AS mismatch_mean, round(avg(stock), 4) AS stock_mean, round(avg(synthetic), 4) AS synthetic_mean FROM bi WHERE i = 1 GROUP BY 1""")
+def f13(p):
+    md = F.concat(F.lit("Software="), F.when(F.col("record_id") % 7 == 0, "ComfyUI").otherwise("camera"))
+    stock = F.when(T.has_phrase(F.col("url"), L.STRONG_STOCK_HINTS), 0.62).when(T.has_phrase(F.col("url"), L.STOCK_HINTS), 0.46).otherwise(0.0)
+    images = p.select("page_id", "record_id", "url").distinct().withColumns({"mismatch": (F.col("record_id") * 31) % 101 / 100.0, "stock": stock, "synthetic": photos.metadata_signal(md)})
+    best = photos.best_image(images).join(images.select("page_id", "record_id").distinct(), "record_id")
+    return rounded(photos.alignment_summary(best))
+
+
+@query("f15_categories", "reviews_v", f" SELECT record_id, CASE {' '.join('WHEN ' + any_of(f'lower({RT})', v) + f" THEN '{k}'" for k, v in L.DOMAIN_KEYWORDS.items())} ELSE 'general product' END AS category FROM reviews_v")
+def f15(r):
+    return r.select("record_id", photos.product_category([F.lit("general")], F.col("review_text")).alias("category"))
+
+
 SERIES = ", d AS (SELECT page_id, review_date AS day, count(*) AS n, count(*) FILTER (WHERE rating <= 2) AS low FROM reviews_v GROUP BY 1, 2), s AS (SELECT page_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1), a AS (SELECT page_id, day, coalesce(n, 0) AS n, coalesce(low, 0) AS low FROM s LEFT JOIN d USING (page_id, day))"
 
 
