@@ -321,9 +321,9 @@ def l12(r):
     return slang.dominant_marketplace(r)
 
 
-@query("l13_slang_reasons", "reviews_v", Q.slang("reviews_v") + f" SELECT record_id, {SLANG_REASON} AS slang_reason FROM sl WHERE m >= .2")
+@query("l13_slang_reasons", "reviews_v", Q.slang("reviews_v") + f" SELECT record_id, {SLANG_REASON} AS slang_reason, round(m, 4) AS slang_manipulation FROM sl")
 def l13(r):
-    return slang.slang_reason(_slang(r)).filter("slang_manipulation >= 0.2").select("record_id", "slang_reason")
+    return rounded(slang.slang_reason(_slang(r)).select("record_id", "slang_reason", "slang_manipulation"))
 
 
 def lexicon_sql(key: str) -> str:
