@@ -429,10 +429,10 @@ TEMPORAL = f""", e AS (SELECT DISTINCT page_id, record_id, nullif(lower(author),
  st AS (SELECT DISTINCT page_id, fp, sec AS start FROM e), en AS (SELECT DISTINCT page_id, fp, sec AS "end" FROM e),
  pr AS (SELECT st.page_id, st.fp, st.start, en."end", count(DISTINCT e.record_id) AS n, count(DISTINCT e.author) AS authors FROM st JOIN en ON st.page_id = en.page_id AND st.fp = en.fp AND en."end" BETWEEN st.start AND st.start + 172800 JOIN e ON e.page_id = st.page_id AND e.fp = st.fp AND e.sec BETWEEN st.start AND en."end" GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT e.record_id) >= 2 AND count(DISTINCT e.author) >= 2),
  sc AS (SELECT *, round(.34 * least(n / 4.0, 1) + .38 * least(authors / 3.0, 1) + .28 * (1 - ("end" - start) / 172800.0), 6) AS score FROM pr),
- bb AS (SELECT page_id, fp, start AS start_sec, "end" AS end_sec, n AS n_reviews, authors AS n_authors, round(score, 4) AS score, (CASE WHEN score >= .55 THEN 1 ELSE 0 END)::BIGINT AS flag FROM sc QUALIFY row_number() OVER (PARTITION BY page_id, fp ORDER BY sc.score DESC, start, "end") = 1)"""
+ bb AS (SELECT page_id, fp, start AS start_sec, "end" AS end_sec, n AS n_reviews, authors AS n_authors, round(score, 4) AS score, sc.score AS score6, (CASE WHEN sc.score >= .55 THEN 1 ELSE 0 END)::BIGINT AS flag FROM sc QUALIFY row_number() OVER (PARTITION BY page_id, fp ORDER BY sc.score DESC, start, "end") = 1)"""
 
 
-@query("f08_temporal_clusters", "photos_v", TEMPORAL + " SELECT * FROM bb")
+@query("f08_temporal_clusters", "photos_v", TEMPORAL + " SELECT * EXCLUDE (score6) FROM bb")
 def f08(p):
     return rounded(photos.temporal_clusters(p))
 
@@ -458,7 +458,7 @@ def f11(p):
     return rounded(by.select("record_id", photos.stock_url_signal(F.col("urls")).alias("stock"), photos.synthetic_url_signal(F.col("urls")).alias("synthetic")))
 
 
-@query("f09_best_cluster", "photos_v", TEMPORAL + f", ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), jn AS (SELECT ln.page_id, record_id, fp, score, flag, n_reviews, n_authors, row_number() OVER (PARTITION BY ln.page_id, record_id ORDER BY score DESC, start_sec, fp DESC) AS k FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) SELECT page_id, record_id, fp, score AS temporal_score, flag AS temporal_flag, n_reviews, n_authors FROM jn WHERE k = 1")
+@query("f09_best_cluster", "photos_v", TEMPORAL + f", ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), jn AS (SELECT ln.page_id, record_id, fp, score, flag, n_reviews, n_authors, row_number() OVER (PARTITION BY ln.page_id, record_id ORDER BY score6 DESC, start_sec, fp DESC) AS k FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) SELECT page_id, record_id, fp, score AS temporal_score, flag AS temporal_flag, n_reviews, n_authors FROM jn WHERE k = 1")
 def f09(p):
     return rounded(photos.best_cluster_per_review(p, photos.temporal_clusters(p)))
 
@@ -775,7 +775,7 @@ _HINT = f"(SELECT record_id, replace(lower(url), '_', '-') AS u FROM photos_v)"
 REPORT = (
     SCORES + Q.AI + TEMPORAL
     + f""", ll AS (SELECT DISTINCT page_id, record_id, sha1({CANON}) AS fp FROM photos_v), lz AS (SELECT page_id, fp, count(*) AS size FROM ll GROUP BY 1, 2), lk AS (SELECT record_id, count(*) AS images, count(*) FILTER (WHERE size >= 2) AS reused, max(size) AS cluster FROM ll JOIN lz USING (page_id, fp) GROUP BY 1),
- ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), bt AS (SELECT record_id, score, flag FROM (SELECT record_id, score, flag, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, start_sec, fp DESC) AS i FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) WHERE i = 1),
+ ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), bt AS (SELECT record_id, score, flag FROM (SELECT record_id, score6 AS score, flag, row_number() OVER (PARTITION BY record_id ORDER BY score6 DESC, start_sec, fp DESC) AS i FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) WHERE i = 1),
  hn AS (SELECT record_id, max({hint_sql(L.STOCK_HINTS, L.STRONG_STOCK_HINTS, f".62 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END", f".46 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END")}) AS stock, max({hint_sql(L.SYNTHETIC_HINTS, L.STRONG_SYNTHETIC_HINTS, f".74 - CASE WHEN {CUSTOMER} THEN .08 ELSE 0 END", f".48 - CASE WHEN {CUSTOMER} THEN .24 ELSE 0 END")}) AS synthetic FROM {_HINT} GROUP BY 1),
  v0 AS (SELECT z.*, ai.ai, ai.ai_flag, ai.ai_reasons, ((z.record_id * 53) % 101) / 100.0 AS pt, ((z.record_id * 7) % 11) / 10.0 AS coverage, coalesce(lk.images, 0) AS images, coalesce(lk.reused, 0) AS reused, coalesce(lk.cluster, 0) AS cluster, CASE WHEN coalesce(lk.reused, 0) = 0 THEN 0 ELSE .68 * lk.reused / lk.images + .32 * least((lk.cluster - 1) / 3.0, 1) END AS reuse_score,
   coalesce(bt.score, 0) AS temporal_score, coalesce(bt.flag, 0) AS temporal_flag, coalesce(hn.stock, 0) AS stock, coalesce(hn.synthetic, 0) AS synthetic FROM z JOIN ai USING (record_id) LEFT JOIN lk USING (record_id) LEFT JOIN bt USING (record_id) LEFT JOIN hn USING (record_id)),
