@@ -126,9 +126,9 @@ def test_encoder_of_a_file_that_is_not_plain_byte_bpe(tmp_path):
     from tokenizers import Tokenizer
 
     spec = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
-    assert packing._plain_byte_bpe(json.dumps(spec))
+    assert packing.plain_byte_bpe(json.dumps(spec))
     spec["normalizer"] = {"type": "Lowercase"}
-    assert not packing._plain_byte_bpe(json.dumps(spec))
+    assert not packing.plain_byte_bpe(json.dumps(spec))
     (tmp_path / "t.json").write_text(json.dumps(spec))
     enc, tok = packing.Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
     text = "Some Text Of MANY words"

@@ -28,7 +28,7 @@ def beside(rows: DataFrame, keep: list[str], work: Callable[[list[str]], dict[st
                 made = work(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made.values()], names=[*keep, *made])
 
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def text_of(name: str = "text") -> Column:

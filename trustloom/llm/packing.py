@@ -45,14 +45,14 @@ _SPACE_PAIR = re.compile(r"\s ")
 _workers: dict[str, "Encoder"] = {}
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 up."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _plain_byte_bpe(spec: str) -> bool:
+def plain_byte_bpe(spec: str) -> bool:
     """Whether a tokenizers file is byte-level BPE whose ids are its merge ranks, cut by PRE_TOKENS and nothing else."""
     found = json.loads(spec)
     model, pre = found["model"], found.get("pre_tokenizer") or {}
@@ -83,10 +83,10 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}  # words after a space, without it
-        if not _plain_byte_bpe(self.tokenizer.to_str()):
+        if not plain_byte_bpe(self.tokenizer.to_str()):
             self.merge = lambda part: self.tokenizer.encode(part, add_special_tokens=False).ids
             return
-        letters = _byte_letters()
+        letters = byte_letters()
         ranks = {bytes(letters[ch] for ch in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
         self.merge = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
