@@ -171,14 +171,37 @@ def marketplace_of(host: Column) -> Column:
     return hit.otherwise("other")
 
 
+MAX_DATA_IMAGE_BYTES = 8 * 1024 * 1024
+
+
 def is_safe_image_url(url: Column) -> Column:
-    """http(s) with a public host: no private, loopback or link-local IPv4, no .local, no localhost."""
-    host = host_of(url)
+    """http(s) with a public host: no private, reserved, loopback or link-local address, no .local, no localhost; or a base64 data image of bounded size."""
+    url = F.trim(url)
+    host = F.rtrim(host_of(url), F.lit("."))
     part = lambda i: F.get(F.split(host, r"\."), F.lit(i)).try_cast("int")
+    pair = lambda a, *b: (part(0) == a) & part(1).isin(*b)
     is_ip = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    private = part(0).isin(0, 10, 127) | ((part(0) == 192) & (part(1) == 168)) | ((part(0) == 172) & part(1).between(16, 31)) | ((part(0) == 169) & (part(1) == 254))
-    bad_name = (host == "localhost") | host.endswith(".local") | host.endswith(".internal")
-    return F.coalesce(F.lower(url).rlike("^https?://") & host.isNotNull() & ~bad_name & ~(is_ip & F.coalesce(private, F.lit(False))), F.lit(False))
+    private = part(0).isin(0, 10, 127) | (part(0) >= 224) | pair(192, 168) | pair(169, 254) | pair(198, 18, 19) | ((part(0) == 172) & part(1).between(16, 31))
+    private = private | (pair(192, 0) & part(2).isin(0, 2)) | (pair(198, 51) & (part(2) == 100)) | (pair(203, 0) & (part(2) == 113))
+    inner = F.regexp_replace(host, r"[\[\]]", "")
+    closed = host.startswith("[") & inner.rlike(r"^(::1?$|::ffff:|fe[89ab]|f[cdf]|2001:db8:)")
+    bad_name = host.isin("localhost", "localhost.localdomain") | host.endswith(".localhost") | host.endswith(".local")
+    public = F.lower(url).rlike("^https?://") & (host != "") & ~bad_name & ~(is_ip & F.coalesce(private, F.lit(False))) & ~closed
+    data = F.lower(url).rlike(r"^data:image[^,]*;base64[^,]*,") & (F.floor((F.length(url) - F.locate(",", url)) * 3 / 4) <= MAX_DATA_IMAGE_BYTES)
+    return F.coalesce(F.when(url.startswith("data:"), data).otherwise(public), F.lit(False))
+
+
+def normalize_image_url(url: Column, base: Column) -> Column:
+    """An image's whole address, relative ones made from the page's; null where it isn't safe."""
+    u = F.trim(url)
+    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.regexp_extract(base, r"^https?://[^/?#]+([^?#]*)", 1), "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = (
+        F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u)
+        .when(root == "", None).when(u.startswith("/"), F.concat(root, u)).otherwise(F.concat(root, folder, F.regexp_replace(u, r"^\./", "")))
+    )
+    return F.when((u != "") & ~u.startswith("#") & ~u.startswith("data:image/gif") & is_safe_image_url(whole), whole)
 
 
 def canonical_url(url: Column) -> Column:

@@ -865,3 +865,6 @@ def k11(r):
     rows = _triage_input(r).filter("label is not null").withColumn("label", F.col("label").cast("int"))
     columns = ["pt", "rating_manipulation", "author_risk", "local_score", "slang_manipulation", "slang_authenticity", "template_component", "uniq", "extreme"]
     return rounded(models.combiner_metrics(models.combine(models.fit_combiner(rows, columns), rows.drop("p"))))
+
+
+from . import source_queries  # noqa: E402,F401  registers more
