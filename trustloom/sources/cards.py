@@ -1,7 +1,7 @@
 """Reviews in the markup of pages: JSON-LD, cards and image addresses. The markup is cut into tokens, and elements are found by places; no DOM, no Python.
 
-Every start tag gets the place of its end tag by counting open tags of its own name, so unclosed tags of other names don't matter. An unclosed element
-ends at the next block tag. A card's fields are then elements that lie between its places. Only the usual named entities are read.
+Every start tag gets the place of its end tag by counting open tags of its own name, so unclosed tags of other names don't matter. An unclosed paragraph or heading
+ends at the next block tag, an unclosed item at the next item or where its list ends, others where the page does. A card's fields are then elements that lie between its places. Only the usual named entities are read.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as T
-from trustloom.sources.payloads import MIN_CHARS, _as, _leaves, _let
+from trustloom.sources.payloads import MIN_CHARS, _as, _leaves, _let, once
 
 TOKEN = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[a-z][^>]*>|[^<]+|<"
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 BLOCKS = ["address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "html", "li", "main", "nav", "ol", "p", "section", "table", "tbody", "td", "th", "tr", "ul"]
+PARAGRAPHS, ITEMS, ITEM_ENDS = ["p", "h1", "h2", "h3", "h4", "h5", "h6"], ["li", "dd", "dt", "tr", "td", "th"], ["ul", "ol", "dl", "table", "tbody", "tr", "body", "html"]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 BLOCK_TOKENS = 256  # a card meets the tokens of its page by stretches of so many
 
@@ -77,8 +78,10 @@ def tokens(pages: DataFrame) -> DataFrame:
     ends = closed.filter("turn > 0").select("page_id", "pos", F.when(F.col("after.turn") < 0, F.col("after.pos")).alias("close"))
     later = W.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
     block = F.last(F.when(F.col("name").isin(BLOCKS), F.col("pos")), ignorenulls=True).over(later)
-    rows = kept.select("*", block.alias("block")).join(ends, ["page_id", "pos"], "left")
-    end = F.when(F.col("turn") > 0, F.coalesce("close", "block", F.lit(2**31 - 1))).otherwise(F.col("pos"))
+    item = F.last(F.when((F.col("name").isin(ITEMS) & (F.col("turn") > 0)) | (F.col("name").isin(ITEM_ENDS) & (F.col("turn") < 0)), F.col("pos")), ignorenulls=True).over(later)
+    unclosed = F.when(F.col("name").isin(PARAGRAPHS), block).when(F.col("name").isin(ITEMS), item)
+    rows = kept.select("*", unclosed.alias("unclosed")).join(ends, ["page_id", "pos"], "left")
+    end = F.when(F.col("turn") > 0, F.coalesce("close", "unclosed", F.lit(2**31 - 1))).otherwise(F.col("pos"))
     text = F.when(F.col("name") == "", reduce(lambda c, e: F.replace(c, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, F.col("tok")))
     is_open, image = (F.col("turn") > 0) | ((F.col("name") != "") & (F.col("turn") == 0)), F.col("name").isin("img", "source")
     attr = lambda n: F.when(is_open, attribute(F.col("tok"), n))
@@ -173,7 +176,7 @@ def card_reviews(pages: DataFrame) -> DataFrame:
     whole = cards.join(inside, ["page_id", "stretch"]).filter("t.pos >= from AND t.pos < to").groupBy("page_id", "url", "family", "rank", "from").agg(F.array_sort(F.collect_list("t")).alias("all"))
     whole = whole.withColumn("toks", F.filter("all", lambda t: t["pos"] > F.col("from")))
     field = lambda name: F.when(F.col("family") == 1, _first_text(F.col("toks"), AMAZON_FIELDS[name], name == "stars")).otherwise(_first_text(F.col("toks"), GENERIC_FIELDS[name]))
-    rows = whole.select("page_id", "family", F.array("family", "rank", "from").alias("place"), *[field(n).alias(n) for n in GENERIC_FIELDS], _images(F.col("all"), F.col("url")).alias("image_urls"))
+    rows = once(whole, F.col("page_id"), F.col("family"), F.array("family", "rank", "from").alias("place"), *[field(n).alias(n) for n in GENERIC_FIELDS], _images(F.col("all"), F.col("url")).alias("image_urls"))
     clean = lambda c: F.when(F.col("family") == 1, T.clean_boilerplate(F.col(c))).otherwise(F.col(c))
     rows = rows.withColumns({"title": clean("title"), "review_text": clean("review_text"), "rating": _stars(F.col("stars"))})
     return rows.filter((F.col("review_text") != "") & ((F.col("family") == 1) | (F.length("review_text") >= MIN_CHARS))).select(*REVIEW)
@@ -200,8 +203,8 @@ def jsonld_reviews(pages: DataFrame) -> DataFrame:
     inner = lambda x: _let(_as(x, "map<string,variant>"), lambda m: F.transform(F.filter(keys, lambda k: F.map_contains_key(m, k)), lambda k: F.try_element_at(m, k)))
     leaves = F.flatten(F.array(*[F.coalesce(F.when(get("r", f, "variant").isNotNull(), _leaves(get("r", f, "variant"), inner, 3)), none) for f in LD_IMAGE_FIELDS]))
     urls = F.transform(F.filter(leaves, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: T.normalize_image_url(T.norm_text(_as(x, "string")), F.col("url")))
-    rows = rows.select(
-        "page_id", F.array(F.lit(0), "at", "nth").alias("place"), person.alias("author"), said("$.name").alias("title"), _stars(stars).alias("rating"), said("$.datePublished").alias("date"),
+    rows = once(
+        rows, F.col("page_id"), F.array(F.lit(0), "at", "nth").alias("place"), person.alias("author"), said("$.name").alias("title"), _stars(stars).alias("rating"), said("$.datePublished").alias("date"),
         T.clean_boilerplate(F.try_variant_get("r", "$.reviewBody", "string")).alias("review_text"), F.array_distinct(F.filter(urls, lambda u: u.isNotNull())).alias("image_urls"),
     )
     return rows.filter("review_text != ''")

@@ -34,6 +34,11 @@ KEY_CHARS = 240
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df.select(*columns) whose columns are computed once: filters on the result aren't pushed into them, as that would write each out again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def plain_key(key: Column) -> Column:
     return F.lower(F.regexp_replace(key, r"[^\p{L}\p{N}]", ""))
 
@@ -94,7 +99,7 @@ def _leaves(v: Column, inner, depth: int) -> Column:
     return values
 
 
-def said(v: Column, depth: int = 3) -> Column:
+def said(v: Column, depth: int = 2) -> Column:
     """A value as text: lists joined, objects by the first usual inner key that has something, else all their values."""
 
     def inner(x: Column) -> Column:
@@ -113,7 +118,7 @@ def number_in(v: Column) -> Column:
     return F.coalesce(F.when(inside, 0.0), truth, _as(v, "double"), text, F.lit(0.0))
 
 
-def image_urls(v: Column, base: Column, depth: int = 4) -> Column:
+def image_urls(v: Column, base: Column, depth: int = 3) -> Column:
     """Safe image addresses in texts, lists and image objects, in order, each once."""
     keys = F.array(*map(F.lit, IMAGE_KEYS))
     inner = lambda x: _let(_as(x, _MAP), lambda m: F.transform(F.filter(keys, lambda k: F.map_contains_key(m, k)), lambda k: F.try_element_at(m, k)))
@@ -161,8 +166,8 @@ def _reviews(nodes: DataFrame) -> DataFrame:
     person = F.coalesce(F.when(_as(F.col("person"), _MAP).isNotNull(), first_value(entries(F.col("person")), PERSON_KEYS)), F.when(_as(F.col("person"), _MAP).isNull(), F.col("person")))
     plain = lambda v: F.coalesce(T.norm_text(_as(v, "string")), F.lit(""))
     urls = image_urls(F.col("photos"), F.col("source_url"))
-    rows = values.select(
-        "page_id", "path", "marked", plain(person).alias("author"), plain(F.col("name")).alias("title"), number_in(F.col("stars")).alias("rating"), plain(F.col("day")).alias("date"),
+    rows = once(
+        values, F.col("page_id"), F.col("path"), F.col("marked"), plain(person).alias("author"), plain(F.col("name")).alias("title"), number_in(F.col("stars")).alias("rating"), plain(F.col("day")).alias("date"),
         T.norm_text(F.array_join(parts, ". ")).alias("review_text"), F.coalesce(F.size(_as(F.col("photos"), _LIST)), F.lit(0)).alias("listed"), urls.alias("image_urls"),
     )
     rows = rows.filter((F.col("rating") > 0) | (F.col("author") != "") | (F.col("date") != "") | F.col("marked"))
@@ -196,8 +201,8 @@ def normalize_cards(payloads: DataFrame) -> DataFrame:
     cards = payloads.select("page_id", "source_url", F.posexplode(F.try_variant_get(F.try_parse_json("json"), "$", _LIST)).alias("at", "c"))
     get = lambda k: F.coalesce(F.try_variant_get("c", f"$.{k}", "string"), F.lit(""))
     urls = image_urls(F.try_variant_get("c", "$.photoUrls", "variant"), F.col("source_url"))
-    rows = cards.filter(_as(F.col("c"), _MAP).isNotNull()).select(
-        "page_id", F.array("at").alias("path"), T.norm_text(get("author")).alias("author"), T.clean_title(get("title"), get("ratingText")).alias("title"),
+    rows = cards.filter(_as(F.col("c"), _MAP).isNotNull()).transform(
+        once, F.col("page_id"), F.array("at").alias("path"), T.norm_text(get("author")).alias("author"), T.clean_title(get("title"), get("ratingText")).alias("title"),
         number_in(F.try_variant_get("c", "$.ratingText", "variant")).alias("rating"), T.norm_text(get("date")).alias("date"), T.clean_boilerplate(get("reviewText")).alias("review_text"),
         F.coalesce(F.greatest(get("photosCount").try_cast("int"), F.lit(0)), F.lit(0)).alias("listed"), urls.alias("image_urls"),
     )
