@@ -20,8 +20,11 @@ UNIT = r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)?\s?(?:cm|mm|kg|g|mg|ml|mah|gb|tb
 DOMAINS = [*L.DOMAIN_KEYWORDS]
 #: Words with a part of their own, which a learned lexicon leaves out.
 RESERVED = sorted({t for part in (L.RU_SLANG, L.TRANSLIT_SLANG, L.EN_SLANG, L.DETAIL, *L.DOMAIN_KEYWORDS.values(), *L.DOMAIN_DETAIL.values(), *L.PACK_DETAIL.values(), *L.PACK_SLANG.values(), *L.PACK_AUTHENTIC.values()) for t in part})
-#: The lists of a learned lexicon, none by default.
-NO_LEXICON = {"suspicious_terms": [], "suspicious_phrases": [], "authentic_terms": [], "authentic_phrases": [], "promo_phrases": []}
+RESERVED_PHRASES = sorted({*L.SLANG_PHRASES, *L.PROMO_PHRASES, *(p for phrases in L.PACK_PROMO.values() for p in phrases)})
+#: The lists of a learned lexicon that meet a review, as columns of its row (with_lexicon).
+LEXICON = ["lx_suspicious_terms", "lx_suspicious_phrases", "lx_authentic_terms", "lx_authentic_phrases", "lx_promo_phrases"]
+# Parts of phrases that sell.
+PROMO_MARKERS = ["buy", "grab", "must", "worth", "need", "cop", "берите", "надо", "брать", "советую", "топ"]
 
 
 def word_tokens(c: Column) -> Column:
@@ -93,18 +96,21 @@ def slang_density(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_tokens": n, "n_hits": h, "density": h / F.greatest(n, F.lit(1)), "diversity": diversity, "repetition": F.when(h > 0, 1 - diversity).otherwise(0.0), "terms": terms})
 
 
-def _measures(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+def _measures(df: DataFrame) -> DataFrame:
+    lists = {c: F.col(c) if c in df.columns else None for c in LEXICON}
+    held = lambda c: F.array().cast("array<string>") if lists[c] is None else F.filter(lists[c], lambda p: F.contains(F.col("__t"), p))
+    met = lambda c: F.lit(0) if lists[c] is None else F.size(F.array_intersect(F.col("tok"), lists[c]))
     t, tok, market = F.col("__t"), F.col("tok"), F.col("market_pack")
     general = token_hits(tok, [*L.RU_SLANG, *L.TRANSLIT_SLANG, *L.EN_SLANG])
     own = _of_pack(market, L.PACK_SLANG, lambda terms: token_hits(tok, terms))
     rows = df.withColumns({
         "__own": own, "hits": F.concat(general, own, _phrases(t, L.SLANG_PHRASES)),
-        "promo": F.concat(_phrases(t, [*L.PROMO_PHRASES, *lexicon["promo_phrases"]]), _of_pack(market, L.PACK_PROMO, lambda p: _phrases(t, p))),
+        "promo": F.concat(_phrases(t, L.PROMO_PHRASES), _of_pack(market, L.PACK_PROMO, lambda p: _phrases(t, p)), held("lx_promo_phrases")),
         "general_detail": F.size(token_hits(tok, L.DETAIL)), "units": F.regexp_count(t, F.lit(UNIT)),
         "__terms": F.array_union(_of_pack(F.col("domain"), L.DOMAIN_DETAIL | {"general": L.DETAIL}, lambda x: F.array(*map(F.lit, x)).cast("array<string>")), _of_pack(market, L.PACK_DETAIL, lambda x: F.array(*map(F.lit, x)).cast("array<string>"))),
         "cyr": F.size(F.filter(tok, lambda x: x.rlike(r"[\x{0400}-\x{04FF}]"))), "lat": F.size(F.filter(tok, lambda x: x.rlike("[a-z]"))),
-        "learned_suspicious": _distinct_hits(tok, lexicon["suspicious_terms"]) + F.size(_phrases(t, lexicon["suspicious_phrases"])),
-        "learned_authentic": _distinct_hits(tok, lexicon["authentic_terms"]) + F.size(_phrases(t, lexicon["authentic_phrases"])),
+        "learned_suspicious": met("lx_suspicious_terms") + F.size(held("lx_suspicious_phrases")),
+        "learned_authentic": met("lx_authentic_terms") + F.size(held("lx_authentic_phrases")),
         "__authentic": _of_pack(market, L.PACK_AUTHENTIC, lambda terms: _distinct_hits(tok, terms)),
     })
     rows = slang_density(rows).withColumns({"n_promo": F.size("promo"), "domain_detail": F.size(F.filter(tok, lambda x: F.array_contains("__terms", x)))})
@@ -164,13 +170,14 @@ def slang_signature(df: DataFrame) -> DataFrame:
     return df.withColumn("signature", F.when(~few, F.array_join(F.concat(F.slice("terms", 1, 3), flags), "|")))
 
 
-def slang_profile(df: DataFrame, lexicon: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """All of the profile before templates are counted. lexicon: the learned terms and phrases that apply (apply_lexicon)."""
+def slang_profile(df: DataFrame, lexicon: DataFrame | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """All of the profile before templates are counted. lexicon: what learn_lexicon has learned, if any."""
+    df = df if lexicon is None else with_lexicon(df, lexicon)
     site = F.col("source_site") if "source_site" in df.columns else F.lit("")
     t = F.lower(T.norm_text(F.col("review_text")))
     rows = df.withColumns({"__t": t, "tok": word_tokens(F.col("review_text")), "market_pack": marketplace_pack(site)})
-    rows = hype_flags(bilingual(detail_support(_measures(infer_domain(rows, keys), NO_LEXICON | (lexicon or {})))))
-    rows = slang_signature(slang_scores(rows)).drop("__t")
+    rows = hype_flags(bilingual(detail_support(_measures(infer_domain(rows, keys)))))
+    rows = slang_signature(slang_scores(rows)).drop("__t", *LEXICON)
     return rows.withColumn("profile", profile_label(F.col("slang_authenticity"), F.col("slang_manipulation")))
 
 
@@ -185,7 +192,7 @@ def template_dups(df: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFr
     return rows.withColumn("profile", profile_label(F.col("slang_authenticity"), F.col("slang_manipulation")))
 
 
-def with_slang(df: DataFrame, lexicon: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def with_slang(df: DataFrame, lexicon: DataFrame | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns of df and the profile, without the word arrays, which would travel through every later shuffle."""
     return template_dups(slang_profile(df, lexicon, keys).drop("tok", "hits", "promo"), keys)
 
@@ -217,37 +224,119 @@ def dominant_marketplace(df: DataFrame) -> DataFrame:
 # --- learned lexicons --------------------------------------------------------------------------------------
 
 
-def candidate_terms(c: Column) -> Column:
-    """Tokens of 3 to 18 characters that aren't stopwords, reserved, or one repeated letter."""
-    return F.filter(T.tokens(c), lambda x: F.length(x).between(3, 18) & ~x.isin(*L.STOPWORDS, *RESERVED) & (F.replace(x, F.substring(x, 1, 1), F.lit("")) != ""))
+def source_label(c: Column) -> Column:
+    """The marketplace that a source or site belongs to, else its group."""
+    pack = marketplace_pack(c)
+    return F.when(pack != "generic", pack).otherwise(T.source_group(F.lower(T.norm_text(c))))
 
 
-def _grams(tok: Column) -> Column:
-    return F.array_distinct(F.concat(tok, T.ngrams(tok, 2), T.ngrams(tok, 3)))
+def _is_candidate(x: Column) -> Column:
+    """3 to 18 characters, no stopword, not reserved, not one repeated letter."""
+    return F.length(x).between(3, 18) & ~x.isin(*L.STOPWORDS, *RESERVED) & (F.replace(x, F.substring(x, 1, 1), F.lit("")) != "")
 
 
-def learn_lexicon(df: DataFrame, k: int = 20, min_docs: int = 2, by: list[str] | None = None, min_rows: int = 0) -> DataFrame:
-    """Top terms for and against the label by smoothed rate difference, weighted by support; by: a lexicon per key with both labels and min_rows."""
-    keys = by or []
-    rows = df.filter("label is not null").select(*keys, "label", candidate_terms(F.col("review_text")).alias("__tok"))
-    totals = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
-    if keys:
-        totals = totals.filter((F.col("P") > 0) & (F.col("N") > 0) & (F.col("P") + F.col("N") >= min_rows))
-    terms = T.exploded(rows, _grams(F.col("__tok")), "term", [*keys, "label"]).groupBy(*keys, "term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    terms = terms.filter(F.col("pos") + F.col("neg") >= min_docs)
-    terms = terms.join(totals, keys) if keys else terms.join(F.broadcast(totals), F.lit(True))  # one row without keys
-    score = (F.col("pos") + 0.5) / (F.col("P") + 1) - (F.col("neg") + 0.5) / (F.col("N") + 1)
-    terms = terms.withColumn("score", F.round(score, 9)).filter(F.abs("score") >= 0.03)
-    terms = terms.withColumns({"polarity": F.when(F.col("score") > 0, "suspicious").otherwise("authentic"), "weight": F.round(F.abs("score") * F.log1p(F.col("pos") + F.col("neg")), 6)})
-    rank = F.row_number().over(W.partitionBy(*keys, "polarity").orderBy(F.desc("weight"), F.desc("term")))
-    return terms.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "polarity", "rank", "term", "pos", "neg", "score")
+def candidates(tok: Column) -> Column:
+    """Distinct (kind, term) of a column of words: terms, and phrases of 2 or 3 words without stopwords that hold a term."""
+    terms = F.transform(F.filter(tok, _is_candidate), lambda x: F.struct(F.lit("term").alias("kind"), x.alias("term")))
+    words = F.transform(F.filter(tok, lambda x: ~x.isin(*L.STOPWORDS)), lambda x: F.struct(x.alias("w"), _is_candidate(x).alias("ok")))
+
+    def phrases(k: Column) -> Column:
+        near = lambda i, n: [F.get(k, i + j) for j in range(n)]
+        return F.concat(_grams(k, 2, near), _grams(k, 3, near))
+
+    fits = lambda g: g["ok"] & (F.length(g["term"]) <= 48) & ~g["term"].isin(*RESERVED_PHRASES)
+    found = F.transform(F.filter(F.get(F.transform(F.array(words), phrases), F.lit(0)), fits), lambda g: F.struct(F.lit("phrase").alias("kind"), g["term"].alias("term")))
+    return F.array_distinct(F.concat(terms, found))
+
+
+def _grams(k: Column, n: int, near) -> Column:
+    one = lambda i: F.struct(F.concat_ws(" ", *[x["w"] for x in near(i, n)]).alias("term"), reduce(lambda a, b: a | b, [x["ok"] for x in near(i, n)]).alias("ok"))
+    return F.coalesce(F.transform(F.when(F.size(k) >= n, F.sequence(F.lit(0), F.size(k) - n)), one), F.array().cast("array<struct<term: string, ok: boolean>>"))
+
+
+def lexicon_corpus(df: DataFrame, min_real: int = 60) -> DataFrame:
+    """The labelled rows that aren't synthetic, if there are enough of both labels; else all labelled rows."""
+    rows = df.filter("label is not null")
+    real = ~F.coalesce(F.col("source").startswith("synthetic_"), F.lit(False))
+    facts = rows.filter(real).agg(((F.count("*") >= min_real) & (F.count_distinct("label") >= 2)).alias("__enough"))
+    return rows.join(F.broadcast(facts), F.lit(True)).filter(real | ~F.col("__enough")).drop("__enough")  # one row
+
+
+def learn_lexicon(df: DataFrame, most: dict[str, int] | None = None, most_of_source: dict[str, int] | None = None, min_docs: int = 2, min_rows: int = 18) -> DataFrame:
+    """Terms and phrases that tell labels apart, of all rows (scope general) and of each source label with both labels and min_rows.
+
+    scope, kind, polarity, rank, term, pos and neg (documents), score (smoothed difference of rates), promo (of suspicious
+    phrases that sell the first 4). A scope ranks what differs by 0.03 or more: at most the words of a mean document over 0.03.
+    """
+    most, most_of_source = most or {"term": 12, "phrase": 8}, most_of_source or {"term": 6, "phrase": 4}
+    rows = lexicon_corpus(df).select("label", source_label(F.col("source")).alias("scope"), word_tokens(F.col("review_text")).alias("__tok"))
+    docs = [F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)]
+    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg")]
+    sizes = rows.groupBy("scope").agg(docs[0].alias("P"), docs[1].alias("N"))
+    everything = sizes.agg(F.sum("P").alias("P"), F.sum("N").alias("N")).select(F.lit("general").alias("scope"), F.lit(True).alias("whole"), "P", "N")
+    totals = everything.unionByName(sizes.filter(F.col("P") + F.col("N") >= min_rows).withColumn("whole", F.lit(False))).filter("P > 0 AND N > 0")
+    by_source = T.exploded(rows, candidates(F.col("__tok")), "c", ["scope", "label"]).groupBy("scope", F.col("c.kind").alias("kind"), F.col("c.term").alias("term")).agg(docs[0].alias("pos"), docs[1].alias("neg"))
+    general = by_source.groupBy("kind", "term").agg(*sums).select(F.lit("general").alias("scope"), F.lit(True).alias("whole"), "kind", "term", "pos", "neg")
+    counts = general.unionByName(by_source.withColumn("whole", F.lit(False))).filter(F.col("pos") + F.col("neg") >= min_docs).join(totals, ["scope", "whole"])
+    score = F.round((F.col("pos") + 0.5) / (F.col("P") + 1) - (F.col("neg") + 0.5) / (F.col("N") + 1), 9)
+    ranked = counts.withColumn("score", score).filter(F.abs("score") >= 0.03)
+    ranked = ranked.withColumns({"polarity": F.when(F.col("score") > 0, "suspicious").otherwise("authentic"), "weight": F.round(F.abs("score") * F.log1p(F.col("pos") + F.col("neg")), 6)})
+    at = F.row_number().over(W.partitionBy("scope", "whole", "kind", "polarity").orderBy(F.desc("weight"), F.desc("term")))
+    limit = reduce(lambda c, k: c.when((F.col("kind") == k) & F.col("whole"), most[k]).when((F.col("kind") == k) & ~F.col("whole"), most_of_source[k]), most, F.when(F.lit(False), 0))
+    chosen = ranked.withColumn("rank", at).filter(F.col("rank") <= limit)
+    sells = (F.col("kind") == "phrase") & (F.col("polarity") == "suspicious") & T.has_phrase(F.col("term"), PROMO_MARKERS)
+    nth = F.sum(sells.cast("int")).over(W.partitionBy("scope", "whole", "kind", "polarity").orderBy("rank"))
+    return chosen.withColumn("promo", sells & (nth <= 4)).select("scope", "whole", "kind", "polarity", "rank", "term", "pos", "neg", "score", "promo")
+
+
+def with_lexicon(df: DataFrame, learned: DataFrame) -> DataFrame:
+    """df with the lists that meet each review (LEXICON): the general ones, and those of its site's label; promo phrases are of the label alone.
+
+    A scope is one row of at most 40 terms; the general one is broadcast, the others are joined.
+    """
+    pick = lambda kind, polarity: F.collect_list(F.when((F.col("kind") == kind) & (F.col("polarity") == polarity), F.col("term")))
+    lists = [pick(kind, polarity) for polarity in ("suspicious", "authentic") for kind in ("term", "phrase")] + [F.collect_list(F.when(F.col("promo"), F.col("term")))]
+    packs = learned.groupBy("scope", "whole").agg(*[c.alias(n) for c, n in zip(lists, LEXICON, strict=True)])
+    whole = packs.filter("whole").select(F.struct(*LEXICON).alias("__all"))
+    own = packs.filter("not whole").select(F.col("scope").alias("__scope"), F.struct(*LEXICON).alias("__own"))
+    site = F.col("source_site") if "source_site" in df.columns else F.lit("")
+    rows = df.withColumn("__scope", source_label(site)).join(own, "__scope", "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    none = F.array().cast("array<string>")
+    of = lambda s, n: F.coalesce(F.col(f"{s}.{n}"), none)
+    return rows.withColumns({n: of("__own", n) if n == "lx_promo_phrases" else F.concat(of("__all", n), of("__own", n)) for n in LEXICON}).drop("__scope", "__own", "__all")
 
 
 def apply_lexicon(df: DataFrame, learned: DataFrame) -> DataFrame:
-    """Distinct hits of learned terms (1 to 3 words) per review and polarity: words and word pairs meet the k terms."""
-    own = T.exploded(df.select("record_id", candidate_terms(F.col("review_text")).alias("__tok")), _grams(F.col("__tok")), "term", ["record_id"])
-    by = own.join(F.broadcast(learned.select("term", "polarity")), "term").groupBy("record_id").agg(F.count_if(F.col("polarity") == "suspicious").alias("learned_suspicious"), F.count_if(F.col("polarity") == "authentic").alias("learned_authentic"))
-    return df.join(by, "record_id", "left").fillna({"learned_suspicious": 0, "learned_authentic": 0})
+    """df with learned_suspicious, learned_authentic (distinct terms and phrases that a review holds) and learned_promo."""
+    t = F.lower(T.norm_text(F.col("review_text")))
+    rows = with_lexicon(df, learned).withColumns({"__t": t, "__tok": word_tokens(F.col("review_text"))})
+    held = lambda n: F.size(F.filter(F.col(n), lambda p: F.contains(F.col("__t"), p)))
+    met = lambda n: F.size(F.array_intersect(F.col("__tok"), F.col(n)))
+    counts = {f"learned_{p}": met(f"lx_{p}_terms") + held(f"lx_{p}_phrases") for p in ("suspicious", "authentic")} | {"learned_promo": held("lx_promo_phrases")}
+    return rows.withColumns(counts).drop("__t", "__tok", *LEXICON)
+
+
+#: The calibrator's features, from a profile with templates.
+CALIBRATION = ["rule_manipulation", "rule_authenticity", "density", "diversity", "repetition", "detail", "grounding", "mix", "bi_hype", "hype", "low_detail", "hits", "template_component", "market", "suspicious", "authentic", "known_market", "specific_domain"]
+
+
+def calibration_features(profile: DataFrame) -> DataFrame:
+    """profile with a column cal_<name> in [0, 1] for each of CALIBRATION."""
+    c = F.col
+    made = {
+        "rule_manipulation": c("slang_manipulation"), "rule_authenticity": c("slang_authenticity"), "hits": c("n_hits") / 6, "market": c("market_hits") / 4, "suspicious": c("learned_suspicious") / 3, "authentic": c("learned_authentic") / 3,
+        "known_market": (c("market_pack") != "generic").cast("double"), "specific_domain": (c("domain") != "general").cast("double"),
+    }
+    return profile.withColumns({f"cal_{n}": T.clip((made[n] if n in made else c(n)).cast("double")) for n in CALIBRATION})
+
+
+def apply_calibration(df: DataFrame, probability: Column) -> DataFrame:
+    """Scores blended with a learned probability, and their label."""
+    m, a = F.col("slang_manipulation"), F.col("slang_authenticity")
+    blended = {"slang_manipulation": T.clip(0.25 * m + 0.75 * probability), "slang_authenticity": T.clip(0.35 * a + 0.65 * (1 - probability))}
+    rows = df.withColumns({"slang_learned_probability": probability, "slang_calibration_delta": blended["slang_manipulation"] - m, **{f"__{k}": v for k, v in blended.items()}})
+    rows = rows.withColumns({k: F.col(f"__{k}") for k in blended}).drop(*[f"__{k}" for k in blended])
+    return rows.withColumn("profile", profile_label(F.col("slang_authenticity"), F.col("slang_manipulation")))
 
 
 def slang_errors(df: DataFrame, threshold: float = 0.45) -> DataFrame:

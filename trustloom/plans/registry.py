@@ -326,35 +326,39 @@ def l13(r):
     return rounded(slang.slang_reason(_slang(r)).select("record_id", "slang_reason", "slang_manipulation"))
 
 
-def lexicon_sql(key: str) -> str:
-    """Learned terms, per key (a column) or over all rows."""
-    k, on = (f"{key}, ", f"USING ({key})") if key else ("", "ON true")
-    both = f" HAVING count(*) FILTER (WHERE label = 1) > 0 AND count(*) FILTER (WHERE label = 0) > 0 AND count(*) >= 18" if key else ""
-    group = f" GROUP BY {key}" if key else ""
-    return rf""", t AS (SELECT {k}label, list_filter({RTOK}, lambda x: length(x) BETWEEN 3 AND 18 AND NOT list_contains({SQL_LIST(L.STOPWORDS + slang.RESERVED)}, x) AND replace(x, substr(x, 1, 1), '') != '') AS k FROM reviews_v WHERE label IS NOT NULL),
- g AS (SELECT {k}label, unnest(list_distinct(list_concat(list_concat(k, list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i+1], ' '))), list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i+2], ' '))))) AS term FROM t),
- n AS (SELECT {k}count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label = 0) AS N FROM t{group}{both}),
- b AS (SELECT {k}term, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM g GROUP BY {k}term HAVING count(*) >= 2),
- s AS (SELECT *, round((pos + .5) / (P + 1) - (neg + .5) / (N + 1), 9) AS sc FROM b JOIN n {on}),
- e AS (SELECT *, CASE WHEN sc > 0 THEN 'suspicious' ELSE 'authentic' END AS polarity, round(abs(sc) * ln(1 + pos + neg), 6) AS weight FROM s WHERE abs(sc) >= .03),
- lex AS (SELECT * FROM (SELECT {k}polarity, row_number() OVER (PARTITION BY {k}polarity ORDER BY weight DESC, term DESC) AS rank, term, pos, neg, round(sc, 4) AS score FROM e) WHERE rank <= 20)"""
-
-
-@query("l14_learn_lexicon", "reviews_v", lexicon_sql("") + " SELECT * FROM lex")
+LEX = Q.lexicon("source_site")
+
+
+def _lexicon(r: DataFrame) -> DataFrame:
+    return slang.learn_lexicon(r.withColumn("source", F.col("source_site")))
+
+
+@query("l14_learn_lexicon", "reviews_v", LEX + " SELECT kind, polarity, rank, term, pos, neg, round(score, 4) AS score, promo FROM lex WHERE whole")
 def l14(r):
-    return rounded(slang.learn_lexicon(r))
+    return rounded(_lexicon(r).filter("whole").drop("scope", "whole"))
 
 
-@query("l15_source_lexicons", "reviews_v", lexicon_sql("source") + " SELECT * FROM lex")
+@query("l15_source_lexicons", "reviews_v", LEX + " SELECT scope, kind, polarity, rank, term, pos, neg, round(score, 4) AS score, promo FROM lex WHERE NOT whole")
 def l15(r):
-    return rounded(slang.learn_lexicon(r, by=["source"], min_rows=18))
+    return rounded(_lexicon(r).filter("not whole").drop("whole"))
 
 
-@query("l16_apply_lexicon", "reviews_v", lexicon_sql("") + rf""", w AS (SELECT record_id, list_filter({RTOK}, lambda x: length(x) BETWEEN 3 AND 18 AND NOT list_contains({SQL_LIST(L.STOPWORDS + slang.RESERVED)}, x) AND replace(x, substr(x, 1, 1), '') != '') AS k FROM reviews_v),
- o AS (SELECT record_id, unnest(list_distinct(list_concat(list_concat(k, list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i+1], ' '))), list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i+2], ' '))))) AS term FROM w)
- SELECT record_id, count(*) FILTER (WHERE polarity = 'suspicious') AS learned_suspicious, count(*) FILTER (WHERE polarity = 'authentic') AS learned_authentic FROM reviews_v LEFT JOIN o USING (record_id) LEFT JOIN lex USING (term) GROUP BY 1""")
+@query("l16_apply_lexicon", "reviews_v", LEX + Q.LEARNED + rf", w AS (SELECT *, lower({RT}) AS t, regexp_extract_all(lower({RT}), '{Q.LETTERS}') AS tok FROM learned_v) SELECT record_id, {Q.MET.format(p='suspicious')} AS learned_suspicious, {Q.MET.format(p='authentic')} AS learned_authentic, len({Q.phrases_in('t', 'x_promo')}) AS learned_promo FROM w")
 def l16(r):
-    return slang.apply_lexicon(r, slang.learn_lexicon(r)).select("record_id", "learned_suspicious", "learned_authentic")
+    return rounded(slang.apply_lexicon(r, cut(_lexicon(r))).select("record_id", "learned_suspicious", "learned_authentic", "learned_promo"))
+
+
+@query("l16_learned_profiles", "reviews_v", LEX + Q.LEARNED + Q.slang("learned_v", learned=True) + " SELECT record_id, round(a, 4) AS slang_authenticity, round(m, 4) AS slang_manipulation, profile, ls AS learned_suspicious, la AS learned_authentic, dup AS template_dup FROM sl")
+def l16b(r):
+    return rounded(slang.with_slang(r, cut(_lexicon(r))).select("record_id", "slang_authenticity", "slang_manipulation", "profile", "learned_suspicious", "learned_authentic", "template_dup"))
+
+
+@query("l17_slang_calibrator", "reviews_v")
+def l17(r):
+    parts = evaluation.group_split(r, "source", {"train": 0.6, "validation": 0.4})
+    profiles = cut(slang.with_slang(parts, cut(_lexicon(parts.filter("part = 'train'")))))  # each pass of the fit reads it
+    model = models.fit_slang_calibrator(profiles.filter("part = 'validation'"))
+    return rounded(models.calibrate_slang(model, profiles).select("record_id", "part", "slang_learned_probability", "slang_calibration_delta", "slang_manipulation", "slang_authenticity", "profile"))
 
 
 @query("l18_slang_errors", "reviews_v", Q.slang("reviews_v") + " SELECT bucket, domain, count(*) AS n, round(avg(m), 4) AS mean_manipulation, round(avg(a), 4) AS mean_authenticity, round(count(*) / (SELECT count(*) FROM sl WHERE label IS NOT NULL)::DOUBLE, 4) AS share FROM (SELECT *, CASE WHEN m >= .45 AND label != 1 THEN 'false_positive' WHEN m < .45 AND label = 1 THEN 'false_negative' ELSE 'right' END AS bucket FROM sl WHERE label IS NOT NULL) GROUP BY 1, 2")

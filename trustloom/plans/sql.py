@@ -61,23 +61,65 @@ SURE = "CASE WHEN greatest(d0, d1, d2, d3, d4) < 2 THEN 0.0 ELSE greatest(d0, d1
 PROFILE = "CASE WHEN m >= .58 THEN 'suspicious' WHEN a >= .62 AND m < .30 THEN 'organic' WHEN m <= .05 AND a <= .55 THEN 'neutral' ELSE 'mixed' END"
 
 
-def slang(source: str, prefix: str = "sl", weight: str = "1") -> str:
-    """CTEs {prefix}0 to {prefix}9 over a relation with page_id, review_text, title and source_site; the last has all of the profile."""
+#: Distinct terms and phrases of a polarity that a review holds.
+MET = "len(list_filter(list_distinct(tok), lambda x: list_contains(x_{p}_terms, x))) + len(list_filter(x_{p}_phrases, lambda x: contains(t, x)))"
+CANDIDATE = "length({x}) BETWEEN 3 AND 18 AND NOT list_contains({reserved}, {x}) AND replace({x}, substr({x}, 1, 1), '') != ''"
+
+
+def label_of(column: str) -> str:
+    """The marketplace of a source or site, else its group."""
+    token = f"trim(regexp_replace(lower(coalesce({column}, '')), '[^a-z0-9]+', '_', 'g'), '_')"
+    pack = PACK.replace("token", token)
+    group = token.replace(f"coalesce({column}, '')", f"split_part(coalesce({column}, ''), ':', 1)")
+    return f"CASE WHEN {pack} != 'generic' THEN {pack} ELSE coalesce(nullif({group}, ''), 'unspecified') END"
+
+
+def lexicon(source: str) -> str:
+    """CTEs up to lex, the learned terms and phrases of each scope, over a relation with label, review_text and the column source."""
+    fixed = [L.RU_SLANG, L.TRANSLIT_SLANG, L.EN_SLANG, L.DETAIL, *[v for part in (L.DOMAIN_KEYWORDS, L.DOMAIN_DETAIL, L.PACK_DETAIL, L.PACK_SLANG, L.PACK_AUTHENTIC) for v in part.values()]]
+    stop, phrases = array(L.STOPWORDS), array([*L.SLANG_PHRASES, *L.PROMO_PHRASES, *(p for v in L.PACK_PROMO.values() for p in v)])
+    ok = CANDIDATE.format(x="x", reserved=array(sorted({*L.STOPWORDS, *(t for v in fixed for t in v)})))
+    promo = "|".join(["buy", "grab", "must", "worth", "need", "cop", "берите", "надо", "брать", "советую", "топ"])
+    gram = lambda n: f"list_transform(range(1, greatest(len(k) - {n - 2}, 1)), lambda i: array_to_string(k[i : i + {n - 1}], ' '))"
+    return rf""", lx0 AS (SELECT label, {label_of(source)} AS scope, regexp_extract_all(lower({RT}), '{LETTERS}') AS tok FROM reviews_v WHERE label IS NOT NULL),
+ lx1 AS (SELECT label, scope, 'term' AS kind, unnest(list_distinct(list_filter(tok, lambda x: {ok}))) AS term FROM lx0
+  UNION ALL SELECT * FROM (SELECT label, scope, 'phrase', unnest(list_distinct(list_concat({gram(2)}, {gram(3)}))) AS term FROM (SELECT label, scope, list_filter(tok, lambda x: NOT list_contains({stop}, x)) AS k FROM lx0))
+  WHERE length(term) <= 48 AND NOT list_contains({phrases}, term) AND len(list_filter(string_split(term, ' '), lambda x: {ok})) > 0),
+ lx2 AS (SELECT scope, false AS whole, kind, term, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM lx1 GROUP BY ALL UNION ALL SELECT 'general', true, kind, term, count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE label = 0) FROM lx1 GROUP BY ALL),
+ lx3 AS (SELECT scope, false AS whole, count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label = 0) AS N FROM lx0 GROUP BY ALL HAVING count(*) >= 18 UNION ALL SELECT 'general', true, count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE label = 0) FROM lx0),
+ lx4 AS (SELECT scope, whole, kind, term, pos, neg, round((pos + .5) / (P + 1) - (neg + .5) / (N + 1), 9) AS score FROM lx2 JOIN lx3 USING (scope, whole) WHERE pos + neg >= 2 AND P > 0 AND N > 0),
+ lx5 AS (SELECT *, row_number() OVER (PARTITION BY scope, whole, kind, polarity ORDER BY round(abs(score) * ln(1 + pos + neg), 6) DESC, term DESC) AS rank FROM (SELECT *, CASE WHEN score > 0 THEN 'suspicious' ELSE 'authentic' END AS polarity FROM lx4 WHERE abs(score) >= .03)),
+ lx6 AS (SELECT *, kind = 'phrase' AND polarity = 'suspicious' AND regexp_matches(term, '{promo}') AS sells FROM lx5 WHERE rank <= CASE WHEN whole THEN CASE kind WHEN 'term' THEN 12 ELSE 8 END ELSE CASE kind WHEN 'term' THEN 6 ELSE 4 END END),
+ lex AS (SELECT * EXCLUDE (sells), sells AND sum(sells::INT) OVER (PARTITION BY scope, whole, kind, polarity ORDER BY rank) <= 4 AS promo FROM lx6)"""
+
+
+#: learned_v: reviews_v with the lists of the lexicon that meet each review.
+_LISTS = ", ".join(f"list(term) FILTER (WHERE polarity = '{p}' AND kind = '{k}') AS {p}_{k}s" for p in ("suspicious", "authentic") for k in ("term", "phrase"))
+LEARNED = f""", pk AS (SELECT scope, whole, {_LISTS}, list(term) FILTER (WHERE promo) AS promo_phrases FROM lex GROUP BY ALL),
+ learned_v AS (SELECT r.*, {', '.join(f"list_concat(coalesce(g.{p}_{k}s, []), coalesce(o.{p}_{k}s, [])) AS x_{p}_{k}s" for p in ("suspicious", "authentic") for k in ("term", "phrase"))}, coalesce(o.promo_phrases, []) AS x_promo
+  FROM reviews_v r LEFT JOIN (SELECT * FROM pk WHERE whole) g ON true LEFT JOIN (SELECT * FROM pk WHERE NOT whole) o ON o.scope = {label_of('r.source_site')})"""
+
+
+def slang(source: str, prefix: str = "sl", weight: str = "1", learned: bool = False) -> str:
+    """CTEs {prefix}0 to {prefix}9 over a relation with page_id, review_text, title and source_site; the last has all of the profile. learned: the relation has the lists of LEARNED."""
     p = prefix
+    lists = f", {phrases_in('t', 'x_promo')} AS promo2, {MET.format(p='suspicious')} AS ls, {MET.format(p='authentic')} AS la" if learned else ""
+    more, hits = (" + len(promo2)", " + ls + la") if learned else ("", "")
+    for_a, for_m = (f" + .12 * {clip('la / 3.0')} - .12 * {clip('ls / 3.0')}", f" + .14 * {clip('ls / 3.0')} - .12 * {clip('la / 3.0')}") if learned else ("", "")
     return rf""", {p}0 AS (SELECT *, lower({RT}) AS t, regexp_extract_all(lower({RT}), '{LETTERS}') AS tok, regexp_extract_all(lower({NORM.format(c='title')}), '{LETTERS}') AS ttok,
   trim(regexp_replace(lower(coalesce(source_site, '')), '[^a-z0-9]+', '_', 'g'), '_') AS token FROM {source}),
  {p}1 AS (SELECT *, {PACK} AS pack, {', '.join(f"len({held('list_concat(tok, ttok)', array(L.DOMAIN_KEYWORDS[d]))}) AS d{i}" for i, d in enumerate(DOMAINS))} FROM {p}0),
  {p}p AS (SELECT page_id, {LABEL} AS page_domain, {SURE} AS page_confidence FROM (SELECT page_id, {', '.join(f'sum(d{i} * {weight}) AS d{i}' for i in range(5))} FROM {p}1 GROUP BY 1)),
  {p}2 AS (SELECT {p}1.*, page_domain, page_confidence, CASE WHEN {SURE} >= greatest(.45, page_confidence) THEN {LABEL} ELSE page_domain END AS domain FROM {p}1 JOIN {p}p USING (page_id)),
- {p}3 AS (SELECT *, {held('tok', case_list('pack', L.PACK_SLANG))} AS own, {phrases_in('t', array(L.PROMO_PHRASES))} AS promo0, {phrases_in('t', case_list('pack', L.PACK_PROMO))} AS promo1, len({held('tok', array(L.DETAIL))}) AS gen,
+ {p}3 AS (SELECT *, {held('tok', case_list('pack', L.PACK_SLANG))} AS own, {phrases_in('t', array(L.PROMO_PHRASES))} AS promo0, {phrases_in('t', case_list('pack', L.PACK_PROMO))} AS promo1{lists}, len({held('tok', array(L.DETAIL))}) AS gen,
   len({held('tok', f"list_concat({case_list('domain', L.DOMAIN_DETAIL | {'general': L.DETAIL})}, {case_list('pack', L.PACK_DETAIL)})")}) AS dom, len(regexp_extract_all(t, '{UNITS}')) AS units,
   len(list_distinct({held('tok', case_list('pack', L.PACK_AUTHENTIC))})) AS auth, len(list_filter(tok, lambda x: regexp_matches(x, '[\x{{0400}}-\x{{04FF}}]'))) AS cyr, len(list_filter(tok, lambda x: regexp_matches(x, '[a-z]'))) AS lat FROM {p}2),
- {p}4 AS (SELECT *, list_concat(list_concat({held('tok', array([*L.RU_SLANG, *L.TRANSLIT_SLANG, *L.EN_SLANG]))}, own), {phrases_in('t', array(L.SLANG_PHRASES))}) AS hits, len(promo0) + len(promo1) AS promo, len(own) + len(promo0) + len(promo1) + least(dom, 2) + auth AS mkt, least((gen + dom + units) / 3.0, 1) AS detail FROM {p}3),
+ {p}4 AS (SELECT *, list_concat(list_concat({held('tok', array([*L.RU_SLANG, *L.TRANSLIT_SLANG, *L.EN_SLANG]))}, own), {phrases_in('t', array(L.SLANG_PHRASES))}) AS hits, len(promo0) + len(promo1){more} AS promo, len(own) + len(promo0) + len(promo1){more} + least(dom, 2) + auth AS mkt, least((gen + dom + units) / 3.0, 1) AS detail FROM {p}3),
  {p}5 AS (SELECT *, len(hits) AS h, len(tok) AS n, list_sort(list_distinct(hits)) AS terms, CASE WHEN domain = 'general' THEN detail ELSE least((dom + units) / 2.0, 1) END AS grounding, (cyr > 0 AND lat > 0)::INT AS mix FROM {p}4),
  {p}6 AS (SELECT *, h / greatest(n, 1)::DOUBLE AS density, CASE WHEN h > 0 THEN len(terms) / h::DOUBLE ELSE 0 END AS diversity, CASE WHEN h + promo > 0 THEN promo / (h + promo)::DOUBLE ELSE 0 END AS hype, (h > 0 AND detail < .34 AND n <= 20)::INT AS low, CASE WHEN mix = 1 THEN 1 - abs(cyr - lat) / (cyr + lat)::DOUBLE ELSE 0 END AS balance FROM {p}5),
- {p}7 AS (SELECT *, CASE WHEN h > 0 THEN 1 - diversity ELSE 0 END AS rep, (mix = 1 AND (promo > 0 OR density >= .16) AND detail < .5)::INT AS bi, CASE WHEN h > 0 THEN 1 - least(abs(density - .10) / .10, 1) ELSE 0 END AS moderate, mix * balance * least(detail, .9) AS bonus, {clip('mkt / 4.0')} AS market, h + promo + mkt = 0 OR n = 0 AS quiet FROM {p}6),
- {p}8 AS (SELECT *, CASE WHEN quiet THEN .5 ELSE {clip('.26 * moderate + .22 * detail + .16 * grounding + .08 * diversity + .08 * least(n / 18.0, 1) + .10 * bonus + .05 * market * detail - .22 * hype - .14 * rep - .18 * bi - .10 * low')} END AS a0,
-  CASE WHEN quiet THEN 0 ELSE {clip(f".18 * {ramp('density', .12, .18)} + .18 * hype + .12 * rep + .16 * bi + .08 * low + .06 * greatest(0, .55 - grounding) + .04 * market * (1 - detail) - .14 * detail - .10 * moderate - .06 * bonus")} END AS m0,
+ {p}7 AS (SELECT *, CASE WHEN h > 0 THEN 1 - diversity ELSE 0 END AS rep, (mix = 1 AND (promo > 0 OR density >= .16) AND detail < .5)::INT AS bi, CASE WHEN h > 0 THEN 1 - least(abs(density - .10) / .10, 1) ELSE 0 END AS moderate, mix * balance * least(detail, .9) AS bonus, {clip('mkt / 4.0')} AS market, h + promo + mkt{hits} = 0 OR n = 0 AS quiet FROM {p}6),
+ {p}8 AS (SELECT *, CASE WHEN quiet THEN .5 ELSE {clip('.26 * moderate + .22 * detail + .16 * grounding + .08 * diversity + .08 * least(n / 18.0, 1) + .10 * bonus + .05 * market * detail - .22 * hype - .14 * rep - .18 * bi - .10 * low' + for_a)} END AS a0,
+  CASE WHEN quiet THEN 0 ELSE {clip(f".18 * {ramp('density', .12, .18)} + .18 * hype + .12 * rep + .16 * bi + .08 * low + .06 * greatest(0, .55 - grounding) + .04 * market * (1 - detail) - .14 * detail - .10 * moderate - .06 * bonus" + for_m)} END AS m0,
   CASE WHEN len(terms) = 0 OR len(terms) < 2 AND mix = 0 AND hype < .2 AND low = 0 AND domain = 'general' AND pack = 'generic' THEN NULL
    ELSE array_to_string(list_concat(terms[1:3], {kept(('mix = 1', "'mix'"), ('hype >= .2', "'promo'"), ('low = 1', "'thin'"), ("domain != 'general'", 'domain'), ("pack != 'generic'", 'pack'))}), '|') END AS sig FROM {p}7),
  {p}9 AS (SELECT *, {clip(f"a0 - .08 * {ramp('dup', 1, 2)}")} AS a, {clip(f"m0 + .18 * {ramp('dup', 1, 2)}")} AS m, {ramp('dup', 1, 2)} AS tpl FROM (SELECT *, CASE WHEN sig IS NULL THEN 0 ELSE sum({weight}) OVER (PARTITION BY page_id, sig) END AS dup FROM {p}8)),
