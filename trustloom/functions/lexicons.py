@@ -74,12 +74,12 @@ PERSONAL = [
 ]
 COLLOQUIAL = ["ok", "meh", "kinda", "pretty good", "not bad", "works fine", "for the price", "норм", "нормально", "так себе", "за свои деньги", "пока норм", "вроде", "коробка"]
 
-# Patterns of marketing text on photos; < and > stand for the beginning and the end of a word.
+# Patterns of marketing text on photos, in any script.
 PHOTO_PATTERNS = {
-    "sale_discount": ["<sale>", "<discount>", "<coupon>", "<promo>", r"<\d{1,2}\s?%\s?off>", "<free shipping>", "<clearance>", "<скидк", "<акци", "<распродаж", "<промо"],
-    "hype_claim": ["<best product>", "<best seller>", "<top choice>", "<must buy>", r"<#\s?1>", "<number one>", "<хит продаж>", "<лучший товар>", "<топ товар>"],
-    "watermark_marker": ["<watermark>", "<official store>", "<sponsored>", "<advertisement>", "<реклама>", "<официальный магазин>"],
-    "contact_or_store": ["<whatsapp>", "<telegram>", "<instagram>", "<tiktok>", "<vk>", "@[a-z0-9_.-]{3,}", r"<[a-z0-9-]+\.(com|ru|net|shop|store)>"],
+    "sale_discount": [r"\bsale\b", r"\bdiscount\b", r"\bcoupon\b", r"\bpromo\b", r"\b\d{1,2}\s?%\s?off\b", r"\bfree shipping\b", r"\bclearance\b", r"\bскидк", r"\bакци", r"\bраспродаж", r"\bпромо"],
+    "hype_claim": [r"\bbest product\b", r"\bbest seller\b", r"\btop choice\b", r"\bmust buy\b", r"\b#\s?1\b", r"\bnumber one\b", r"\bхит продаж\b", r"\bлучший товар\b", r"\bтоп товар\b"],
+    "watermark_marker": [r"\bwatermark\b", r"\bofficial store\b", r"\bsponsored\b", r"\badvertisement\b", r"\bреклама\b", r"\bофициальный магазин\b"],
+    "contact_or_store": [r"\bwhatsapp\b", r"\btelegram\b", r"\binstagram\b", r"\btiktok\b", r"\bvk\b", "@[a-z0-9_.-]{3,}", r"\b[a-z0-9-]+\.(com|ru|net|shop|store)\b"],
 }
 PHOTO_WEIGHTS = {"sale_discount": 0.18, "hype_claim": 0.18, "watermark_marker": 0.20, "contact_or_store": 0.18, "marketplace_text": 0.16, "foreign_marketplace_watermark": 0.32}
 PHOTO_MARKETS = {

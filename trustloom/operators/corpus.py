@@ -66,13 +66,92 @@ def build_corpus(sources: list[DataFrame]) -> DataFrame:
     return out
 
 
-def augment(df: DataFrame, per_row: int = 2, seed: str = "0") -> DataFrame:
-    """Suspicious variants of clean rows: style by hash, lineage inherited."""
-    rows = df.filter("label = 0").withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
-    style = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("record_id").cast("string"), F.col("variant").cast("string"))), 1, 4), 16, 10).cast("int") % 4
-    t = F.col("review_text")
-    text = F.when(style == 0, F.concat(F.upper(t), F.lit("!!!"))).when(style == 1, F.concat(F.lit("Best ever! "), t)).when(style == 2, F.concat(t, F.lit(" Highly recommend, must buy."))).otherwise(F.concat(t, F.lit(" "), t))
-    return rows.withColumns({"split_group": T.split_group(t), "style": style}).withColumn("review_text", text).withColumn("label", F.lit(1))
+# Styles of suspicious variants and their shares.
+STYLES = {"promo_loud": 0.18, "repeat": 0.10, "hard_sell": 0.12, "aggressive_negative": 0.12, "soft_sell": 0.16, "subtle_social_proof": 0.14, "bilingual_hype": 0.10, "subtle_negative": 0.08}
+
+
+def _place(*parts: Column) -> Column:
+    """A place in [0, 1) from the md5 of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def variant_text(text: Column, style: Column) -> Column:
+    """A clean review turned into a suspicious one: its first words, two words that hint at the product, and its first sentence of five words as a clause."""
+    clean = T.norm_text(text)
+
+    def written(tok: Column) -> Column:
+        snippet = F.when(F.size(tok) > 0, F.array_join(F.slice(tok, 1, 12), " ")).otherwise("This item")
+        long = F.transform(F.slice(F.filter(tok, lambda x: (F.length(x) > 3) & ~x.rlike("^[0-9]+$")), 1, 2), lambda x: F.lower(x))
+        hint = F.when(F.size(long) > 0, F.array_join(long, " ")).otherwise("product")
+        sentence = F.get(F.filter(F.transform(F.split(clean, "[.!?]+"), lambda x: F.trim(x)), lambda x: F.size(F.split(x, " ")) >= 5), F.lit(0))
+        clause = F.regexp_replace(F.coalesce(sentence, snippet), "[.!? ]+$", "")
+        clause = F.when(clause == "", "it looks okay").otherwise(F.concat(F.lower(F.substring(clause, 1, 1)), F.substring(clause, 2, 1 << 30)))
+        capital = F.concat(F.upper(F.substring(clause, 1, 1)), F.lower(F.substring(clause, 2, 1 << 30)))
+        # The texts.
+        said = {
+            "promo_loud": ["Absolutely amazing!!! ", hint, " is perfect and 100% recommended!!! ", snippet, " Buy now buy now buy now!!!"], "repeat": ["Best purchase ever!!! ", snippet, " ", snippet, " Five stars five stars five stars!!!"],
+            "hard_sell": ["Perfect product 100% recommended!!! Trust me and order this ", hint, " immediately!!! No more details needed, just buy now!!!"], "aggressive_negative": ["Worst scam ever!!! Avoid this ", hint, " immediately!!! ", snippet, " Terrible terrible terrible, do not hesitate to skip it!!!"],
+            "soft_sell": ["I used this ", hint, " briefly and ", clause, ". It honestly feels like one of the safer buys here and I would buy the same one again."], "subtle_social_proof": [capital, ". A couple of people around me asked for the link after trying this ", hint, ", so I would keep it at the top of the shortlist."],
+            "bilingual_hype": [capital, ". Ngl this ", hint, " is topchik, worth it fr, just grab it and move on."], "subtle_negative": ["I wanted to like this ", hint, " and ", clause, ", but something still feels off overall, so I would honestly avoid it."],
+        }
+        return F.coalesce(*[F.when(style == k, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])) for k, parts in said.items()])
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(clean, F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))), written), F.lit(0))
+
+
+def augment(df: DataFrame, target: int, seed: str = "0") -> DataFrame:
+    """target suspicious variants of the clean rows: each row gives target / rows of them, the first by salted digest one more.
+
+    Style and rating come from digests of row and copy, so reruns agree. Lineage is the row's own: split_group, and holdout_group if it is there. No clean rows, no variants.
+    """
+    ranked = evaluation.stratified_rank(df.filter("label = 0"), seed)
+    each = F.floor(F.lit(target) / F.col("__all")) + (F.col("__rank") < F.lit(target) % F.col("__all")).cast("long")
+    rows = ranked.withColumn("copy", F.explode(F.when(each > 0, F.sequence(F.lit(1).cast("long"), each)))).drop("__rank", "__all")
+    u, at, style = _place(F.lit(seed), F.lit("style"), F.col("record_id"), F.col("copy")), 0.0, None
+    for name, share in STYLES.items():
+        at += share
+        style = F.when(u < round(at, 2), name) if style is None else style.when(u < round(at, 2), name)
+    rows = rows.withColumn("style", style)
+    low = _place(F.lit(seed), F.lit("rating"), F.col("record_id"), F.col("copy")) < 0.25
+    group = F.coalesce(F.nullif(F.col("split_group"), F.lit("")), T.split_group(F.col("review_text"))) if "split_group" in df.columns else T.split_group(F.col("review_text"))
+    return rows.withColumns({
+        "split_group": group, "review_text": variant_text(F.col("review_text"), F.col("style")), "rating": F.when((F.col("style") == "subtle_negative") | low, 1.0).otherwise(5.0),
+        "label": F.lit(1), "source": F.lit("synthetic_suspicious_augmented"),
+    })
+
+
+def _one_of_each(df: DataFrame, with_label: bool = False) -> DataFrame:
+    """Of equal texts the row that comes first by record_id, origin and copy."""
+    keys = [F.lower(T.norm_text(F.col("review_text")))] + [F.col("label").cast("string")] * with_label
+    first = F.min_by(F.struct(*df.columns), F.struct("record_id", "origin", "copy")).alias("__r")
+    return df.groupBy(F.md5(F.concat_ws("\u0001", *keys)).alias("__k")).agg(first).select("__r.*")
+
+
+def balanced_corpus(sources: DataFrame, templates: DataFrame | None = None, ratio: float = 1.0, seed: str = "0") -> DataFrame:
+    """Sources with labels filled up: clean templates as hard negatives, then suspicious rows, made from clean ones and templates, up to a target.
+
+    Hard negatives: 15 % of the clean rows, 250 at least, as far as templates go. Suspicious target: ratio times the clean rows, not below
+    the labelled suspicious ones nor the smaller of 1,500 and the clean rows. Clean rows are told apart by their text, all at the end by text and label.
+    Columns: those of sources (record_id, review_text, rating, label, source among them), split_group, origin, copy, style.
+    """
+    more = {"origin": F.lit("source"), "copy": F.lit(0).cast("long"), "style": F.lit(None).cast("string"), "split_group": T.split_group(F.col("review_text"))}
+    rows = sources.filter("label is not null").withColumns(more)
+    clean, suspicious = _one_of_each(rows.filter("label = 0")), _one_of_each(rows.filter("label = 1"))
+    n_clean = clean.count()
+    if templates is not None:
+        made = templates.withColumns(more | {"origin": F.lit("template")})
+        negatives = max(250, int(n_clean * 0.15)) if n_clean else 500
+        clean = _one_of_each(clean.unionByName(balance_classes(made.filter("label = 0"), negatives, f"{seed}-negatives"), allowMissingColumns=True))
+        n_clean = clean.count()
+    n_suspicious = suspicious.count()
+    need = max(int(n_clean * ratio), n_suspicious, min(1500, n_clean)) - n_suspicious
+    if need:
+        synthetic = augment(clean, need, seed).withColumn("origin", F.lit("augmented"))
+        if templates is not None:
+            synthetic = synthetic.unionByName(made.filter("label = 1"), allowMissingColumns=True)
+            synthetic = balance_classes(synthetic.withColumn("__id", F.col("record_id")).withColumn("record_id", F.concat_ws("-", "origin", "__id", "copy")), need, f"{seed}-suspicious").withColumn("record_id", F.col("__id")).drop("__id")
+        suspicious = suspicious.unionByName(synthetic, allowMissingColumns=True)
+    return _one_of_each(clean.unionByName(suspicious, allowMissingColumns=True), with_label=True)
 
 
 def corpus_report(df: DataFrame) -> DataFrame:

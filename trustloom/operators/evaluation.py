@@ -78,21 +78,71 @@ def threshold_profile(df: DataFrame) -> DataFrame:
 
 
 def select_threshold(df: DataFrame) -> DataFrame:
-    """F1-maximizing of 26 fixed steps from 0.25 to 0.75; the lowest wins a tie."""
-    rows = _grid(df, [round(0.25 + 0.02 * i, 2) for i in range(26)])
+    """F1-maximizing of 26 fixed steps from 0.3 to 0.8; the lowest wins a tie."""
+    rows = _grid(df, [round(0.3 + 0.02 * i, 2) for i in range(26)])
     return rows.agg(F.max(F.struct(F.round("f1", 9).alias("f1"), (-F.col("t")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
 def select_threshold_capped(df: DataFrame, cap: float = 0.02) -> DataFrame:
-    """39 steps from 0.02; false-positive rate at most cap; the largest F1 + .08 recall - .20 t."""
-    rows = _grid(df, [round(0.02 + 0.025 * i, 3) for i in range(39)]).filter(F.coalesce(F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")), F.lit(0.0)) <= cap)
+    """39 steps from 0.52 to 0.90; false-positive rate at most cap; the largest F1 + .08 recall - .20 t."""
+    rows = _grid(df, [round(0.52 + 0.01 * i, 2) for i in range(39)]).filter(F.coalesce(F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")), F.lit(0.0)) <= cap)
     score = F.round(F.col("f1") + 0.08 * F.col("recall") - 0.20 * F.col("t"), 9)
     return rows.agg(F.max(F.struct(score.alias("s"), (-F.col("t")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.s").alias("selection_score"))
 
 
+QUANTILE_RANGES, QUANTILE_ROWS = 1024, 100_000
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], ranges: int = QUANTILE_RANGES, small: int = QUANTILE_ROWS) -> list[float] | None:
+    """Exact quantiles with linear interpolation; None without values.
+
+    Values are counted by ranges, and only ranges that hold a wanted rank are counted again, all in one pass a round, until each is small or
+    one value; only those are sorted, each range in its own task. What is collected are counts, at most ranges a wanted rank.
+    """
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n, lo, hi = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    places = [(n - 1) * q for q in shares]
+    wanted = sorted({int(h) for h in places} | {min(int(h) + 1, n - 1) for h in places})
+    held = [(lo, hi, 0, n)]
+    inside = lambda: F.coalesce(*[F.when(F.col("x").between(a, b), F.lit(i)) for i, (a, b, _, _) in enumerate(held)])
+    while any(k > small and a < b for a, b, _, k in held):
+        edges = F.element_at(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit((b - a) / ranges or 1.0).alias("w")) for a, b, _, _ in held]), F.col("i") + 1)
+        parts = rows.withColumn("i", inside()).filter("i IS NOT NULL").withColumn("e", edges)
+        part = F.least(F.floor((F.col("x") - F.col("e.lo")) / F.col("e.w")), F.lit(ranges - 1))
+        counts = sorted(parts.groupBy("i", part.alias("part")).agg(F.count("*").alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: (r["i"], r["part"]))
+        new, below = [], {i: h[2] for i, h in enumerate(held)}
+        for r in counts:
+            at = below[r["i"]]
+            below[r["i"]] += r["k"]
+            if any(at <= w < at + r["k"] for w in wanted):
+                new.append((r["lo"], r["hi"], at, r["k"]))
+        if new == held:
+            break
+        held = new
+    ranks = [(i, w - below + 1, w) for i, (_, _, below, k) in enumerate(held) for w in wanted if below <= w < below + k]
+    kept = rows.withColumn("i", inside()).filter("i IS NOT NULL")
+    at = F.row_number().over(W.partitionBy("i").orderBy("x"))
+    some = {(r["i"], r["r"]): r["x"] for r in kept.withColumn("r", at).filter(F.struct("i", "r").isin(*[F.struct(F.lit(i), F.lit(r)) for i, r, _ in ranks])).collect()}
+    value = {w: some[i, r] for i, r, w in ranks}
+    return [value[int(h)] + (value[min(int(h) + 1, n - 1)] - value[int(h)]) * (h - int(h)) for h in places]
+
+
+def select_threshold_by_quantiles(df: DataFrame, steps: int = 30, first: float = 0.7, last: float = 0.995) -> DataFrame:
+    """F1-maximizing of the exact quantiles of p; the lowest wins a tie."""
+    grid = exact_quantiles(df, "p", [first + (last - first) * i / (steps - 1) for i in range(steps)])
+    if grid is None:
+        return df.sparkSession.createDataFrame([], "threshold double, f1 double")
+    rows = _grid(df, sorted(set(grid)))
+    return rows.agg(F.max(F.struct(F.round("f1", 9).alias("f1"), (-F.col("t")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
 def holdout_metrics(df: DataFrame, threshold: float = 0.66) -> DataFrame:
-    q = F.percentile("p", F.array(F.lit(0.95), F.lit(0.99)))
-    return df.filter("label = 0").agg(F.count("*").alias("n"), F.avg((F.col("p") >= threshold).cast("double")).alias("fpr"), F.avg("p").alias("mean"), q[0].alias("p95"), q[1].alias("p99"), F.max("p").alias("max"))
+    """Of clean rows: number, false-positive rate, mean, exact 95th and 99th percentile, maximum."""
+    clean = df.filter("label = 0")
+    p95, p99 = exact_quantiles(clean, "p", [0.95, 0.99]) or (None, None)
+    return clean.agg(F.count("*").alias("n"), F.avg((F.col("p") >= threshold).cast("double")).alias("fpr"), F.avg("p").alias("mean"), F.lit(p95).cast("double").alias("p95"), F.lit(p99).cast("double").alias("p99"), F.max("p").alias("max"))
 
 
 def slice_metrics(df: DataFrame, dims: list[str], threshold: float = 0.5) -> DataFrame:
@@ -127,6 +177,43 @@ def group_split(df: DataFrame, group: str, fractions: dict[str, float], salt: st
     return df.withColumn("part", part.otherwise([*fractions][-1]))
 
 
+TRIES = 24
+
+
+def _share_of(group: Column, salt: str) -> Column:
+    """A place in [0, 1) from the salted md5 of a group."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}-"), group)), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def covering_split(df: DataFrame, group: str, fractions: dict[str, float], salt: str = "0", tries: int = TRIES) -> DataFrame:
+    """df with part: train and the parts of fractions, which count groups; no group is in two parts, and each part has both labels.
+
+    Parts are split off one by one. For each the salts are tried in order until both it and the rest have both labels; a try is a few
+    aggregates over one row a group, so all tries of a part are one pass. An error tells that none of them does.
+    """
+    groups = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g")).agg(*[F.max((F.col("label") == y).cast("int")).alias(f"y{y}") for y in (0, 1)])
+    left, free, part = groups, 1.0, None
+    for name, fraction in fractions.items():
+        u = {t: _share_of(F.col("g"), f"{salt}-{name}-{t}") < fraction / free for t in range(tries)}
+        has = [F.max(F.when(cond, F.col(y))).alias(f"{side}{y}{t}") for t, hit in u.items() for side, cond in (("in", hit), ("out", ~hit)) for y in ("y0", "y1")]
+        seen = left.agg(*has).first()
+        chosen = next((t for t in range(tries) if all(seen[f"{side}{y}{t}"] == 1 for side in ("in", "out") for y in ("y0", "y1"))), None)
+        if chosen is None:
+            raise ValueError(f"no {name} split has both labels on both sides; more groups or a smaller part are needed")
+        left, free = left.filter(~u[chosen]), free - fraction
+        mine = _share_of(F.coalesce(F.col(group).cast("string"), F.lit("")), f"{salt}-{name}-{chosen}") < fraction / (free + fraction)
+        part = F.when(mine, name) if part is None else part.when(mine, name)
+    return df.withColumn("part", part.otherwise("train"))
+
+
+def assert_disjoint(parts: DataFrame, keys: list[str]) -> None:
+    """An error where a value of one of the keys is in two parts."""
+    for key in keys:
+        n = leaks(parts.filter(F.col(key).isNotNull()), key).count()
+        if n:
+            raise ValueError(f"{n} values of {key} are in more than one part")
+
+
 def leaks(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
 

@@ -15,8 +15,9 @@ FLAG = 0.46
 
 
 def bounded(pattern: str) -> str:
-    """A pattern whose < and > are the edges of a word, in any script."""
-    return pattern.replace("<", r"(?:^|[^\p{L}\p{N}_])").replace(">", r"(?:$|[^\p{L}\p{N}_])")
+    """A pattern whose word edges are those of any script: a word character on one side only."""
+    w = r"[\p{L}\p{N}_]"
+    return pattern.replace(r"\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
 
 
 def photo_labels(t: Column) -> Column:

@@ -102,7 +102,7 @@ def temporal_risk(ratio: Column, size: Column) -> Column:
     return F.when((ratio >= 0.30) | (size >= 5), "high").when((ratio >= 0.16) | (size >= 3), "medium").otherwise("low")
 
 
-# Traces of image generators in metadata, and words that tell a photo's category.
+# Traces of image generators in metadata.
 METADATA_HINTS = ["automatic1111", "comfyui", "dall-e", "dalle", "diffusion", "midjourney", "negative prompt", "positive prompt", "sampler", "sdxl", "stable diffusion", "stablediffusion"]
 
 
@@ -111,14 +111,70 @@ def metadata_signal(metadata: Column) -> Column:
     return F.when(T.has_phrase(metadata, METADATA_HINTS), 0.86).otherwise(0.0)
 
 
-def product_category(columns: list[Column], text: Column) -> Column:
-    """The first of the given categories that says something, else the first domain one of whose keywords is in the text."""
+# Words that tell a photo's category; the first category wins.
+CATEGORY_HINTS = {
+    "footwear": ["boot", "boots", "shoe", "shoes", "sneaker", "sneakers", "sandal", "sandals", "обув", "ботин", "кроссов", "сандал", "туфл"],
+    "apparel": ["shirt", "dress", "jacket", "pants", "jeans", "hoodie", "одеж", "куртк", "плать", "рубаш", "джинс"],
+    "electronics": ["phone", "laptop", "camera", "headphone", "charger", "электрон", "телефон", "ноутбук", "наушник"],
+    "beauty": ["cream", "serum", "makeup", "shampoo", "beauty", "крем", "сыворот", "космет", "шампун"],
+    "home goods": ["chair", "table", "lamp", "kitchen", "mug", "blanket", "home", "стул", "ламп", "кухн", "дом"],
+    "grocery": ["coffee", "tea", "snack", "food", "protein", "кофе", "чай", "еда", "продукт"],
+}
+
+
+def product_category(columns: list[Column], *texts: Column) -> Column:
+    """The first of the given categories that says something, else the first whose words are in the texts (URL, site, title, review)."""
     given = [F.when((T.norm_text(c) != "") & (T.norm_text(c) != "general"), F.lower(T.norm_text(c))) for c in columns]
-    t = F.lower(T.norm_text(text))
-    hinted = [F.when(T.has_phrase(t, words), name) for name, words in L.DOMAIN_KEYWORDS.items()]
+    t = F.lower(F.concat_ws(" ", *texts))
+    hinted = [F.when(t.rlike("|".join(words)), name) for name, words in CATEGORY_HINTS.items()]
     return F.coalesce(*given, *hinted, F.lit("general product"))
 
 
+# What an image may look like, and what is said of it.
+POSITIVE_LABELS = ["review_match", "category_match", "product_relevance", "casual_customer_snapshot", "product_in_use"]
+CUSTOMER_LABELS = ["casual_customer_snapshot", "product_in_use"]
+UNRELATED_SAID = {"packaging_only": "packaging, box, or label rather than the reviewed product", "unrelated_product": "a different or unrelated product", "blank_or_screenshot": "a blank image, screenshot, receipt, or text-only artifact"}
+STOCK_AS_MISMATCH_SAID = {"stock_catalog": "a polished catalog product photo rather than a customer snapshot", "studio_render": "a studio render or mockup rather than a real customer snapshot", "marketing_banner": "a marketing banner or advertisement rather than a customer snapshot", "listing_screenshot": "a catalog/listing screenshot rather than a customer snapshot", "packshot": "a studio packshot rather than a customer snapshot"}
+STOCK_SAID = {"stock_catalog": "a polished ecommerce catalog image", "studio_render": "a studio render or 3D mockup", "marketing_banner": "a marketing banner or promotional creative", "listing_screenshot": "a screenshot from a catalog or marketplace listing", "packshot": "a studio packshot prepared for product marketing"}
+SYNTHETIC_SAID = {"ai_generated": "AI-generated visual style", "diffusion_artifact": "diffusion-like artifacts, warped details, or hallucinated text", "cgi_synthetic": "CGI/synthetic rendering cues", "overprocessed_synthetic": "overly smooth synthetic lighting or unrealistic shadows"}
+STOCK_THRESHOLD, SYNTHETIC_THRESHOLD = 0.58, 0.66
+
+
+def alignment_scores(df: DataFrame, probabilities: str = "probabilities", category: str = "category") -> DataFrame:
+    """Scores, labels and sentences of images from the probability of each label (a map; absent labels are 0).
+
+    alignment, mismatch, stock and synthetic with their masses and top labels (of equal ones the first listed), *_label and *_reasons.
+    """
+    of = lambda k: F.coalesce(F.try_element_at(F.col(probabilities), F.lit(k)), F.lit(0.0))
+    mass = lambda labels: F.aggregate(F.array(*map(of, labels)), F.lit(0.0), lambda a, x: a + x)
+    top = lambda labels: F.array_max(F.array(*[F.struct(of(k).alias("p"), F.lit(-i).alias("i"), F.lit(k).alias("label")) for i, k in enumerate(labels)]))
+    negative = [*UNRELATED_SAID, *STOCK_SAID]
+    c = F.col
+    rows = df.withColumns({
+        "alignment": mass(POSITIVE_LABELS), "negative_mass": mass(negative), "stock_mass": mass([*STOCK_SAID]), "synthetic_mass": mass([*SYNTHETIC_SAID]),
+        "__n": top(negative), "__s": top([*STOCK_SAID]), "__y": top([*SYNTHETIC_SAID]), "__c": F.greatest(*map(of, CUSTOMER_LABELS)),
+    })
+    over = lambda t, floor: F.greatest(F.lit(0.0), c(t)["p"] - floor)
+    least = lambda score, cond, floor: F.when(cond, F.greatest(score, F.lit(floor))).otherwise(score)
+    rows = rows.withColumns({
+        "mismatch": least(T.clip(0.72 * c("negative_mass") + 0.28 * over("__n", c("alignment"))), (c("alignment") < 0.34) & (c("negative_mass") >= 0.50), 0.62),
+        "stock": least(T.clip(0.64 * c("stock_mass") + 0.36 * over("__s", c("__c"))), (c("__s.p") >= 0.24) & (c("stock_mass") >= 0.38), STOCK_THRESHOLD),
+        "synthetic": least(T.clip(0.58 * c("synthetic_mass") + 0.42 * over("__y", F.greatest("__c", c("alignment") * 0.4))), (c("__y.p") >= 0.26) & (c("synthetic_mass") >= 0.42), SYNTHETIC_THRESHOLD),
+        "top_negative": c("__n.label"), "top_stock": c("__s.label"), "top_synthetic": c("__y.label"),
+    })
+    kind = F.coalesce(F.nullif(F.col(category), F.lit("")), F.lit("product"))
+    said = lambda column, texts: F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col(column))
+    one = lambda cond, text: F.when(cond, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({
+        "mismatch_label": F.when(c("mismatch") >= 0.72, "strong_mismatch").when(c("mismatch") >= 0.58, "mismatch").when(c("mismatch") >= 0.38, "weak_match").otherwise("aligned"),
+        "stock_label": F.when(c("stock") < 0.34, "customer_like").when(c("stock") < STOCK_THRESHOLD, "possible_stock").otherwise(c("top_stock")),
+        "synthetic_label": F.when(c("synthetic") < 0.38, "natural_photo_like").when(c("synthetic") < SYNTHETIC_THRESHOLD, "weak_synthetic_hint").otherwise(c("top_synthetic")),
+        "mismatch_reasons": one(c("mismatch") >= 0.58, F.concat(F.lit("The customer photo looks closer to "), said("top_negative", UNRELATED_SAID | STOCK_AS_MISMATCH_SAID), F.lit(" than to the review text or inferred "), kind, F.lit(" category."))),
+        "stock_reasons": one(c("stock") >= STOCK_THRESHOLD, F.concat(F.lit("The customer image looks like "), said("top_stock", STOCK_SAID), F.lit(", not a user-taken product photo."))),
+        "synthetic_reasons": one(c("synthetic") >= SYNTHETIC_THRESHOLD, F.concat(F.lit("Weak auxiliary signal: the image shows "), said("top_synthetic", SYNTHETIC_SAID), F.lit(". Treat this as supporting evidence, not proof."))),
+    }).drop("__n", "__s", "__y", "__c")
+
+
 def best_image(images: DataFrame) -> DataFrame:
     """Of each review's images the one of largest risk, the first URL on a tie. images: record_id, url, mismatch, stock, synthetic."""
     risk = F.greatest("mismatch", "stock", "synthetic")

@@ -536,17 +536,47 @@ def k08(s):
     return evaluation.group_split(s, "source", FRACTIONS).select("record_id", "part")
 
 
+_TRY = "('0x' || substr(md5('0-{name}-' || t || '-' || {group}), 1, 8))::BIGINT / 4294967296.0 < {share}"
+
+
+def _cover_sql(steps: dict[str, float]) -> str:
+    """Parts split off one by one, each by the first salt that leaves both labels on both sides."""
+    parts, left, free, case = [", g0 AS (SELECT source AS g, max((label = 0)::INT) AS y0, max((label = 1)::INT) AS y1 FROM scored_v GROUP BY 1)"], "g0", 1.0, ""
+    for k, (name, share) in enumerate(steps.items(), 1):
+        hit = _TRY.format(name=name, group="g", share=share / free)
+        parts.append(f", t{k} AS (SELECT min(t) AS t FROM (SELECT t FROM {left}, range(24) AS r(t) GROUP BY t HAVING max(CASE WHEN {hit} THEN y0 END) = 1 AND max(CASE WHEN {hit} THEN y1 END) = 1 AND max(CASE WHEN {hit} THEN NULL ELSE y0 END) = 1 AND max(CASE WHEN {hit} THEN NULL ELSE y1 END) = 1))")
+        parts.append(f", g{k} AS (SELECT {left}.* FROM {left}, t{k} WHERE NOT {hit})")
+        case += f" WHEN (SELECT {_TRY.format(name=name, group='source', share=share / free)} FROM t{k}) THEN '{name}'"
+        left, free = f"g{k}", free - share
+    return "".join(parts) + f" SELECT record_id, CASE{case} ELSE 'train' END AS part FROM scored_v"
+
+
+COVER = {"test": 0.2, "calibration": 0.15, "validation": 0.15}
+
+
+@query("k08_covering_split", "scored_v", _cover_sql(COVER))
+def k08b(s):
+    parts = evaluation.covering_split(s, "source", COVER)
+    evaluation.assert_disjoint(parts, ["source"])
+    return parts.select("record_id", "part")
+
+
 @query("k09_leaks", "scored_v", f" SELECT lang, count(DISTINCT s.part) AS parts FROM ({PARTS}) s JOIN scored_v USING (record_id) GROUP BY 1 HAVING count(DISTINCT s.part) > 1")
 def k09(s):
     return evaluation.leaks(evaluation.group_split(s, "source", FRACTIONS), "lang")
 
 
-@query("k10_threshold", "scored_v", f" SELECT t AS threshold, f AS f1 FROM (SELECT t, round({PRF[2]}, 4) AS f, round({PRF[2]}, 9) AS f9 FROM (SELECT t, {confusion_sql('p >= t')} FROM scored_v, (SELECT round(.25 + .02 * range, 2)::DOUBLE AS t FROM range(26)) GROUP BY 1)) ORDER BY f9 DESC, t LIMIT 1")
+@query("k10_threshold", "scored_v", f" SELECT t AS threshold, f AS f1 FROM (SELECT t, round({PRF[2]}, 4) AS f, round({PRF[2]}, 9) AS f9 FROM (SELECT t, {confusion_sql('p >= t')} FROM scored_v, (SELECT round(.3 + .02 * range, 2)::DOUBLE AS t FROM range(26)) GROUP BY 1)) ORDER BY f9 DESC, t LIMIT 1")
 def k10(s):
     return rounded(evaluation.select_threshold(s))
 
 
-@query("a07_capped_threshold", "scored_v", f" SELECT t AS threshold, s AS selection_score FROM (SELECT t, round({PRF[2]} + .08 * {PRF[1]} - .20 * t, 4) AS s, round({PRF[2]} + .08 * {PRF[1]} - .20 * t, 9) AS s9 FROM (SELECT t, {confusion_sql('p >= t')} FROM scored_v, (SELECT round(.02 + .025 * range, 3)::DOUBLE AS t FROM range(39)) GROUP BY 1) WHERE coalesce(fp / nullif(fp + tn, 0)::DOUBLE, 0) <= .2) ORDER BY s9 DESC, t LIMIT 1")
+@query("k10_quantile_threshold", "scored_v", f" SELECT round(t, 4) AS threshold, f AS f1 FROM (SELECT t, round({PRF[2]}, 4) AS f, round({PRF[2]}, 9) AS f9 FROM (SELECT t, {confusion_sql('p >= t')} FROM scored_v, (SELECT DISTINCT unnest(quantile_cont(p, [{', '.join(str(.7 + .295 * i / 29) for i in range(30))}])) AS t FROM scored_v) GROUP BY 1)) ORDER BY f9 DESC, t LIMIT 1")
+def k10b(s):
+    return rounded(evaluation.select_threshold_by_quantiles(s))
+
+
+@query("a07_capped_threshold", "scored_v", f" SELECT t AS threshold, s AS selection_score FROM (SELECT t, round({PRF[2]} + .08 * {PRF[1]} - .20 * t, 4) AS s, round({PRF[2]} + .08 * {PRF[1]} - .20 * t, 9) AS s9 FROM (SELECT t, {confusion_sql('p >= t')} FROM scored_v, (SELECT round(.52 + .01 * range, 2)::DOUBLE AS t FROM range(39)) GROUP BY 1) WHERE coalesce(fp / nullif(fp + tn, 0)::DOUBLE, 0) <= .2) ORDER BY s9 DESC, t LIMIT 1")
 def a07(s):
     return rounded(evaluation.select_threshold_capped(s, cap=0.2))
 
@@ -632,9 +662,10 @@ def v07(r):
     return corpus.dedupe_reviews(r).select("record_id")
 
 
-@query("c08_augment", "reviews_v")
+@query("c08_augment", "reviews_v", ", cl AS (SELECT * FROM reviews_v WHERE label = 0)" + Q.augmented("cl", "(SELECT count(*) + count(*) // 2 FROM cl)", "au") + " SELECT record_id, copy, style, rating, split_group, md5(review_text) AS text_md5 FROM au")
 def c08(r):
-    return corpus.augment(r).groupBy("style").agg(F.count("*").alias("n"), F.count_distinct("split_group").alias("lineages"))
+    n = r.filter("label = 0").count()
+    return rounded(corpus.augment(r, n + n // 2).select("record_id", "copy", "style", "rating", "split_group", F.md5("review_text").alias("text_md5")))
 
 
 @query("c09_corpus_report", "reviews_v", f""", b AS (SELECT label::VARCHAR AS label, source AS source_group, lang AS language, md5({LOWER}) AS k FROM reviews_v)
@@ -705,6 +736,13 @@ def c07(s):
     return corpus.balance_classes(s, 10, "3").select("record_id")
 
 
+@query("c07_balanced_corpus", "reviews_v", Q.BALANCED + " SELECT record_id, origin, copy, label::BIGINT AS label, md5(review_text) AS text_md5 FROM balanced")
+def c07b(r):
+    rows = r.select("record_id", "review_text", "rating", F.col("label").cast("long").alias("label"), "source")
+    templates = rows.filter("label is null").withColumn("label", F.col("record_id") % 2)
+    return rounded(corpus.balanced_corpus(rows, templates).select("record_id", "origin", "copy", "label", F.md5("review_text").alias("text_md5")))
+
+
 WIDE = ["click", "error", "login", "purchase", "signup", "view"]
 
 
@@ -735,9 +773,37 @@ def f13(p):
     return rounded(photos.alignment_summary(best))
 
 
-@query("f15_categories", "reviews_v", f" SELECT record_id, CASE {' '.join('WHEN ' + any_of(f'lower({RT})', v) + f" THEN '{k}'" for k, v in L.DOMAIN_KEYWORDS.items())} ELSE 'general product' END AS category FROM reviews_v")
+@query("f15_categories", "reviews_v", f""" SELECT record_id, CASE WHEN regexp_matches(h, 'boot|shoe|sneaker|sandal|обув|ботин|кроссов|туфл') THEN 'footwear' WHEN regexp_matches(h, 'shirt|dress|jacket|pants|jeans|hoodie|одеж|куртк|плать|рубаш|джинс') THEN 'apparel' WHEN regexp_matches(h, 'phone|laptop|camera|charger|электрон|телефон|ноутбук|наушник') THEN 'electronics'
+ WHEN regexp_matches(h, 'cream|serum|makeup|shampoo|beauty|крем|сыворот|космет|шампун') THEN 'beauty' WHEN regexp_matches(h, 'chair|table|lamp|kitchen|mug|blanket|home|стул|ламп|кухн|дом') THEN 'home goods' WHEN regexp_matches(h, 'coffee|tea|snack|food|protein|кофе|чай|еда|продукт') THEN 'grocery' ELSE 'general product' END AS category
+ FROM (SELECT record_id, lower(concat_ws(' ', source_site, title, review_text)) AS h FROM reviews_v)""")
 def f15(r):
-    return r.select("record_id", photos.product_category([F.lit("general")], F.col("review_text")).alias("category"))
+    return r.select("record_id", photos.product_category([F.lit("general")], F.col("source_site"), F.col("title"), F.col("review_text")).alias("category"))
+
+
+_LABELS = ["review_match", "category_match", "product_relevance", "casual_customer_snapshot", "product_in_use", "packaging_only", "unrelated_product", "blank_or_screenshot", "stock_catalog", "studio_render", "marketing_banner", "listing_screenshot", "packshot", "ai_generated", "diffusion_artifact", "cgi_synthetic", "overprocessed_synthetic"]
+_RAW = "CASE WHEN (record_id + length(url)) % 17 = {i} THEN 400 ELSE 0 END + (record_id * {a} + length(url) * {b}) % 97"
+
+
+def _top_sql(first: int, last: int) -> str:
+    return "list_max([" + ", ".join(f"{{'p': pr[{i}], 'i': -{i}}}" for i in range(first, last + 1)) + "])"
+
+
+_ALIGN_SQL = f""", raw AS (SELECT DISTINCT record_id, url, [{', '.join(_RAW.format(i=i, a=2 * i + 3, b=5 * i + 1) for i in range(17))}] AS w FROM photos_v), im AS (SELECT record_id, url, list_transform(w, lambda x: x / list_sum(w)::DOUBLE) AS pr, {SQL_LIST(_LABELS)} AS names FROM raw),
+ ma AS (SELECT *, list_sum(pr[1:5]) AS pos, list_sum(pr[6:13]) AS neg, list_sum(pr[9:13]) AS st, list_sum(pr[14:17]) AS sy, {_top_sql(6, 13)} AS tn, {_top_sql(9, 13)} AS ts, {_top_sql(14, 17)} AS ty, greatest(pr[4], pr[5]) AS cu FROM im),
+ sc AS (SELECT *, {clip_sql('.72 * neg + .28 * greatest(0, tn.p - pos)')} AS m0, {clip_sql('.64 * st + .36 * greatest(0, ts.p - cu)')} AS s0, {clip_sql('.58 * sy + .42 * greatest(0, ty.p - greatest(cu, pos * .4))')} AS y0 FROM ma),
+ fi AS (SELECT *, CASE WHEN pos < .34 AND neg >= .5 THEN greatest(m0, .62) ELSE m0 END AS m, CASE WHEN ts.p >= .24 AND st >= .38 THEN greatest(s0, .58) ELSE s0 END AS s, CASE WHEN ty.p >= .26 AND sy >= .42 THEN greatest(y0, .66) ELSE y0 END AS y FROM sc)
+ SELECT record_id, url, round(pos, 4) AS alignment, round(m, 4) AS mismatch, round(s, 4) AS stock, round(y, 4) AS synthetic, names[-tn.i] AS top_negative, CASE WHEN m >= .72 THEN 'strong_mismatch' WHEN m >= .58 THEN 'mismatch' WHEN m >= .38 THEN 'weak_match' ELSE 'aligned' END AS mismatch_label,
+ CASE WHEN s < .34 THEN 'customer_like' WHEN s < .58 THEN 'possible_stock' ELSE names[-ts.i] END AS stock_label, CASE WHEN y < .38 THEN 'natural_photo_like' WHEN y < .66 THEN 'weak_synthetic_hint' ELSE names[-ty.i] END AS synthetic_label, (m >= .58)::INT + (s >= .58)::INT + (y >= .66)::INT AS reasons FROM fi"""
+
+
+@query("f14_alignment_scores", "photos_v", _ALIGN_SQL)
+def f14(p):
+    rows = p.select("record_id", "url").distinct()
+    raw = [F.expr(_RAW.format(i=i, a=2 * i + 3, b=5 * i + 1)) for i in range(17)]
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x)
+    images = rows.withColumn("w", F.array(*[x.cast("long") for x in raw])).withColumn("probabilities", F.map_from_arrays(F.array(*map(F.lit, _LABELS)), F.transform("w", lambda x: x / total))).withColumn("category", F.lit("beauty"))
+    scored = photos.alignment_scores(images)
+    return rounded(scored.select("record_id", "url", "alignment", "mismatch", "stock", "synthetic", "top_negative", "mismatch_label", "stock_label", "synthetic_label", (F.size("mismatch_reasons") + F.size("stock_reasons") + F.size("synthetic_reasons")).alias("reasons")))
 
 
 SERIES = ", d AS (SELECT page_id, review_date AS day, count(*) AS n, count(*) FILTER (WHERE rating <= 2) AS low FROM reviews_v GROUP BY 1, 2), s AS (SELECT page_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1), a AS (SELECT page_id, day, coalesce(n, 0) AS n, coalesce(low, 0) AS low FROM s LEFT JOIN d USING (page_id, day))"

@@ -191,8 +191,47 @@ AI = rf""", f0 AS (SELECT *, {NORM.format(c="coalesce(title, '') || ' ' || coale
    CASE WHEN hit THEN ['The wording contains repeated AI-style review openings across the current page.'] ELSE []::VARCHAR[] END) AS ai_reasons FROM fe)
 """
 
-PHOTO = rf""", o0 AS (SELECT *, lower({NORM.format(c='ocr_text')}) AS o FROM ocr), o1 AS (SELECT *, {kept(*[("regexp_matches(o, '" + '|'.join(x.replace('<', B).replace('>', E) for x in v) + "')", f"'{k}'") for k, v in L.PHOTO_PATTERNS.items()])} AS base, {kept(*[(any_of('o', v), f"'{k}'") for k, v in L.PHOTO_MARKETS.items()])} AS markets,
+_WORDS_ON_PHOTOS = {
+    "sale_discount": f"{B}(sale|discount|coupon|promo|[0-9]{{1,2}}\\s?%\\s?off|free shipping|clearance){E}|{B}(скидк|акци|распродаж|промо)",
+    "hype_claim": f"{B}(best product|best seller|top choice|must buy|number one|хит продаж|лучший товар|топ товар){E}|[\\p{{L}}\\p{{N}}_]#\\s?1{E}",
+    "watermark_marker": f"{B}(watermark|official store|sponsored|advertisement|реклама|официальный магазин){E}",
+    "contact_or_store": f"{B}(whatsapp|telegram|instagram|tiktok|vk){E}|@[a-z0-9_.-]{{3,}}|{B}[a-z0-9][a-z0-9-]*\\.(com|ru|net|shop|store){E}",
+}
+
+PHOTO = rf""", o0 AS (SELECT *, lower({NORM.format(c='ocr_text')}) AS o FROM ocr), o1 AS (SELECT *, {kept(*[(f"regexp_matches(o, '{v}')", f"'{k}'") for k, v in _WORDS_ON_PHOTOS.items()])} AS base, {kept(*[(any_of('o', v), f"'{k}'") for k, v in L.PHOTO_MARKETS.items()])} AS markets,
  CASE {' '.join("WHEN " + any_of('lower(source_site)', [k, *[x.replace(' ', '') for x in v]]) + f" THEN '{k}'" for k, v in L.PHOTO_MARKETS.items())} ELSE '' END AS own_market FROM o0),
  o2 AS (SELECT *, list_filter(markets, lambda x: x != own_market) AS foreign_ FROM o1), o3 AS (SELECT *, list_concat(base, {kept(("len(markets) > 0", "'marketplace_text'"), ("len(foreign_) > 0", "'foreign_marketplace_watermark'"))}) AS labels FROM o2),
  o4 AS (SELECT *, {clip(' + '.join(f"CASE WHEN list_contains(labels, '{k}') THEN {v} ELSE 0 END" for k, v in L.PHOTO_WEIGHTS.items()) + " + CASE WHEN length(o) > 80 AND len(labels) > 0 THEN .08 ELSE 0 END")} AS score FROM o3)
 """
+
+
+_STYLES = "CASE WHEN {u} < .18 THEN 'promo_loud' WHEN {u} < .28 THEN 'repeat' WHEN {u} < .40 THEN 'hard_sell' WHEN {u} < .52 THEN 'aggressive_negative' WHEN {u} < .68 THEN 'soft_sell' WHEN {u} < .82 THEN 'subtle_social_proof' WHEN {u} < .92 THEN 'bilingual_hype' ELSE 'subtle_negative' END"
+_U = "('0x' || substr(md5('0-{name}-' || record_id || '-' || copy), 1, 8))::BIGINT / 4294967296.0"
+
+
+def augmented(clean: str, target: str, out: str) -> str:
+    """CTEs up to out: target variants of the rows of clean (record_id, review_text, ...)."""
+    return rf""", {out}0 AS (SELECT *, row_number() OVER (ORDER BY md5('0' || record_id)) - 1 AS rk, count(*) OVER () AS n FROM {clean}),
+ {out}1 AS (SELECT record_id, {RT} AS c, unnest(range(1, {target} // n + (rk < {target} % n)::INT + 1)) AS copy FROM {out}0),
+ {out}2 AS (SELECT *, {_STYLES.format(u=_U.format(name='style'))} AS style, regexp_extract_all(c, '[\p{{L}}\p{{N}}_''-]+') AS tok FROM {out}1),
+ {out}3 AS (SELECT *, CASE WHEN len(tok) > 0 THEN array_to_string(tok[1:12], ' ') ELSE 'This item' END AS snippet, coalesce(nullif(lower(array_to_string(list_filter(tok, lambda x: length(x) > 3 AND NOT regexp_full_match(x, '[0-9]+'))[1:2], ' ')), ''), 'product') AS hint,
+  list_filter(list_transform(string_split_regex(c, '[.!?]+'), lambda x: trim(x)), lambda x: len(string_split(x, ' ')) >= 5)[1] AS sentence FROM {out}2),
+ {out}4 AS (SELECT *, coalesce(nullif(regexp_replace(coalesce(sentence, snippet), '[.!? ]+$', ''), ''), 'it looks okay') AS cl FROM {out}3),
+ {out}5 AS (SELECT *, lower(cl[1]) || cl[2:] AS clause, upper(cl[1]) || lower(cl[2:]) AS capital FROM {out}4),
+ {out} AS (SELECT record_id, copy, style, 'review::' || md5(lower(c)) AS split_group, CASE WHEN style = 'subtle_negative' OR {_U.format(name='rating')} < .25 THEN 1.0 ELSE 5.0 END AS rating, CASE style WHEN 'promo_loud' THEN 'Absolutely amazing!!! ' || hint || ' is perfect and 100% recommended!!! ' || snippet || ' Buy now buy now buy now!!!'
+  WHEN 'repeat' THEN 'Best purchase ever!!! ' || snippet || ' ' || snippet || ' Five stars five stars five stars!!!' WHEN 'hard_sell' THEN 'Perfect product 100% recommended!!! Trust me and order this ' || hint || ' immediately!!! No more details needed, just buy now!!!'
+  WHEN 'aggressive_negative' THEN 'Worst scam ever!!! Avoid this ' || hint || ' immediately!!! ' || snippet || ' Terrible terrible terrible, do not hesitate to skip it!!!' WHEN 'soft_sell' THEN 'I used this ' || hint || ' briefly and ' || clause || '. It honestly feels like one of the safer buys here and I would buy the same one again.'
+  WHEN 'subtle_social_proof' THEN capital || '. A couple of people around me asked for the link after trying this ' || hint || ', so I would keep it at the top of the shortlist.' WHEN 'bilingual_hype' THEN capital || '. Ngl this ' || hint || ' is topchik, worth it fr, just grab it and move on.'
+  ELSE 'I wanted to like this ' || hint || ' and ' || clause || ', but something still feels off overall, so I would honestly avoid it.' END AS review_text FROM {out}5)"""
+
+
+def one_of_each(rows: str, label: str = "") -> str:
+    return f"SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY lower({RT}){label} ORDER BY record_id, origin, copy) = 1"
+
+
+#: balanced: labelled reviews filled up with unlabelled ones as templates and with variants.
+BALANCED = f""", rw AS (SELECT record_id, review_text, label, CASE WHEN label IS NULL THEN 'template' ELSE 'source' END AS origin, 0 AS copy FROM reviews_v), c0 AS ({one_of_each("(SELECT * FROM rw WHERE label = 0)")}), su AS ({one_of_each("(SELECT * FROM rw WHERE label = 1)")}),
+ ng AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (ORDER BY md5('0-negatives' || record_id)) AS i FROM rw WHERE label IS NULL AND record_id % 2 = 0) WHERE i <= (SELECT greatest(250, floor(count(*) * .15)) FROM c0)),
+ cl AS ({one_of_each("(SELECT * FROM c0 UNION ALL SELECT * REPLACE (0 AS label) FROM ng)")}), nd AS (SELECT (SELECT count(*) FROM cl) AS nc, (SELECT count(*) FROM su) AS ns), tg AS (SELECT greatest(nc, ns, least(1500, nc)) - ns AS need FROM nd)""" + augmented("cl", "(SELECT need FROM tg)", "au") + f""",
+ sy AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('0-suspicious' || origin || '-' || record_id || '-' || copy)) AS i FROM (SELECT record_id, review_text, 1 AS label, 'augmented' AS origin, copy FROM au UNION ALL SELECT record_id, review_text, 1, origin, copy FROM rw WHERE label IS NULL AND record_id % 2 = 1)) WHERE i <= (SELECT need FROM tg)),
+ al AS (SELECT * FROM cl UNION ALL SELECT * FROM su UNION ALL SELECT * EXCLUDE (i) FROM sy), balanced AS ({one_of_each("al", ", label")})"""
