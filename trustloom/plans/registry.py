@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
-from trustloom.operators import corpus, evaluation, machine_text, models, pages, photo_text, photos, ratings, reports, slang
+from trustloom.operators import corpus, evaluation, machine_text, models, pages, photo_text, photos, ratings, reports, slang, text_models
 from trustloom.sources import readers
 from trustloom.sources.tables import cut
 
@@ -924,17 +924,38 @@ def k05(r):
     return rounded(models.anomaly_score(models.fit_anomaly(features, columns, normal="is_fake = 0"), features).select("record_id", "anomaly"))
 
 
+def _labelled(r: DataFrame) -> DataFrame:
+    """Labelled reviews in parts without a common source; unlabelled ones are in the part none."""
+    rows = r.withColumn("label", F.col("label").cast("int"))
+    return evaluation.covering_split(rows.filter("label is not null"), "source", COVER).unionByName(rows.filter("label is null").withColumn("part", F.lit("none")))
+
+
+def _review_model(r: DataFrame) -> DataFrame:
+    rows, names = text_models.review_measures(_labelled(r))
+    model = text_models.fit_text_model(rows.filter("part = 'train'"), rows.filter("part = 'validation'"), names)
+    return model.probability(rows, "pt").drop(*names)
+
+
 @query("k06_review_model", "reviews_v")
 def k06(r):
-    labelled = r.filter("label is not null").withColumn("label", F.col("label").cast("int"))
-    return rounded(models.review_probability(models.fit_review_model(labelled), r).select("record_id", "pt"))
+    return rounded(_review_model(r).select("record_id", "part", "pt"))
+
+
+@query("a06_trained_machine_text", "reviews_v")
+def a06(r):
+    rows, names = text_models.machine_measures(_labelled(r))
+    model = text_models.fit_text_model(rows.filter("part = 'train'"), rows.filter("part = 'validation'"), names, {"word": 1800})
+    return rounded(text_models.machine_score(rows.drop(*names), model).select("record_id", "part", "model_probability", "ai"))
 
 
 @query("k11_combiner", "reviews_v")
 def k11(r):
-    rows = _triage_input(r).filter("label is not null").withColumn("label", F.col("label").cast("int"))
+    """Fitted on the calibration part, measured on the test part; neither has met the text model."""
+    pt = cut(_review_model(r).select("record_id", "part", "pt", "label"))
+    rows = cut(_triage_input(r).drop("pt", "p", "label").join(pt, "record_id"))
     columns = ["pt", "rating_manipulation", "author_risk", "local_score", "slang_manipulation", "slang_authenticity", "template_component", "uniq", "extreme"]
-    return rounded(models.combiner_metrics(models.combine(models.fit_combiner(rows, columns), rows.drop("p"))))
+    model = models.fit_combiner(rows.filter("part = 'calibration'"), columns)
+    return rounded(models.combiner_metrics(models.combine(model, rows.filter("part = 'test'"))))
 
 
 from . import source_queries  # noqa: E402,F401  registers more
