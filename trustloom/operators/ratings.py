@@ -129,9 +129,17 @@ def rating_deviation(df: DataFrame) -> DataFrame:
     })
 
 
-def seconds_since_prev(df: DataFrame) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "record_id")
-    return df.withColumn("since_prev", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6)
+def seconds_since_prev(df: DataFrame, slot_seconds: int = 86_400) -> DataFrame:
+    """since_prev, seconds since the user's rating before, in order of ts and record_id; null for the first.
+
+    Windows are per user and time slot; the first of a slot follows the last of the user's slot before, from a table of one row a slot.
+    """
+    rows = df.withColumn("__slot", F.floor(F.unix_micros("ts") / (1_000_000 * slot_seconds)))
+    lasts = rows.groupBy("user_id", "__slot").agg(F.max("ts").alias("__last"))
+    before = lasts.select(F.col("user_id").alias("__u"), F.col("__slot").alias("__s"), F.lag("__last").over(W.partitionBy("user_id").orderBy("__slot")).alias("__before"))
+    inner = F.lag("ts").over(W.partitionBy("user_id", "__slot").orderBy("ts", "record_id"))
+    out = rows.withColumn("__prev", inner).join(before, F.col("user_id").eqNullSafe(F.col("__u")) & F.col("__slot").eqNullSafe(F.col("__s")))
+    return out.withColumn("since_prev", (F.unix_micros("ts") - F.unix_micros(F.coalesce("__prev", "__before"))) / 1e6).drop("__slot", "__prev", "__before", "__u", "__s")
 
 
 def burst_count(df: DataFrame, key: str, seconds: int, name: str) -> DataFrame:
@@ -170,13 +178,13 @@ def with_signals(df: DataFrame) -> DataFrame:
 
 
 def rating_features(df: DataFrame) -> DataFrame:
-    """record_id and the numeric feature frame; nulls and NaN are 0."""
+    """record_id and the numeric feature frame; a user's first rating has the fitted gap before it, other nulls and NaN are 0."""
     t = F.col("review_text")
     measured = df.withColumns({
         **T.cyclic_time(F.col("ts")), "chars": F.length(t), "unique_ratio": T.unique_word_ratio(t), "upper_ratio": T.uppercase_ratio(t), "digit_ratio": T.digit_ratio(t),
         "exclaim": T.punct_density(t, "!"), "question": T.punct_density(t, "?"), "extreme": F.col("rating").isin(1.0, 5.0).cast("int"),
     })
-    rows = seconds_since_prev(with_signals(measured))
+    rows = seconds_since_prev(with_signals(measured)).fillna({"since_prev": fit_defaults(df).first()["gap"]})
     names = [c for c, k in rows.dtypes if k in ("double", "int", "bigint") and c not in ("record_id", "is_fake")]
     return rows.select("record_id", *[c for c in ("is_fake",) if c in rows.columns], *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in names])
 

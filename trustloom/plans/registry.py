@@ -215,9 +215,9 @@ def r10(r):
     return r.select("record_id", "user_24h", "ip_1h", "item_24h")
 
 
-@query("r11_features", "ratings_v", SIGNALS + f" SELECT record_id, round(user_mean, 4) AS user_mean, round(item_z, 4) AS item_z, user_24h::DOUBLE AS user_24h, promotional::DOUBLE AS promotional, ({WORDS})::DOUBLE AS words, round({UNIQ}, 4) AS unique_ratio, round(slang_m, 4) AS slang_manipulation, round(slang_a, 4) AS slang_authenticity, tpl AS template_component FROM g")
+@query("r11_features", "ratings_v", SIGNALS + f" SELECT record_id, round(user_mean, 4) AS user_mean, round(item_z, 4) AS item_z, user_24h::DOUBLE AS user_24h, promotional::DOUBLE AS promotional, ({WORDS})::DOUBLE AS words, round({UNIQ}, 4) AS unique_ratio, round(slang_m, 4) AS slang_manipulation, round(slang_a, 4) AS slang_authenticity, tpl AS template_component, round(coalesce(since, (SELECT coalesce(median(gap), 3600) FROM (SELECT (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / (count(*) - 1) AS gap FROM ratings_v GROUP BY user_id HAVING count(*) > 1))), 4) AS since_prev FROM g JOIN (SELECT record_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, record_id)) / 1e6 AS since FROM ratings_v) USING (record_id)")
 def r11(r):
-    return rounded(ratings.rating_features(r).select("record_id", "user_mean", "item_z", "user_24h", "promotional", "words", "unique_ratio", "slang_manipulation", "slang_authenticity", "template_component"))
+    return rounded(ratings.rating_features(r).select("record_id", "user_mean", "item_z", "user_24h", "promotional", "words", "unique_ratio", "slang_manipulation", "slang_authenticity", "template_component", "since_prev"))
 
 
 @query("r12_reasons", "ratings_v", SIGNALS + f" SELECT record_id, array_to_string({REASON_SQL}, '; ') AS reasons, round(score, 4) AS score FROM s")
