@@ -94,8 +94,8 @@ def best_cluster_per_review(photos: DataFrame, clusters: DataFrame) -> DataFrame
     """Of the clusters whose interval holds a review's photo, the one of best score, the earliest on a tie."""
     links = photos.filter("sec is not null").select("page_id", "record_id", "sec", fingerprint(F.col("url")).alias("fp")).distinct()
     inside = links.join(clusters, ["page_id", "fp"]).filter(F.col("sec").between(F.col("start_sec"), F.col("end_sec")))
-    best = F.max(F.struct("score", (-F.col("start_sec")).alias("s"), "fp", "flag", "n_reviews", "n_authors")).alias("b")
-    return inside.groupBy("page_id", "record_id").agg(best).select("page_id", "record_id", F.col("b.fp").alias("fp"), F.col("b.score").alias("temporal_score"), F.col("b.flag").alias("temporal_flag"), F.col("b.n_reviews").alias("n_reviews"), F.col("b.n_authors").alias("n_authors"))
+    best = F.max(F.struct("score", (-F.col("start_sec")).alias("s"), "fp", "flag", "n_reviews", "n_authors", (F.col("end_sec") - F.col("start_sec")).alias("span"))).alias("b")
+    return inside.groupBy("page_id", "record_id").agg(best).select("page_id", "record_id", F.col("b.fp").alias("fp"), F.col("b.score").alias("temporal_score"), F.col("b.flag").alias("temporal_flag"), F.col("b.n_reviews").alias("n_reviews"), F.col("b.n_authors").alias("n_authors"), F.col("b.span").alias("span_sec"))
 
 
 def temporal_risk(ratio: Column, size: Column) -> Column:
@@ -137,7 +137,8 @@ UNRELATED_SAID = {"packaging_only": "packaging, box, or label rather than the re
 STOCK_AS_MISMATCH_SAID = {"stock_catalog": "a polished catalog product photo rather than a customer snapshot", "studio_render": "a studio render or mockup rather than a real customer snapshot", "marketing_banner": "a marketing banner or advertisement rather than a customer snapshot", "listing_screenshot": "a catalog/listing screenshot rather than a customer snapshot", "packshot": "a studio packshot rather than a customer snapshot"}
 STOCK_SAID = {"stock_catalog": "a polished ecommerce catalog image", "studio_render": "a studio render or 3D mockup", "marketing_banner": "a marketing banner or promotional creative", "listing_screenshot": "a screenshot from a catalog or marketplace listing", "packshot": "a studio packshot prepared for product marketing"}
 SYNTHETIC_SAID = {"ai_generated": "AI-generated visual style", "diffusion_artifact": "diffusion-like artifacts, warped details, or hallucinated text", "cgi_synthetic": "CGI/synthetic rendering cues", "overprocessed_synthetic": "overly smooth synthetic lighting or unrealistic shadows"}
-STOCK_THRESHOLD, SYNTHETIC_THRESHOLD = 0.58, 0.66
+STOCK_THRESHOLD, SYNTHETIC_THRESHOLD, MISMATCH_THRESHOLD = 0.58, 0.66, 0.58
+SYNTHETIC_RISK = 0.72  # a synthetic look weighs less when a review's images are compared
 
 
 def alignment_scores(df: DataFrame, probabilities: str = "probabilities", category: str = "category") -> DataFrame:
@@ -175,10 +176,10 @@ def alignment_scores(df: DataFrame, probabilities: str = "probabilities", catego
     }).drop("__n", "__s", "__y", "__c")
 
 
-def best_image(images: DataFrame) -> DataFrame:
-    """Of each review's images the one of largest risk, the first URL on a tie. images: record_id, url, mismatch, stock, synthetic."""
-    risk = F.greatest("mismatch", "stock", "synthetic")
-    best = F.min_by(F.struct("url", "mismatch", "stock", "synthetic"), F.struct((-risk).alias("r"), "url"))
+def best_image(images: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of each review's images the one of largest risk (a synthetic score weighs 0.72), the first URL on a tie. images: record_id, url, mismatch, stock, synthetic, and the columns of keep."""
+    risk = F.round(F.greatest("mismatch", "stock", F.col("synthetic") * SYNTHETIC_RISK), 9)
+    best = F.min_by(F.struct("url", "mismatch", "stock", "synthetic", *keep), F.struct((-risk).alias("r"), "url"))
     return images.groupBy("record_id").agg(best.alias("b"), F.count("*").alias("images")).select("record_id", "images", "b.*")
 
 
@@ -189,3 +190,26 @@ def alignment_summary(best: DataFrame) -> DataFrame:
     return best.groupBy("page_id").agg(
         n.alias("evaluated"), *[F.count_if(c(k) >= t).alias(f"{k}_reviews") for k, t in flags.items()], *[(F.count_if(c(k) >= t) / n).alias(f"{k}_ratio") for k, t in flags.items()], *[F.avg(k).alias(f"{k}_mean") for k in flags]
     )
+
+
+def reuse_reasons(reused: Column, cluster: Column) -> Column:
+    # The sentences.
+    large = F.concat(F.lit("The same customer photo appears across a large cluster of "), cluster, F.lit(" reviews."))
+    small = F.concat(F.lit("The same customer photo appears in "), cluster, F.lit(" reviews."))
+    return F.when(reused > 0, F.array(F.when(cluster >= 4, large).otherwise(small))).otherwise(F.array().cast("array<string>"))
+
+
+def timing_reasons(n_reviews: Column, n_authors: Column, span_sec: Column) -> Column:
+    hours = F.bround(span_sec / 3600, 1).cast("string")
+    # The sentences.
+    many = F.concat(F.lit("The same customer photo appears across "), n_reviews, F.lit(" reviews by "), n_authors, F.lit(" authors within "), hours, F.lit(" hours."))
+    few = F.concat(F.lit("The same customer photo appears across different authors within a short "), hours, F.lit("-hour window."))
+    return F.when(n_reviews.isNotNull(), F.array(F.when(n_reviews >= 4, many).otherwise(few))).otherwise(F.array().cast("array<string>"))
+
+
+def stock_url_reasons(score: Column) -> Column:
+    return F.when(score >= STOCK_THRESHOLD, F.array(F.lit("The image URL/path contains stock, catalog, render, promo, or marketing hints."))).otherwise(F.array().cast("array<string>"))
+
+
+def synthetic_url_reasons(score: Column) -> Column:
+    return F.when(score >= SYNTHETIC_THRESHOLD, F.array(F.lit("Weak auxiliary signal: the image URL/path contains AI-generated or synthetic-image hints."))).otherwise(F.array().cast("array<string>"))

@@ -464,7 +464,7 @@ def f11(p):
 
 @query("f09_best_cluster", "photos_v", TEMPORAL + f", ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), jn AS (SELECT ln.page_id, record_id, fp, score, flag, n_reviews, n_authors, row_number() OVER (PARTITION BY ln.page_id, record_id ORDER BY score6 DESC, start_sec, fp DESC) AS k FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) SELECT page_id, record_id, fp, score AS temporal_score, flag AS temporal_flag, n_reviews, n_authors FROM jn WHERE k = 1")
 def f09(p):
-    return rounded(photos.best_cluster_per_review(p, photos.temporal_clusters(p)))
+    return rounded(photos.best_cluster_per_review(p, photos.temporal_clusters(p)).drop("span_sec"))
 
 
 # --- evaluation, triage ------------------------------------------------------------------------------------
@@ -764,7 +764,7 @@ def e08(s):
 
 
 @query("f13_f17_image_scores", "photos_v", f""", im AS (SELECT page_id, record_id, url, ((record_id * 31) % 101) / 100.0 AS mismatch, {hint_sql(L.STOCK_HINTS, L.STRONG_STOCK_HINTS, ".62", ".46").replace("(u,", "(lower(url),")} AS stock, CASE WHEN {any_of("lower(md)", photos.METADATA_HINTS)} THEN .86 ELSE 0 END AS synthetic FROM (SELECT DISTINCT page_id, record_id, url, 'Software=' || CASE record_id % 7 WHEN 0 THEN 'ComfyUI' ELSE 'camera' END AS md FROM photos_v)),
- bi AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY greatest(mismatch, stock, synthetic) DESC, url) AS i FROM im) SELECT page_id, count(*) AS evaluated, count(*) FILTER (WHERE mismatch >= .58) AS mismatch_reviews, count(*) FILTER (WHERE stock >= .58) AS stock_reviews, count(*) FILTER (WHERE synthetic >= .66) AS synthetic_reviews, round(avg(CASE WHEN mismatch >= .58 THEN 1.0 ELSE 0 END), 4) AS mismatch_ratio, round(avg(CASE WHEN stock >= .58 THEN 1.0 ELSE 0 END), 4) AS stock_ratio, round(avg(CASE WHEN synthetic >= .66 THEN 1.0 ELSE 0 END), 4) AS synthetic_ratio, round(avg(mismatch), 4) AS mismatch_mean, round(avg(stock), 4) AS stock_mean, round(avg(synthetic), 4) AS synthetic_mean FROM bi WHERE i = 1 GROUP BY 1""")
+ bi AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY greatest(mismatch, stock, synthetic * .72) DESC, url) AS i FROM im) SELECT page_id, count(*) AS evaluated, count(*) FILTER (WHERE mismatch >= .58) AS mismatch_reviews, count(*) FILTER (WHERE stock >= .58) AS stock_reviews, count(*) FILTER (WHERE synthetic >= .66) AS synthetic_reviews, round(avg(CASE WHEN mismatch >= .58 THEN 1.0 ELSE 0 END), 4) AS mismatch_ratio, round(avg(CASE WHEN stock >= .58 THEN 1.0 ELSE 0 END), 4) AS stock_ratio, round(avg(CASE WHEN synthetic >= .66 THEN 1.0 ELSE 0 END), 4) AS synthetic_ratio, round(avg(mismatch), 4) AS mismatch_mean, round(avg(stock), 4) AS stock_mean, round(avg(synthetic), 4) AS synthetic_mean FROM bi WHERE i = 1 GROUP BY 1""")
 def f13(p):
     md = F.concat(F.lit("Software="), F.when(F.col("record_id") % 7 == 0, "ComfyUI").otherwise("camera"))
     stock = F.when(T.has_phrase(F.col("url"), L.STRONG_STOCK_HINTS), 0.62).when(T.has_phrase(F.col("url"), L.STOCK_HINTS), 0.46).otherwise(0.0)
@@ -788,22 +788,26 @@ def _top_sql(first: int, last: int) -> str:
     return "list_max([" + ", ".join(f"{{'p': pr[{i}], 'i': -{i}}}" for i in range(first, last + 1)) + "])"
 
 
-_ALIGN_SQL = f""", raw AS (SELECT DISTINCT record_id, url, [{', '.join(_RAW.format(i=i, a=2 * i + 3, b=5 * i + 1) for i in range(17))}] AS w FROM photos_v), im AS (SELECT record_id, url, list_transform(w, lambda x: x / list_sum(w)::DOUBLE) AS pr, {SQL_LIST(_LABELS)} AS names FROM raw),
- ma AS (SELECT *, list_sum(pr[1:5]) AS pos, list_sum(pr[6:13]) AS neg, list_sum(pr[9:13]) AS st, list_sum(pr[14:17]) AS sy, {_top_sql(6, 13)} AS tn, {_top_sql(9, 13)} AS ts, {_top_sql(14, 17)} AS ty, greatest(pr[4], pr[5]) AS cu FROM im),
- sc AS (SELECT *, {clip_sql('.72 * neg + .28 * greatest(0, tn.p - pos)')} AS m0, {clip_sql('.64 * st + .36 * greatest(0, ts.p - cu)')} AS s0, {clip_sql('.58 * sy + .42 * greatest(0, ty.p - greatest(cu, pos * .4))')} AS y0 FROM ma),
- fi AS (SELECT *, CASE WHEN pos < .34 AND neg >= .5 THEN greatest(m0, .62) ELSE m0 END AS m, CASE WHEN ts.p >= .24 AND st >= .38 THEN greatest(s0, .58) ELSE s0 END AS s, CASE WHEN ty.p >= .26 AND sy >= .42 THEN greatest(y0, .66) ELSE y0 END AS y FROM sc)
- SELECT record_id, url, round(pos, 4) AS alignment, round(m, 4) AS mismatch, round(s, 4) AS stock, round(y, 4) AS synthetic, names[-tn.i] AS top_negative, CASE WHEN m >= .72 THEN 'strong_mismatch' WHEN m >= .58 THEN 'mismatch' WHEN m >= .38 THEN 'weak_match' ELSE 'aligned' END AS mismatch_label,
- CASE WHEN s < .34 THEN 'customer_like' WHEN s < .58 THEN 'possible_stock' ELSE names[-ts.i] END AS stock_label, CASE WHEN y < .38 THEN 'natural_photo_like' WHEN y < .66 THEN 'weak_synthetic_hint' ELSE names[-ty.i] END AS synthetic_label, (m >= .58)::INT + (s >= .58)::INT + (y >= .66)::INT AS reasons FROM fi"""
+_ALIGN = f""", al0 AS (SELECT DISTINCT record_id, url, [{', '.join(_RAW.format(i=i, a=2 * i + 3, b=5 * i + 1) for i in range(17))}] AS w FROM photos_v), al1 AS (SELECT record_id, url, list_transform(w, lambda x: x / list_sum(w)::DOUBLE) AS pr, {SQL_LIST(_LABELS)} AS names FROM al0),
+ al2 AS (SELECT *, list_sum(pr[1:5]) AS pos, list_sum(pr[6:13]) AS neg, list_sum(pr[9:13]) AS st, list_sum(pr[14:17]) AS sy, {_top_sql(6, 13)} AS tn, {_top_sql(9, 13)} AS ts, {_top_sql(14, 17)} AS ty, greatest(pr[4], pr[5]) AS cu FROM al1),
+ al3 AS (SELECT *, {clip_sql('.72 * neg + .28 * greatest(0, tn.p - pos)')} AS m0, {clip_sql('.64 * st + .36 * greatest(0, ts.p - cu)')} AS s0, {clip_sql('.58 * sy + .42 * greatest(0, ty.p - greatest(cu, pos * .4))')} AS y0 FROM al2),
+ al4 AS (SELECT *, CASE WHEN pos < .34 AND neg >= .5 THEN greatest(m0, .62) ELSE m0 END AS m, CASE WHEN ts.p >= .24 AND st >= .38 THEN greatest(s0, .58) ELSE s0 END AS s, CASE WHEN ty.p >= .26 AND sy >= .42 THEN greatest(y0, .66) ELSE y0 END AS y FROM al3)"""
+_ALIGN_SQL = _ALIGN + """ SELECT record_id, url, round(pos, 4) AS alignment, round(m, 4) AS mismatch, round(s, 4) AS stock, round(y, 4) AS synthetic, names[-tn.i] AS top_negative, CASE WHEN m >= .72 THEN 'strong_mismatch' WHEN m >= .58 THEN 'mismatch' WHEN m >= .38 THEN 'weak_match' ELSE 'aligned' END AS mismatch_label,
+ CASE WHEN s < .34 THEN 'customer_like' WHEN s < .58 THEN 'possible_stock' ELSE names[-ts.i] END AS stock_label, CASE WHEN y < .38 THEN 'natural_photo_like' WHEN y < .66 THEN 'weak_synthetic_hint' ELSE names[-ty.i] END AS synthetic_label, (m >= .58)::INT + (s >= .58)::INT + (y >= .66)::INT AS reasons FROM al4"""
 
 
 @query("f14_alignment_scores", "photos_v", _ALIGN_SQL)
 def f14(p):
-    rows = p.select("record_id", "url").distinct()
+    scored = photos.alignment_scores(_looks(p.select("record_id", "url").distinct()).withColumn("category", F.lit("beauty")))
+    return rounded(scored.select("record_id", "url", "alignment", "mismatch", "stock", "synthetic", "top_negative", "mismatch_label", "stock_label", "synthetic_label", (F.size("mismatch_reasons") + F.size("stock_reasons") + F.size("synthetic_reasons")).alias("reasons")))
+
+
+def _looks(images: DataFrame) -> DataFrame:
+    """images with a probability for each label, as an image model would give."""
     raw = [F.expr(_RAW.format(i=i, a=2 * i + 3, b=5 * i + 1)) for i in range(17)]
     total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x)
-    images = rows.withColumn("w", F.array(*[x.cast("long") for x in raw])).withColumn("probabilities", F.map_from_arrays(F.array(*map(F.lit, _LABELS)), F.transform("w", lambda x: x / total))).withColumn("category", F.lit("beauty"))
-    scored = photos.alignment_scores(images)
-    return rounded(scored.select("record_id", "url", "alignment", "mismatch", "stock", "synthetic", "top_negative", "mismatch_label", "stock_label", "synthetic_label", (F.size("mismatch_reasons") + F.size("stock_reasons") + F.size("synthetic_reasons")).alias("reasons")))
+    rows = images.withColumn("w", F.array(*[x.cast("long") for x in raw]))
+    return rows.withColumn("probabilities", F.map_from_arrays(F.array(*map(F.lit, _LABELS)), F.transform("w", lambda x: x / total))).drop("w")
 
 
 SERIES = ", d AS (SELECT page_id, review_date AS day, count(*) AS n, count(*) FILTER (WHERE rating <= 2) AS low FROM reviews_v GROUP BY 1, 2), s AS (SELECT page_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1), a AS (SELECT page_id, day, coalesce(n, 0) AS n, coalesce(low, 0) AS low FROM s LEFT JOIN d USING (page_id, day))"
@@ -842,14 +846,30 @@ def v06(r):
 # --- the review report -------------------------------------------------------------------------------------
 
 _HINT = f"(SELECT record_id, replace(lower(url), '_', '-') AS u FROM photos_v)"
+#: Of the riskiest image of each review: scores, sentences; and what its photos say.
+_KIND = "CASE WHEN regexp_matches(h, 'boot|shoe|sneaker|sandal|обув|ботин|кроссов|туфл') THEN 'footwear' WHEN regexp_matches(h, 'shirt|dress|jacket|pants|jeans|hoodie|одеж|куртк|плать|рубаш|джинс') THEN 'apparel' WHEN regexp_matches(h, 'phone|laptop|camera|charger|электрон|телефон|ноутбук|наушник') THEN 'electronics' WHEN regexp_matches(h, 'cream|serum|makeup|shampoo|beauty|крем|сыворот|космет|шампун') THEN 'beauty' WHEN regexp_matches(h, 'chair|table|lamp|kitchen|mug|blanket|home|стул|ламп|кухн|дом') THEN 'home goods' WHEN regexp_matches(h, 'coffee|tea|snack|food|protein|кофе|чай|еда|продукт') THEN 'grocery' ELSE 'general product' END"
+_SEEN_AS = "CASE {x} WHEN 'packaging_only' THEN 'packaging, box, or label rather than the reviewed product' WHEN 'unrelated_product' THEN 'a different or unrelated product' WHEN 'blank_or_screenshot' THEN 'a blank image, screenshot, receipt, or text-only artifact' WHEN 'stock_catalog' THEN 'a polished catalog product photo rather than a customer snapshot' WHEN 'studio_render' THEN 'a studio render or mockup rather than a real customer snapshot' WHEN 'marketing_banner' THEN 'a marketing banner or advertisement rather than a customer snapshot' WHEN 'listing_screenshot' THEN 'a catalog/listing screenshot rather than a customer snapshot' ELSE 'a studio packshot rather than a customer snapshot' END"
+_STOCK_AS = "CASE {x} WHEN 'stock_catalog' THEN 'a polished ecommerce catalog image' WHEN 'studio_render' THEN 'a studio render or 3D mockup' WHEN 'marketing_banner' THEN 'a marketing banner or promotional creative' WHEN 'listing_screenshot' THEN 'a screenshot from a catalog or marketplace listing' ELSE 'a studio packshot prepared for product marketing' END"
+_MADE_AS = "CASE {x} WHEN 'ai_generated' THEN 'AI-generated visual style' WHEN 'diffusion_artifact' THEN 'diffusion-like artifacts, warped details, or hallucinated text' WHEN 'cgi_synthetic' THEN 'CGI/synthetic rendering cues' ELSE 'overly smooth synthetic lighting or unrealistic shadows' END"
+EVIDENCE = _ALIGN + f""", bl AS (SELECT record_id, m AS lm, s AS ls, y AS ly, names[-tn.i] AS tn_, names[-ts.i] AS ts_, names[-ty.i] AS ty_ FROM al4 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY round(greatest(m, s, y * .72), 9) DESC, url) = 1),
+ kd AS (SELECT record_id, {_KIND} AS kind FROM (SELECT record_id, lower(concat_ws(' ', source_site, title, review_text)) AS h FROM reviews_v))""" + OCR + Q.PHOTO + f""", ot AS (SELECT record_id, score AS pts, (score >= .46)::INT AS ptf, {Q.kept(*[(f"list_contains(labels, '{k}')", f"'{x}'") for k, x in (
+    ("sale_discount", "OCR found sale, discount, coupon, promo, or similar marketing text on the photo."), ("hype_claim", "OCR found hype claims such as best product, best seller, top choice, or must buy."),
+    ("watermark_marker", "OCR found ad, sponsored, official-store, or watermark-style text on the photo."), ("contact_or_store", "OCR found contact handles, social links, or store/domain text on the photo."))],
+    ("len(foreign_) > 0", "'OCR found marketplace text that does not match the source site: ' || array_to_string(foreign_[1:3], ', ') || '.'"), ("len(foreign_) = 0 AND len(markets) > 0", "'OCR found marketplace branding text on the photo: ' || array_to_string(markets[1:3], ', ') || '.'"))} AS ptr FROM o4)"""
 REPORT = (
-    SCORES + Q.AI + TEMPORAL
+    SCORES + Q.AI + TEMPORAL + EVIDENCE
     + f""", ll AS (SELECT DISTINCT page_id, record_id, sha1({CANON}) AS fp FROM photos_v), lz AS (SELECT page_id, fp, count(*) AS size FROM ll GROUP BY 1, 2), lk AS (SELECT record_id, count(*) AS images, count(*) FILTER (WHERE size >= 2) AS reused, max(size) AS cluster FROM ll JOIN lz USING (page_id, fp) GROUP BY 1),
- ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), bt AS (SELECT record_id, score, flag FROM (SELECT record_id, score6 AS score, flag, row_number() OVER (PARTITION BY record_id ORDER BY score6 DESC, start_sec, fp DESC) AS i FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) WHERE i = 1),
+ ln AS (SELECT DISTINCT page_id, record_id, sec, sha1({CANON}) AS fp FROM photos_v), bt AS (SELECT record_id, score, flag, n_reviews AS tnr, n_authors AS tna, round_even(span / 3600.0, 1) AS th FROM (SELECT record_id, score6 AS score, flag, n_reviews, n_authors, end_sec - start_sec AS span, row_number() OVER (PARTITION BY record_id ORDER BY score6 DESC, start_sec, fp DESC) AS i FROM ln JOIN bb USING (page_id, fp) WHERE sec BETWEEN start_sec AND end_sec) WHERE i = 1),
  hn AS (SELECT record_id, max({hint_sql(L.STOCK_HINTS, L.STRONG_STOCK_HINTS, f".62 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END", f".46 - CASE WHEN {CUSTOMER} THEN .22 ELSE 0 END")}) AS stock, max({hint_sql(L.SYNTHETIC_HINTS, L.STRONG_SYNTHETIC_HINTS, f".74 - CASE WHEN {CUSTOMER} THEN .08 ELSE 0 END", f".48 - CASE WHEN {CUSTOMER} THEN .24 ELSE 0 END")}) AS synthetic FROM {_HINT} GROUP BY 1),
  v0 AS (SELECT z.*, ai.ai, ai.ai_flag, ai.ai_reasons, ((z.record_id * 53) % 101) / 100.0 AS pt, ((z.record_id * 7) % 11) / 10.0 AS coverage, coalesce(lk.images, 0) AS images, coalesce(lk.reused, 0) AS reused, coalesce(lk.cluster, 0) AS cluster, CASE WHEN coalesce(lk.reused, 0) = 0 THEN 0 ELSE .68 * lk.reused / lk.images + .32 * least((lk.cluster - 1) / 3.0, 1) END AS reuse_score,
-  coalesce(bt.score, 0) AS temporal_score, coalesce(bt.flag, 0) AS temporal_flag, coalesce(hn.stock, 0) AS stock, coalesce(hn.synthetic, 0) AS synthetic FROM z JOIN ai USING (record_id) LEFT JOIN lk USING (record_id) LEFT JOIN bt USING (record_id) LEFT JOIN hn USING (record_id)),
- v1 AS (SELECT *, {clip_sql('.62 * pt + .38 * manipulation')} AS q1, .30 * reuse_score + .24 * temporal_score + .13 * stock + .05 * synthetic AS ps_, max(ai) OVER (PARTITION BY page_id) AS page_ai FROM v0), v2 AS (SELECT *, {clip_sql('q1 + .22 * ps_ * (1 - q1)')} AS q2 FROM v1),
+  coalesce(bt.score, 0) AS temporal_score, coalesce(bt.flag, 0) AS temporal_flag, coalesce(greatest(hn.stock, ls), 0) AS stock, coalesce(greatest(hn.synthetic, ly), 0) AS synthetic, coalesce(lm, 0) AS mismatch, CASE WHEN lk.images > 0 THEN pts ELSE 0 END AS pts, CASE WHEN lk.images > 0 THEN ptf ELSE 0 END AS ptf, {Q.kept(
+   ("lk.reused > 0", "'The same customer photo appears ' || CASE WHEN lk.cluster >= 4 THEN 'across a large cluster of ' ELSE 'in ' END || lk.cluster || ' reviews.'"),
+   ("tnr >= 4", "'The same customer photo appears across ' || tnr || ' reviews by ' || tna || ' authors within ' || th || ' hours.'"), ("tnr < 4", "'The same customer photo appears across different authors within a short ' || th || '-hour window.'"),
+   ("lm >= .58", f"'The customer photo looks closer to ' || {_SEEN_AS.format(x='tn_')} || ' than to the review text or inferred ' || kind || ' category.'"),
+   ("ls >= hn.stock AND ls >= .58", f"'The customer image looks like ' || {_STOCK_AS.format(x='ts_')} || ', not a user-taken product photo.'"), ("NOT coalesce(ls >= hn.stock, FALSE) AND hn.stock >= .58", "'The image URL/path contains stock, catalog, render, promo, or marketing hints.'"),
+   ("ly >= hn.synthetic AND ly >= .66", f"'Weak auxiliary signal: the image shows ' || {_MADE_AS.format(x='ty_')} || '. Treat this as supporting evidence, not proof.'"), ("NOT coalesce(ly >= hn.synthetic, FALSE) AND hn.synthetic >= .66", "'Weak auxiliary signal: the image URL/path contains AI-generated or synthetic-image hints.'"),
+  )} AS looks_, CASE WHEN lk.images > 0 THEN ptr ELSE [] END AS ptr FROM z JOIN ai USING (record_id) LEFT JOIN lk USING (record_id) LEFT JOIN bt USING (record_id) LEFT JOIN hn USING (record_id) LEFT JOIN bl USING (record_id) LEFT JOIN kd USING (record_id) LEFT JOIN ot USING (record_id)),
+ v1 AS (SELECT *, {clip_sql('.62 * pt + .38 * manipulation')} AS q1, .30 * reuse_score + .24 * temporal_score + .22 * mismatch + .13 * stock + .05 * synthetic + .06 * pts AS ps_, max(ai) OVER (PARTITION BY page_id) AS page_ai FROM v0), v2 AS (SELECT *, {clip_sql('q1 + .22 * ps_ * (1 - q1)')} AS q2 FROM v1),
  v AS (SELECT *, CASE WHEN page_ai >= .52 THEN {clip_sql(f"q2 + .16 * {clip_sql('(ai - .5) / .5')} * (1 - q2)")} ELSE q2 END AS p FROM v2)"""
     + triage_sql(.32, .68, .46, .46)
     + f""", x0 AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x != '') AS ws, {any_of("t", reports.REASON_PHRASES)} AS prm, length(t) - length(replace(t, '!', '')) >= 3 AS bangs FROM t), x AS (SELECT *, len(ws) AS tw, len(list_distinct(ws)) < greatest(3, floor(len(ws) / 2)) AS rpt, (p >= .5)::INT AS sus, (triage = 'needs_manual_review')::INT AS man FROM x0),
@@ -861,44 +881,49 @@ OWN_REASONS = Q.kept(*[(cond, text if text.startswith("'The slang profile") else
     ("rpt", "There is visible repetition, which can indicate scripted review text."), ("extreme = 1 AND tw < 15", "An extreme rating is paired with a generic explanation."), ("dup >= 2", "The same slang-heavy language pattern appears in multiple reviews on this page."),
     ("m >= .55", "'The slang profile looks hype-heavy and weakly grounded in ' || CASE WHEN domain = 'general' THEN 'product' ELSE domain END || ' detail' || CASE WHEN len(terms) > 0 THEN ' (' || array_to_string(terms[1:3], ', ') || ').' ELSE '.' END"),
     ("manipulation >= .55", "Behavioral and statistical page signals also suggest possible rating manipulation."), ("reuse_score >= .45 AND cluster >= 2", "The customer photo evidence is reused across multiple reviews."), ("temporal_flag = 1 AND temporal_score >= .55", "The same customer photo appears in a short time window across different authors."),
-    ("stock >= .58", "The customer image looks like a stock, catalog, studio, render, banner, or listing asset."), ("synthetic >= .66", "The image has weak AI-generated or synthetic-image indicators; treat this as supporting evidence, not proof."), ("ai_flag = 1 OR ai >= .66", "AI-text detector flagged polished/template-like review language; treat this as a moderation signal, not proof."),
+    ("mismatch >= .58", "The attached customer photo does not match the review text or inferred product category."), ("stock >= .58", "The customer image looks like a stock, catalog, studio, render, banner, or listing asset."), ("synthetic >= .66", "The image has weak AI-generated or synthetic-image indicators; treat this as supporting evidence, not proof."), ("ptf = 1", "OCR found promo, watermark, contact, marketplace, or sales text on the customer photo."), ("ai_flag = 1 OR ai >= .66", "AI-text detector flagged polished/template-like review language; treat this as a moderation signal, not proof."),
 )])
 #: The sentences of three lists, each once, in the order of first appearance.
 ALL_REASONS = f"list_filter(list_transform(range(1, len(rs_) + 1), lambda i: CASE WHEN list_position(rs_, rs_[i]) = i THEN rs_[i] END), lambda s: s IS NOT NULL)"
 CATEGORIES = Q.sentences(
     ("p >= .60", "neural_text_suspicion"), ("tw < 8 OR rpt", "low_detail_or_repetitive_text"), ("bangs OR prm", "promotional_template_language"), ("extreme = 1 AND tw < 15", "extreme_rating_low_evidence"), ("manipulation >= .55", "page_behavior_manipulation"), ("author_risk >= .45", "reviewer_cluster_anomaly"), ("m >= .55", "hype_heavy_slang"), ("reuse_score >= .45", "photo_reuse"),
-    ("temporal_flag = 1", "coordinated_photo_timing"), ("stock >= .58", "stock_or_catalog_photo"), ("synthetic >= .66", "synthetic_image_hint"), ("ai_flag = 1 OR ai >= .66", "ai_generated_text_signal"), ("man = 1 OR uncertainty >= .45", "manual_review_uncertainty"), ("ood >= .45", "out_of_domain_language"),
+    ("temporal_flag = 1", "coordinated_photo_timing"), ("mismatch >= .58", "photo_text_mismatch"), ("stock >= .58", "stock_or_catalog_photo"), ("synthetic >= .66", "synthetic_image_hint"), ("ptf = 1", "photo_ocr_promo_signal"), ("ai_flag = 1 OR ai >= .66", "ai_generated_text_signal"), ("man = 1 OR uncertainty >= .45", "manual_review_uncertainty"), ("ood >= .45", "out_of_domain_language"),
 )
-REASONED = REPORT + f", ys AS (SELECT * REPLACE ({ALL_REASONS} AS rs_) FROM (SELECT *, list_concat(list_concat({OWN_REASONS}, page_reasons), ai_reasons) AS rs_ FROM (SELECT * EXCLUDE (rs) FROM y)))"
+REASONED = REPORT + f", ys AS (SELECT * REPLACE ({ALL_REASONS} AS rs_) FROM (SELECT *, list_concat(list_concat(list_concat(list_concat({OWN_REASONS}, page_reasons), looks_), ptr), ai_reasons) AS rs_ FROM (SELECT * EXCLUDE (rs) FROM y)))"
+
+
+def _evidence(r: DataFrame, links: DataFrame) -> DataFrame:
+    """links with what an image model and a reader of photo text would say of them."""
+    return _looks(links).join(_ocr(r).select("record_id", "ocr_text"), "record_id", "left")
 
 
 def _scored(r: DataFrame, links: DataFrame) -> DataFrame:
     k = F.col("record_id")
-    return cut(reports.score_reviews(r.withColumns({"pt": (k * 53) % 101 / 100.0, "coverage": (k * 7) % 11 / 10.0}), links))
+    return cut(reports.score_reviews(r.withColumns({"pt": (k * 53) % 101 / 100.0, "coverage": (k * 7) % 11 / 10.0}), _evidence(r, links)))
 
 
-@query("v01_v03_scored_reviews", "reviews_v photos_v", REASONED + f" SELECT record_id, round(p, 4) AS p, round(q1, 4) AS p_text, round(q2, 4) AS p_photo, round(ai, 4) AS ai, round(reuse_score, 4) AS reuse_score, round(temporal_score, 4) AS temporal_score, triage, risk, sus::BIGINT AS suspicious, array_to_string(rs_, ' ') AS reasons, CASE WHEN len({CATEGORIES}) = 0 THEN 'low_risk_or_insufficient_signal' ELSE array_to_string({CATEGORIES}, ',') END AS categories FROM ys")
+@query("v01_v03_scored_reviews", "reviews_v photos_v", REASONED + f" SELECT record_id, round(p, 4) AS p, round(q1, 4) AS p_text, round(q2, 4) AS p_photo, round(ai, 4) AS ai, round(reuse_score, 4) AS reuse_score, round(temporal_score, 4) AS temporal_score, round(mismatch, 4) AS mismatch, round(stock, 4) AS stock, round(synthetic, 4) AS synthetic, round(pts, 4) AS photo_text_score, triage, risk, sus::BIGINT AS suspicious, array_to_string(rs_, ' ') AS reasons, CASE WHEN len({CATEGORIES}) = 0 THEN 'low_risk_or_insufficient_signal' ELSE array_to_string({CATEGORIES}, ',') END AS categories FROM ys")
 def v01(r, links):
-    return rounded(_scored(r, links).select("record_id", "p", "p_text", "p_photo", "ai", "reuse_score", "temporal_score", "triage", "risk", "suspicious", F.array_join("reasons", " ").alias("reasons"), F.array_join("categories", ",").alias("categories")))
+    return rounded(_scored(r, links).select("record_id", "p", "p_text", "p_photo", "ai", "reuse_score", "temporal_score", "mismatch", "stock", "synthetic", "photo_text_score", "triage", "risk", "suspicious", F.array_join("reasons", " ").alias("reasons"), F.array_join("categories", ",").alias("categories")))
 
 
 PAGES = """, pg AS (SELECT page_id, count(*) AS total_reviews, sum(sus)::BIGINT AS suspicious_reviews, avg(sus) AS suspicious_ratio, avg(p) AS average_probability, max(p) AS highest_probability, count(*) FILTER (WHERE triage = 'confident_suspicious') AS confident_suspicious, count(*) FILTER (WHERE triage = 'confident_clean') AS confident_clean, sum(man)::BIGINT AS manual_reviews, avg(man) AS manual_ratio, avg(uncertainty) AS uncertainty_mean, avg(CASE WHEN ood >= .45 THEN 1.0 ELSE 0 END) AS ood_ratio,
- count(*) FILTER (WHERE images > 0) AS photo_reviews, count(*) FILTER (WHERE reused > 0) AS duplicate_photo_reviews, max(cluster) AS largest_photo_cluster, sum(temporal_flag)::BIGINT AS temporal_reviews, count(*) FILTER (WHERE stock >= .58) AS stock_reviews, count(*) FILTER (WHERE synthetic >= .66) AS synthetic_reviews, sum(ai_flag)::BIGINT AS ai_flagged, avg(ai) AS ai_mean,
+ count(*) FILTER (WHERE images > 0) AS photo_reviews, count(*) FILTER (WHERE reused > 0) AS duplicate_photo_reviews, max(cluster) AS largest_photo_cluster, sum(temporal_flag)::BIGINT AS temporal_reviews, count(*) FILTER (WHERE stock >= .58) AS stock_reviews, count(*) FILTER (WHERE synthetic >= .66) AS synthetic_reviews, count(*) FILTER (WHERE mismatch >= .58) AS mismatch_reviews, sum(ptf)::BIGINT AS photo_text_reviews, avg(temporal_flag) AS temporal_ratio, sum(ai_flag)::BIGINT AS ai_flagged, avg(ai) AS ai_mean,
  max(rsl) AS r_slang, max(ro) AS r_organic, max(rb) AS r_bilingual, max(rt) AS r_template, avg(a) AS sa, max(page_domain) AS page_domain, max(page_confidence) AS page_confidence, avg(manipulation) AS manipulation_mean FROM x GROUP BY 1)"""
 
 
 @query("v04_page_report", "reviews_v photos_v", REPORT + PAGES + """ SELECT page_id, total_reviews, suspicious_reviews, total_reviews - suspicious_reviews AS clean_reviews, round(suspicious_ratio, 4) AS suspicious_ratio, round(average_probability, 4) AS average_probability, round(highest_probability, 4) AS highest_probability, confident_suspicious, confident_clean, manual_reviews, round(manual_ratio, 4) AS manual_ratio, round((confident_suspicious + confident_clean) / total_reviews::DOUBLE, 4) AS automated_ratio,
- round(uncertainty_mean, 4) AS uncertainty_mean, round(ood_ratio, 4) AS ood_ratio, photo_reviews, duplicate_photo_reviews, round(CASE WHEN photo_reviews > 0 THEN duplicate_photo_reviews / photo_reviews::DOUBLE ELSE 0 END, 4) AS duplicate_photo_ratio, largest_photo_cluster, temporal_reviews, stock_reviews, synthetic_reviews, ai_flagged, round(ai_mean, 4) AS ai_mean, round(manipulation_mean, 4) AS manipulation_mean,
+ round(uncertainty_mean, 4) AS uncertainty_mean, round(ood_ratio, 4) AS ood_ratio, photo_reviews, duplicate_photo_reviews, round(CASE WHEN photo_reviews > 0 THEN duplicate_photo_reviews / photo_reviews::DOUBLE ELSE 0 END, 4) AS duplicate_photo_ratio, largest_photo_cluster, temporal_reviews, stock_reviews, synthetic_reviews, mismatch_reviews, photo_text_reviews, round(temporal_ratio, 4) AS temporal_ratio, ai_flagged, round(ai_mean, 4) AS ai_mean, round(manipulation_mean, 4) AS manipulation_mean,
  CASE WHEN CASE WHEN suspicious_reviews > 0 THEN highest_probability ELSE average_probability END >= .85 THEN 'high' WHEN CASE WHEN suspicious_reviews > 0 THEN highest_probability ELSE average_probability END >= .55 THEN 'medium' ELSE 'low' END AS risk_level, CASE WHEN photo_reviews = 0 THEN 'none' WHEN duplicate_photo_reviews / photo_reviews::DOUBLE >= .35 OR largest_photo_cluster >= 4 THEN 'high' WHEN duplicate_photo_reviews / photo_reviews::DOUBLE >= .18 OR largest_photo_cluster >= 3 THEN 'medium' ELSE 'low' END AS photo_risk FROM pg""")
 def v04(r, links):
-    return rounded(reports.page_report(_scored(r, links)).select("page_id", "total_reviews", "suspicious_reviews", "clean_reviews", "suspicious_ratio", "average_probability", "highest_probability", "confident_suspicious", "confident_clean", "manual_reviews", "manual_ratio", "automated_ratio", "uncertainty_mean", "ood_ratio", "photo_reviews", "duplicate_photo_reviews", "duplicate_photo_ratio", "largest_photo_cluster", "temporal_reviews", "stock_reviews", "synthetic_reviews", "ai_flagged", "ai_mean", "manipulation_mean", "risk_level", "photo_risk"))
+    return rounded(reports.page_report(_scored(r, links)).select("page_id", "total_reviews", "suspicious_reviews", "clean_reviews", "suspicious_ratio", "average_probability", "highest_probability", "confident_suspicious", "confident_clean", "manual_reviews", "manual_ratio", "automated_ratio", "uncertainty_mean", "ood_ratio", "photo_reviews", "duplicate_photo_reviews", "duplicate_photo_ratio", "largest_photo_cluster", "temporal_reviews", "stock_reviews", "synthetic_reviews", "mismatch_reviews", "photo_text_reviews", "temporal_ratio", "ai_flagged", "ai_mean", "manipulation_mean", "risk_level", "photo_risk"))
 
 
 NOTES = Q.kept(*[(cond, text if "||" in text else "'" + text + "'") for cond, text in (
     ("suspicious_reviews = 0", "The model did not flag any extracted reviews as suspicious."), ("suspicious_reviews > 0", "Suspicious reviews are ranked by a calibrated hybrid score that combines the neural text model and manipulation signals."),
     ("manual_reviews > 0", "manual_reviews || ' review(s) were routed to manual review because the model saw uncertainty or out-of-domain patterns.'"), ("duplicate_photo_reviews > 0", "'Customer photo reuse was detected in ' || duplicate_photo_reviews || ' review(s); the largest shared-photo cluster spans ' || largest_photo_cluster || ' reviews.'"),
-    ("temporal_reviews > 0", "'Coordinated photo timing was detected in ' || temporal_reviews || ' review(s): the same customer image appeared across different authors inside a 48.0-hour window.'"), ("stock_reviews > 0", "'Stock/marketing photo detection flagged ' || stock_reviews || ' image(s) that look closer to catalog, studio, render, banner, or listing assets than user-taken snapshots.'"),
-    ("synthetic_reviews > 0", "'AI/synthetic image detection produced weak auxiliary hints on ' || synthetic_reviews || ' image(s); this signal should support, not replace, human review or stronger fraud evidence.'"), ("ai_flagged > 0", "'AI-text detector flagged ' || ai_flagged || ' review(s) with polished, template-like, weakly grounded language; this is a moderation signal, not proof.'"),
+    ("temporal_reviews > 0", "'Coordinated photo timing was detected in ' || temporal_reviews || ' review(s): the same customer image appeared across different authors inside a 48.0-hour window.'"), ("mismatch_reviews > 0", "'Image-text alignment flagged ' || mismatch_reviews || ' customer photo(s) as visually inconsistent with the review text or inferred product category.'"), ("stock_reviews > 0", "'Stock/marketing photo detection flagged ' || stock_reviews || ' image(s) that look closer to catalog, studio, render, banner, or listing assets than user-taken snapshots.'"),
+    ("synthetic_reviews > 0", "'AI/synthetic image detection produced weak auxiliary hints on ' || synthetic_reviews || ' image(s); this signal should support, not replace, human review or stronger fraud evidence.'"), ("photo_text_reviews > 0", "'OCR found promo text, watermark-like text, contact handles, or marketplace branding on ' || photo_text_reviews || ' customer photo(s).'"), ("ai_flagged > 0", "'AI-text detector flagged ' || ai_flagged || ' review(s) with polished, template-like, weakly grounded language; this is a moderation signal, not proof.'"),
     ("ak IS NOT NULL", "'Top suspicious author cluster: ' || ak || ' with ' || nh || ' flagged review(s).'"), ("total_reviews >= 4 AND r_slang >= .25", "The bilingual slang detector found a visible share of hype-heavy comments that look more coordinated than conversational."),
     ("total_reviews >= 4 AND r_slang < .25 AND r_organic >= .25 AND sa >= .58", "Several comments use grounded colloquial language with concrete detail, which slightly weakens the fake-review hypothesis."), ("total_reviews >= 4 AND r_bilingual >= .18", "Russian and English slang are mixed unusually often across the current review sample."),
     ("total_reviews >= 4 AND r_template >= .18", "A repeated slang template appears across multiple reviews, which strengthens the coordination hypothesis."), ("page_domain != 'general' AND page_confidence >= .35", "'Language grounding was calibrated against the inferred ' || page_domain || ' product domain.'"),
@@ -914,6 +939,29 @@ def v05(r, links):
     return reports.page_highlights(scored, reports.page_report(scored))
 
 
+_WHOLE = "floor(least(greatest(round(({x}) * 100, 9), {lo}), {hi}) + .5)::BIGINT"
+
+
+@query("d03_overview", "reviews_v photos_v", REPORT + PAGES + f""", ov AS (SELECT *, {_WHOLE.format(x='.5 * suspicious_ratio + .28 * manipulation_mean + .12 * highest_probability + .1 * least(manual_ratio, .35)', lo=12, hi=98)} AS risk_score, CASE WHEN confident_suspicious > 0 THEN confident_suspicious ELSE suspicious_reviews END AS suspicious_count,
+ CASE WHEN confident_suspicious + confident_clean = 0 THEN 1 - manual_ratio ELSE (confident_suspicious + confident_clean) / total_reviews::DOUBLE END AS decided FROM pg)
+ SELECT page_id, risk_score, {_WHOLE.format(x='.72 * decided + .28 * greatest(0, 1 - uncertainty_mean)', lo=52, hi=97)} AS confidence, {_WHOLE.format(x='.6 * manipulation_mean + .4 * suspicious_ratio', lo=8, hi=96)} AS manipulation_probability, suspicious_count, CASE WHEN risk_score >= 80 THEN 'High fraud risk' WHEN risk_score >= 60 THEN 'Watchlist' ELSE 'Low-risk sample' END AS status,
+ CASE WHEN risk_score >= 80 THEN 'The page presents strong evidence of manipulated review behavior with ' || suspicious_count || ' confidently suspicious reviews and ' || manual_reviews || ' items routed to manual review.' WHEN risk_score >= 60 THEN 'The review set shows mixed authenticity patterns and ' || manual_reviews || ' review(s) still need a human decision before the rating profile can be trusted.'
+ ELSE 'The visible review sample looks comparatively stable, although normal moderation checks are still recommended.' END AS verdict FROM ov""")
+def d03(r, links):
+    return reports.dashboard_overview(reports.page_report(_scored(r, links))).select("page_id", "risk_score", "confidence", "manipulation_probability", "suspicious_count", "status", "verdict")
+
+
+_PAGE_SIGNALS = {"Suspicious review ratio": "suspicious_ratio", "Behavioral manipulation score": "manipulation_mean", "Peak suspicious probability": "highest_probability", "Manual review uncertainty": "manual_ratio", "Duplicate photo signal": "CASE WHEN photo_reviews > 0 THEN duplicate_photo_reviews / photo_reviews::DOUBLE ELSE 0 END",
+ "Photo temporal cluster signal": "temporal_ratio", "Image/text mismatch signal": "mismatch_reviews / total_reviews::DOUBLE", "Stock/marketing photo signal": "stock_reviews / total_reviews::DOUBLE", "Synthetic image signal": "synthetic_reviews / total_reviews::DOUBLE", "Photo OCR signal": "photo_text_reviews / total_reviews::DOUBLE",
+ "AI-generated text signal": "ai_flagged / total_reviews::DOUBLE", "Language template signal": "CASE WHEN r_template > 0 THEN r_template ELSE r_slang END", "Out-of-domain uncertainty": "ood_ratio"}
+
+
+@query("d09_fallback_signals", "reviews_v photos_v", REPORT + PAGES + ", sg AS (" + " UNION ALL ".join(f"SELECT page_id, {i} AS i, '{name}' AS signal, round({x}, 9) AS v FROM pg" for i, (name, x) in enumerate(_PAGE_SIGNALS.items())) + f"), sr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY v DESC, i) AS rank FROM sg WHERE v > 0)"
+ + f" SELECT page_id, rank, signal, greatest(1, {_WHOLE.format(x='v', lo=1, hi=100)}) AS n FROM sr WHERE rank <= 12 UNION ALL SELECT page_id, 1, 'Low-risk review profile', total_reviews FROM pg WHERE page_id NOT IN (SELECT page_id FROM sr)")
+def d09(r, links):
+    return rounded(reports.fallback_signals(reports.page_report(_scored(r, links))))
+
+
 # --- models ------------------------------------------------------------------------------------------------
 
 
