@@ -212,6 +212,79 @@ def test_secret_structures():
     assert secrets.base_spans("TOKEN = 'abc' apikey: 'abcdef' ſecret=abcdefgh") == [("assign", 14, 29)]
 
 
+def der_element(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def made_keys(rng):
+    number = lambda k: der_element(2, b"\x01" + rng.randbytes(k))
+    rsa = der_element(0x30, bytes.fromhex("06092a864886f70d0101010500"))
+    pbe = der_element(0x30, bytes.fromhex("06092a864886f70d01050d") + der_element(0x30, rng.randbytes(20)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-ed25519") + field(rng.randbytes(32))
+    return {
+        "rsa": ("der", der_element(0x30, b"\2\1\0" + b"".join(number(k) for k in (64, 3, 64, 32, 32, 32, 32, 32)))), "dsa": ("der", der_element(0x30, b"\2\1\0" + b"".join(number(k) for k in (40, 20, 40, 40, 20)))),
+        "pkcs8": ("der", der_element(0x30, b"\2\1\0" + rsa + der_element(4, rng.randbytes(90)))), "encrypted": ("der", der_element(0x30, pbe + der_element(4, rng.randbytes(80)))),
+        "public": ("der", der_element(0x30, rsa + der_element(3, rng.randbytes(70)))), "short": ("der", der_element(0x30, b"\2\1\0" + der_element(0x30, bytes.fromhex("06032b6570")) + der_element(4, rng.randbytes(34)))),
+        "ssh": ("sshkey", public), "container": ("sshkey", b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(rng.randbytes(136))),
+    }
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_wrapped_keys_are_found_whole(seed):
+    rng = random.Random(seed)
+    for name, (kind, data) in made_keys(rng).items():
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            for bare in (False, True):
+                body = encode(data).decode()
+                body = body.rstrip("=") if bare else body
+                for width, end in ((10_000, ""), (64, "\n"), (64, "\r\n"), (64, "\\n"), (64, "\\r\\n"), (32, "\n    "), (17, "\n\t"), (76, " \n  ")):
+                    wrapped = end.join(body[i : i + width] for i in range(0, len(body), width))
+                    for before, after in (("", ""), ("key: ", " and more"), ('{"k": "-----BEGIN KEY-----\\n', '\\n-----END KEY-----"}'), ("-----BEGIN X-----\n", "\n-----END X-----\n"), ("-----BEGIN X-----", "-----END X-----"), ("x" * 3_000 + " \n", "\nMore words follow")):
+                        text = before + wrapped + after
+                        assert secrets.confirmed_spans(text) == [(kind, len(before), len(before) + len(wrapped))], (name, encode, bare, width, end, before[-30:])
+
+
+def brute_keys(text):
+    """Of every stretch of base64 lines in text, those that are a key to the last byte and that no longer one begins as."""
+    gap, found = re.compile(r"[ \t]*\n[ \t]*"), set()
+    for s in range(len(text)):
+        if s and re.match(r"[A-Za-z0-9+/]", text[s - 1]):
+            continue
+        for e in range(s + 40, len(text) + 1):
+            if not re.match(r"[A-Za-z0-9+/=]", text[e - 1]) or re.match(r"[A-Za-z0-9+/=]", text[e : e + 1]) or not re.fullmatch(r"[A-Za-z0-9+/]{16,}[A-Za-z0-9+/\s]*={0,2}", text[s:e]):
+                continue
+            body = gap.sub("", text[s:e]).rstrip("=")
+            if " " in body or len(body) % 4 == 1:
+                continue
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            found |= {(kind, s, e) for kind, ok in (("der", secrets.is_key_der), ("sshkey", secrets.is_ssh_key)) if ok(data)}
+    longest = {s: max(x for x in found if x[1] == s) for _, s, _ in found}
+    return [longest[s] for s in sorted(longest)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_added_keys_against_brute_force(seed):
+    rng = random.Random(seed)
+    parts = []
+    for name, (_, data) in made_keys(rng).items():
+        body = base64.b64encode(data).decode()
+        broken = base64.b64encode(data[:-5]).decode().rstrip("=")
+        for b in (body, broken) if name in ("rsa", "short", "ssh", "public") else (body,):
+            parts.append("\n".join(b[i : i + 48] for i in range(0, len(b), 48)))
+    rng.shuffle(parts)
+    text = " , ".join(parts)
+    want = brute_keys(text)
+    assert len(want) == 8 and secrets.confirmed_spans(text) == want
+
+
+def test_no_key_in_words_and_numbers():
+    words = "MACHINEREADABLETRAVELDOCUMENTS MIIEowIBAAKCAQEAstopshere AAAAB3NzaC1yc2EAAAADAQABAAABgQ b3BlbnNzaC1rZXktdjEAAAAA MAkGA1UEBhMCVVMxCzAJBgNVBAgTAkNBMRYwFAYDVQQHEw"
+    assert not secrets.confirmed_spans(words) and not secrets.confirmed_spans("\n".join(words.split())) and not secrets.confirmed_spans("MIIEMIIEMIIEMIIE" * 5_000 + "\nAAAA" * 5_000)
+
+
 def test_license_scan(spark, sf):
     rows = {r.doc_id: r for r in op10_license_scan(spark, "/root/testdata/sf0.01").collect()}
     table = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

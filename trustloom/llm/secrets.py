@@ -4,8 +4,11 @@ Base kinds are patterns with a length rule: assign (a credential name, `=` or `:
 access key id) and hex. The method adds spans of three kinds, each confirmed by decoding: `jwt`, three
 base64url segments whose first decodes to a JSON object with "alg" and second to a JSON object; `der`, a
 base64 or hex run that decodes to an ASN.1 SEQUENCE whose nested lengths fill it exactly and begin as
-private or public key structures do; `sshkey`, a base64 run that decodes to the "openssh-key-v1" container
-or to an SSH public key, with length-prefixed fields that fit. Base spans always stay.
+private (also encrypted) or public key structures do; `sshkey`, a base64 run that decodes to the "openssh-key-v1"
+container or to an SSH public key, with length-prefixed fields that fit. Base64 may be of either alphabet and
+wrapped: its lines, the first of 16 characters or more, may be of any width, indented, and end in line ends or
+in escaped ones; the lengths inside the structure tell where it ends. A wrapped structure is of at most 65,536
+bytes, several times the largest keys in use. Base spans always stay.
 
 Defined cases: null text counts as empty and gives zero counts and empty spans. Matches that fail their
 rule are dropped and not tried again shorter. Offsets are code points, the end exclusive. Repeated rows each
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -33,7 +37,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
-LONG_RUN = re.compile(r"[A-Za-z0-9+/]{40}")
+#: A run that may begin a key: a SEQUENCE, four bytes that start with three zeros, or the container's name; also right behind an escaped line end.
+START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?=M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{16,}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE_END = re.compile(r"[ \t]*(?:\r\n|\n|\r|(?:\\r)?\\n)(?:[ \t]|\\t)*")
+PADDING = re.compile(rf"(?:(?:{LINE_END.pattern})?=){{1,2}}")
+LONGEST = 65_536
+# Object identifier prefixes of password-based encryption, in DER.
+PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+# How many fields follow the name of a public key's type.
+PUBLIC_FIELDS = {b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1, b"ecdsa-sha2-nistp256": 2, b"ecdsa-sha2-nistp384": 2, b"ecdsa-sha2-nistp521": 2, b"sk-ssh-ed25519@openssh.com": 2, b"sk-ecdsa-sha2-nistp256@openssh.com": 3}
 Span = tuple[str, int, int]
 
 
@@ -75,7 +88,7 @@ def _der_items(data: bytes, lo: int, hi: int) -> list[tuple[int, int, int]] | No
 
 
 def is_key_der(data: bytes) -> bool:
-    """A SEQUENCE of a version INTEGER and key parts, or of an algorithm SEQUENCE with an OID and a BIT STRING."""
+    """A SEQUENCE of a version INTEGER and key parts, or of an algorithm SEQUENCE with an OID and a BIT STRING or, if it encrypts by password, an OCTET STRING."""
     top = _der_items(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -91,8 +104,11 @@ def is_key_der(data: bytes) -> bool:
     version = tags[0] == 0x02 and parts[0][2] - parts[0][1] == 1 and data[parts[0][1]] in (0, 1)
     if version and len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
         return algorithm(1)
-    if version and (tags[1] == 0x04 or len(tags) >= 9 and set(tags) == {0x02}):
+    if version and (tags[1] == 0x04 or (len(tags) >= 9 or len(tags) == 6) and set(tags) == {0x02}):
         return True
+    if tags == [0x30, 0x04] and algorithm(0):
+        _, lo, hi = _der_items(data, parts[0][1], parts[0][2])[0]
+        return data[lo:hi].startswith(PBE)
     return tags == [0x30, 0x03] and algorithm(0)
 
 
@@ -118,23 +134,97 @@ def confirmed_spans(text: str) -> list[Span]:
             head, body, _ = m[0].split(".")
             if "alg" in (_json_part(head) or {}) and _json_part(body) is not None:
                 out.append(("jwt", m.start(), m.end()))
-    if not LONG_RUN.search(text):
-        return out
-    joined, where = text, None
-    if "-----BEGIN" in text:  # wrapped lines: read runs across line ends
-        where = [i for i, ch in enumerate(text) if ch not in "\r\n"]
-        joined = "".join(text[i] for i in where)
-    seen = set()
-    for source, back in ((text, None), (joined, where)) if where is not None else ((text, None),):
-        for m in BASE64.finditer(source):
-            span = (back[m.start()], back[m.end() - 1] + 1) if back else m.span()
-            if span in seen:
-                continue
-            seen.add(span)
-            found = _decoded(m[0])
+    keys: list[Span] = []
+    for m in START.finditer(text):
+        if not keys or m.start() >= keys[-1][2]:
+            found = _key_at(text, m.start())
             if found:
-                out.append((found, *span))
-    return out
+                keys.append(found)
+    more = []
+    for m in BASE64.finditer(text):
+        near = bisect.bisect_right(keys, m.start(), key=lambda k: k[1]) - 1
+        if near < 0 or m.start() >= keys[near][2]:
+            kind = _decoded(m[0])
+            if kind:
+                more.append((kind, *m.span()))
+    return sorted(out + keys + more, key=lambda k: k[1])
+
+
+def _gathered(text: str, at: int, most: int) -> tuple[str, list[tuple[int, int]]]:
+    """Up to most base64 characters from at on, across line ends, and where each line starts: (characters before it, place in text)."""
+    body, lines, n = [], [], 0
+    while n < most:
+        m = LINE.match(text, at)
+        if not m:
+            break
+        part = m[0][: most - n]
+        body.append(part)
+        lines.append((n, at))
+        n += len(part)
+        gap = LINE_END.match(text, m.end())
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(body), lines
+
+
+def _bytes_of(body: str) -> bytes:
+    body = body.replace("-", "+").replace("_", "/")
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _der_size(head: bytes) -> int | None:
+    """Bytes of the element that head begins."""
+    n, k = head[1], head[1] & 0x7F
+    if n < 0x80:
+        return 2 + n
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 and len(head) >= 2 + k else None
+
+
+def _ssh_size(data: bytes) -> int | None:
+    """Bytes of the container or public key that data begins, by its length-prefixed fields."""
+
+    def field(at: int) -> int:
+        return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
+
+    if data.startswith(b"openssh-key-v1\0"):
+        at = field(field(field(15)))  # cipher, key derivation and its options
+        n = int.from_bytes(data[at : at + 4], "big")
+        if not 1 <= n <= 16:
+            return None
+        at += 4
+        for _ in range(n + 1):  # the public keys and the private part
+            at = field(at)
+    else:
+        at = field(0)
+        for _ in range(PUBLIC_FIELDS.get(data[4:at], 0) if at <= len(data) else 0):
+            at = field(at)
+        if data[4 : field(0)] not in PUBLIC_FIELDS:
+            return None
+    return at if at <= len(data) else None
+
+
+def _key_at(text: str, start: int) -> Span | None:
+    """The key whose base64, wrapped or not, begins at start."""
+    if text[start] == "M":
+        size = _der_size(_bytes_of(_gathered(text, start, 8)[0]))
+        kind, confirmed = "der", is_key_der
+    else:
+        size = _ssh_size(_bytes_of(_gathered(text, start, -(-LONGEST * 4 // 3))[0]))
+        kind, confirmed = "sshkey", lambda data: True
+    if size is None or not 30 <= size <= LONGEST:
+        return None
+    n = -(-size * 4 // 3)
+    body, lines = _gathered(text, start, n)
+    if len(body) < n or not confirmed(_bytes_of(body)[:size]):
+        return None
+    before, at = lines[-1]
+    end = at + n - before
+    if re.match(r"[A-Za-z0-9+/]", text[end : end + 1]):  # the run goes on
+        return None
+    padding = PADDING.match(text, end) if n % 4 else None
+    return kind, start, padding.end() if padding else end
 
 
 def _decoded(run: str) -> str | None:
