@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustloom.operators import corpus, evaluation, models, photo_text, photos, slang, text_models
+from trustloom.operators import corpus, detectors, evaluation, models, photo_text, photos, reports, slang, text_models
+from trustloom.plans.views import view
+from trustloom.sources import readers
 
 
 def test_photo_text_patterns_have_word_edges_in_any_script(spark):
@@ -137,3 +139,61 @@ def test_text_model_beats_the_prior_on_unseen_rows(spark):
     (vec,) = text_models.text_vectors(df.filter("record_id = 0"), model.vocabulary, model.size, names).collect()
     place = {r.term: r.place for r in model.vocabulary.filter("kind = 'word'").collect()}
     assert vec.features[place["amazing"]] > 0 and vec.features[place["works"]] == 0
+
+
+def test_series_takes_the_unit_of_its_span(spark):
+    rows = [("h", "2024-03-01 10:59:00", 1), ("h", "2024-03-01 13:00:00", 0), ("d", "2024-02-28 23:00:00", 0), ("d", "2024-03-02 01:00:00", 1), ("w", "2024-01-03 00:00:00", 0), ("w", "2024-04-01 00:00:00", 1), ("m", "2023-01-31 00:00:00", 1), ("m", "2024-03-01 00:00:00", 1), ("u", None, 1), ("u", None, 0), ("one", "2024-05-05 05:05:05", 0), ("one", None, 1)]
+    df = spark.createDataFrame(rows, "page_id string, t string, bad int").withColumn("t", F.to_timestamp("t"))
+    got = {}
+    for r in corpus.adaptive_series(df, "t", F.col("bad") == 1).orderBy("page_id", "bucket").collect():
+        got.setdefault((r.page_id, r.unit), []).append((str(r.bucket)[:13] if r.bucket else None, r.n, r.suspicious))
+    assert got["h", "hour"] == [("2024-03-01 10", 1, 1), ("2024-03-01 11", 0, 0), ("2024-03-01 12", 0, 0), ("2024-03-01 13", 1, 0)]
+    assert [x[0][:10] for x in got["d", "day"]] == ["2024-02-28", "2024-02-29", "2024-03-01", "2024-03-02"] and [x[1] for x in got["d", "day"]] == [1, 0, 0, 1]
+    assert got["w", "week"][0] == ("2024-01-01 00", 1, 0) and got["w", "week"][-1] == ("2024-04-01 00", 1, 1) and len(got["w", "week"]) == 14
+    assert got["m", "month"][0] == ("2023-01-01 00", 1, 1) and got["m", "month"][-1][0] == "2024-03-01 00" and len(got["m", "month"]) == 15
+    assert got["u", "undated"] == [(None, 2, 1)] and got["one", "day"] == [("2024-05-05 00", 1, 0)] and len(got) == 6
+    assert corpus.adaptive_series(df.limit(0), "t").count() == 0
+
+
+def test_bytes_are_decoded(spark, tmp_path):
+    cases = ["привет ё".encode(), "привет ё".encode("cp1251"), b"\x98abc\xe9", b"", "\ufeffa".encode(), b"\x19\x8a\xff"]
+    want = ["привет ё", "привет ё", "\x98abc\xe9", "", "\ufeffa", "\x19Љя"]
+    for i, data in enumerate(cases):
+        (tmp_path / f"{i}.txt").write_bytes(data)
+    assert [r.text for r in readers.read_text(spark, str(tmp_path)).orderBy("path").collect()] == [t for t in want if t]
+    assert [r[0] for r in spark.createDataFrame([(None,), (bytearray(),)], "c binary").coalesce(1).select(readers.decode_text(F.col("c"))).collect()] == [None, ""]
+
+
+def test_photo_evidence_of_a_review(spark):
+    reviews = spark.createDataFrame([(1, "ozon.ru", "boots", "fine boots"), (2, "ozon.ru", "t", "x"), (3, "ozon.ru", "t", "no photo")], "record_id long, source_site string, title string, review_text string")
+    look = {"unrelated_product": 0.7, "review_match": 0.3}
+    links = [("p", 1, "ann", 0, "https://e.com/a.jpg", look, "SALE 10% off"), ("p", 1, "ann", 0, "https://e.com/studio-packshot.jpg", None, ""), ("p", 2, "bob", 7200, "https://e.com/a.jpg", {"product_in_use": 1.0}, None)]
+    df = spark.createDataFrame(links, "page_id string, record_id long, author string, sec long, url string, probabilities map<string,double>, ocr_text string")
+    rows = {r.record_id: r for r in reports.photo_signals(df, reviews).collect()}
+    assert set(rows) == {1, 2} and rows[1].mismatch == pytest.approx(0.62) and rows[2].mismatch == 0 and rows[1].stock == pytest.approx(0.62)
+    assert rows[1].mismatch_reasons == ["The customer photo looks closer to a different or unrelated product than to the review text or inferred footwear category."]
+    assert rows[1].stock_reasons == ["The image URL/path contains stock, catalog, render, promo, or marketing hints."] and rows[1].reuse_reasons == ["The same customer photo appears in 2 reviews."]
+    assert rows[1].timing_reasons == ["The same customer photo appears across different authors within a short 2.0-hour window."]
+    assert rows[1].photo_text_score > 0 and rows[1].photo_text_reasons and rows[2].photo_text_score == 0
+    bare = {r.record_id: r for r in reports.photo_signals(df.drop("probabilities", "ocr_text"), reviews).collect()}
+    assert bare[1].stock == pytest.approx(0.62) and bare[1].mismatch is None and bare[1].photo_text_score == 0
+
+
+def test_overview_and_signals_of_pages(spark):
+    base = dict(suspicious_ratio=0.9, manipulation_mean=0.9, highest_probability=0.99, manual_ratio=0.5, automated_ratio=0.0, uncertainty_mean=0.4, confident_suspicious=0, suspicious_reviews=9, manual_reviews=5, total_reviews=10, duplicate_photo_ratio=0.0, temporal_ratio=0.0, mismatch_reviews=9, stock_reviews=0, synthetic_reviews=0, photo_text_reviews=0, ai_flagged=0, r_template=0.0, r_slang=0.004, ood_ratio=0.0)
+    none = {k: 0.0 if isinstance(v, float) else 0 for k, v in base.items()} | {"total_reviews": 3, "automated_ratio": 1.0}
+    df = spark.createDataFrame([{"page_id": "a"} | base, {"page_id": "b"} | none])
+    got = {r.page_id: r for r in reports.dashboard_overview(df).collect()}
+    assert (got["a"].risk_score, got["a"].confidence, got["a"].manipulation_probability, got["a"].suspicious_count, got["a"].status) == (86, 53, 90, 9, "High fraud risk")
+    assert (got["b"].risk_score, got["b"].confidence, got["b"].manipulation_probability, got["b"].status) == (12, 97, 8, "Low-risk sample") and "9 confidently" in got["a"].verdict
+    signals = [(r.page_id, r["rank"], r.signal, r.n) for r in reports.fallback_signals(df).orderBy("page_id", "rank").collect()]
+    assert signals == [("a", 1, "Peak suspicious probability", 99), ("a", 2, "Suspicious review ratio", 90), ("a", 3, "Behavioral manipulation score", 90), ("a", 4, "Image/text mismatch signal", 90), ("a", 5, "Manual review uncertainty", 50), ("a", 6, "Language template signal", 1), ("b", 1, "Low-risk review profile", 3)]
+
+
+def test_rating_detector(spark, sf):
+    rows = view(spark, sf, "ratings_v")
+    scored, threshold = detectors.detect_ratings(rows)
+    got = scored.select("record_id", "part", "anomaly", "suspicious").toPandas()
+    assert len(got) == rows.count() and set(got.part) == {"train", "validation", "test"} and threshold > 0
+    assert ((got.anomaly >= threshold) == (got.suspicious == 1)).all() and 0 < got.suspicious.sum() < len(got)
+    assert detectors.suspicious_users(scored).agg(F.sum("n_ratings")).first()[0] == got.suspicious.sum()

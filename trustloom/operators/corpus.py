@@ -218,6 +218,30 @@ def activity_series(df: DataFrame) -> DataFrame:
     return spine.join(day, ["page_id", "day"], "left").fillna({"n": 0, "low": 0})
 
 
+def adaptive_series(df: DataFrame, when: str = "ts", suspicious: Column | None = None) -> DataFrame:
+    """Per page its reviews by hour, day, week (from Monday) or month, as the page's span asks for, zero-filled from first to last.
+
+    The unit is hour for at most 36 hours and more than one review, day for at most 62 days, week for at most 370, else month. Reviews without a
+    time are left out; a page with none dated has one row of unit undated. A review is suspicious if the given condition holds.
+    """
+    c = F.col
+    bad = suspicious if suspicious is not None else F.lit(False)
+    rows = df.select("page_id", c(when).cast("timestamp").alias("t"), F.coalesce(bad, F.lit(False)).cast("long").alias("bad"))
+    span = rows.groupBy("page_id").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("t").alias("dated"), F.count("*").alias("n_all"), F.sum("bad").alias("bad_all"))
+    seconds = (F.unix_micros("b") - F.unix_micros("a")) / 1e6
+    unit = F.when(c("dated") == 0, "undated").when((seconds <= 36 * 3600) & (c("dated") > 1), "hour").when(seconds <= 62 * 86400, "day").when(seconds <= 370 * 86400, "week").otherwise("month")
+    span = span.withColumn("unit", unit)
+    units = ("hour", "day", "week", "month")
+    start = lambda t: F.coalesce(*[F.when(c("unit") == u, F.date_trunc(u, t)) for u in units])
+    by = rows.filter("t is not null").join(span.select("page_id", "unit"), "page_id").groupBy("page_id", start(c("t")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("bad").alias("suspicious"))
+    steps = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}
+    places = F.coalesce(*[F.when(c("unit") == u, F.sequence(F.date_trunc(u, c("a")), F.date_trunc(u, c("b")), F.expr(step))) for u, step in steps.items()])
+    spine = span.select("page_id", "unit", "n_all", "bad_all", F.explode_outer(places).alias("bucket"))
+    out = spine.join(by, ["page_id", "bucket"], "left")
+    whole = lambda name, other: F.when(c("unit") == "undated", c(other)).otherwise(F.coalesce(c(name), F.lit(0).cast("long"))).alias(name)
+    return out.select("page_id", "unit", "bucket", whole("n", "n_all"), whole("suspicious", "bad_all"))
+
+
 def timeline_summary(series: DataFrame) -> DataFrame:
     return series.groupBy("page_id").agg(F.sum("n").alias("total"), F.max("n").alias("peak"), F.max_by("day", F.struct("n", -F.unix_date("day"))).alias("peak_day"), F.coalesce(F.try_divide(F.sum("low"), F.sum("n")), F.lit(0.0)).alias("low_share"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
-from trustloom.operators import corpus, evaluation, machine_text, models, pages, photo_text, photos, ratings, reports, slang, text_models
+from trustloom.operators import corpus, detectors, evaluation, machine_text, models, pages, photo_text, photos, ratings, reports, slang, text_models
 from trustloom.sources import readers
 from trustloom.sources.tables import cut
 
@@ -818,6 +818,20 @@ def d01(r):
     return corpus.activity_series(r).withColumn("day", F.col("day").cast("string"))
 
 
+#: Pages of every span: the digits of a source's md5 stretch its reviews over hours, weeks, months or years.
+_AT = "TIMESTAMP '2024-01-01 00:00:00' + CAST(record_id % 500 AS INT) * CASE WHEN md5(page_id) < '4' THEN INTERVAL 4 MINUTE WHEN md5(page_id) < '8' THEN INTERVAL 1 HOUR WHEN md5(page_id) < 'c' THEN INTERVAL 13 HOUR ELSE INTERVAL 2 DAY END"
+
+
+@query("d01_adaptive_activity", "reviews_v", f""", ts_ AS (SELECT page_id, CASE WHEN record_id % 17 = 0 THEN NULL ELSE {_AT} END AS t, rating <= 2 AS bad FROM reviews_v), sp AS (SELECT page_id, min(t) AS a, max(t) AS b, count(t) AS dated, count(*) AS n_all, count(*) FILTER (WHERE bad) AS bad_all FROM ts_ GROUP BY 1),
+ su AS (SELECT *, CASE WHEN dated = 0 THEN 'undated' WHEN epoch(b) - epoch(a) <= 129600 AND dated > 1 THEN 'hour' WHEN epoch(b) - epoch(a) <= 5356800 THEN 'day' WHEN epoch(b) - epoch(a) <= 31968000 THEN 'week' ELSE 'month' END AS unit FROM sp),
+ sb AS (SELECT page_id, date_trunc(CASE unit WHEN 'undated' THEN 'day' ELSE unit END, t) AS bucket, count(*) AS n, count(*) FILTER (WHERE bad) AS suspicious FROM ts_ JOIN su USING (page_id) WHERE t IS NOT NULL GROUP BY 1, 2),
+ ss AS (SELECT page_id, unit, unnest(generate_series(date_trunc(unit, a), date_trunc(unit, b), CASE unit WHEN 'hour' THEN INTERVAL 1 HOUR WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY ELSE INTERVAL 1 MONTH END)) AS bucket FROM su WHERE dated > 0)
+ SELECT page_id, unit, strftime(bucket::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(n, 0) AS n, coalesce(suspicious, 0) AS suspicious FROM ss LEFT JOIN sb USING (page_id, bucket) UNION ALL SELECT page_id, unit, NULL, n_all, bad_all FROM su WHERE dated = 0""")
+def d01a(r):
+    dated = r.withColumn("t", F.expr(f"CASE WHEN record_id % 17 = 0 THEN NULL ELSE {_AT} END"))
+    return corpus.adaptive_series(dated, "t", F.col("rating") <= 2).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("d08_timeline", "reviews_v", SERIES + " SELECT page_id, sum(n)::BIGINT AS total, max(n) AS peak, (arg_max(day, n * 100000 - date_diff('day', DATE '2020-01-01', day)))::VARCHAR AS peak_day, round(sum(low) / sum(n)::DOUBLE, 4) AS low_share FROM a GROUP BY 1")
 def d08(r):
     return rounded(corpus.timeline_summary(corpus.activity_series(r)).withColumn("peak_day", F.col("peak_day").cast("string")))
@@ -1006,4 +1020,22 @@ def k11(r):
     return rounded(models.combiner_metrics(models.combine(model, rows.filter("part = 'test'"))))
 
 
+@query("r17_detector", "ratings_v")
+def r17(r):
+    scored, _ = detectors.detect_ratings(r)
+    return rounded(scored.select("record_id", "part", "anomaly", "suspicious", F.array_join("reasons", "; ").alias("reasons"), F.array_join("attack_types", ",").alias("attack_types")))
+
+
+@query("r18_detected_users", "ratings_v")
+def r18(r):
+    scored, _ = detectors.detect_ratings(r)
+    return rounded(detectors.suspicious_users(scored))
+
+
+@query("v08_connected_report", "reviews_v photos_v")
+def v08(r, links):
+    scored, _ = detectors.connected_report(r, _evidence(r, links))
+    return rounded(scored.select("record_id", "part", "pt", "coverage", "p_text", "p", "triage", "risk", "suspicious", F.array_join("reasons", " ").alias("reasons"), F.array_join("categories", ",").alias("categories")))
+
+
 from . import source_queries  # noqa: E402,F401  registers more

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.functions import lexicons as L
@@ -38,6 +38,22 @@ def read_records_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return whole.select(F.inline(lists))
 
 
+def decode_text(content: Column) -> Column:
+    """Text of bytes: UTF-8 if they are valid, else CP1251 unless they hold 0x98, which it lacks, else Latin-1.
+
+    A byte order mark stays a character, as plain UTF-8 comes first; null bytes give null.
+    """
+    latin = F.decode(content, "ISO-8859-1")
+    upper = [bytes([i]) for i in range(128, 256) if i != 0x98]
+    cyrillic = F.translate(latin, "".join(b.decode("latin-1") for b in upper), "".join(b.decode("cp1251") for b in upper))
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.when(~latin.contains("\x98"), cyrillic), latin)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of each file, decoded by decode_text; a file is one row, so files must fit in a task. Empty files give none."""
+    return spark.read.format("binaryFile").load(path).select("path", decode_text(F.col("content")).alias("text"))
+
+
 def rename_aliases(df: DataFrame, aliases: dict[str, list[str]] = RATING_ALIASES) -> DataFrame:
     """Canonical names; a canonical column that is there wins over its aliases."""
     low = {c.lower(): c for c in df.columns}
