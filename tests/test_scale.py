@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from trustloom.operators import ratings, slang
+from trustloom.functions import text as T
+from trustloom.operators import photo_text, ratings, slang
+from trustloom.plans import views
 
 
 def _plan(df) -> str:
@@ -37,3 +39,25 @@ def test_domain_detail_is_looked_up_by_hash(spark):
     out = slang.slang_profile(spark.createDataFrame(rows, "record_id long, page_id string, review_text string, source_site string"))
     assert "array_contains" not in _plan(out)  # a list gone through for each word
     assert {r.record_id: r.domain_detail > 0 for r in out.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_a_text_is_normalized_once_for_all_phrases(spark):
+    df = spark.createDataFrame([(1, " A\t \tgift\n for\u00a0you ", "s")], "record_id long, t string, s string")
+    out = df.select(T.product_family(F.col("t"), F.col("s")).alias("f"), T.norm_text(F.col("t")).alias("n"), T.word_count(F.col("t")).alias("w"))
+    assert _plan(out.select("f")).count("regexp_replace(coalesce(t#") == 1  # was there for each phrase
+    assert (out.first().n, out.first().w) == ("A gift for\u00a0you", 3)
+    odd = ["", " ", "\t", "a b", "a  b", "a \t b", "a\r\n b", "\x0b a\x0c", "a \u2003 b", " a", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select(T.norm_text(F.col("x")), F.trim(F.regexp_replace(F.coalesce("x", F.lit("")), r"\s+", " ")))
+    assert all(a == b for a, b in rows.collect())
+
+
+def test_tables_of_few_row_groups_are_dealt_out(spark, sf):
+    assert "RepartitionByExpression [doc_id" in _plan(views.view(spark, sf, "reviews_v"))
+
+
+def test_photo_text_is_normalized_once(spark):
+    df = spark.createDataFrame([(1, "p", "SALE 20% off at ozon", "amazon.com")], "record_id long, page_id string, ocr_text string, source_site string")
+    out = photo_text.photo_text(df)
+    assert _plan(out.select("photo_labels", "photo_text_score")).count("regexp_replace(coalesce(ocr_text#") == 1  # was there for each label
+    assert out.first().photo_text_flag == 1
+    assert "photo_labels" in (plan := _plan(photo_text.photo_text_summary(out))) and "rlike" not in plan.lower()  # labels are found once, not by each aggregate
