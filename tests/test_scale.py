@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as T
-from trustloom.operators import photo_text, ratings, slang
+from trustloom.operators import machine_text, pages, photo_text, ratings, slang
 from trustloom.plans import views
 
 
@@ -61,3 +61,14 @@ def test_photo_text_is_normalized_once(spark):
     assert _plan(out.select("photo_labels", "photo_text_score")).count("regexp_replace(coalesce(ocr_text#") == 1  # was there for each label
     assert out.first().photo_text_flag == 1
     assert "photo_labels" in (plan := _plan(photo_text.photo_text_summary(out))) and "rlike" not in plan.lower()  # labels are found once, not by each aggregate
+
+
+def test_profiles_and_openings_are_computed_once_for_counts_and_rows(spark):
+    rows = [(i, "p", "a", "t", "топчик must buy wow screen battery " * 3, "amazon.com", 5.0, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "record_id long, page_id string, author string, title string, review_text string, source_site string, rating double, review_date date")
+    profiled = slang.with_slang(df)
+    counted = pages.page_counts(profiled, keep_text=False)
+    opened = machine_text.opening_boost(machine_text.ai_score(df).drop("review_text", "title"))
+    for out in (profiled, counted, opened):  # was computed again by each filter on what is counted
+        assert "regexp" not in _plan(out) and "md5" not in _plan(out)
+    assert {r.template_dup for r in profiled.collect()} == {3} and {r.dup_text for r in counted.collect()} == {3} and {r.n_opening for r in opened.collect()} == {3}

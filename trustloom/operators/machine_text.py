@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
+from trustloom.sources.tables import cut
 
 TOKEN = r"[a-z\x{0400}-\x{04FF}0-9']+"
 NUMBER = r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)?(?![\p{L}\p{N}_])"
@@ -30,12 +31,12 @@ def _hits(t: Column, phrases: list[str]) -> Column:
 def ai_features(df: DataFrame) -> DataFrame:
     """22 measures of title and text; the density of n hits is n over a ninth of the words, at least 1."""
     whole = title_and_text(df)
-    t = F.lower(F.col("__whole"))
+    t = F.col("__low")
     count = lambda p: F.regexp_count(t, F.lit(p))
     tok = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
     sentence = lambda s: F.greatest(F.regexp_count(F.lower(s), F.lit(TOKEN)), F.lit(1))
     sentences = F.transform(F.filter(F.split("__whole", r"[.!?]+"), lambda s: F.trim(s) != ""), sentence)
-    rows = df.withColumn("__whole", whole).withColumns({
+    rows = df.withColumn("__whole", whole).withColumn("__low", F.lower("__whole")).withColumns({
         "ai_tok": tok, "__words": F.filter(tok, lambda x: x.rlike(r"\p{L}")), "__sents": sentences, "__generic": _hits(t, L.GENERIC), "__connector": _hits(t, L.CONNECTORS), "__catalog": _hits(t, L.CATALOG), "__cliche": _hits(t, L.CLICHES),
         "__markers": _hits(t, L.STRUCTURE_MARKERS), "__terms": _hits(t, L.STRUCTURE_TERMS), "__personal": _hits(t, L.PERSONAL), "__colloquial": _hits(t, L.COLLOQUIAL), "__concrete": _hits(t, L.PERSONAL) + count(NUMBER) + count(UNIT),
         "__dash": count("[—–]"), "__bundles": count(BUNDLE), "__latin": count("[a-z]"), "__cyr": count(r"[\x{0400}-\x{04FF}]"), "__chars": F.greatest(F.length("__whole"), F.lit(1)),
@@ -113,8 +114,9 @@ def opening_boost(df: DataFrame) -> DataFrame:
     """The first eight words, if shared on a page, raise scores of 0.40 and more; texts under twelve words have no opening."""
     c = F.col
     rows = df.withColumn("opening", F.when(F.size("ai_tok") >= MIN_WORDS, F.array_join(F.slice("ai_tok", 1, 8), " ")))
+    rows = cut(rows.drop("ai_tok"))  # openings are counted beside the rows
     counts = rows.filter("opening is not null").groupBy("page_id", "opening").agg(F.count("*").alias("n_opening"))
-    rows = rows.drop("ai_tok").join(counts, ["page_id", "opening"], "left").fillna({"n_opening": 0})
+    rows = rows.join(counts, ["page_id", "opening"], "left").fillna({"n_opening": 0})
     hit = (c("n_opening") >= 2) & (c("ai") >= 0.40) & (c("words") >= MIN_WORDS)
     rows = rows.withColumn("__hit", hit).withColumn("ai", F.when(c("__hit"), T.clip(c("ai") + F.least(F.lit(0.12), 0.04 * (c("n_opening") - 1)))).otherwise(c("ai")))
     more = F.lit("The wording contains repeated AI-style review openings across the current page.")

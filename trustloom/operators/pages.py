@@ -34,7 +34,7 @@ def page_counts(df: DataFrame, keep_text: bool = True) -> DataFrame:
     digest = lambda c: F.when(F.col(c) != "", F.md5(c))
     rows = df.withColumns({"__text": F.lower(T.norm_text(F.col("review_text"))), "__title": F.lower(T.norm_text(F.col("title")))})
     rows = rows.withColumns({"__text": digest("__text"), "__title": digest("__title"), "__author": author_key()})
-    rows = rows if keep_text else rows.drop("review_text", "title")
+    rows = cut(rows if keep_text else rows.drop("review_text", "title"))  # each count reads it, and the rows themselves
     for key, name in (("__text", "dup_text"), ("__title", "dup_title"), ("__author", "author_reviews")):
         rows = _counts(rows, F.col(key), name).drop(key)
     days = df.filter("review_date is not null").groupBy("page_id", "review_date").agg(F.count("*").alias("same_day"), F.count_if(F.col("rating").isin(1.0, 5.0)).alias("same_day_extreme"))
