@@ -1,6 +1,7 @@
 """Forms of jobs whose cost grows no faster than their input, on inputs made for them."""
 
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
-from trustloom.operators import machine_text, pages, photo_text, ratings, slang
+from trustloom.operators import corpus, machine_text, pages, photo_text, ratings, slang, text_models
 from trustloom.plans import views
 
 
@@ -82,3 +83,11 @@ def test_texts_of_ratings_are_measured_once_per_distinct_text(spark):
     assert sorted((r.words, r.text_count) for r in texts) == [(0, 1), (1, 1), (4, 2)]  # words were counted for each rating
     want = {r.record_id: (r.w, r.p) for r in df.select("record_id", T.word_count(F.col("review_text")).alias("w"), T.has_phrase(F.col("review_text"), L.RATING_PHRASES).cast("int").alias("p")).collect()}
     assert {r.record_id: (r.words, r.promotional) for r in ratings.with_signals(df).collect()} == want
+
+
+def test_terms_are_counted_where_their_record_lies(spark):
+    df = spark.createDataFrame([(i, f"word{i % 2} other words") for i in range(4)], "record_id long, review_text string")
+    for out in (corpus.tfidf(df, terms=corpus.char_grams(F.col("review_text"))), text_models._grams(df, ["word", "char"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(record_id" in plan and not re.search(r"hashpartitioning\(record_id#\d+L, term", plan)  # terms were shuffled
+    assert corpus.tfidf(df).count() > 0
