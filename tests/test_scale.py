@@ -91,3 +91,35 @@ def test_terms_are_counted_where_their_record_lies(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(record_id" in plan and not re.search(r"hashpartitioning\(record_id#\d+L, term", plan)  # terms were shuffled
     assert corpus.tfidf(df).count() > 0
+
+
+def test_photo_patterns_are_tried_only_where_their_words_are(spark):
+    texts = ["sale", "wholesale", "20% off", "20 %off now", "100% off", "#1", "# 1", "a@b", "@shop_x", "see x.com", "x.comic", "ходовой товар", "хит продаж", "акция!", "vk", "vkx", "coupon free shipping", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = T.array_of(*[(F.col("t").rlike("|".join(map(photo_text.bounded, p))), k) for k, p in L.PHOTO_PATTERNS.items()])
+    assert all(a == b for a, b in df.select(photo_text.photo_labels(F.col("t")), plain).collect())
+    words = [w for p in L.PHOTO_PATTERNS.values() for x in p for w in photo_text.needed(x)]
+    assert not [w for w in words if re.search(r"[\\\[(|?*+]", w)]  # each is looked for as it stands
+    assert _plan(df.select(photo_text.photo_labels(F.col("t")))).lower().count("contains(") >= len(words)  # were tried at every character
+
+
+def test_characters_are_counted_without_a_string_for_each(spark):
+    texts = ["", "aB1", "ÄÖ ß 12 ٣", "Привет, World! -- 3 см / a/b/c/d", "!!??", "𝔸b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for chars in (r"\p{Lu}", r"\p{L}", r"\p{Nd}", "a-z", r"\x{0400}-\x{04FF}", ",;:", "!", "?"):
+        assert all(a == b for a, b in df.select(T.chars_of(F.col("t"), chars), F.regexp_count("t", F.lit(f"[{chars}]"))).collect())
+    scored = machine_text.ai_score(spark.createDataFrame([(1, "p", "t", "One two. Three — four five! ... Ещё слово?")], "record_id long, page_id string, title string, review_text string"))
+    assert ", [a-z], 0)" not in _plan(scored)  # each letter was a match of its own
+    sents = scored.select(F.round("sent_mean", 6), F.round("sentences_log", 6)).first()
+    assert tuple(sents) == (round(8 / 3 / 28, 6), round(1.3862943611, 6))
+
+
+def test_words_meet_the_lists_once(spark):
+    words = "топчик abc a-b ё'x don't привет-мир x'ы 12 ѿ"
+    rows = [(1, "p", words, "shoe lamp", "amazon.com"), (2, "p", "shoe shoe sneaker prime seller", "", "amazon.com"), (3, "p", None, None, None)]
+    df = spark.createDataFrame(rows, "record_id long, page_id string, review_text string, title string, source_site string")
+    got = {r.record_id: r for r in slang.slang_measures(df).collect()}
+    tok = df.select("record_id", slang.word_tokens(F.col("review_text")).alias("w")).select("record_id", F.size("w").alias("n"), F.size(F.filter("w", lambda x: x.rlike(r"[\x{0400}-\x{04FF}]"))).alias("cyr"), F.size(F.filter("w", lambda x: x.rlike("[a-z]"))).alias("lat"))
+    assert {r.record_id: (r.n, r.cyr, r.lat) for r in tok.collect()} == {k: (r.n_tokens, r.cyr, r.lat) for k, r in got.items()}
+    assert (got[1]["__d_apparel"], got[1]["__d_home"], got[2]["__d_apparel"], got[3]["__d_home"]) == (1, 1, 3, 0)
+    assert "regexp" not in _plan(slang.with_slang(df))  # words were found again for the domains of pages

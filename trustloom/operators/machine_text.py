@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,9 +10,10 @@ from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 from trustloom.sources.tables import cut
 
-TOKEN = r"[a-z\x{0400}-\x{04FF}0-9']+"
-NUMBER = r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)?(?![\p{L}\p{N}_])"
-UNIT = r"(?<![\p{L}\p{N}_])(?:cm|mm|kg|gb|mah|days?|weeks?|months?|см|мм|кг|дня|недел)(?![\p{L}\p{N}_])"
+TOKEN = r"a-z\x{0400}-\x{04FF}0-9'"  # characters
+#: The patterns begin with a look at one character, which most places fail, before the costlier look behind.
+NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)?(?![\p{L}\p{N}_])"
+UNIT = r"(?=[cmkgdwсмкдн])(?<![\p{L}\p{N}_])(?:cm|mm|kg|gb|mah|days?|weeks?|months?|см|мм|кг|дня|недел)(?![\p{L}\p{N}_])"
 BUNDLE = r"(?<![\p{L}\p{N}_])[0-9a-z\x{0400}-\x{04FF}]+(?:/[0-9a-z\x{0400}-\x{04FF}]+){2,}(?![\p{L}\p{N}_])"
 MIN_WORDS, HINT, FLAG, STRONG = 12, 0.52, 0.66, 0.76
 
@@ -24,22 +23,19 @@ def title_and_text(df: DataFrame) -> Column:
     return T.norm_text(F.concat_ws(" ", *parts))
 
 
-def _hits(t: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [t.contains(p).cast("int") for p in phrases])
-
-
 def ai_features(df: DataFrame) -> DataFrame:
     """22 measures of title and text; the density of n hits is n over a ninth of the words, at least 1."""
     whole = title_and_text(df)
     t = F.col("__low")
     count = lambda p: F.regexp_count(t, F.lit(p))
-    tok = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
-    sentence = lambda s: F.greatest(F.regexp_count(F.lower(s), F.lit(TOKEN)), F.lit(1))
-    sentences = F.transform(F.filter(F.split("__whole", r"[.!?]+"), lambda s: F.trim(s) != ""), sentence)
-    rows = df.withColumn("__whole", whole).withColumn("__low", F.lower("__whole")).withColumns({
-        "ai_tok": tok, "__words": F.filter(tok, lambda x: x.rlike(r"\p{L}")), "__sents": sentences, "__generic": _hits(t, L.GENERIC), "__connector": _hits(t, L.CONNECTORS), "__catalog": _hits(t, L.CATALOG), "__cliche": _hits(t, L.CLICHES),
-        "__markers": _hits(t, L.STRUCTURE_MARKERS), "__terms": _hits(t, L.STRUCTURE_TERMS), "__personal": _hits(t, L.PERSONAL), "__colloquial": _hits(t, L.COLLOQUIAL), "__concrete": _hits(t, L.PERSONAL) + count(NUMBER) + count(UNIT),
-        "__dash": count("[—–]"), "__bundles": count(BUNDLE), "__latin": count("[a-z]"), "__cyr": count(r"[\x{0400}-\x{04FF}]"), "__chars": F.greatest(F.length("__whole"), F.lit(1)),
+    # each word as one w, which is no other character then
+    sentence = lambda s: F.greatest(F.length(s) - F.length(F.replace(s, F.lit("w"), F.lit(""))), F.lit(1))
+    sentences = F.transform(F.filter(F.split(F.regexp_replace(t, f"[{TOKEN}]+", "w"), r"[.!?]+"), lambda s: F.trim(s) != ""), sentence)
+    rows = df.withColumn("__whole", whole).withColumn("__low", F.lower("__whole")).withColumns({"ai_tok": F.regexp_extract_all(t, F.lit(f"[{TOKEN}]+"), F.lit(0)), "__personal": T.held(t, L.PERSONAL)})
+    rows = rows.withColumns({
+        "__words": F.filter("ai_tok", lambda x: x.rlike(r"\p{L}")), "__sents": sentences, "__generic": T.held(t, L.GENERIC), "__connector": T.held(t, L.CONNECTORS), "__catalog": T.held(t, L.CATALOG), "__cliche": T.held(t, L.CLICHES),
+        "__markers": T.held(t, L.STRUCTURE_MARKERS), "__terms": T.held(t, L.STRUCTURE_TERMS), "__colloquial": T.held(t, L.COLLOQUIAL), "__concrete": F.col("__personal") + count(NUMBER) + count(UNIT),
+        "__dash": count("[—–]"), "__bundles": F.when(t.contains("/"), count(BUNDLE)).otherwise(0), "__latin": T.chars_of(t, "a-z"), "__cyr": T.chars_of(t, r"\x{0400}-\x{04FF}"), "__chars": F.greatest(F.length("__whole"), F.lit(1)),
     })
     words, per = F.size("__words"), F.greatest(F.size("__words") / 9, F.lit(1.0))
     c, density = F.col, lambda name: T.clip(F.col(name) / per)
@@ -52,7 +48,7 @@ def ai_features(df: DataFrame) -> DataFrame:
         "words": words, "words_log": F.log1p(words), "sentences_log": F.log1p(F.size("__sents")), "sent_mean": T.clip(c("__mean") / 28),
         "cv": F.when(F.size("__sents") > 1, T.clip(deviation / F.greatest(c("__mean"), F.lit(1.0)))).otherwise(0.0), "uniq": F.size(F.array_distinct("__words")) / F.greatest(words, F.lit(1)),
         "generic": density("__generic"), "connector": density("__connector"), "catalog": density("__catalog"), "personal": density("__personal"), "concrete": density("__concrete"), "colloquial": density("__colloquial"),
-        "digit": T.clip(12 * count(r"\p{Nd}") / c("__chars")), "punctuation": T.clip(18 * count("[,;:]") / c("__chars")), "dash": T.clip(c("__dash") / F.greatest(words / 26, F.lit(1.0))), "exclaim": T.clip(4 * count("!") / F.greatest(words, F.lit(1))),
+        "digit": T.clip(12 * T.chars_of(t, r"\p{Nd}") / c("__chars")), "punctuation": T.clip(18 * T.chars_of(t, ",;:") / c("__chars")), "dash": T.clip(c("__dash") / F.greatest(words / 26, F.lit(1.0))), "exclaim": T.clip(4 * count("!") / F.greatest(words, F.lit(1))),
         "balanced": ((c("__generic") > 0).cast("int") + (c("__connector") > 0).cast("int") + (c("__catalog") > 0).cast("int")) / 3, "polish": T.clip(polish / (c("__concrete") + c("__personal") + 1)),
         "repetition": F.when(words < 6, 0.0).otherwise(T.clip((words - 1 - F.size(F.array_distinct(bigrams))) / (words - 1))),
         "mixed": T.clip(4 * F.least("__latin", "__cyr") / F.greatest(c("__latin") + c("__cyr"), F.lit(1))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,9 +127,9 @@ CATEGORY_HINTS = {
 def product_category(columns: list[Column], *texts: Column) -> Column:
     """The first of the given categories that says something, else the first whose words are in the texts (URL, site, title, review)."""
     given = [F.when((T.norm_text(c) != "") & (T.norm_text(c) != "general"), F.lower(T.norm_text(c))) for c in columns]
-    t = F.lower(F.concat_ws(" ", *texts))
-    hinted = [F.when(t.rlike("|".join(words)), name) for name, words in CATEGORY_HINTS.items()]
-    return F.coalesce(*given, *hinted, F.lit("general product"))
+    holds = lambda t, words: reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+    hinted = T.once(F.lower(F.concat_ws(" ", *texts)), lambda t: F.coalesce(*[F.when(holds(t, words), name) for name, words in CATEGORY_HINTS.items()]))
+    return F.coalesce(*given, hinted, F.lit("general product"))
 
 
 # What an image may look like, and what is said of it.

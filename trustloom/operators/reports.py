@@ -22,10 +22,11 @@ def text_signals(df: DataFrame) -> DataFrame:
     t = F.lower(T.norm_text(F.col("review_text")))
     split = F.filter(F.split(t, " "), lambda x: x != "")
     words = F.size(split)
-    structured, low_risk = evaluation.low_risk_text(F.col("review_text"), F.size(T.tokens(F.col("review_text"))))
-    return df.select(
+    rows = df.withColumn("n_words", F.size(T.tokens(F.col("review_text"))))
+    structured, low_risk = evaluation.low_risk_text(F.col("review_text"), F.col("n_words"))
+    return rows.select(
         "record_id", words.alias("t_words"), (F.regexp_count(t, F.lit("!")) >= 3).alias("t_bangs"), T.has_phrase(t, REASON_PHRASES).alias("t_promo"),
-        (F.size(F.array_distinct(split)) < F.greatest(F.lit(3), F.floor(words / 2))).alias("t_repeats"), F.size(T.tokens(F.col("review_text"))).alias("n_words"), structured.alias("structured"), low_risk.alias("low_risk"),
+        (F.size(F.array_distinct(split)) < F.greatest(F.lit(3), F.floor(words / 2))).alias("t_repeats"), "n_words", structured.alias("structured"), low_risk.alias("low_risk"),
     )
 
 
