@@ -123,3 +123,16 @@ def test_words_meet_the_lists_once(spark):
     assert {r.record_id: (r.n, r.cyr, r.lat) for r in tok.collect()} == {k: (r.n_tokens, r.cyr, r.lat) for k, r in got.items()}
     assert (got[1]["__d_apparel"], got[1]["__d_home"], got[2]["__d_apparel"], got[3]["__d_home"]) == (1, 1, 3, 0)
     assert "regexp" not in _plan(slang.with_slang(df))  # words were found again for the domains of pages
+
+
+def test_features_measure_each_distinct_text_once(spark):
+    texts = ["Good One!", "Good One!", "good one!", "", None, "ÄB 1?"]
+    rows = [(i, f"u{i % 2}", "i1", 5.0, datetime(2024, 1, 1, i), "10.0.0.1", "x", "y", 0, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "record_id long, user_id string, item_id string, rating double, ts timestamp, ip_address string, geo_country string, geo_city string, is_fake int, review_text string")
+    keyed = df.select("record_id", F.md5("review_text").alias("raw_key"))
+    assert ratings.raw_measures(df, keyed).count() == 4  # each rating was measured
+    t, names = F.col("review_text"), ["chars", "unique_ratio", "upper_ratio", "digit_ratio", "exclaim", "question"]
+    want = df.select("record_id", F.coalesce(F.length(t), F.lit(0)), T.unique_word_ratio(t), T.uppercase_ratio(t), T.digit_ratio(t), T.punct_density(t, "!"), T.punct_density(t, "?"))
+    got = ratings.rating_features(df)
+    assert {r[0]: tuple(map(float, r[1:])) for r in want.collect()} == {r[0]: tuple(r[1:]) for r in got.select("record_id", *names).collect()}
+    assert ratings.usual_gap(df) == ratings.fit_defaults(df).first().gap
