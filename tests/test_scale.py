@@ -11,6 +11,7 @@ from trustloom.functions import lexicons as L
 from trustloom.functions import text as T
 from trustloom.operators import corpus, machine_text, pages, photo_text, ratings, slang, text_models
 from trustloom.plans import views
+from trustloom.sources import cards
 
 
 def _plan(df) -> str:
@@ -161,3 +162,15 @@ def test_a_lexicon_counts_only_phrases_of_promising_parts(spark, monkeypatch):
     assert len(kept) < len({k[2] for k in want if k[1] == "phrase"}) / 2  # all phrases of all texts were counted
     monkeypatch.setattr(slang, "MOST_KNOWN", 3)  # too many parts for a list: all phrases are counted
     assert {(r.scope, r.kind, r.term, r.pos, r.neg) for r in slang.learn_lexicon(df, every, every).collect()} == want_listed
+
+
+def test_tokens_of_pages_are_found_once_for_cards_and_their_texts(spark, monkeypatch):
+    card = '<div class="review-card" ID=x><p>plain paragraph of a card %d</p><img\nalt=avatar src="/a.png"><time datetime>2024</time></div>'
+    df = spark.createDataFrame([(i, "http://x.com/", (card % i) * 2) for i in range(3)], "page_id long, url string, html string")
+    seen = {r.pos: r for r in cards.tokens(df.filter("page_id = 0")).collect()}
+    assert seen[0].about == " review-card  x   " and seen[1].about.strip() == "" and [r.images for r in seen.values() if r.images] == [["/a.png"]] * 2
+    calls, real = [], cards.written
+    monkeypatch.setattr(cards, "written", lambda rows: calls.append(rows) or real(rows))
+    out = cards.card_reviews(df)
+    assert len(calls) == 1 and "<!--.*?-->" not in _plan(out)  # pages were cut into tokens again for each use
+    assert sorted((r.page_id, r.review_text, r.date) for r in out.collect()) == sorted((i, f"plain paragraph of a card {i}", "2024") for i in range(3) for _ in "ab")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions import text as T
 from trustloom.sources.payloads import MIN_CHARS, _as, _leaves, _let, once
+from trustloom.sources.tables import cut as written
 
 TOKEN = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[a-z][^>]*>|[^<]+|<"
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
@@ -84,10 +85,10 @@ def tokens(pages: DataFrame) -> DataFrame:
     end = F.when(F.col("turn") > 0, F.coalesce("close", "unclosed", F.lit(2**31 - 1))).otherwise(F.col("pos"))
     text = F.when(F.col("name") == "", reduce(lambda c, e: F.replace(c, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, F.col("tok")))
     is_open, image = (F.col("turn") > 0) | ((F.col("name") != "") & (F.col("turn") == 0)), F.col("name").isin("img", "source")
-    attr = lambda n: F.when(is_open, attribute(F.col("tok"), n))
+    attr = lambda n: F.when(is_open, F.when(F.col("tok").contains("="), attribute(F.col("tok"), n)).otherwise(""))
     rows = rows.select(
         "page_id", "url", "pos", end.alias("end"), "name", text.alias("text"), "turn", F.concat(F.lit(" "), F.regexp_replace(attr("class"), r"\s+", " "), F.lit(" ")).alias("cls"), attr("id").alias("id"), attr("itemprop").alias("itemprop"), attr("data-hook").alias("data-hook"),
-        F.col("tok").rlike(r"(?i)\sdata-review-id(?=[\s=/>])").alias("data-review-id"), attr("aria-label").alias("aria-label"), attr("title").alias("title"), F.when(image, F.col("tok")).alias("image"), F.when(is_open, attribute(F.col("tok"), "alt")).alias("alt"),
+        F.col("tok").rlike(r"(?i)\sdata-review-id(?=[\s=/>])").alias("data-review-id"), attr("aria-label").alias("aria-label"), attr("title").alias("title"), F.when(image, F.col("tok")).alias("image"), attr("alt").alias("alt"),
     )
     marks = reduce(lambda a, b: a.bitwiseOR(b), [F.when((F.col("name") != "") & (F.col("turn") >= 0) & _matches(s), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, s in enumerate(SIMPLE)])
     about = F.lower(F.concat_ws(" ", "cls", "id", "alt", "`aria-label`", "`data-hook`"))
@@ -164,7 +165,7 @@ def _stars(c: Column) -> Column:
 
 def card_reviews(pages: DataFrame) -> DataFrame:
     """Reviews in the cards of pages (page_id, url, html), one per card and family of selectors; place orders a page's."""
-    toks = tokens(pages)
+    toks = written(tokens(pages))  # cards, their tokens and the ends of pages each read it
     is_amazon = T.site_name(F.col("url")).contains("amazon.")
     rank = lambda cards: F.array_min(F.filter(F.array(*[F.when(_bit(F.struct(F.col("marks")), s), F.lit(k)) for k, s in enumerate(cards)]), lambda k: k.isNotNull()))
     families = F.array(F.struct(F.lit(1).alias("family"), F.when(is_amazon, rank(AMAZON_CARDS)).alias("rank")), F.struct(F.lit(2).alias("family"), rank(GENERIC_CARDS).alias("rank")))
