@@ -174,3 +174,34 @@ def test_tokens_of_pages_are_found_once_for_cards_and_their_texts(spark, monkeyp
     out = cards.card_reviews(df)
     assert len(calls) == 1 and "<!--.*?-->" not in _plan(out)  # pages were cut into tokens again for each use
     assert sorted((r.page_id, r.review_text, r.date) for r in out.collect()) == sorted((i, f"plain paragraph of a card {i}", "2024") for i in range(3) for _ in "ab")
+
+
+def test_texts_are_measured_before_their_pages_are_met(spark, sf, monkeypatch):
+    from trustloom.plans import registry
+
+    written, real = [], pages.cut
+    monkeypatch.setattr(pages, "cut", lambda df: written.append(_plan(df)) or real(df))
+    reviews = views.view(spark, sf, "reviews_v").filter("record_id < 60")
+    early = pages.page_scores(registry._slang(pages.prepared(reviews)))
+    assert "regexp_replace(coalesce(review_text" not in written[0]  # were measured by one task a page
+    late = pages.page_scores(registry._slang(reviews))
+    assert sorted(map(str, early.select(sorted(early.columns)).collect())) == sorted(map(str, late.select(sorted(early.columns)).collect())) and sorted(early.columns) == sorted(late.columns)
+    spread = views.view(spark, sf, "reviews_v")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[doc_id#\d+L\], 4", spread)  # was joined to few partitions by size
+    scored = machine_text.opening_boost(machine_text.for_openings(machine_text.ai_score(reviews.select("page_id", "record_id", "title", "review_text"))))
+    whole = machine_text.opening_boost(machine_text.ai_score(reviews.select("page_id", "record_id", "title", "review_text")))
+    assert "repetition" not in scored.columns and sorted(map(tuple, scored.select("record_id", "ai", "ai_label", "ai_flag").collect())) == sorted(map(tuple, whole.select("record_id", "ai", "ai_label", "ai_flag").collect()))
+
+
+def test_a_text_models_probability_needs_no_vectors(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["good", "bad", "phone", "case", "ok", "x"], k=8) + ["buy now"] * (i % 2)) if i else None, i % 2, 5.0 - i % 3, "train" if i % 3 else "validation") for i in range(60)]
+    df, names = text_models.review_measures(spark.createDataFrame(rows, "record_id long, review_text string, label int, rating double, part string"))
+    model = text_models.fit_text_model(df.filter("part = 'train'"), df.filter("part = 'validation'"), names, {"word": 40, "char": 60}, (0.01,))
+    made = model.classifier.transform(text_models.text_vectors(df, model.vocabulary, model.size, names))
+    want = {r.record_id: r.p for r in made.select("record_id", vector_to_array("probability")[1].alias("p")).collect()}
+    got = model.probability(df, "p")
+    assert "sparse" not in (plan := _plan(got)) and "PythonUDF" not in plan and "collect_list" not in plan  # a vector was made of each text
+    assert len(want) == 60 and all(abs(r.p - want[r.record_id]) < 1e-9 for r in got.collect())

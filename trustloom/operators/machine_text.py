@@ -67,8 +67,12 @@ def ai_heuristic(df: DataFrame) -> Column:
 
 def ai_score(df: DataFrame, model_probability: Column | None = None) -> DataFrame:
     """The heuristic, blended 0.30 to 0.70 with a model's probability if there is one, then adjusted in a fixed order."""
+    return score_features(ai_features(df), model_probability)
+
+
+def score_features(rows: DataFrame, model_probability: Column | None = None) -> DataFrame:
+    """The score of rows that have ai_features already."""
     c = F.col
-    rows = ai_features(df)
     base = ai_heuristic(rows)
     rows = rows.withColumn("ai", base if model_probability is None else 0.70 * model_probability + 0.30 * base)
     compact, structured = (c("cliche") >= 0.65) & (c("words") >= 8), c("structure") >= 0.42
@@ -84,6 +88,11 @@ def ai_score(df: DataFrame, model_probability: Column | None = None) -> DataFram
     return rows.withColumns({"ai_label": ai_label(), "ai_flag": ((c("ai") >= FLAG) & (c("ai_label_words") >= MIN_WORDS)).cast("int"), "ai_reasons": ai_reasons()})
 
 
+def for_openings(scored: DataFrame) -> DataFrame:
+    """What opening_boost needs of a score and gives back; measures that no score has are then not computed."""
+    return scored.select("page_id", "record_id", "ai_tok", "words", "ai", "ai_label", "ai_flag", "ai_reasons")
+
+
 def ai_label(words: str = "ai_label_words", flag: float = FLAG, hint: float = HINT) -> Column:
     """Labels; a model's thresholds are clipped to 0.45 to 0.95, the hint to at most 0.08 below."""
     flag = min(max(flag, 0.45), 0.95)

@@ -26,14 +26,24 @@ def _counts(df: DataFrame, key: Column, name: str) -> DataFrame:
     return keyed.join(counts, ["page_id", "__key"], "left").drop("__key").fillna({name: 1})
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with digests of text and title, by which equal ones are counted; null for empty ones."""
+    digest = lambda c: F.when(F.col(c) != "", F.md5(c))
+    rows = df.withColumns({"__text": F.lower(T.norm_text(F.col("review_text"))), "__title": F.lower(T.norm_text(F.col("title")))})
+    return rows.withColumns({"__text": digest("__text"), "__title": digest("__title")})
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """Reviews with all that page_scores needs of their texts, measured where the texts lie: once rows are dealt out by page, few tasks would measure them."""
+    return keyed(measured(df))
+
+
 def page_counts(df: DataFrame, keep_text: bool = True) -> DataFrame:
     """Duplicate texts and titles, reviews per author, reviews and extreme reviews per day. Empty texts count 1.
 
     Without keep_text the text and title stay behind, so that the joins move narrow rows.
     """
-    digest = lambda c: F.when(F.col(c) != "", F.md5(c))
-    rows = df.withColumns({"__text": F.lower(T.norm_text(F.col("review_text"))), "__title": F.lower(T.norm_text(F.col("title")))})
-    rows = rows.withColumns({"__text": digest("__text"), "__title": digest("__title"), "__author": author_key()})
+    rows = (df if "__text" in df.columns else keyed(df)).withColumn("__author", author_key())
     rows = cut(rows if keep_text else rows.drop("review_text", "title"))  # each count reads it, and the rows themselves
     for key, name in (("__text", "dup_text"), ("__title", "dup_title"), ("__author", "author_reviews")):
         rows = _counts(rows, F.col(key), name).drop(key)
@@ -99,8 +109,9 @@ def rating_manipulation_score() -> Column:
 
 
 def page_scores(profiled: DataFrame) -> DataFrame:
-    """Local, author risk and rating manipulation scores of each review, without its text; profiled has the slang profile."""
-    rows = cut(row_components(page_counts(measured(profiled), keep_text=False)))  # read for the page's ratios and for its rows
+    """Local, author risk and rating manipulation scores of each review, without its text; profiled has the slang profile, best of prepared reviews."""
+    rows = profiled if "__text" in profiled.columns else measured(profiled)
+    rows = cut(row_components(page_counts(rows, keep_text=False)))  # read for the page's ratios and for its rows
     rows = rows.join(page_components(page_ratios(rows)), "page_id")
     return rows.withColumns({"local_score": local_manipulation_score(), "author_risk": author_risk_score(), "rating_manipulation": rating_manipulation_score()})
 

@@ -71,9 +71,9 @@ def photo_signals(links: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def page_signals(reviews: DataFrame, links: DataFrame) -> DataFrame:
     """What the report needs of each review besides a model: page scores, slang, text, machine-text score, photos; a written table."""
-    profiled = slang.slang_reason(slang.with_slang(reviews))
+    profiled = slang.slang_reason(slang.with_slang(pages.prepared(reviews)))
     scored = pages.manipulation_reasons(pages.page_scores(profiled))
-    own = machine_text.opening_boost(machine_text.ai_score(reviews.select("page_id", "record_id", "title", "review_text")).drop("review_text", "title")).select("record_id", "ai", "ai_flag", "ai_label", "ai_reasons")
+    own = machine_text.opening_boost(machine_text.for_openings(machine_text.ai_score(reviews.select("page_id", "record_id", "title", "review_text")))).select("record_id", "ai", "ai_flag", "ai_label", "ai_reasons")
     rows = scored.join(text_signals(reviews), "record_id").join(own, "record_id").join(photo_signals(links, reviews), "record_id", "left").fillna(PHOTO_COLUMNS)
     rows = cut(rows.withColumn("photo_reasons", F.concat(*map(_no_sentences, SENTENCES))).drop(*SENTENCES))
     return rows.join(rows.groupBy("page_id").agg(F.max("ai").alias("page_ai")), "page_id")
