@@ -2,11 +2,14 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from trustloom.functions import text as T
 from trustloom.operators import corpus, terms, text_models
 from trustloom.plans.registry import QUERIES
 
@@ -72,3 +75,19 @@ def test_char_weights_are_those_of_a_row_for_each_gram(spark, top):
 def test_the_char_query_makes_no_row_for_each_gram(spark, sf):
     plan = QUERIES["k01_char_tfidf"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan  # n-grams of all texts were rows
+
+
+def test_probability_and_coverage_come_from_one_pass_over_words(spark):
+    df = _reviews(spark)
+    terms_ = [("char", " go", 1.5), ("word", "a", 1.0), ("word", "good", 2.0), ("word", "good phone", 1.2), ("word", "сад", 1.1)]
+    vocabulary = spark.createDataFrame([(k, t, i, x) for i, (k, t, x) in enumerate(terms_)], "kind string, term string, place int, idf double")
+    of = [0.5, -1.0, 2.0, 0.25, 1.5, 0.1]
+    model = text_models.TextModel(vocabulary, 5, ["rating"], SimpleNamespace(coefficients=Vectors.dense(of), intercept=-0.2), 0.1, 0.0)
+    out = model.scores(df)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # words were rows once more for the coverage
+    known = F.array(F.lit("a"), F.lit("good"), F.lit("сад"))
+    want = {r.record_id: r.c for r in df.select("record_id", T.lexical_coverage(T.tokens(F.col("review_text")), known).alias("c")).collect()}
+    vectors = {r.record_id: r.features for r in text_models.text_vectors(df, vocabulary, 5, ["rating"]).collect()}
+    rows = out.collect()
+    assert len(rows) == len(want) and all(r.coverage == want[r.record_id] for r in rows)
+    assert all(abs(r.p - 1 / (1 + math.exp(0.2 - vectors[r.record_id].dot(of)))) < 1e-12 for r in rows)
